@@ -6,16 +6,19 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from quarry.llm import kd_shards, warc
 from quarry.llm.byte_bpe import op10_byte_bpe
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """Every query by name, with corpus_pipeline.run as `pipeline`."""
     return {
+        "op1_warc": warc.op1_warc,
+        "op3_kd_shards": kd_shards.op3_kd_shards,
         "op10_byte_bpe": op10_byte_bpe,
     }
 
 
 def oracle_sql() -> dict[str, str]:
     """DuckDB SQL by query name."""
-    return {}
+    return {"op1_warc": warc.SQL}
