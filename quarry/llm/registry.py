@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quarry.llm import kd_shards, warc
+from quarry.llm import kd_shards, rule_ensemble, warc
 from quarry.llm.byte_bpe import op10_byte_bpe
 
 
@@ -15,6 +15,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_warc": warc.op1_warc,
         "op3_kd_shards": kd_shards.op3_kd_shards,
+        "op4_rule_ensemble": rule_ensemble.op4_rule_ensemble,
         "op10_byte_bpe": op10_byte_bpe,
     }
 
