@@ -72,13 +72,15 @@ def _medians(rows: DataFrame, nodes: dict[int, dict], dims: list[str]) -> None:
 def partitioned(rows: DataFrame, dims: list[str], shards: int | None = None, target_bytes: int | None = None) -> DataFrame:
     """`rows` with a column shard, 0 to shards - 1, by a k-d tree.
 
-    `rows` is read many times: a written, narrow table with size (bytes, long), tie (a hash of the row from 0 to
+    `rows`, which is written and then read many times, is narrow: size (bytes, long), tie (a hash of the row from 0 to
     TIE_RANGE - 1) and the dimensions, all long and not null. Either the number of leaves is given, or the bytes that a
     leaf may have, which gives the number. A node of k leaves is split at the point that halves k, so any number works.
     A dimension's width in a node is its range there as a share of its range in the whole table; where no dimension has
     a range, rows are split by tie. An empty table gives an empty result.
     """
-    spark, rows = rows.sparkSession, rows.withColumn("node", F.lit(1).cast("long"))
+    spark = rows.sparkSession
+    # A stored column: joins by it stay joins, where a constant would become a product with the table of nodes.
+    rows = written(rows.withColumn("node", F.lit(1).cast("long")), "kd-root")
     ranges = [f(d).alias(f"{k}{i}") for i, d in enumerate(dims) for k, f in (("lo", F.min), ("hi", F.max))]
     leaves: dict[int, int] = {}
     wide: list[int] = []
@@ -142,7 +144,7 @@ def sharded(docs: DataFrame, shards: int | None = 16, target_bytes: int | None =
         F.coalesce(F.col("doc_id").cast("long"), F.lit(-1)).alias("id"),
         F.monotonically_increasing_id().alias("row"),
     ).withColumn("tie", F.pmod(F.xxhash64("id", "text_crc32", "row"), F.lit(TIE_RANGE)))
-    done = written(partitioned(written(narrow, "kd-rows"), ["size", "lang", "source", "id"], shards, target_bytes), "kd-shards")
+    done = written(partitioned(narrow, ["size", "lang", "source", "id"], shards, target_bytes), "kd-shards")
     out = slotted(done, shards or 16, ["id", "text_crc32", "row"])
     return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
