@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quarry.llm import kd_shards, ngram_join, rule_ensemble, warc
+from quarry.llm import decontaminate, kd_shards, ngram_join, pii, rule_ensemble, warc
 from quarry.llm.byte_bpe import op10_byte_bpe
 
 
@@ -14,8 +14,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """Every query by name, with corpus_pipeline.run as `pipeline`."""
     return {
         "op1_warc": warc.op1_warc,
+        "op2_decontaminate": decontaminate.op2_decontaminate,
         "op3_kd_shards": kd_shards.op3_kd_shards,
         "op4_rule_ensemble": rule_ensemble.op4_rule_ensemble,
+        "op7_pii": pii.op7_pii,
         "op9_ngram_join": ngram_join.op9_ngram_join,
         "op10_byte_bpe": op10_byte_bpe,
     }
