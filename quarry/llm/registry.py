@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quarry.llm import decontaminate, kd_shards, ngram_join, pii, rule_ensemble, substring_dedup, warc
+from quarry.llm import chat_format, decontaminate, kd_shards, media_chunks, ngram_join, pii, rule_ensemble, substring_dedup, warc
 from quarry.llm.byte_bpe import op10_byte_bpe
 
 
@@ -18,7 +18,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_kd_shards": kd_shards.op3_kd_shards,
         "op4_rule_ensemble": rule_ensemble.op4_rule_ensemble,
         "op5_substring_dedup": substring_dedup.op5_substring_dedup,
+        "op6_chat_format": chat_format.op6_chat_format,
         "op7_pii": pii.op7_pii,
+        "op8_media_chunks": media_chunks.op8_media_chunks,
         "op9_ngram_join": ngram_join.op9_ngram_join,
         "op10_byte_bpe": op10_byte_bpe,
     }
