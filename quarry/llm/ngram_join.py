@@ -10,22 +10,25 @@ subsets before it, in either document. Sets of 4 to 8 shingles, where one differ
 whole set and its one-deletion neighbourhood (threshold 1). Small bands have a segment for each shingle.
 
 Equal sets are one class from the start. Documents with a common key are not paired with each other: each is paired
-with the smallest class in the group, the pairs are verified exactly on whole shingle sets, and only where a group then
-still spans several components its next members are paired with those outside their own component. So a group of n near
-copies costs about n verifications, and no link between different components is lost.
+with the group's most ordinary class, the one whose shingles are the most frequent (the text that near copies were made
+of, rather than one of them), and only where a group then still spans several components its next members are paired
+with those outside their own component. So a group of n near copies costs about n verifications, and no link between
+different components is lost. Pairs are first held against parity bitmaps of the sets: two sets that differ in d
+shingles have bitmaps that differ in d bits at most, so pairs beyond the bound go without their sets being moved. The
+others are verified exactly on whole shingle sets.
 """
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from quarry.llm.common import small_batches, written
+from quarry.llm.common import discard, small_batches, written
 from quarry.llm.links import bitmap, components, free, hit, place
 from quarry.llm.words import U, Words, mixed, runs
 
@@ -34,8 +37,10 @@ SHINGLE = 5
 NEED, OF = 80, 100
 #: Sets below this size have a segment for each shingle; above, 0.7 segments for each shingle of the smallest set in a band.
 SMALL = 256
-#: Counters of the sketch, and its rows.
-CELLS, CELL_ROWS = 1 << 20, 16
+#: Most binary digits of the number of the sketch's counters, and its parts.
+MAX_CELL_BITS, CELL_ROWS = 24, 16
+#: Most bits of a set's parity signature; leftover groups are resolved by the first LEAP ** k members, k = 1, 2, ...
+MAX_SIGNATURE, LEAP = 1 << 17, 8
 #: Classes that a task remembers so as not to emit a class twice, and rows in a batch of output.
 SEEN = 200_000
 
@@ -100,91 +105,125 @@ def keys_of(s: np.ndarray, costs: np.ndarray) -> np.ndarray:
     out = [deletions(s)] if 4 <= len(s) <= 8 else []
     for band, need in schemes(len(s)):
         keys = _scheme(s, band)
-        order = np.argsort((costs[keys >> U(44)].astype(U) << U(56)) | (keys >> U(8)))
+        order = np.argsort((costs[keys >> _shift(costs)].astype(U) << U(56)) | (keys >> U(8)))
         out.append(keys[order[:need]])
     return np.concatenate(out) if out else s[:0]
 
 
-def _classes(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """A row for each document (kind 0: id, n, cls) and the sketch's partial counts (kind 1: part, counts)."""
+def _shift(costs: np.ndarray) -> np.uint64:
+    return U(64 - (len(costs).bit_length() - 1))
+
+
+def rareness(s: np.ndarray, costs: np.ndarray) -> int:
+    """0 to 255: the lower, the more frequent the set's keys are in the corpus."""
+    band, _ = (schemes(len(s)) or [(0, 0)])[0]
+    return 255 - int(min(255.0, 6 * costs[_scheme(s, band) >> _shift(costs)].mean()))
+
+
+def signature(s: np.ndarray) -> bytes:
+    """Parity bitmap of a set: bit i is the parity of how many shingles hash to i; half as many bits again as shingles."""
+    bits = min(MAX_SIGNATURE, max(64, 1 << (3 * len(s) // 2).bit_length()))
+    odd = np.bincount((mixed(s ^ U(0x3C6EF372FE94F82B)) & U(bits - 1)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(odd.astype(bool), bitorder="little").tobytes()
+
+
+def may_link(n: int, x: bytes, m: int, y: bytes) -> bool:
+    """Whether sizes and parity bitmaps allow two sets a similarity of 0.8."""
+    if OF * min(n, m) < NEED * max(n, m):
+        return False
+    p, q = np.frombuffer(x, U), np.frombuffer(y, U)
+    if len(p) > len(q):
+        p, q = q, p
+    if len(p) < len(q):  # the bitmap of half the bits is the larger one's halves, added
+        q = np.bitwise_xor.reduce(q.reshape(-1, len(p)), 0)
+    return int(np.bitwise_count(p ^ q).sum()) <= (n + m) * (OF - NEED) // (OF + NEED)
+
+
+def _classes(docs: DataFrame, id_col: str, text_col: str, cell_bits: int) -> DataFrame:
+    """A row for each document (kind 0: id, th, n, cls, and once a task at least each class's signature) and the sketch's partial counts (kind 1: part, data)."""
 
     def rows(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts, seen = np.zeros(CELLS, np.int64), set()
+        counts, seen, shift = np.zeros(1 << cell_bits, np.uint32), set(), U(64 - cell_bits)
         for batch in batches:
-            n, cls = [], []
-            for _, s in shingle_sets(batch.column(1)):
+            n, cls, data, cells = [], [], [], []
+            for _, s in shingle_sets(batch.column(2)):
                 n.append(len(s))
                 c = class_of(s) if len(s) else None
                 cls.append(c)
-                if len(s) >= 8 and c not in seen:
+                data.append(None)
+                if len(s) >= 4 and c not in seen:
                     if len(seen) >= SEEN:
                         seen.clear()
                     seen.add(c)
-                    for band, _ in schemes(len(s)):
-                        np.add.at(counts, (_scheme(s, band) >> U(44)).astype(np.int64), 1)
+                    data[-1] = signature(s)
+                    cells += [_scheme(s, band) >> shift for band, _ in schemes(len(s))]
+            if cells:
+                np.add.at(counts, np.concatenate(cells).astype(np.int64), np.uint32(1))
             k = len(n)
-            yield pa.RecordBatch.from_arrays([pa.array([0] * k, pa.int32()), batch.column(0), pa.array(n, pa.int64()), pa.array(cls, pa.int64()), pa.nulls(k, pa.int32()), pa.nulls(k, pa.binary())], names)
+            yield pa.RecordBatch.from_arrays([pa.array([0] * k, pa.int32()), batch.column(0), batch.column(1), pa.array(n, pa.int64()), pa.array(cls, pa.int64()), pa.nulls(k, pa.int32()), pa.array(data, pa.binary())], names)
         if counts.any():
-            parts = [p.tobytes() for p in np.split(counts.astype("<u4"), CELL_ROWS)]
+            parts = [zlib.compress(np.minimum(p, 65535).astype("<u2"), 1) for p in np.split(counts, CELL_ROWS)]
             k = len(parts)
-            yield pa.RecordBatch.from_arrays([pa.array([1] * k, pa.int32()), pa.nulls(k, kind), pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64()), pa.array(range(k), pa.int32()), pa.array(parts, pa.binary())], names)
+            yield pa.RecordBatch.from_arrays([pa.array([1] * k, pa.int32()), *(pa.nulls(k, pa.int64()) for _ in range(4)), pa.array(range(k), pa.int32()), pa.array(parts, pa.binary())], names)
 
-    names, kind = ["kind", "id", "n", "cls", "part", "counts"], pa.int64()
-    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col)).mapInArrow(rows, "kind int, id long, n long, cls long, part int, counts binary")
+    names = ["kind", "id", "th", "n", "cls", "part", "data"]
+    return docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text_col).alias("th"), F.col(text_col)).mapInArrow(rows, "kind int, id long, th long, n long, cls long, part int, data binary")
 
 
-def _costs(classes: DataFrame) -> np.ndarray:
-    """The sketch as one byte a counter, twice the binary logarithm of its count: CELLS bytes on the driver."""
+def _costs(classes: DataFrame, cell_bits: int) -> np.ndarray:
+    """The sketch as one byte a counter, twice the binary logarithm of its count: 16 MB on the driver at most."""
 
     def summed(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[int, np.ndarray] = {}
         for batch in batches:
             for part, counts in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                total[part] = total.get(part, 0) + np.frombuffer(counts.as_buffer(), "<u4").astype(np.int64)
-        yield pa.RecordBatch.from_pydict({"part": pa.array(list(total), pa.int32()), "cost": pa.array([(2 * np.log2(v + 1)).astype(np.uint8).tobytes() for v in total.values()], pa.binary())})
+                more = np.frombuffer(zlib.decompress(counts.as_buffer()), "<u2")
+                total[part] = total[part] + more if part in total else more.astype(np.uint64)
+        yield pa.RecordBatch.from_pydict({"part": pa.array(list(total), pa.int32()), "cost": pa.array([(2 * np.log2(v + 1.0)).astype(np.uint8).tobytes() for v in total.values()], pa.binary())})
 
-    out = np.zeros((CELL_ROWS, CELLS // CELL_ROWS), np.uint8)
-    for r in classes.filter("kind = 1").select("part", "counts").repartition(CELL_ROWS, "part").mapInArrow(summed, "part int, cost binary").collect():
+    out = np.zeros((CELL_ROWS, (1 << cell_bits) // CELL_ROWS), np.uint8)
+    for r in classes.filter("kind = 1").select("part", "data").repartition(CELL_ROWS, "part").mapInArrow(summed, "part int, cost binary").toLocalIterator():
         out[r["part"]] = np.frombuffer(bytes(r["cost"]), np.uint8)
     return out.ravel()
 
 
 def _keys(docs: DataFrame, text_col: str, costs: np.ndarray) -> DataFrame:
-    """(cls, key) rows; a class that several documents have is emitted once a task at least."""
+    """(key, cls, rare) rows; a class that several documents have is emitted once a task at least."""
     shared = docs.sparkSession.sparkContext.broadcast(costs)
 
     def rows(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         for batch in batches:
-            cls, keys = [], []
+            cls, keys, rare = [], [], []
             for _, s in shingle_sets(batch.column(0)):
                 if len(s) >= 4 and (c := class_of(s)) not in seen:
                     if len(seen) >= SEEN:
                         seen.clear()
                     seen.add(c)
                     cls.append(c)
+                    rare.append(rareness(s, shared.value))
                     keys.append(keys_of(s, shared.value))
             flat = np.concatenate(keys).view(np.int64) if keys else np.zeros(0, np.int64)
             ends = np.cumsum([0, *map(len, keys)])
-            yield pa.RecordBatch.from_arrays([pa.array(cls, pa.int64()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat, pa.int64()))], ["cls", "keys"])
+            yield pa.RecordBatch.from_arrays([pa.array(cls, pa.int64()), pa.array(rare, pa.int16()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat, pa.int64()))], ["cls", "rare", "keys"])
 
-    lists = docs.select(F.col(text_col)).mapInArrow(rows, "cls long, keys array<long>")
-    return lists.select(F.explode("keys").alias("key"), "cls")
+    lists = docs.select(F.col(text_col)).mapInArrow(rows, "cls long, rare short, keys array<long>")
+    return lists.select(F.explode("keys").alias("key"), "cls", "rare")
 
 
 def _groups(keys: DataFrame, parts: int) -> DataFrame:
-    """What classes share a key. kind 0: pairs (a, b, n) of a group's smallest class and another; kind 1: members (a: group, b: class) of groups of three or more.
+    """What classes share a key. kind 0: pairs (a, b) of a group's most ordinary class and another; kind 1: members (a: group, b: class, rank) of groups of three or more, in order.
 
-    A partition holds the keys of about a millionth part of a millions-row index; groups with the same members count once.
+    A task holds the keys of one of `parts` ranges of hashes, of bounded size; groups with the same members count once.
     """
 
     def rows(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        got = [(b.column(0).to_numpy(), b.column(1).to_numpy()) for b in batches if b.num_rows]
+        got = [tuple(b.column(i).to_numpy() for i in range(3)) for b in batches if b.num_rows]
         if not got:
             return
-        key, cls = (np.concatenate(x) for x in zip(*got, strict=True))
+        key, cls, rare = (np.concatenate(x) for x in zip(*got, strict=True))
         del got
-        order = np.lexsort((cls, key))
+        order = np.lexsort((cls, rare, key))
         key, cls = key[order], cls[order]
         same = np.zeros(len(key), bool)
         same[1:] = (key[1:] == key[:-1]) & (cls[1:] == cls[:-1])
@@ -194,25 +233,25 @@ def _groups(keys: DataFrame, parts: int) -> DataFrame:
         first, size = first[size > 1], size[size > 1]
         if not len(first):
             return
-        at = np.repeat(first, size) + (np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size))
+        inside = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
+        at = np.repeat(first, size) + inside
         pivot, member = np.repeat(cls[first], size), cls[at]
-        pairs = np.stack([pivot, member], 1)[pivot != member]
-        pairs, n = np.unique(pairs, axis=0, return_counts=True)
-        yield from out(0, pairs[:, 0], pairs[:, 1], n)
+        pairs = np.unique(np.stack([pivot, member], 1)[pivot != member], axis=0)
+        yield from out(0, pairs[:, 0], pairs[:, 1], np.zeros(len(pairs), np.int64))
         begin = np.cumsum(size) - size
         name = mixed(np.add.reduceat(mixed(member.view(U)), begin)).view(np.int64)
         _, once = np.unique(name, return_index=True)
         once = once[size[once] > 2]
         if len(once):
-            at = np.repeat(begin[once], size[once]) + (np.arange(size[once].sum()) - np.repeat(np.cumsum(size[once]) - size[once], size[once]))
-            yield from out(1, np.repeat(name[once], size[once]), member[at], np.zeros(len(at), np.int64))
+            rank = np.arange(size[once].sum()) - np.repeat(np.cumsum(size[once]) - size[once], size[once])
+            yield from out(1, np.repeat(name[once], size[once]), member[np.repeat(begin[once], size[once]) + rank], rank)
 
-    def out(kind: int, a: np.ndarray, b: np.ndarray, n: np.ndarray) -> Iterator[pa.RecordBatch]:
+    def out(kind: int, a: np.ndarray, b: np.ndarray, rank: np.ndarray) -> Iterator[pa.RecordBatch]:
         for i in range(0, len(a), 50_000):
             part = slice(i, i + 50_000)
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(a[part]), kind, np.int32)), pa.array(a[part]), pa.array(b[part]), pa.array(n[part])], ["kind", "a", "b", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(a[part]), kind, np.int32)), pa.array(a[part]), pa.array(b[part]), pa.array(rank[part])], ["kind", "a", "b", "rank"])
 
-    return keys.repartition(parts, "key").select("key", "cls").mapInArrow(rows, "kind int, a long, b long, n long")
+    return keys.repartition(parts, "key").select("key", "cls", "rare").mapInArrow(rows, "kind int, a long, b long, rank long")
 
 
 def _sets(docs: DataFrame, id_col: str, text_col: str, ids: np.ndarray) -> DataFrame:
@@ -237,8 +276,21 @@ def _sets(docs: DataFrame, id_col: str, text_col: str, ids: np.ndarray) -> DataF
     return found
 
 
+def _possible(pairs: DataFrame, signatures: DataFrame) -> DataFrame:
+    """The pairs (a, b) that sizes and signatures (cls, n, sig) allow to link."""
+
+    def rows(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n, x, m, y = (batch.column(i) for i in range(2, 6))
+            keep = [may_link(*v) for v in zip(n.to_pylist(), (v.as_buffer() for v in x), m.to_pylist(), (v.as_buffer() for v in y), strict=True)]
+            yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
+
+    side = lambda c, n, sig: signatures.select(F.col("cls").alias(c), F.col("n").alias(n), F.col("sig").alias(sig))
+    return pairs.join(side("b", "m", "y"), "b").join(side("a", "n", "x"), "a").select("a", "b", "n", "x", "m", "y").mapInArrow(rows, "a long, b long")
+
+
 def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """pairs (a, b) with `near`: whether 100 times the intersection is 80 times the union at least, on whole sets."""
+    """The pairs (a, b) where 100 times the intersection is 80 times the union at least, on whole sets."""
 
     def rows(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -247,17 +299,14 @@ def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
                 s, t = np.frombuffer(x.as_buffer(), U), np.frombuffer(y.as_buffer(), U)
                 if len(s) > len(t):
                     s, t = t, s
-                if OF * len(s) < NEED * len(t):
-                    near.append(False)
-                    continue
                 at = np.searchsorted(t, s)
                 both = int((t[np.minimum(at, len(t) - 1)] == s).sum())
                 near.append(OF * both >= NEED * (len(s) + len(t) - both))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(near, pa.bool_())], ["a", "b", "near"])
+            yield batch.select([0, 1]).filter(pa.array(near, pa.bool_()))
 
     right = pairs.join(sets.select(F.col("cls").alias("b"), F.col("shingles").alias("t")), "b")
     both = right.join(sets.select(F.col("cls").alias("a"), F.col("shingles").alias("s")), "a")
-    return both.select("a", "b", "s", "t").mapInArrow(rows, "a long, b long, near boolean")
+    return both.select("a", "b", "s", "t").mapInArrow(rows, "a long, b long")
 
 
 def _labelled(frame: DataFrame, roots: DataFrame | None, *cols: str) -> DataFrame:
@@ -270,62 +319,94 @@ def _labelled(frame: DataFrame, roots: DataFrame | None, *cols: str) -> DataFram
     return frame
 
 
-def linked(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row for each document: id_col, n_shingles and component_id, the smallest id that links reach.
-
-    Texts are read three times, from their source, and shuffled never. Null, empty and blank texts have no shingles and
-    are linked with nothing; component_id is then their own id. Repeated rows and equal texts have equal components. A
-    null id never is a component's smallest unless all its ids are null. Columns but the two are not read.
-    """
+def _linked(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(id, th, n, root, component_id) for each document; th is a hash of the text, root a class or null."""
     spark = docs.sparkSession
     small_batches(spark)
-    classes = written(_classes(docs, id_col, text_col), "classes")
+    # About a counter for each word, up to a fixed size.
+    size = docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
+    cell_bits = min(MAX_CELL_BITS, max(12, (size // 6).bit_length()))
+    classes = written(_classes(docs, id_col, text_col, cell_bits), "classes")
     rows = classes.filter("kind = 0")
     total = rows.agg(F.sum("n")).first()[0] or 0
-    groups = written(_groups(_keys(docs, text_col, _costs(classes)), max(16, total // 3_000_000)), "groups")
-    free(docs)
-    pairs = written(groups.filter("kind = 0").groupBy("a", "b").agg(F.sum("n").alias("n")), "pairs")
-    members = groups.filter("kind = 1").select(F.col("a").alias("group"), F.col("b").alias("cls"))
-
-    nodes = pairs.select(F.col("a").alias("cls")).unionByName(pairs.select(F.col("b").alias("cls"))).distinct()
-    of = rows.filter("cls is not null").groupBy("cls").agg(F.min("id").alias("id"))
-    ids = bitmap(nodes.join(of, "cls").select(F.coalesce("id", F.lit(-1)).alias("id")), "id")
-    sets = written(_sets(docs, id_col, text_col, ids).join(nodes, "cls", "left_semi").dropDuplicates(["cls"]), "sets")
+    groups = written(_groups(_keys(docs, text_col, _costs(classes, cell_bits)), max(16, total // 3_000_000)), "groups")
     free(docs)
-
-    best = pairs.groupBy("b").agg(F.max(F.struct("n", "a")).alias("x")).select("b", F.col("x.a").alias("a"))
-    asked, todo, roots, links, first = best.select("a", "b"), pairs.select("a", "b"), None, None, 0
+    pairs = groups.filter("kind = 0").select("a", "b").distinct()
+    members = groups.filter("kind = 1").select(F.col("a").alias("group"), F.col("b").alias("cls"), "rank").dropDuplicates(["group", "cls"])
+    of = written(rows.filter("n >= 4").groupBy("cls").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("data", True).alias("sig")), "signatures")
+
+    def near(asked: DataFrame) -> DataFrame | None:
+        possible = written(_possible(asked, of), "possible")
+        nodes = possible.select(F.explode(F.array("a", "b")).alias("cls")).distinct()
+        if possible.isEmpty():
+            return None
+        ids = bitmap(nodes.join(of, "cls").select(F.coalesce("id", F.lit(-1)).alias("id")), "id")
+        sets = written(_sets(docs, id_col, text_col, ids).join(nodes, "cls", "left_semi").dropDuplicates(["cls"]), "sets")
+        free(docs)
+        out = written(_verified(possible, sets), "verified")
+        discard(sets)
+        free(docs)
+        return out
+
+    roots, first = None, 1
+    links = near(pairs)
     while True:
-        found = written(_verified(asked, sets), "verified")
-        near = found.filter("near").select("a", "b")
-        links = near if links is None else links.unionByName(near)
-        stars = components(links)
-        roots = written(stars, "roots")
-        links = roots.select(F.col("node").alias("a"), F.col("root").alias("b")).filter("a <> b")
-        if todo is not None:  # the rest of the pairs, where they are not of one component already
-            rest = _labelled(todo.join(found, ["a", "b"], "left_anti"), roots, "a", "b").filter("a_root <> b_root").select("a", "b")
-            asked, todo = written(rest, "rest"), None
+        if links is not None:
+            if roots is not None:
+                links = links.unionByName(roots.select(F.col("node").alias("a"), F.col("root").alias("b")))
+            roots = written(components(links), "roots")
             free(docs)
-            if not asked.isEmpty():
-                continue
-        # Groups that span several components without their first members.
-        first = max(1, 2 * first)
-        ranked = members.withColumn("rank", F.row_number().over(W.partitionBy("group").orderBy("cls")) - 1) if first == 1 else members
-        open_ = _labelled(ranked.filter(F.col("rank") >= first), roots, "cls")
+        # Groups that still span several components: their first members with those of other components.
+        open_ = _labelled(members.filter(F.col("rank") >= first), roots, "cls")
         spans = open_.groupBy("group").agg(F.min("cls_root").alias("lo"), F.max("cls_root").alias("hi")).filter("lo <> hi").select("group")
-        members = written(open_.join(spans, "group", "left_semi").select("group", "cls", "rank", "cls_root"), "open")
-        pivots = members.filter(F.col("rank") < 2 * first).select("group", F.col("cls").alias("a"), F.col("cls_root").alias("a_root"), F.col("rank").alias("a_rank"))
-        asked = members.join(pivots, "group").filter("rank > a_rank and cls_root <> a_root").select(F.least("a", "cls").alias("a"), F.greatest("a", "cls").alias("b")).distinct()
-        members = members.select("group", "cls", "rank")
-        asked = written(asked, "asked")
-        if asked.isEmpty():
+        open_ = written(open_.join(spans, "group", "left_semi").select("group", "cls", "rank", "cls_root"), "open")
+        if open_.isEmpty():
             break
-    roots = roots.select(F.col("node").alias("cls"), "root")
-    own = rows.filter("cls is not null").join(roots, "cls", "left").select("id", "n", F.coalesce("root", "cls").alias("root"))
+        pivots = open_.filter(F.col("rank") < LEAP * first).select("group", F.col("cls").alias("a"), F.col("cls_root").alias("a_root"), F.col("rank").alias("a_rank"))
+        asked = open_.join(pivots, "group").filter("rank > a_rank and cls_root <> a_root").select(F.least("a", "cls").alias("a"), F.greatest("a", "cls").alias("b")).distinct()
+        members, first = open_.select("group", "cls", "rank"), LEAP * first
+        links = near(asked)
+        free(docs)
+    if roots is None:
+        own = rows.filter("cls is not null").select("id", "th", "n", F.col("cls").alias("root"))
+    else:
+        own = rows.filter("cls is not null").join(roots.select(F.col("node").alias("cls"), "root"), "cls", "left").select("id", "th", "n", F.coalesce("root", "cls").alias("root"))
     least = own.groupBy("root").agg(F.min("id").alias("component_id"))
-    some = own.join(least, "root").select("id", "n", "component_id")
-    none = rows.filter("cls is null").select("id", "n", F.col("id").alias("component_id"))
-    return some.unionByName(none).select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "component_id")
+    some = own.join(least, "root").select("id", "th", "n", "root", "component_id")
+    none = rows.filter("cls is null").select("id", "th", "n", F.lit(None).cast("long").alias("root"), F.col("id").alias("component_id"))
+    return some.unionByName(none)
+
+
+def linked(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row for each document: id_col, n_shingles and component_id, the smallest id that links reach.
+
+    Texts are read from their source again for each pass and never shuffled. Null, empty and blank texts have no shingles
+    and are linked with nothing; component_id is then their own id. Repeated rows and equal texts have equal components.
+    A null id never is a component's smallest unless all its ids are null. Columns but the two are not read.
+    """
+    return _linked(docs, id_col, text_col).select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "component_id")
+
+
+def representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """docs with one document of each component, that with the smallest id (a null id only where all are null).
+
+    Of equal ids in a component, the text with the smallest hash stays; of rows with equal id and text, one. Documents
+    without words all stay. Texts are shuffled only where an id and its text repeat.
+    """
+    found = written(_linked(docs, id_col, text_col).filter("n > 0"), "linked")
+    best = found.groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "th")).alias("x"), F.count("*").alias("n")).select("x.*")
+    again = found.groupBy("id", "th").count().filter("count > 1").select("id", "th", F.lit(True).alias("again"))
+    best = best.join(again, best["id"].eqNullSafe(again["id"]) & (best["th"] == again["th"]), "left").select(F.coalesce(best["id"], F.lit(-1)).alias("__id"), best["id"].isNull().alias("__none"), best["th"].alias("__th"), F.coalesce("again", F.lit(False)).alias("__again"))
+    best = written(best, "representatives")
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    keyed = docs.withColumns({"__id": F.coalesce(F.col(id_col).cast("long"), F.lit(-1)), "__none": F.col(id_col).isNull(), "__th": F.xxhash64(text_col)})
+    blank = docs.filter(~F.coalesce(F.col(text_col), F.lit("")).rlike(r"[^\x20\x09-\x0D]"))
+    key = ["__id", "__none", "__th"]
+    out = keyed.join(best.filter("not __again"), key, "left_semi").select(*columns)
+    twice = best.filter("__again")
+    if not twice.isEmpty():
+        out = out.unionByName(keyed.join(twice, key, "left_semi").dropDuplicates(key).select(*columns))
+    return out.unionByName(blank)
 
 
 def op9_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
