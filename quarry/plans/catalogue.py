@@ -5,18 +5,15 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
+from quarry.plans import corpus, relational, scores
 
-def clean_dedup_by_lang(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents per language and distinct texts among them."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    return docs.groupBy("lang").agg(F.count("*").alias("n_docs"), F.countDistinct("text").alias("n_texts"))
+ALL = corpus.QUERIES | relational.QUERIES | scores.QUERIES
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"clean_dedup_by_lang": clean_dedup_by_lang}
+    return {name: query for name, (query, _) in ALL.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"clean_dedup_by_lang": "SELECT lang, count(*) AS n_docs, count(DISTINCT text) AS n_texts FROM documents GROUP BY lang"}
+    return {name: sql for name, (_, sql) in ALL.items() if sql}
