@@ -28,7 +28,7 @@ def awkward(spark):
     near[60] = "other"
     texts = [
         None, "", " \t\n ", "one", "ONE", "one two three four", "one  two\tthree\nfour five", " ".join(base), " ".join(base), "  ".join(near), " ".join(base).upper(),
-        " ".join(base[:50] + passage + base[50:]), " ".join(passage), " ".join(rng.choice(words) for _ in range(8000)) + " " + " ".join(passage), "naïve café 😀 ü" * 40, "\x0b\x0c| nbsp wide", "a" * 30_000,
+        " ".join(base[:50] + passage + base[50:]), " ".join(passage), " ".join(rng.choice(words) for _ in range(8000)) + " " + " ".join(passage), "naïve café 😀 ü" * 40, "\x0b\x0c| nbsp wide", "a" * 3_000,
         " ".join(["same"] * 400), "x@y.com, +1 234 567 8901, 10.0.0.1, 4111 1111 1111 1111",
     ]
     rows = [(i + 1, t) for i, t in enumerate(texts)]
