@@ -40,7 +40,7 @@ SMALL = 256
 #: Most binary digits of the number of the sketch's counters, and its parts.
 MAX_CELL_BITS, CELL_ROWS = 24, 16
 #: Most bits of a set's parity signature; leftover groups are resolved by the first LEAP ** k members, k = 1, 2, ...
-MAX_SIGNATURE, LEAP = 1 << 17, 8
+MAX_SIGNATURE, LEAP = 1 << 17, 16
 #: Classes that a task remembers so as not to emit a class twice, and rows in a batch of output.
 SEEN = 200_000
 
@@ -332,10 +332,11 @@ def _linked(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     groups = written(_groups(_keys(docs, text_col, _costs(classes, cell_bits)), max(16, total // 3_000_000)), "groups")
     free(docs)
     pairs = groups.filter("kind = 0").select("a", "b").distinct()
-    members = groups.filter("kind = 1").select(F.col("a").alias("group"), F.col("b").alias("cls"), "rank").dropDuplicates(["group", "cls"])
     of = written(rows.filter("n >= 4").groupBy("cls").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("data", True).alias("sig")), "signatures")
+    members = groups.filter("kind = 1").select(F.col("a").alias("group"), F.col("b").alias("cls"), "rank").dropDuplicates(["group", "cls"]).join(of.select("cls", "n"), "cls")
 
     def near(asked: DataFrame) -> DataFrame | None:
+        """The links among pairs; None if there are none."""
         possible = written(_possible(asked, of), "possible")
         nodes = possible.select(F.explode(F.array("a", "b")).alias("cls")).distinct()
         if possible.isEmpty():
@@ -346,7 +347,7 @@ def _linked(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
         out = written(_verified(possible, sets), "verified")
         discard(sets)
         free(docs)
-        return out
+        return None if out.isEmpty() else out
 
     roots, first = None, 1
     links = near(pairs)
@@ -359,12 +360,13 @@ def _linked(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
         # Groups that still span several components: their first members with those of other components.
         open_ = _labelled(members.filter(F.col("rank") >= first), roots, "cls")
         spans = open_.groupBy("group").agg(F.min("cls_root").alias("lo"), F.max("cls_root").alias("hi")).filter("lo <> hi").select("group")
-        open_ = written(open_.join(spans, "group", "left_semi").select("group", "cls", "rank", "cls_root"), "open")
+        open_ = written(open_.join(spans, "group", "left_semi").select("group", "cls", "rank", "n", "cls_root"), "open")
         if open_.isEmpty():
             break
-        pivots = open_.filter(F.col("rank") < LEAP * first).select("group", F.col("cls").alias("a"), F.col("cls_root").alias("a_root"), F.col("rank").alias("a_rank"))
-        asked = open_.join(pivots, "group").filter("rank > a_rank and cls_root <> a_root").select(F.least("a", "cls").alias("a"), F.greatest("a", "cls").alias("b")).distinct()
-        members, first = open_.select("group", "cls", "rank"), LEAP * first
+        pivots = open_.filter(F.col("rank") < LEAP * first).select("group", F.col("cls").alias("a"), F.col("cls_root").alias("a_root"), F.col("rank").alias("a_rank"), F.col("n").alias("a_n"))
+        sizes = OF * F.least("n", "a_n") >= NEED * F.greatest("n", "a_n")
+        asked = open_.join(pivots, "group").filter((F.col("rank") > F.col("a_rank")) & (F.col("cls_root") != F.col("a_root")) & sizes).select(F.least("a", "cls").alias("a"), F.greatest("a", "cls").alias("b")).distinct()
+        members, first = open_.select("group", "cls", "rank", "n"), LEAP * first
         links = near(asked)
         free(docs)
     if roots is None:
