@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import gc
+import time
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
@@ -37,9 +38,14 @@ def hit(bits: np.ndarray, places: np.ndarray) -> np.ndarray:
 
 
 def free(df: DataFrame) -> None:
-    """Lets Spark drop the shuffle files of jobs whose frames nobody holds any more."""
-    gc.collect()
-    df.sparkSession._jvm.System.gc()
+    """Lets Spark drop the shuffle files of jobs whose frames nobody holds any more.
+
+    Twice, with time for Spark's cleaner, as it learns of a frame's end only after Python and the JVM have.
+    """
+    for _ in range(2):
+        gc.collect()
+        df.sparkSession._jvm.System.gc()
+        time.sleep(0.4)
 
 
 def components(links: DataFrame) -> DataFrame:
