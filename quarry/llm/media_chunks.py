@@ -4,10 +4,13 @@ A payload is stored as the samples of an 8-bit mono WAV file. The file is cut wh
 bytes has leading zeros, so equal passages are cut alike wherever they are. Chunk digests that occur more than once are
 found by a Spark aggregate; such chunks go to a chunk store, one row for each digest, deduplicated by Spark, and all
 others stay in their medium's row, which keeps the ordered list of its chunks. Reading joins the listed digests with the
-store, puts the chunks in order, and verifies the digest of every chunk and of the whole.
+store, puts the chunks in order, and verifies the digest of every chunk and of the whole. Equal media are reconstructed
+once; their documents get the result by a join on the medium's digest. The file header is a chunk that always stays in
+its row: it is small, and a join for its sake would move nearly every medium.
 
 Whether a chunk may be shared is asked of a bitmap of fixed size: a false hit only moves a chunk to the store, a shared
-chunk is never missed, and with very many shared chunks the store simply holds most chunks.
+chunk is never missed, and with very many shared chunks the store simply holds most chunks. A second bitmap marks
+chunks that occur very often; their rows in the store are repeated SALTS times and their references dealt over these.
 """
 
 from __future__ import annotations
@@ -17,6 +20,7 @@ import struct
 import zlib
 from bisect import bisect_left
 from collections.abc import Iterable, Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -24,17 +28,20 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm.common import small_batches, texts, written
+from quarry.llm.common import discard, small_batches, texts, written
 from quarry.llm.links import bitmap, hit
 from quarry.llm.words import U, mixed
 
 #: Payload unit; least, usual (a power of two) and most bytes of a chunk; bytes of a digest; digests a task remembers.
 UNIT, LEAST, USUAL, MOST, DIGEST, SEEN = 192, 256, 1024, 8192, 16, 200_000
+#: Places over which the references to a chunk are dealt that occurs in more than OFTEN batches.
+SALTS, OFTEN = 16, 1_000
 #: Frequency of the stored samples.
 RATE = 8_000
 GEAR = (mixed(np.arange(1, 257, dtype=U)) >> U(32)).astype(np.uint32)
 HEADER = 44
-FEATURES = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, verified boolean"
+SEEN_IN_MEDIUM = "payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, verified boolean"
+FEATURES = f"doc_id long, n_bytes long, {SEEN_IN_MEDIUM}"
 
 
 def padded(data: bytes) -> bytes:
@@ -97,25 +104,28 @@ def feature(payload: bytes) -> str:
     return f"mean={int(x.sum()) * 1000 // len(x)};energy={int((x * x).sum()) // len(x)};peak={int(np.abs(x).max())};crossings={int((loud[1:] != loud[:-1]).sum())}"
 
 
-def described(doc_id: object, n_bytes: int, media: bytes, declared: bytes, sound: bool) -> tuple:
-    """A medium's result row, from its stored bytes."""
+def described(media: bytes, declared: bytes, sound: bool) -> tuple:
+    """What a medium's stored bytes tell: SEEN_IN_MEDIUM."""
     payload, digest = samples(media), hashlib.sha256(media)
-    return doc_id, n_bytes, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]), len(media), digest.hexdigest(), feature(payload), sound and digest.digest() == declared
+    return len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]), len(media), digest.hexdigest(), feature(payload), sound and digest.digest() == declared
 
 
-def _shared(docs: DataFrame, text_col: str) -> np.ndarray:
-    """A bitmap of the short digests of chunks that occur more than once."""
+def _shared(docs: DataFrame, text_col: str) -> tuple[np.ndarray, np.ndarray]:
+    """Bitmaps of the short digests of chunks that occur more than once, and of those that occur in over OFTEN batches."""
 
     def rows(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             count: dict[int, int] = {}
             for text in texts(batch.column(0)):
-                for d, _ in chunks(wav(padded(text.encode()))):
+                for d, _ in islice(chunks(wav(padded(text.encode()))), 1, None):
                     count[short(d)] = count.get(short(d), 0) + 1
             yield pa.RecordBatch.from_pydict({"digest": pa.array(list(count), pa.int64()), "n": pa.array([min(n, 2) for n in count.values()], pa.int64())})
 
     found = docs.select(text_col).mapInArrow(rows, "digest long, n long")
-    return bitmap(found.groupBy("digest").agg(F.sum("n").alias("n")).filter("n > 1"), "digest")
+    known = written(found.groupBy("digest").agg(F.sum("n").alias("n"), F.count("n").alias("batches")).filter("n > 1"), "shared")
+    both = bitmap(known, "digest"), bitmap(known.filter(F.col("batches") > OFTEN), "digest")
+    discard(known)
+    return both
 
 
 def xxhash64_places(keys: list[int], bits: int) -> np.ndarray:
@@ -126,58 +136,67 @@ def xxhash64_places(keys: list[int], bits: int) -> np.ndarray:
 def stored(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
     """Writes all texts as media; returns the written tables of media and of shared chunks.
 
-    Media: row (a number of its own), doc_id, n_bytes, media_sha256, list (digest and length of each chunk in order),
-    inline (the chunks that are not in the store, one after the other) and outside (the distinct digests that are).
+    Media: row (a number of its own), docs (the ids of a batch's documents with this medium and n_bytes), n_bytes,
+    media_sha256, list (digest and length of each chunk in order), inline (the chunks that are not in the store, one after
+    the other) and outside (the distinct digests that are, each with its place in the store). Store: digest, place, chunk.
     """
     small_batches(docs.sparkSession)
     spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast(_shared(docs, text_col))
-    bits = shared.value.size * 8
+    marks = spark.sparkContext.broadcast(_shared(docs, text_col))
 
     def rows(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["row", "doc_id", "n_bytes", "media_sha256", "list", "inline", "outside", "digest", "chunk"]
-        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.list_(pa.binary()), pa.binary(), pa.binary()]
+        names = ["row", "docs", "n_bytes", "media_sha256", "list", "inline", "outside", "digest", "places", "chunk"]
+        ref = pa.struct([("digest", pa.binary()), ("place", pa.int32())])
+        kinds = [pa.int64(), pa.list_(pa.int64()), pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.list_(ref), pa.binary(), pa.int32(), pa.binary()]
+        shared, often = marks.value
         seen: set[bytes] = set()
         for batch in batches:
-            out, found = [], []
+            out, found = {}, []
             for row, doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), texts(batch.column(2)), strict=True):
                 data = text.encode()
                 media = wav(padded(data))
+                whole = hashlib.sha256(media).digest()
+                if (whole, len(data)) in out:
+                    out[whole, len(data)][1].append(doc)
+                    continue
                 parts = list(chunks(media))
-                outside = hit(shared.value, xxhash64_places([short(d) for d, _ in parts], bits))
+                at = xxhash64_places([short(d) for d, _ in parts], shared.size * 8)
+                outside, hot = hit(shared, at), hit(often, at)
+                outside[0] = False
                 listed = b"".join(d + struct.pack("<I", len(p)) for d, p in parts)
-                out.append((row, doc, len(data), hashlib.sha256(media).digest(), listed, b"".join(p for (_, p), o in zip(parts, outside, strict=True) if not o), list({d for (d, _), o in zip(parts, outside, strict=True) if o}), None, None))
-                for (d, p), o in zip(parts, outside, strict=True):
+                refs = {d: {"digest": d, "place": row % SALTS if h else 0} for (d, _), o, h in zip(parts, outside, hot, strict=True) if o}
+                out[whole, len(data)] = (row, [doc], len(data), whole, listed, b"".join(p for (_, p), o in zip(parts, outside, strict=True) if not o), list(refs.values()), None, None, None)
+                for (d, p), o, h in zip(parts, outside, hot, strict=True):
                     if o and d not in seen:
                         if len(seen) >= SEEN:
                             seen.clear()
                         seen.add(d)
-                        found.append((None,) * 7 + (d, p))
+                        found.append((None,) * 7 + (d, SALTS if h else 1, p))
             if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, *found, strict=True), kinds, strict=True)], names)
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out.values(), *found, strict=True), kinds, strict=True)], names)
 
-    schema = "row long, doc_id long, n_bytes long, media_sha256 binary, list binary, inline binary, outside array<binary>, digest binary, chunk binary"
+    schema = "row long, docs array<long>, n_bytes long, media_sha256 binary, list binary, inline binary, outside array<struct<digest:binary,place:int>>, digest binary, places int, chunk binary"
     own = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col))
     both = written(own.mapInArrow(rows, schema), "media")
-    media = both.filter("row is not null").drop("digest", "chunk")
-    store = written(both.filter("digest is not null").groupBy("digest").agg(F.first("chunk").alias("chunk")), "chunks")
-    return media, store
+    media = both.filter("row is not null").drop("digest", "places", "chunk")
+    once = both.filter("digest is not null").groupBy("digest").agg(F.first("places").alias("places"), F.first("chunk").alias("chunk"))
+    store = written(once, "chunks")
+    return media, store.select("digest", F.explode(F.sequence(F.lit(0), F.col("places") - 1)).alias("place"), "chunk")
 
 
 def read_media(media: DataFrame, store: DataFrame) -> DataFrame:
     """Reconstructs every medium from its ordered chunk list and describes it: FEATURES' columns.
 
-    Media whose chunks are all their own are read where they are. Others get the chunks that they list by a join on
-    digests (a digest that very many media list is split by adaptive execution), grouped by medium, so a group is at most
-    one medium. verified says whether all digests hold.
+    Media whose chunks are all their own are read where they are. Of others, one row for each digest gets the chunks that
+    it lists by a join, grouped by medium, so a group is at most one medium; the documents of all rows with that digest
+    get its result by a join of narrow rows, of which a batch gives one for each medium. verified says whether all digests
+    hold.
     """
 
     def rows(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = [c.split()[0] for c in FEATURES.split(", ")]
-        kinds = [{"long": pa.int64(), "string": pa.string(), "boolean": pa.bool_()}[c.split()[1]] for c in FEATURES.split(", ")]
         for batch in batches:
             out = []
-            for doc, n_bytes, declared, listed, inline, near in zip(*(batch.column(i) for i in range(6)), strict=True):
+            for docs, n_bytes, declared, listed, inline, near in zip(*(batch.column(i) for i in range(6)), strict=True):
                 listed, inline = listed.as_py(), memoryview(inline.as_buffer())
                 other = {x["digest"].as_py(): x["chunk"].as_py() for x in near} if near.is_valid else {}
                 parts, at, sound = [], 0, True
@@ -188,16 +207,22 @@ def read_media(media: DataFrame, store: DataFrame) -> DataFrame:
                         part, at = bytes(inline[at : at + n]), at + n
                     sound = sound and len(part) == n and hashlib.blake2b(part, digest_size=DIGEST).digest() == d
                     parts.append(part)
-                out.append(described(doc.as_py(), n_bytes.as_py(), b"".join(parts), declared.as_py(), sound))
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True) if out else [[]] * len(names), kinds, strict=True)], names)
-
-    own = ["doc_id", "n_bytes", "media_sha256", "list", "inline"]
-    alone = media.filter(F.size("outside") == 0).select(*own, F.lit(None).cast("array<struct<digest:binary,chunk:binary>>").alias("near"))
+                out.append((docs.as_py(), n_bytes.as_py(), declared.as_py(), *described(b"".join(parts), declared.as_py(), sound)))
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True) if out else [[]] * len(kinds), kinds.values(), strict=True)], list(kinds))
+
+    kinds = {"docs": pa.list_(pa.int64()), "n_bytes": pa.int64(), "declared": pa.binary()} | {c.split()[0]: {"long": pa.int64(), "string": pa.string(), "boolean": pa.bool_()}[c.split()[1]] for c in SEEN_IN_MEDIUM.split(", ")}
+    schema = f"docs array<long>, n_bytes long, declared binary, {SEEN_IN_MEDIUM}"
+    wide = ["docs", "n_bytes", "media_sha256", "list", "inline"]
+    told = [F.explode("docs").alias("doc_id"), "n_bytes", *(c.split()[0] for c in SEEN_IN_MEDIUM.split(", "))]
+    alone = media.filter(F.size("outside") == 0).select(*wide, F.lit(None).cast("array<struct<digest:binary,chunk:binary>>").alias("near"))
     more = media.filter(F.size("outside") > 0)
-    refs = more.select("row", F.explode("outside").alias("digest")).join(store, "digest")
+    chosen = more.groupBy(F.col("media_sha256").alias("declared")).agg(F.min("row").alias("row")).select("row")
+    ours = more.join(chosen, "row", "left_semi")
+    refs = ours.select("row", F.explode("outside").alias("ref")).select("row", "ref.*").join(store, ["digest", "place"])
     near = refs.groupBy("row").agg(F.collect_list(F.struct("digest", "chunk")).alias("near"))
-    both = alone.unionByName(more.join(near, "row").select(*own, "near"))
-    return both.mapInArrow(rows, FEATURES)
+    built = ours.join(near, "row").select(*wide, "near").mapInArrow(rows, schema).drop("docs", "n_bytes")
+    copies = more.select("docs", "n_bytes", F.col("media_sha256").alias("declared")).join(built, "declared")
+    return alone.mapInArrow(rows, schema).select(*told).unionByName(copies.select(*told))
 
 
 def op8_media_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
