@@ -134,6 +134,18 @@ def test_media_round_trip(spark, awkward, nothing):
     assert media_chunks.read_media(*media_chunks.stored(nothing)).count() == 0
 
 
+def test_frequent_chunks_are_dealt_over_places(spark, monkeypatch):
+    monkeypatch.setattr(media_chunks, "OFTEN", 0)
+    body = " ".join(str(n * n) for n in range(600))
+    df = spark.createDataFrame([(n, f"{n} {body}" if n % 3 else body) for n in range(40)], "doc_id long, text string")
+    media, store = media_chunks.stored(df)
+    assert store.count() == store.select("digest").distinct().count() * media_chunks.SALTS > 0
+    out = {r.doc_id: r for r in media_chunks.read_media(media, store).collect()}
+    assert len(out) == 40 and all(r.verified for r in out.values())
+    for r in df.collect():
+        assert out[r.doc_id].payload_sha256 == hexed(media_chunks.padded(r.text.encode()))
+
+
 def test_cuts_follow_content():
     rng = random.Random(2)
     body = bytes(rng.randrange(256) for _ in range(60_000))
