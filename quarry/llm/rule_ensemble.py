@@ -17,6 +17,9 @@ from pyspark.sql import functions as F
 
 #: Labelled rows that a fit uses at most (chosen by a hash of doc_id), trees, their depth, and the lasso's weight.
 MAX_LABELLED, TREES, DEPTH, LASSO = 20_000, 24, 3, 0.002
+#: Rows of a node at most asked for, and what part of the rarer label's rows a node must be able to do with.
+LEAF, LEAF_PART = 20, 4
+PICKS = 1_000_000
 THRESHOLD = 0.3
 FEATURES = "__quality_features"
 _MARKS = "%&$#*|<>{}[]=+~^@\\/_"
@@ -113,34 +116,53 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(F.encode(doc_id.cast("string"), "UTF-8")) % 5 == 0, F.lit(False))
 
 
+def fractions(counts: dict[float, int], most: int) -> dict[float, float]:
+    """The share of each label's rows that a fit uses: all of the rarer labels that fit into equal parts of `most`.
+
+    What a rare label leaves of its part goes to the more frequent ones. Shares are whole numbers of PICKS.
+    """
+    out, left = {}, most
+    for i, (label, n) in enumerate(sorted(counts.items(), key=lambda x: (x[1], x[0]))):
+        share = min(1.0, left // (len(counts) - i) / n)
+        out[label] = min(PICKS, int(share * PICKS) + 1) / PICKS
+        left -= min(n, left // (len(counts) - i))
+    return out
+
+
 def fit(docs: DataFrame, labels: DataFrame, label_col: str = "quality", max_labelled: int = MAX_LABELLED) -> RuleEnsemble:
     """Learns from labelled rows that are not held out; ids only choose rows, they are no input.
 
-    At most about max_labelled labels are used, chosen by a hash of doc_id alike at every size, so their table may be
-    broadcast; the statistics of only their texts are computed. Labels that are null are left out; a doc_id with several
-    labels counts with each. With labels of one kind only, the score is their smoothed share; with none, 0.5.
+    At most about max_labelled labels are used, so their table may be broadcast; the statistics of only their texts are
+    computed. The rarer label keeps all its rows up to half of that bound, the rest is filled with the other label's rows,
+    each chosen by a hash of doc_id alike at every size; weights give both their true shares again. The least size of a
+    tree's node and the lasso follow the rarer label, so that few bad rows among many good ones can still make a rule; a
+    single one cannot. Labels that are null are left out; a doc_id with several labels counts with each. With labels of
+    one kind only, the score is their smoothed share; with none, 0.5.
     """
     known = labels.select("doc_id", F.col(label_col).cast("double").alias("label")).filter(F.col("label").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
     counts = {r["label"]: r["count"] for r in known.groupBy("label").count().collect()}
     total = sum(counts.values())
     if len(counts) < 2:
         return RuleEnsemble(prior=(counts.get(1.0, 0) + 1) / (total + 2))
-    share = min(1.0, max_labelled / total)
-    picked = known.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(share * 1_000_000) + 1)
+    used = fractions(counts, max_labelled)
+    of = lambda f: F.element_at(F.create_map(*[F.lit(x) for k, v in sorted(used.items()) for x in (k, f(v))]), F.col("label"))
+    picked = known.filter(F.pmod(F.xxhash64("doc_id"), F.lit(PICKS)) < of(lambda v: round(v * PICKS))).withColumn("weight", of(lambda v: 1.0 / v))
     stats = statistics(F.col("text"))
-    rows = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").select("label", F.struct(*[stats[n].cast("double").alias(n) for n in NAMES]).alias(FEATURES))
+    rows = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").select("label", "weight", F.struct(*[stats[n].cast("double").alias(n) for n in NAMES]).alias(FEATURES))
     rows = rows.repartition(8).persist()
     try:
-        classes = [r["label"] for r in rows.select("label").distinct().collect()]
+        classes = {r["label"]: r for r in rows.groupBy("label").agg(F.count("*").alias("n"), F.sum("weight").alias("weight")).collect()}
         if len(classes) < 2:
             return RuleEnsemble(prior=(counts.get(1.0, 0) + 1) / (total + 2))
-        vectors = rows.select("label", array_to_vector(F.array(*[F.col(f"{FEATURES}.{n}") for n in NAMES])).alias("features"))
-        forest = RandomForestClassifier(numTrees=TREES, maxDepth=DEPTH, maxBins=64, minInstancesPerNode=20, featureSubsetStrategy="onethird", seed=7).fit(vectors)
+        leaf = max(2, min(LEAF, min(r["n"] for r in classes.values()) // LEAF_PART))
+        rare = min(r["weight"] for r in classes.values()) / sum(r["weight"] for r in classes.values())
+        vectors = rows.select("label", "weight", array_to_vector(F.array(*[F.col(f"{FEATURES}.{n}") for n in NAMES])).alias("features"))
+        forest = RandomForestClassifier(numTrees=TREES, maxDepth=DEPTH, maxBins=64, minInstancesPerNode=leaf, featureSubsetStrategy="onethird", seed=7, weightCol="weight").fit(vectors)
         rules = sorted({simplified(p) for t in forest.trees for p in paths(t.toDebugString)}, key=lambda r: r.bounds)
         if not rules:
             return RuleEnsemble(prior=(counts.get(1.0, 0) + 1) / (total + 2))
-        fired = rows.select("label", array_to_vector(F.array(*[r.column() for r in rules])).alias("features"))
-        model = LogisticRegression(elasticNetParam=1.0, regParam=LASSO, maxIter=60, standardization=False).fit(fired)
+        fired = rows.select("label", "weight", array_to_vector(F.array(*[r.column() for r in rules])).alias("features"))
+        model = LogisticRegression(elasticNetParam=1.0, regParam=LASSO * min(1.0, 10 * rare), maxIter=60, standardization=False, weightCol="weight").fit(fired)
         return RuleEnsemble(float(model.intercept), [(r, float(w)) for r, w in zip(rules, model.coefficients, strict=True) if w != 0])
     finally:
         rows.unpersist()

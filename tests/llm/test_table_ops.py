@@ -131,6 +131,25 @@ def test_classifier_on_awkward_rows(spark, awkward, nothing):
     assert rule_ensemble.kept(nothing, odd).count() == 0
 
 
+@pytest.mark.parametrize(("good", "bad"), [(60, 8), (20_000, 10)])
+def test_classifier_rejects_with_few_bad_labels(spark, good, bad):
+    rng = random.Random(9)
+    plain = lambda: " ".join(rng.choice(["the", "river", "runs", "over", "old", "stones", "again."]) for _ in range(rng.randrange(20, 60)))
+    junk = lambda: "".join(rng.choice("$#|<>{}=% X9") for _ in range(rng.randrange(100, 300)))
+    ids = [i for i in range(2 * (good + bad)) if zlib.crc32(str(i).encode()) % 5]
+    texts = [(i, junk() if k < bad else plain()) for k, i in enumerate(ids[: good + bad])]
+    docs = frame(spark, texts)
+    labels = spark.createDataFrame([(i, int(k >= bad)) for k, (i, _) in enumerate(texts)], "doc_id long, quality int")
+    got = {r["doc_id"] for r in rule_ensemble.fit(docs, labels, max_labelled=2_000).scored(docs).filter(F.col("score") < rule_ensemble.THRESHOLD).select("doc_id").collect()}
+    assert got == {i for i, _ in texts[:bad]}
+
+
+def test_fit_uses_all_rows_of_the_rarer_label():
+    assert rule_ensemble.fractions({0.0: 500, 1.0: 999_500}, 20_000) == {0.0: 1.0, 1.0: pytest.approx(19_500 / 999_500, abs=2e-6)}
+    assert rule_ensemble.fractions({0.0: 40_000, 1.0: 40_000}, 20_000) == {0.0: pytest.approx(0.25, abs=2e-6), 1.0: pytest.approx(0.25, abs=2e-6)}
+    assert rule_ensemble.fractions({0.0: 8, 1.0: 60}, 20_000) == {0.0: 1.0, 1.0: 1.0}
+
+
 def test_pipeline_stages(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     columns, before, kept = docs.columns, docs, {}
@@ -142,7 +161,7 @@ def test_pipeline_stages(spark, sf):
         assert after.join(before.select("doc_id"), "doc_id", "left_anti").count() == 0
         before = after
     n = {k: v.count() for k, v in kept.items()}
-    assert docs.count() >= n["quality"] > n["near_duplicates"] > n["decontamination"] == n["personal_data"] > 0
+    assert docs.count() > n["quality"] > n["near_duplicates"] > n["decontamination"] == n["personal_data"] > 0
     comps = ngram_join.linked(kept["quality"]).select("component_id").distinct().count()
     assert comps == n["near_duplicates"] == kept["near_duplicates"].join(ngram_join.linked(kept["near_duplicates"]), "doc_id").filter("doc_id = component_id").count()
     bench = spark.read.parquet(f"{sf}/benchmark.parquet")
