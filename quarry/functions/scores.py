@@ -61,6 +61,21 @@ def precision_tier(flagged: Column, top_window: Column) -> Column:
     return F.when(flagged & (top_window >= CONFIRMED), "confirmed").when(flagged, "investigate").when(top_window >= SOFT, "soft_review").otherwise("safe")
 
 
+def window_agreement(flagged: Column, any_window: Column) -> Column:
+    """Agreement by SURVEY B.9, for which `agreement` has other names."""
+    return F.when(flagged & any_window, "agree_positive").when(flagged, "diffuse_risk").when(any_window, "review_suggested").otherwise("agree_negative")
+
+
+def window_tier(flagged: Column, top_window: Column) -> Column:
+    """Precision tier by SURVEY B.9: a confirmed window alone asks for investigation, a flag alone for a soft review."""
+    sure = top_window >= CONFIRMED
+    return F.when(flagged & sure, "confirmed").when(sure, "investigate").when(flagged, "soft_review").otherwise("safe")
+
+
+def user_facing(tier: Column) -> Column:
+    return tier.isin("confirmed", "investigate")
+
+
 def smooth_boost(x: Column, alpha: float = 0.4) -> Column:
     """The score moved towards 1 by a share alpha."""
     return F.bround(x + alpha * (1 - x), 6)

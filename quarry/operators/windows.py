@@ -1,4 +1,4 @@
-"""Token windows of long texts, packed line by line."""
+"""Token windows of long texts, packed line by line by the rules of SURVEY B.8; a token is a run without white space."""
 
 from __future__ import annotations
 
@@ -12,28 +12,41 @@ from pyspark.sql import functions as F
 SAFE, HIGH, MOST = 450, 480, 500
 
 
+def _words(line: str, safe: int) -> list[tuple[str, int]]:
+    words = line.split()
+    return [(" ".join(words[i : i + safe]), len(words[i : i + safe])) for i in range(0, len(words), safe)]
+
+
 def packed(text: str, safe: int = SAFE, high: int = HIGH, most: int = MOST) -> list[tuple[str, int]]:
-    """(window, tokens): whole lines up to `safe` tokens; longer lines are cut between words; a short tail joins the window before it."""
-    pieces: list[tuple[str, int]] = []
-    for line in text.splitlines():
-        words = line.split()
-        if len(words) <= most:
-            pieces.append((line, len(words)))
-        else:
-            pieces += [(" ".join(words[i : i + safe]), len(words[i : i + safe])) for i in range(0, len(words), safe)]
-    if sum(n for _, n in pieces) <= high:
-        return [(text, sum(n for _, n in pieces))]
-    out: list[tuple[list[str], int]] = []
-    for line, n in pieces:
-        if out and out[-1][1] + n <= safe:
-            out[-1][0].append(line)
-            out[-1] = (out[-1][0], out[-1][1] + n)
+    """(window, tokens): whole lines up to `safe` tokens; a line of more than `most` is cut between words into windows of its own; a short tail joins the window before it.
+
+    A text of one line stays whole up to `most` tokens; a blank text is one empty window.
+    """
+    if not text.strip():
+        return [("", 0)]
+    lines = text.splitlines()
+    if len(lines) == 1:
+        n = len(text.split())
+        return [(text, n)] if n <= most else _words(text, safe)
+    out: list[tuple[str, int]] = []
+    held: list[str] = []
+    tokens = 0
+    for line in lines:
+        n = len(line.split())
+        if held and (tokens + n > safe or n > most):
+            out.append(("\n".join(held), tokens))
+            held, tokens = [], 0
+        if n > most:
+            out += _words(line, safe)
         else:
-            out.append(([line], n))
+            held.append(line)
+            tokens += n
+    if held:
+        out.append(("\n".join(held), tokens))
     if len(out) > 1 and out[-1][1] < safe // 3 and out[-2][1] + out[-1][1] <= high:
         last = out.pop()
-        out[-1] = (out[-1][0] + last[0], out[-1][1] + last[1])
-    return [("\n".join(lines), n) for lines, n in out]
+        out[-1] = (out[-1][0] + "\n" + last[0], out[-1][1] + last[1])
+    return out
 
 
 def expanded(rows: DataFrame, id_col: str, text_col: str) -> DataFrame:
