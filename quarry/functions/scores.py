@@ -16,12 +16,17 @@ def clip(x: Column) -> Column:
 
 
 def edges(n: int) -> list[float]:
-    """n + 1 equally spaced edges; n * step, so that both engines have the same doubles."""
-    return [i / n for i in range(n + 1)]
+    """n + 1 edges of equal bins, i * (1.0 / n) in doubles with the last one 1; not always i / n."""
+    return [i * (1.0 / n) for i in range(n)] + [1.0]
 
 
 def bin_of(x: Column, n: int) -> Column:
     """Index of the bin that starts at the last edge that isn't above x; 0 to n - 1."""
+    return reduce(lambda a, b: a + b, [F.when(x >= F.lit(e), 1).otherwise(0) for e in edges(n)[1:-1]])
+
+
+def slot_of(x: Column, n: int) -> Column:
+    """Index of the last of the steps i / n that isn't above x; 0 to n - 1."""
     k = F.floor(x * n).cast("int")
     k = k + F.when(x >= (k + 1) / F.lit(float(n)), 1).otherwise(0) - F.when(x < k / F.lit(float(n)), 1).otherwise(0)
     return F.greatest(F.lit(0), F.least(F.lit(n - 1), k))
@@ -53,23 +58,24 @@ def tier(x: Column, flag: float = FLAG, review: float = REVIEW) -> Column:
     return F.when(x >= flag, "vuln").when(x >= review, "needs_review").otherwise("safe")
 
 
-def agreement(flagged: Column, any_window: Column) -> Column:
-    return F.when(flagged & any_window, "agree_positive").when(flagged, "function_only").when(any_window, "window_only").otherwise("agree_negative")
-
-
-def precision_tier(flagged: Column, top_window: Column) -> Column:
-    return F.when(flagged & (top_window >= CONFIRMED), "confirmed").when(flagged, "investigate").when(top_window >= SOFT, "soft_review").otherwise("safe")
+def deployment(score: Column, flag: float = FLAG, review: float = REVIEW) -> dict[str, Column]:
+    """What a function's score says by itself: tier, status and the flags that follow from them."""
+    x = clip(score)
+    vuln, some = x >= flag, x >= review
+    return {
+        "deployment_tier": tier(x, flag, review),
+        "agreement_status": F.when(vuln, "agree_positive").when(some, "review_suggested").otherwise("agree_negative"),
+        "function_flagged": vuln, "function_needs_review": some, "user_facing_vuln": some, "whole_function_vuln": vuln,
+    }
 
 
-def window_agreement(flagged: Column, any_window: Column) -> Column:
-    """Agreement by SURVEY B.9, for which `agreement` has other names."""
+def agreement(flagged: Column, any_window: Column) -> Column:
     return F.when(flagged & any_window, "agree_positive").when(flagged, "diffuse_risk").when(any_window, "review_suggested").otherwise("agree_negative")
 
 
-def window_tier(flagged: Column, top_window: Column) -> Column:
-    """Precision tier by SURVEY B.9: a confirmed window alone asks for investigation, a flag alone for a soft review."""
-    sure = top_window >= CONFIRMED
-    return F.when(flagged & sure, "confirmed").when(sure, "investigate").when(flagged, "soft_review").otherwise("safe")
+def precision_tier(flagged: Column, confirmed: Column) -> Column:
+    """A confirmed window alone asks for investigation, a flag alone for a soft review."""
+    return F.when(flagged & confirmed, "confirmed").when(confirmed, "investigate").when(flagged, "soft_review").otherwise("safe")
 
 
 def user_facing(tier: Column) -> Column:
@@ -78,17 +84,49 @@ def user_facing(tier: Column) -> Column:
 
 def smooth_boost(x: Column, alpha: float = 0.4) -> Column:
     """The score moved towards 1 by a share alpha."""
-    return F.bround(x + alpha * (1 - x), 6)
+    return F.round(clip(x) + alpha * (1 - clip(x)), 6)
 
 
 def plateau_boost(x: Column, confidence: Column, flag: float = FLAG) -> Column:
-    return F.least(F.lit(1.0), F.greatest(x, F.lit(0.58), F.lit(flag + 0.26), 0.92 * confidence))
+    """The least score that a known pattern of this confidence stands for."""
+    return F.round(F.least(F.lit(1.0), F.greatest(x, F.lit(0.58), F.lit(flag + 0.26), 0.92 * confidence)), 6)
+
+
+def graduated_boost(x: Column, support: Column, confidence: Column, flag: float = FLAG) -> Column:
+    """The score blended towards the plateau by support and confidence."""
+    plateau = plateau_boost(x, confidence, flag)
+    blend = F.least(F.lit(1.0), F.least(F.lit(1.0), support / flag) * F.least(F.lit(1.0), confidence / 0.88))
+    return F.round(F.least(plateau, F.greatest(x, support + 0.05, x + (plateau - x) * blend)), 6)
 
 
 def corroborated(support: Column, flag: float = FLAG, slack: float = 0.15) -> Column:
     return support >= flag - slack
 
 
+def category(flagged: Column, known: Column) -> Column:
+    """How a flag and a known pattern go together."""
+    return F.when(flagged & known, "known_signature").when(flagged, "novel_pattern").when(known, "signature_only").otherwise("no_signal")
+
+
+def boosted(score: Column, top_window: Column, confidence: Column, flagged: Column, smooth: bool = True, graduated: bool = False, flag: float = FLAG, floor: float = 0.45) -> dict[str, Column]:
+    """Boost of a function's score by a signature: mode (null where none applies), score, tier and whole_function_vuln.
+
+    A pattern counts from a confidence of `floor`, and where the best of function and window score supports it.
+    """
+    kind, support = category(flagged, confidence >= floor), F.greatest(score, top_window)
+    applies = kind.isin("known_signature", "signature_only") & (confidence >= floor)
+    mode = F.when(~applies, None).when(~corroborated(support, flag), "blocked")
+    if smooth:
+        mode = mode.when(kind == "known_signature", "smooth_agreement").otherwise("smooth_signature_only")
+    else:
+        mode = mode.otherwise("graduated" if graduated else "plateau")
+    raised = F.when(mode == "smooth_agreement", smooth_boost(score, 0.4)).when(mode == "smooth_signature_only", smooth_boost(score, 0.3)).when(mode == "graduated", graduated_boost(score, support, confidence, flag)).when(mode == "plateau", plateau_boost(score, confidence, flag))
+    better = F.coalesce(raised > score + 1e-9, F.lit(False))
+    new = F.when(better, raised).otherwise(score)
+    sure = better & (new >= flag) & (new >= 0.85) & ((confidence >= 0.88) | (top_window >= CONFIRMED))
+    return {"boost_mode": F.when(better | (mode == "blocked"), mode), "boosted_score": new, "boosted_tier": F.when(sure, "confirmed").otherwise(tier(clip(new), flag)), "whole_function_vuln": clip(new) >= flag}
+
+
 def cosine(a: Column, b: Column, least_norm: float = 1e-9) -> Column:
     """Cosine of two arrays of equal length; 0 where one has no length."""
     dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p.cast("double") * q.cast("double")), F.lit(0.0), lambda s, v: s + v)

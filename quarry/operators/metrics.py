@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from quarry.functions.scores import bin_of
+from quarry.functions.scores import bin_of, slot_of
 from quarry.operators.ranking import running
 
 
@@ -33,7 +33,7 @@ def sweep(df: DataFrame, steps: int = 100) -> DataFrame:
     Scores are counted once by the last threshold that they reach; the curve is a running sum over steps + 1 rows.
     """
     x = F.col("score")
-    at = bin_of(x, steps) + F.when(x >= 1.0, 1).otherwise(0)
+    at = slot_of(x, steps) + F.when(x >= 1.0, 1).otherwise(0)
     hist = df.filter(x >= 0).groupBy(at.cast("int").alias("k")).agg(F.count_if(F.col("label") == 1).alias("p"), F.count_if(F.col("label") == 0).alias("n"))
     grid = df.sparkSession.range(steps + 1).select(F.col("id").cast("int").alias("k"))
     total = df.agg(F.count_if(F.col("label") == 1).alias("pos"))
@@ -45,7 +45,7 @@ def sweep(df: DataFrame, steps: int = 100) -> DataFrame:
 def ranking_metrics(df: DataFrame, buckets: int = 4096) -> DataFrame:
     """One row: area under the ROC curve (ties count half) and average precision; 0 if there is one class only."""
     by = df.groupBy("score").agg(F.count_if(F.col("label") == 1).alias("p"), F.count_if(F.col("label") == 0).alias("n"))
-    down = running(by, -bin_of(F.col("score"), buckets), [F.desc("score")], {"tp": F.col("p"), "fp": F.col("n")})
+    down = running(by, -slot_of(F.col("score"), buckets), [F.desc("score")], {"tp": F.col("p"), "fp": F.col("n")})
     agg = down.agg(F.sum("p").alias("pos"), F.sum("n").alias("neg"), F.sum(F.col("n") * (F.col("tp") - F.col("p") / 2)).alias("area"), F.sum(F.col("p") * F.col("tp") / (F.col("tp") + F.col("fp"))).alias("steps"))
     both = (F.col("pos") > 0) & (F.col("neg") > 0)
     return agg.select(F.when(both, F.col("area") / (F.col("pos") * F.col("neg"))).otherwise(0.0).alias("auc"), F.when(both, F.col("steps") / F.col("pos")).otherwise(0.0).alias("ap"))

@@ -1,24 +1,50 @@
-"""Rules of literal and regular patterns matched against texts."""
+"""Weakness signatures: a catalogue of rules as data, matched against code in layers, merged over segments, crossed with a detector's flags."""
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-KNOWN = 0.45
+from quarry.functions.text import comment_hints
+
+#: Confidences of the layers, and what counts.
+CONTEXTUAL, STRUCTURAL, KNOWN = 0.88, 0.92, 0.45
+SHARE, SHARE_BASE, SHARE_STEP, SHARE_MOST = 0.38, 0.45, 0.5, 0.85
+NEAR, NEAR_BASE, NEAR_STEP, NEAR_MOST = 0.72, 0.55, 0.35, 0.9
 
 
 @dataclass(frozen=True)
 class Rule:
-    """A rule holds if any literal and any regular pattern occur (an empty list asks for nothing), and one of require_any."""
+    """Literals (looked for in lower-cased code), regular patterns (any case, over lines), keywords, and literals of which one must occur besides."""
 
     rule_id: str
+    cwe: str
     patterns: tuple[str, ...] = ()
     regexes: tuple[str, ...] = ()
     keywords: tuple[str, ...] = ()
-    require_any: tuple[str, ...] = field(default=())
+    require_any: tuple[str, ...] = ()
+
+
+#: The catalogue.
+CATALOGUE = (
+    Rule("buffer_overflow_unsafe_copy", "CWE-120", ("strcpy", "strcat", "gets(", "sprintf(", "vsprintf(", "wcscpy", "wcscat"), (), ("strcpy", "strcat", "gets", "buffer overflow", "bounds check", "unchecked copy")),
+    Rule("buffer_overflow_memcpy", "CWE-787", ("memcpy(", "memmove("), (r"memcpy\s*\([^,]+,\s*[^,]+,\s*[^)]+\)", r"memmove\s*\([^,]+,\s*[^,]+,\s*[^)]+\)"), ("memcpy", "memmove", "payload_len", "unchecked length", "heap overflow", "out-of-bounds write")),
+    Rule("out_of_bounds_read", "CWE-125", ("memcpy(",), (r"memcpy\s*\(\s*\w+\s*,\s*\w+->\w+\s*,\s*\w+->\w+\s*\)", r"memcpy\s*\([^,]+,\s*[^,]+,\s*\w+->\w+\s*\)"), ("out-of-bounds read", "heartbeat", "payload_len", "memcpy", "information disclosure", "heartbleed")),
+    Rule("integer_overflow", "CWE-190", (), (r"\(int\)\s*\(\s*\w+->\w+\s*-\s*\w+->\w+\s*\)", r"\(int\)\s*\(\s*\w+\.\w+\s*-\s*\w+\.\w+\s*\)", r"chunk_len\s*>\s*\(size_t\)", r"remaining\s*=\s*\(int\)"), ("integer overflow", "signed", "unsigned", "size_t", "wrap", "chunk_len", "remaining")),
+    Rule("heap_overflow", "CWE-122", ("realloc(", "malloc("), (r"realloc\s*\([^,]+,\s*\w+\s*\+\s*\w+\s*\)",), ("heap overflow", "realloc", "malloc", "chunk")),
+    Rule("format_string", "CWE-134", ("printf(", "fprintf(", "sprintf(", "snprintf("), (r"printf\s*\(\s*\w+\s*\)", r"fprintf\s*\([^,]+,\s*\w+\s*\)"), ("format string", "printf", "user-controlled format")),
+    Rule("sql_injection", "CWE-89", ("sqlite3_exec", "mysql_query", "pqexec", "select ", "insert ", "update ", "delete "), (), ("sql injection", "query", "concat", "sqlite", "mysql"), ("sqlite", "mysql", "pqexec", "query", "execute", "odbc")),
+    Rule("command_injection", "CWE-78", ("system(", "popen(", "execl(", "execv(", "execve("), (r"system\s*\(\s*\w+\s*[\+\)]", r"system\s*\(\s*tail\s*\+\s*1\s*\)"), ("command injection", "system", "popen", "shell", "shellshock", "environment")),
+    Rule("path_traversal", "CWE-22", ("snprintf(", "sprintf(", "strcat("), (r'snprintf\s*\([^,]+,\s*[^,]+,\s*"[^"]*%s[^"]*"\s*,\s*\w+\s*\)', r"\.\./", r"/\.\./"), ("path traversal", "directory traversal", "pipename", "../", "dlopen", "absolute path")),
+    Rule("race_condition_toctou", "CWE-362", (), (r"if\s*\(\s*!\s*\w+->writable\s*\)", r"if\s*\(\s*!\s*\w+\.writable\s*\)"), ("race condition", "toctou", "dirty cow", "writable", "without lock", "concurrent", "madvise")),
+    Rule("use_after_free", "CWE-416", ("free(",), (r"free\s*\(\s*\w+\s*\)\s*;[\s\S]{0,120}\*\s*\w+",), ("use after free", "double free", "freed pointer")),
+    Rule("hardcoded_credentials", "CWE-798", ('password = "', 'passwd = "', 'api_key = "', 'apikey = "', 'secret = "'), (), ("hardcoded", "password", "api_key", "secret", "credential")),
+    Rule("crypto_weak", "CWE-327", ("md5(", "sha1(", "des_", "rc4"), (), ("weak crypto", "md5", "sha1", "deprecated cipher")),
+    Rule("auth_bypass", "CWE-287", ("strcmp(", "admin"), (), ("auth bypass", "authentication", "privilege", "admin", "bypass login"), ("password", "token", "auth")),
+)
+HITS = "array<struct<confidence:double,layer:string,rule:int,rule_id:string,cwe:string>>"
 
 
 def _any(tests: list[Column]) -> Column:
@@ -28,27 +54,54 @@ def _any(tests: list[Column]) -> Column:
     return out if tests else F.lit(True)
 
 
-def structural(text: Column, rule: Rule) -> Column:
-    low = F.lower(text)
+def structural(code: Column, rule: Rule) -> Column:
+    """Any literal and any regular pattern (an empty list asks for nothing), and one of require_any."""
+    low = F.lower(code)
     some = F.lit(bool(rule.patterns or rule.regexes))
-    return some & _any([F.contains(low, F.lit(p)) for p in rule.patterns]) & _any([F.rlike(text, F.lit(r)) for r in rule.regexes]) & _any([F.contains(low, F.lit(p)) for p in rule.require_any])
+    return some & _any([F.contains(low, F.lit(p)) for p in rule.patterns]) & _any([F.rlike(code, F.lit(f"(?ims){r}")) for r in rule.regexes]) & _any([F.contains(low, F.lit(p)) for p in rule.require_any])
 
 
-def semantic(text: Column, rule: Rule) -> Column:
+def semantic(code: Column, rule: Rule) -> Column:
     """Share of the rule's keywords that occur."""
-    low = F.lower(text)
+    low = F.lower(code)
     return sum((F.contains(low, F.lit(k)).cast("int") for k in rule.keywords), F.lit(0)) / max(1, len(rule.keywords))
 
 
-def best_hits(text: Column, rules: list[Rule], floor: float = 0.5) -> Column:
-    """Hits as structs (rule_id, confidence, layer), one for each rule: the surer layer, of equals the structural one.
+def near_confidence(similarity: Column) -> Column:
+    """Confidence of a vector that is near to a rule's prototype; null for others."""
+    return F.when(similarity >= NEAR, F.least(F.lit(NEAR_MOST), NEAR_BASE + NEAR_STEP * similarity))
+
 
-    All rules are one projection over a text; no join of texts with rules.
+def hits(code: Column, rules: tuple[Rule, ...] = CATALOGUE) -> Column:
+    """The rules that code hits, each with its surest layer (of equals the first of contextual, structural, semantic).
+
+    All rules are one projection over a text; no join of texts with rules. In order of confidence, of equals by layer
+    and rule.
+    """
+    cwes, _ = comment_hints(code)
+    found = []
+    for i, r in enumerate(rules):
+        share = semantic(code, r)
+        layers = [
+            ("contextual", F.when(F.array_contains(cwes, r.cwe), CONTEXTUAL)),
+            ("structural", F.when(structural(code, r), STRUCTURAL)),
+            ("semantic", F.when(share >= SHARE, F.least(F.lit(SHARE_MOST), SHARE_BASE + SHARE_STEP * share))),
+        ]
+        best = F.greatest(*[c for _, c in layers])
+        layer = F.coalesce(*[F.when(c == best, F.lit(name)) for name, c in layers])
+        found.append(F.when(best.isNotNull(), F.struct(best.alias("confidence"), layer.alias("layer"), F.lit(i).alias("rule"), F.lit(r.rule_id).alias("rule_id"), F.lit(r.cwe).alias("cwe"))))
+    return F.filter(F.array(*found), lambda h: h.isNotNull())
+
+
+def attributed(segments: DataFrame, key: str, code: str, flagged: DataFrame) -> DataFrame:
+    """For each row of flagged (key, flagged): the best hits of its segments (key, code) and what they say with the flag.
+
+    category, novelty (1 less the confidence, four digits), signature_confidence, primary rule and the number of rules.
     """
-    hits = []
-    for r in rules:
-        s, m = F.when(structural(text, r), 0.8), semantic(text, r)
-        soft = F.when(m >= floor, F.least(F.lit(0.85), 0.4 + 0.4 * m))
-        first = s.isNotNull() & (soft.isNull() | (s >= soft))
-        hits.append(F.when(s.isNotNull() | soft.isNotNull(), F.struct(F.lit(r.rule_id).alias("rule_id"), F.greatest(s, soft).alias("confidence"), F.when(first, "structural").otherwise("semantic").alias("layer"))))
-    return F.filter(F.array(*hits), lambda h: h.isNotNull())
+    rows = segments.select(key, F.explode(hits(F.col(code))).alias("h")).select(key, "h.*")
+    best = rows.groupBy(key, "rule_id").agg(F.max("confidence").alias("confidence"), F.first("rule").alias("rule"))
+    by = best.groupBy(key).agg(F.count("*").alias("n_rules"), F.max(F.struct("confidence", (-F.col("rule")).alias("r"), "rule_id")).alias("x"))
+    out = flagged.join(by, key, "left")
+    confidence = F.coalesce("x.confidence", F.lit(0.0))
+    kind = F.when(F.col("flagged") & (confidence >= KNOWN), "known_signature").when(F.col("flagged"), "novel_pattern").when(confidence >= KNOWN, "signature_only").otherwise("no_signal")
+    return out.select(*flagged.columns, kind.alias("category"), F.round(1 - confidence, 4).alias("novelty"), confidence.alias("signature_confidence"), F.col("x.rule_id").alias("primary_rule"), F.coalesce("n_rules", F.lit(0)).alias("n_rules"))

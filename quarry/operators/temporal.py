@@ -7,7 +7,8 @@ from itertools import combinations_with_replacement
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-RATIOS = (0.7, 0.15, 0.15)
+#: Shares of train, valid and test rows.
+RATIOS = (0.7, 0.2, 0.1)
 
 
 def year_counts(rows: DataFrame, year: Column) -> dict[int, int]:

@@ -6,16 +6,22 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarry.functions import text as T
-from quarry.operators import signatures, windows
-from quarry.operators.signatures import Rule
-
-POSITIVE = [r"\b(int|void|char)\b", r"[{};]", r"\bthe\b", r"\d+", r"https?://", r"\(\w+\)"]
-REJECT = r"<\?php|^import |^def "
-RULES = [
-    Rule("contact", ("@", "mail"), (r"[a-z]+@[a-z]+",), ("contact", "mail", "write")),
-    Rule("license", ("license", "copyright"), (), ("license", "rights", "permission", "copyright")),
-    Rule("link", (), (r"https?://",), ("http", "www", "link"), (".com", ".org")),
+from quarry.operators import windows
+from quarry.plans import snippets
+
+#: What code in other languages has in its first lines, and what C and C++ have anywhere.
+REJECT = [
+    r"^\s*def\s+\w+",
+    r"^\s*async\s+def\s+",
+    r"^\s*import\s+(java|javax|org\.|com\.)",
+    r"^\s*package\s+(java|javax|com\.|org\.)",
+    r"^\s*public\s+(class|interface|enum)\s+",
+    r"^\s*<?php\b",
+    r"^\s*fn\s+\w+\s*\(",
+    r"^\s*func\s+\w+\s*\([^)]*\)\s*\{",
 ]
+POSITIVE = [r"\{", r"\}", r";", r"\b(int|void|char|float|double|long|short|unsigned|bool|size_t)\b", r"#\s*include\b", r"->", r"::", r"\breturn\b", r"\bif\s*\("]
+EXTENSIONS = [".c", ".cc", ".cpp", ".cxx", ".h", ".hh", ".hpp", ".hxx", ".inl", ".ipp"]
 
 
 def _docs(spark: SparkSession, sf: str) -> DataFrame:
@@ -47,7 +53,7 @@ def clean_offline(spark, sf):
 
 def drop_reasons(spark, sf):
     c = T.tidy(T.without_comments(F.col("text")))
-    return _docs(spark, sf).select("source", F.coalesce(T.drop_reason(c, 2, 50), F.lit("kept")).alias("reason")).groupBy("source", "reason").agg(F.count("*").alias("n"))
+    return _docs(spark, sf).select("source", F.coalesce(T.drop_reason(c), F.lit("kept")).alias("reason")).groupBy("source", "reason").agg(F.count("*").alias("n"))
 
 
 def token_profile(spark, sf):
@@ -58,10 +64,13 @@ def token_profile(spark, sf):
 
 
 def content_predicate(spark, sf):
-    t = F.col("text")
+    """Why a text isn't taken for C or C++, by what it holds and by its file's extension."""
+    code, path = snippets.code(F.col("doc_id"), F.col("text")), snippets.path(F.col("doc_id"))
+    t = T.strip(code)
     head = F.array_join(F.slice(F.split(t, "\n"), 1, 30), "\n")
-    reason = F.when(F.coalesce(F.trim(t), F.lit("")) == "", "skip_empty").when(F.rlike(head, F.lit("(?m)" + REJECT)), "skip_rejected").when(T.first_match_count(t, POSITIVE) < 2, "skip_not_matching").otherwise("pass")
-    return _docs(spark, sf).groupBy(reason.alias("reason")).agg(F.count("*").alias("n"))
+    rejected = F.rlike(head, F.lit("(?m)" + "|".join(f"(?:{p})" for p in REJECT)))
+    reason = F.when(F.coalesce(t, F.lit("")) == "", "skip_empty").when(~T.extension_allowed(path, EXTENSIONS), "skip_extension").when(rejected | (T.first_match_count(t, POSITIVE) < 2), "skip_content").otherwise("pass")
+    return _docs(spark, sf).select("source", reason.alias("reason")).groupBy("source", "reason").agg(F.count("*").alias("n"))
 
 
 def exact_dedup_first_wins(spark, sf):
@@ -96,27 +105,6 @@ def metadata_hints(spark, sf):
     return p.select("doc_id", F.array_join(h, ",").alias("hints")).filter("hints <> ''")
 
 
-def signature_hits(spark, sf):
-    h = _docs(spark, sf).select("doc_id", F.explode(signatures.best_hits(F.coalesce("text", F.lit("")), RULES)).alias("h"))
-    return h.select("doc_id", "h.rule_id", F.round("h.confidence", 6).alias("confidence"), "h.layer")
-
-
-def novelty(spark, sf):
-    hits = signatures.best_hits(F.coalesce("text", F.lit("")), RULES)
-    d = _docs(spark, sf).select("doc_id", F.coalesce(F.array_max(F.transform(hits, lambda h: h["confidence"])), F.lit(0.0)).alias("c"))
-    return d.groupBy((F.col("c") >= signatures.KNOWN).alias("known")).agg(F.count("*").alias("n"), F.round(F.avg(1 - F.col("c")), 6).alias("mean_novelty"))
-
-
-def _signature_sql() -> str:
-    parts = []
-    for i, r in enumerate(RULES):
-        some = lambda tests: "(" + " OR ".join(tests) + ")" if tests else "TRUE"
-        s = " AND ".join([some([f"contains(lower(t), '{p}')" for p in r.patterns]), some([f"regexp_matches(t, '{x}')" for x in r.regexes]), some([f"contains(lower(t), '{p}')" for p in r.require_any])])
-        m = "(" + " + ".join(f"contains(lower(t), '{k}')::INT" for k in r.keywords) + f")::DOUBLE / {len(r.keywords)}"
-        parts.append(f"SELECT doc_id, '{r.rule_id}' AS rule_id, CASE WHEN {s} THEN 0.8::DOUBLE END AS s, CASE WHEN {m} >= 0.5 THEN least(0.85::DOUBLE, 0.4::DOUBLE + 0.4::DOUBLE * ({m})) END AS m FROM d")
-    return "WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents), h AS (" + " UNION ALL ".join(parts) + ") "
-
-
 def scalar_normalisation(spark, sf):
     o = spark.read.parquet(f"{sf}/orders.parquet")
     raw = F.when(F.col("o_orderkey") % 5 == 0, " None ").when(F.col("o_orderkey") % 7 == 0, "  ").otherwise(F.concat(F.lit(" "), "o_orderpriority"))
@@ -125,8 +113,9 @@ def scalar_normalisation(spark, sf):
 
 def label_coercion(spark, sf):
     o = spark.read.parquet(f"{sf}/orders.parquet")
-    raw = F.element_at(F.array(*map(F.lit, ["1", "true", "0.5", "2", "no", " YES ", "-1", "vulnerable", ""])), (F.col("o_orderkey") % 9 + 1).cast("int"))
-    return o.groupBy(raw.alias("raw"), T.label(raw).alias("label")).agg(F.count("*").alias("n"))
+    raw = F.element_at(F.array(*map(F.lit, ["1", "true", "0.5", "2", "no", " YES ", "-1", "vulnerable", "", "T\u00a0"])), (F.col("o_orderkey") % 10 + 1).cast("int"))
+    number = (F.col("o_orderkey") % 7 - 3) / 2.0
+    return o.groupBy(raw.alias("raw"), number.alias("number"), T.label(raw).alias("label"), T.label_of_number(number).alias("number_label"), T.label_of_sql(raw).alias("sql_label")).agg(F.count("*").alias("n"))
 
 
 def row_ids(spark, sf):
@@ -149,7 +138,7 @@ QUERIES = {
     "clean_offline": (clean_offline, f"SELECT doc_id, length(c)::BIGINT AS n, sha1(c) AS digest FROM (SELECT doc_id, {CLEAN} AS c FROM documents)"),
     "drop_reasons": (
         drop_reasons,
-        f"""SELECT source, CASE WHEN coalesce(trim(c), '') = '' THEN 'empty' WHEN len(regexp_extract_all(c, '(?m)^.*\\S.*$')) < 2 THEN 'min_lines'
+        f"""SELECT source, CASE WHEN coalesce(trim(c), '') = '' THEN 'empty' WHEN len(regexp_extract_all(c, '(?m)^.*\\S.*$')) < 3 THEN 'min_lines'
         WHEN {tokens_sql('c')} < 50 THEN 'min_tokens' ELSE 'kept' END AS reason, count(*) AS n FROM (SELECT source, {CLEAN} AS c FROM documents) GROUP BY ALL""",
     ),
     "token_profile": (
@@ -160,8 +149,9 @@ QUERIES = {
     ),
     "content_predicate": (
         content_predicate,
-        f"""SELECT CASE WHEN coalesce(trim(text), '') = '' THEN 'skip_empty' WHEN regexp_matches(array_to_string(list_slice(string_split(text, E'\\n'), 1, 30), E'\\n'), '(?m){REJECT}') THEN 'skip_rejected'
-        WHEN {' + '.join(f"regexp_matches(text, '{p}')::INT" for p in POSITIVE)} < 2 THEN 'skip_not_matching' ELSE 'pass' END AS reason, count(*) AS n FROM documents GROUP BY ALL""",
+        f"""SELECT source, CASE WHEN coalesce(t, '') = '' THEN 'skip_empty' WHEN NOT (p IS NULL OR regexp_extract(p, '(\\.[^./]+)$', 1) IN ({', '.join(f"'{e}'" for e in EXTENSIONS)})) THEN 'skip_extension'
+        WHEN {' OR '.join(f"regexp_matches(h, '(?m){p}')" for p in REJECT)} OR {' + '.join(f"regexp_matches(t, '{p}')::INT" for p in POSITIVE)} < 2 THEN 'skip_content' ELSE 'pass' END AS reason, count(*) AS n
+        FROM (SELECT *, array_to_string(list_slice(string_split(t, E'\\n'), 1, 30), E'\\n') AS h FROM (SELECT source, {snippets.PATH_SQL} AS p, trim({snippets.CODE_SQL}, {snippets.BLANKS_SQL}) AS t FROM documents)) GROUP BY ALL""",
     ),
     "exact_dedup_first_wins": (exact_dedup_first_wins, "SELECT sha1(coalesce(text, '')) AS digest, min(doc_id) AS doc_id, count(*) AS copies FROM documents GROUP BY 1"),
     "exact_dedup_in_source": (exact_dedup_in_source, "SELECT source, count(*) AS kept, sum(doc_id)::BIGINT AS ids FROM (SELECT source, text, min(doc_id) AS doc_id FROM documents GROUP BY ALL) GROUP BY source"),
@@ -173,15 +163,14 @@ QUERIES = {
         r"""SELECT doc_id, array_to_string(list_transform(list_filter(list_zip(h, range(len(h))), lambda x: list_position(h, x[1]) = x[2] + 1), lambda x: x[1]), ',') AS hints
         FROM (SELECT doc_id, list_transform(regexp_extract_all(text, '(?i)\b(?:http|www|mail)\w*'), lambda x: upper(x)) AS h FROM documents) WHERE len(h) > 0""",
     ),
-    "signature_hits": (signature_hits, _signature_sql() + "SELECT doc_id, rule_id, round(greatest(s, m), 6) AS confidence, CASE WHEN s IS NOT NULL AND (m IS NULL OR s >= m) THEN 'structural' ELSE 'semantic' END AS layer FROM h WHERE s IS NOT NULL OR m IS NOT NULL"),
-    "novelty": (novelty, _signature_sql() + "SELECT c >= 0.45 AS known, count(*) AS n, round(avg(1 - c), 6) AS mean_novelty FROM (SELECT doc_id, coalesce(max(greatest(s, m)), 0) AS c FROM h GROUP BY doc_id) GROUP BY 1"),
     "scalar_normalisation": (
         scalar_normalisation,
         "SELECT CASE WHEN v NOT IN ('None', 'null', '') THEN v END AS value, count(*) AS n FROM (SELECT trim(CASE WHEN o_orderkey % 5 = 0 THEN ' None ' WHEN o_orderkey % 7 = 0 THEN '  ' ELSE ' ' || o_orderpriority END) AS v FROM orders) GROUP BY 1",
     ),
     "label_coercion": (
         label_coercion,
-        "SELECT raw, CASE WHEN lower(trim(raw)) IN ('1', 'true', 't', 'yes', 'vul', 'vulnerable') THEN 1 WHEN trunc(try_cast(trim(raw) AS DOUBLE)) <> 0 THEN 1 ELSE 0 END AS label, count(*) AS n FROM (SELECT ['1', 'true', '0.5', '2', 'no', ' YES ', '-1', 'vulnerable', ''][o_orderkey % 9 + 1] AS raw FROM orders) GROUP BY ALL",
+        f"""SELECT raw, number, (lower(trim(raw, {snippets.BLANKS_SQL})) IN ('1', 'true', 't', 'yes', 'vul', 'vulnerable'))::INT AS label, (trunc(number) <> 0)::INT AS number_label, (lower(trim(raw, {snippets.BLANKS_SQL})) IN ('1', 'true', 't', 'yes'))::INT AS sql_label, count(*) AS n
+        FROM (SELECT ['1', 'true', '0.5', '2', 'no', ' YES ', '-1', 'vulnerable', '', 'T' || chr(160)][o_orderkey % 10 + 1] AS raw, (o_orderkey % 7 - 3) / 2.0::DOUBLE AS number FROM orders) GROUP BY ALL""",
     ),
     "row_ids": (row_ids, "SELECT o_orderkey, concat_ws('_', 'src', CASE o_orderstatus WHEN 'F' THEN 'valid' WHEN 'O' THEN 'test' END, o_orderkey) AS id FROM orders"),
     "truncation": (truncation, "SELECT doc_id, sha1(coalesce(CASE WHEN length(text) > 200 THEN rtrim(substring(text, 1, 200)) || ' ...' ELSE text END, '')) AS digest FROM documents"),

@@ -83,9 +83,8 @@ def seeded_sample(spark, sf):
 def multi_join(spark, sf):
     """A row with its lookups: left joins, one of them with an aggregate that makes it one row a key."""
     li, o, c = _t(spark, sf, "lineitem"), _t(spark, sf, "orders"), _t(spark, sf, "customer")
-    first = li.groupBy("l_orderkey").agg(F.min("l_partkey").alias("part"), F.count("*").alias("n_lines"))
-    flags = li.groupBy("l_orderkey").agg(F.array_join(F.array_sort(F.collect_set("l_returnflag")), ";").alias("flags")).withColumnRenamed("l_orderkey", "k")
-    j = o.join(first, o["o_orderkey"] == first["l_orderkey"], "left").join(flags, o["o_orderkey"] == flags["k"], "left").join(c, o["o_custkey"] == c["c_custkey"], "left")
+    lines = li.groupBy("l_orderkey").agg(F.min("l_partkey").alias("part"), F.count("*").alias("n_lines"), F.array_join(F.array_sort(F.collect_set("l_returnflag")), ";").alias("flags"))
+    j = o.join(lines, o["o_orderkey"] == lines["l_orderkey"], "left").join(c, o["o_custkey"] == c["c_custkey"], "left")
     return j.filter(F.lower(F.coalesce("c_mktsegment", F.lit(""))).isin("building", "machinery", "")).select("o_orderkey", "part", "n_lines", "flags", "c_name")
 
 
@@ -156,13 +155,13 @@ QUERIES = {
         optimized_split,
         COUNTS
         + """, cuts AS (SELECT a.i AS i, b.i AS j, a.upto AS s1, b.upto - a.upto AS s2, a.total - b.upto AS s3, a.total AS total FROM k a JOIN k b ON b.i >= a.i),
-        best AS (SELECT i, j FROM cuts ORDER BY (s1 - 0.7 * total) ** 2 + (s2 - 0.15 * total) ** 2 + (s3 - 0.15 * total) ** 2 + (0.05 * total) ** 2 * ((s2 = 0)::INT + (s3 = 0)::INT), i, j LIMIT 1)
+        best AS (SELECT i, j FROM cuts ORDER BY (s1 - 0.7 * total) ** 2 + (s2 - 0.2 * total) ** 2 + (s3 - 0.1 * total) ** 2 + (0.05 * total) ** 2 * ((s2 = 0)::INT + (s3 = 0)::INT), i, j LIMIT 1)
         SELECT year::INT AS year, CASE WHEN k.i <= best.i THEN 'train' WHEN k.i <= best.j THEN 'valid' ELSE 'test' END AS split, n FROM k, best""",
     ),
     "chronological_split": (
         chronological_split,
         COUNTS
-        + """, a AS (SELECT greatest(1, count(*) FILTER (upto <= 0.7 * total)) AS i FROM k), b AS (SELECT greatest(a.i + 1, max(CASE WHEN upto - (SELECT upto FROM k, a WHERE k.i = a.i) <= 0.15 * total THEN k.i ELSE 0 END)) AS j FROM k, a GROUP BY a.i)
+        + """, a AS (SELECT greatest(1, count(*) FILTER (upto <= 0.7 * total)) AS i FROM k), b AS (SELECT greatest(a.i + 1, max(CASE WHEN upto - (SELECT upto FROM k, a WHERE k.i = a.i) <= 0.2 * total THEN k.i ELSE 0 END)) AS j FROM k, a GROUP BY a.i)
         SELECT year::INT AS year, CASE WHEN k.i <= a.i THEN 'train' WHEN k.i <= b.j THEN 'valid' ELSE 'test' END AS split, n FROM k, a, b""",
     ),
     "fixed_split": (fixed_split, FIXED + "SELECT split, count(*) AS n, min(o_orderdate) AS first, max(o_orderdate) AS last FROM f GROUP BY split"),

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from quarry.functions import scores as S
 from quarry.operators import metrics, pooling
+from quarry.operators.signatures import near_confidence
 
 MODELS = ["m1", "m2", "m3", "m4"]
 
@@ -49,15 +50,30 @@ def best_f1(spark, sf):
 
 
 def precision_at_recall(spark, sf):
-    return _first(threshold_sweep(spark, sf).filter("rec >= 0.6").select("k", "prec", "rec"), F.desc("prec"), F.desc("rec"), F.desc("k"))
+    return _first(threshold_sweep(spark, sf).filter("rec >= 0.6").select("k", "prec", "rec"), F.desc("prec"), F.desc("rec"), "k")
 
 
 def policy_select(spark, sf):
-    """The best F1 within the policy's bounds, else the least deficit."""
+    """The best F1 within the policy's bounds, else the least deficit, with the recall nearest to their middle."""
     s = threshold_sweep(spark, sf).withColumn("meets", (F.col("prec") > 0.4) & (F.col("rec") > 0.6) & (F.col("rec") <= 0.7) & (F.col("f1") > 0.5))
     gap = lambda c, x: F.greatest(F.lit(0.0), F.lit(x) - F.col(c))
     s = s.withColumn("deficit", F.round(F.when(F.col("meets"), 0.0).otherwise(2 * gap("f1", 0.5) + gap("prec", 0.4) + gap("rec", 0.6) + F.greatest(F.lit(0.0), F.col("rec") - 0.7)), 6))
-    return _first(s.select("k", "meets", "deficit", "f1", "prec"), F.desc("meets"), "deficit", F.desc("f1"), F.desc("prec"), "k")
+    tie = F.when(F.col("meets"), -F.col("rec")).otherwise(F.round(F.abs(F.col("rec") - 0.65), 6))
+    return _first(s.select("k", "meets", "deficit", "f1", "prec", "rec", tie.alias("tie")), F.desc("meets"), "deficit", F.desc("f1"), F.desc("prec"), "tie", "k").drop("tie")
+
+
+def balanced_select(spark, sf):
+    """The same policy without a ceiling for recall."""
+    s = threshold_sweep(spark, sf).withColumn("meets", (F.col("prec") > 0.4) & (F.col("rec") > 0.6) & (F.col("f1") > 0.5))
+    gap = lambda c, x: F.greatest(F.lit(0.0), F.lit(x) - F.col(c))
+    s = s.withColumn("deficit", F.round(F.when(F.col("meets"), 0.0).otherwise(2 * gap("f1", 0.5) + gap("prec", 0.4) + gap("rec", 0.6)), 6))
+    tie = F.when(F.col("meets"), -F.col("rec")).otherwise(0.0)
+    return _first(s.select("k", "meets", "deficit", "f1", "prec", "rec", tie.alias("tie")), F.desc("meets"), "deficit", F.desc("f1"), F.desc("prec"), "tie", "k").drop("tie")
+
+
+def curve_lookup(spark, sf):
+    """The curve's row at the chosen threshold."""
+    return threshold_sweep(spark, sf).join(F.broadcast(precision_at_recall(spark, sf).select("k")), "k")
 
 
 def ranking(spark, sf):
@@ -112,13 +128,16 @@ def _records(spark, sf) -> DataFrame:
 
 
 def tiers(spark, sf):
+    """What a user's pooled score says by itself, and with the user's best part."""
     r = _records(spark, sf)
-    return r.select("user_id", S.tier(F.col("score") - 0.3).alias("tier"), S.agreement(F.col("score") >= 0.62, F.col("top") >= 0.6).alias("agreement"), S.precision_tier(F.col("score") >= 0.62, F.col("top") - 0.18).alias("precision_tier"))
+    flagged, confirmed = F.col("score") >= 0.62, F.col("top") >= 0.6
+    precise = S.precision_tier(flagged, confirmed)
+    return r.select("user_id", *[c.alias(n) for n, c in S.deployment(F.col("score") - 0.3).items()], S.agreement(flagged, F.col("top") >= 0.58).alias("agreement"), precise.alias("precision_tier"), S.user_facing(precise).alias("user_facing"))
 
 
 def tier_breakdown(spark, sf):
     """Every tier with its count and share, missing ones included."""
-    t = tiers(spark, sf).groupBy("tier").agg(F.count("*").alias("n"))
+    t = tiers(spark, sf).groupBy(F.col("deployment_tier").alias("tier")).agg(F.count("*").alias("n"))
     names = spark.createDataFrame([("vuln",), ("needs_review",), ("safe",)], "tier string")
     full = names.join(F.broadcast(t), "tier", "left").select("tier", F.coalesce("n", F.lit(0)).alias("n"))
     return full.join(F.broadcast(full.agg(F.sum("n").alias("all")))).select("tier", "n", F.round(100.0 * F.col("n") / F.greatest("all", F.lit(1)), 4).alias("percent"))
@@ -127,7 +146,7 @@ def tier_breakdown(spark, sf):
 def boosts(spark, sf):
     r = _records(spark, sf)
     x = F.col("score")
-    return r.select("user_id", S.smooth_boost(F.round(x, 3)).alias("smooth"), F.round(S.plateau_boost(x, F.col("top")), 6).alias("plateau"), S.corroborated(F.col("top") - 0.4).alias("corroborated"), F.round(S.clip(x * 2 - 0.5), 6).alias("clipped"))
+    return r.select("user_id", S.smooth_boost(F.round(x, 3)).alias("smooth"), F.round(S.plateau_boost(x, F.col("top")), 6).alias("plateau"), S.graduated_boost(F.round(x - 0.3, 3), F.round(F.col("top") - 0.35, 3), F.round("top", 2)).alias("graduated"), S.corroborated(F.col("top") - 0.4).alias("corroborated"), F.round(S.clip(x * 2 - 0.5), 6).alias("clipped"))
 
 
 def peak_parts(spark, sf):
@@ -137,12 +156,23 @@ def peak_parts(spark, sf):
     return p.join(best, "user_id").filter("abs(score - best) <= 1e-6").select("user_id", "event_id")
 
 
+def near_prototypes(rows: DataFrame, protos: DataFrame, floor: float, block: int = 4096) -> DataFrame:
+    """(vec_id, proto, similarity) from a floor on; prototypes (proto, v) are broadcast in blocks of a fixed size, however many there are."""
+    n = protos.count()
+    blocks = protos.withColumn("__block", F.pmod(F.xxhash64("proto"), F.lit(max(1, 2 * n // block))))
+    out = None
+    for k in range(max(1, 2 * n // block)):
+        c = rows.join(F.broadcast(blocks.filter(F.col("__block") == k).drop("__block"))).select("vec_id", "proto", F.round(S.cosine(F.col("embedding"), F.col("v")), 6).alias("similarity")).filter(F.col("similarity") >= floor)
+        out = c if out is None else out.unionByName(c)
+    return out
+
+
 def cosine_prototypes(spark, sf):
-    """The prototypes (first vectors of each label, ten at most) that a vector is near to."""
+    """The prototypes (first vector of each label) that a vector is near to, and how sure that is."""
     e = spark.read.parquet(f"{sf}/embeddings.parquet")
     protos = e.groupBy("label").agg(F.min(F.struct("vec_id", "embedding")).alias("p")).select(F.col("label").alias("proto"), F.col("p.embedding").alias("v"))
-    c = e.join(F.broadcast(protos)).select("vec_id", "proto", F.round(S.cosine(F.col("embedding"), F.col("v")), 6).alias("similarity"))
-    return c.filter("similarity >= 0.3")
+    near = near_prototypes(e.select("vec_id", "embedding"), protos, 0.3)
+    return near.withColumn("confidence", F.round(near_confidence(F.col("similarity")), 6))
 
 
 def agreement_summary(spark, sf):
@@ -154,7 +184,7 @@ def agreement_summary(spark, sf):
 BASE = "WITH s AS (SELECT doc_id, quality AS label, " + ", ".join(f"((n_chars * {a}) % 1001)::DOUBLE / 1000 AS {m}" for a, m in ((1, "score"), (1, "m1"), (3, "m2"), (7, "m3"), (11, "m4"))) + " FROM documents JOIN labels USING (doc_id)) "
 RATES = "round(CASE WHEN tp + fp > 0 THEN tp::DOUBLE / (tp + fp) ELSE 0 END, 6) AS prec, round(CASE WHEN tp + fn > 0 THEN tp::DOUBLE / (tp + fn) ELSE 0 END, 6) AS rec, round(CASE WHEN 2 * tp + fp + fn > 0 THEN 2 * tp::DOUBLE / (2 * tp + fp + fn) ELSE 0 END, 6) AS f1"
 CURVE = BASE + f", c AS (SELECT k::INT AS k, count(*) FILTER (label = 1 AND score >= k::DOUBLE / 100) AS tp, count(*) FILTER (label = 0 AND score >= k::DOUBLE / 100) AS fp, count(*) FILTER (label = 1 AND score < k::DOUBLE / 100) AS fn FROM s, range(101) r(k) GROUP BY k), w AS (SELECT *, {RATES} FROM c) "
-EDGE = "least({1} - 1, list_count(list_filter(range(1, {1} + 1), lambda i: i::DOUBLE / {1} <= {0})))::INT"
+EDGE = "list_count(list_filter(range(1, {1}), lambda i: i::DOUBLE * (1::DOUBLE / {1}) <= {0}))::INT"
 POOL = """WITH p AS (SELECT event_id, user_id, event_type, value / (value + 400) AS score FROM events), b AS (SELECT *, max(score) OVER (PARTITION BY user_id) AS base FROM p),
 u AS (SELECT user_id, max(base) AS base, 0.25::DOUBLE * coalesce(avg(greatest(0, score - 0.32::DOUBLE)) FILTER (score < base - 1e-9), 0) AS uplift, count(*) AS n, count(*) FILTER (score >= base - 1e-9) AS n_top FROM b GROUP BY user_id),
 r AS (SELECT user_id, round(least(1, base + uplift), 6) AS score, round(base, 6) AS top FROM u) """
@@ -165,11 +195,16 @@ QUERIES = {
     "confusion_at_threshold": (confusion_at_threshold, BASE + f", c AS (SELECT count(*) FILTER (label = 1 AND f) AS tp, count(*) FILTER (label = 0 AND f) AS fp, count(*) FILTER (label = 1 AND NOT f) AS fn, count(*) FILTER (label = 0 AND NOT f) AS tn FROM (SELECT label, score >= 0.32::DOUBLE AS f FROM s)) SELECT *, {RATES} FROM c"),
     "threshold_sweep": (threshold_sweep, CURVE + "SELECT k, tp, fp, fn, prec, rec, f1 FROM w"),
     "best_f1": (best_f1, CURVE + "SELECT k, f1 FROM w WHERE k BETWEEN 20 AND 80 AND k % 2 = 0 ORDER BY f1 DESC, k LIMIT 1"),
-    "precision_at_recall": (precision_at_recall, CURVE + "SELECT k, prec, rec FROM w WHERE rec >= 0.6 ORDER BY prec DESC, rec DESC, k DESC LIMIT 1"),
+    "precision_at_recall": (precision_at_recall, CURVE + "SELECT k, prec, rec FROM w WHERE rec >= 0.6 ORDER BY prec DESC, rec DESC, k LIMIT 1"),
     "policy_select": (
         policy_select,
-        CURVE + ", q AS (SELECT *, prec > 0.4 AND rec > 0.6 AND rec <= 0.7 AND f1 > 0.5 AS meets FROM w) SELECT k, meets, round(CASE WHEN meets THEN 0 ELSE 2 * greatest(0, 0.5::DOUBLE - f1) + greatest(0, 0.4::DOUBLE - prec) + greatest(0, 0.6::DOUBLE - rec) + greatest(0, rec - 0.7::DOUBLE) END, 6) AS deficit, f1, prec FROM q ORDER BY meets DESC, deficit, f1 DESC, prec DESC, k LIMIT 1",
+        CURVE + ", q AS (SELECT *, prec > 0.4 AND rec > 0.6 AND rec <= 0.7 AND f1 > 0.5 AS meets FROM w) SELECT k, meets, round(CASE WHEN meets THEN 0 ELSE 2 * greatest(0, 0.5::DOUBLE - f1) + greatest(0, 0.4::DOUBLE - prec) + greatest(0, 0.6::DOUBLE - rec) + greatest(0, rec - 0.7::DOUBLE) END, 6) AS deficit, f1, prec, rec FROM q ORDER BY meets DESC, deficit, f1 DESC, prec DESC, CASE WHEN meets THEN -rec ELSE round(abs(rec - 0.65::DOUBLE), 6) END, k LIMIT 1",
+    ),
+    "balanced_select": (
+        balanced_select,
+        CURVE + ", q AS (SELECT *, prec > 0.4 AND rec > 0.6 AND f1 > 0.5 AS meets FROM w) SELECT k, meets, round(CASE WHEN meets THEN 0 ELSE 2 * greatest(0, 0.5::DOUBLE - f1) + greatest(0, 0.4::DOUBLE - prec) + greatest(0, 0.6::DOUBLE - rec) END, 6) AS deficit, f1, prec, rec FROM q ORDER BY meets DESC, deficit, f1 DESC, prec DESC, CASE WHEN meets THEN -rec ELSE 0 END, k LIMIT 1",
     ),
+    "curve_lookup": (curve_lookup, CURVE + "SELECT k, tp, fp, fn, prec, rec, f1 FROM w WHERE k = (SELECT k FROM w WHERE rec >= 0.6 ORDER BY prec DESC, rec DESC, k LIMIT 1)"),
     "ranking": (
         ranking,
         BASE + """, g AS (SELECT score, count(*) FILTER (label = 1) AS p, count(*) FILTER (label = 0) AS n FROM s GROUP BY score), d AS (SELECT *, sum(p) OVER w AS tp, sum(n) OVER w AS fp FROM g WINDOW w AS (ORDER BY score DESC))
@@ -198,19 +233,21 @@ QUERIES = {
     ),
     "tiers": (
         tiers,
-        POOL + f"""SELECT user_id, {TIER} AS tier, CASE WHEN score >= 0.62 AND top >= 0.6 THEN 'agree_positive' WHEN score >= 0.62 THEN 'function_only' WHEN top >= 0.6 THEN 'window_only' ELSE 'agree_negative' END AS agreement,
-        CASE WHEN score >= 0.62 AND top - 0.18::DOUBLE >= 0.42::DOUBLE THEN 'confirmed' WHEN score >= 0.62 THEN 'investigate' WHEN top - 0.18::DOUBLE >= 0.26::DOUBLE THEN 'soft_review' ELSE 'safe' END AS precision_tier FROM r""",
+        POOL + f"""SELECT user_id, {TIER} AS deployment_tier, CASE {TIER} WHEN 'vuln' THEN 'agree_positive' WHEN 'needs_review' THEN 'review_suggested' ELSE 'agree_negative' END AS agreement_status,
+        {TIER} = 'vuln' AS function_flagged, {TIER} <> 'safe' AS function_needs_review, {TIER} <> 'safe' AS user_facing_vuln, {TIER} = 'vuln' AS whole_function_vuln,
+        CASE WHEN score >= 0.62 AND top >= 0.58 THEN 'agree_positive' WHEN score >= 0.62 THEN 'diffuse_risk' WHEN top >= 0.58 THEN 'review_suggested' ELSE 'agree_negative' END AS agreement,
+        CASE WHEN score >= 0.62 AND top >= 0.6 THEN 'confirmed' WHEN top >= 0.6 THEN 'investigate' WHEN score >= 0.62 THEN 'soft_review' ELSE 'safe' END AS precision_tier, top >= 0.6 AS user_facing FROM r""",
     ),
     "tier_breakdown": (tier_breakdown, POOL + f", t AS (SELECT {TIER} AS tier FROM r) SELECT x AS tier, count(tier) AS n, round(100::DOUBLE * count(tier) / (SELECT greatest(count(*), 1) FROM t), 4) AS percent FROM (SELECT unnest(['vuln', 'needs_review', 'safe']) AS x) LEFT JOIN t ON tier = x GROUP BY x"),
     "boosts": (
         boosts,
-        POOL + "SELECT user_id, round(round(score, 3) + 0.4::DOUBLE * (1 - round(score, 3)), 6) AS smooth, round(least(1, greatest(score, 0.58::DOUBLE, 0.92::DOUBLE * top)), 6) AS plateau, top - 0.4::DOUBLE >= 0.32::DOUBLE - 0.15::DOUBLE AS corroborated, round(greatest(0, least(1, score * 2 - 0.5::DOUBLE)), 6) AS clipped FROM r",
+        POOL + "SELECT user_id, round(round(score, 3) + 0.4::DOUBLE * (1 - round(score, 3)), 6) AS smooth, round(least(1, greatest(score, 0.58::DOUBLE, 0.92::DOUBLE * top)), 6) AS plateau, round(least(pl, greatest(x, sup + 0.05::DOUBLE, x + (pl - x) * least(1, least(1, sup / 0.32::DOUBLE) * least(1, conf / 0.88::DOUBLE)))), 6) AS graduated, top - 0.4::DOUBLE >= 0.32::DOUBLE - 0.15::DOUBLE AS corroborated, round(greatest(0, least(1, score * 2 - 0.5::DOUBLE)), 6) AS clipped FROM (SELECT *, round(score - 0.3::DOUBLE, 3) AS x, round(top - 0.35::DOUBLE, 3) AS sup, round(top, 2) AS conf, round(least(1, greatest(round(score - 0.3::DOUBLE, 3), 0.58::DOUBLE, 0.92::DOUBLE * round(top, 2))), 6) AS pl FROM r)",
     ),
     "peak_parts": (peak_parts, POOL + "SELECT user_id, event_id FROM b WHERE abs(score - base) <= 1e-6"),
     "cosine_prototypes": (
         cosine_prototypes,
         """WITH v AS (SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings), p AS (SELECT label AS proto, arg_min(e, vec_id) AS q FROM v GROUP BY label),
-        c AS (SELECT vec_id, proto, round(list_dot_product(e, q) / (sqrt(list_dot_product(e, e)) * sqrt(list_dot_product(q, q))), 6) AS similarity FROM v, p) SELECT * FROM c WHERE similarity >= 0.3""",
+        c AS (SELECT vec_id, proto, round(list_dot_product(e, q) / (sqrt(list_dot_product(e, e)) * sqrt(list_dot_product(q, q))), 6) AS similarity FROM v, p) SELECT *, round(CASE WHEN similarity >= 0.72 THEN least(0.9::DOUBLE, 0.55::DOUBLE + 0.35::DOUBLE * similarity) END, 6) AS confidence FROM c WHERE similarity >= 0.3""",
     ),
     "agreement_summary": (
         agreement_summary,

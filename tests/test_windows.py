@@ -62,6 +62,13 @@ def test_windows_follow_the_reference():
 
 def test_window_tiers_follow_the_reference(spark):
     rows = spark.createDataFrame([(True, 0.42), (False, 0.42), (True, 0.3), (False, 0.3), (False, 0.1)], "flagged boolean, top double")
-    tier = S.window_tier(F.col("flagged"), F.col("top"))
-    got = rows.select(S.window_agreement(F.col("flagged"), F.col("top") >= 0.26), tier, S.user_facing(tier)).collect()
+    tier = S.precision_tier(F.col("flagged"), F.col("top") >= S.CONFIRMED)
+    got = rows.select(S.agreement(F.col("flagged"), F.col("top") >= 0.26), tier, S.user_facing(tier)).collect()
     assert [tuple(r) for r in got] == [("agree_positive", "confirmed", True), ("review_suggested", "investigate", True), ("agree_positive", "soft_review", False), ("review_suggested", "safe", False), ("agree_negative", "safe", False)]
+
+
+def test_boosts_follow_the_reference(spark):
+    x = [0.10, 0.20, 0.70, 1.0, 0.12, 0.36]
+    assert [r[0] for r in spark.createDataFrame([(v,) for v in x], "x double").select(S.smooth_boost(F.col("x"))).collect()] == [0.46, 0.52, 0.82, 1.0, 0.472, 0.616]
+    tiers = spark.createDataFrame([(0.32,), (0.28,), (0.25,)], "x double").select(S.deployment(F.col("x"))["deployment_tier"]).collect()
+    assert [r[0] for r in tiers] == ["vuln", "needs_review", "safe"]
