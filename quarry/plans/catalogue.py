@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quarry.plans import code, corpus, relational, scores
+from quarry.plans import code, corpus, ingest, relational, scores
 
-ALL = code.QUERIES | corpus.QUERIES | relational.QUERIES | scores.QUERIES
+ALL = code.QUERIES | corpus.QUERIES | ingest.QUERIES | relational.QUERIES | scores.QUERIES
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
