@@ -61,8 +61,10 @@ def dump_fields(line: str) -> list[str | None]:
     """The fields of a row of a COPY dump: tabs part them, a backslash keeps or names the sign after it, \\N alone is null."""
     if "\\" not in line:
         return list(line.split("\t"))
-    parts = re.findall(r"((?:[^\t\\]|\\.)*)(?:\t|\Z)", line, re.DOTALL)
-    return [None if p == "\\N" else re.sub(r"\\(.)", lambda m: ESCAPES.get(m[1], m[1]), p, flags=re.DOTALL) for p in (parts[:-1] if not line.endswith("\t") or line.endswith("\\\t") else parts)]
+    if (len(line) - len(line.rstrip("\\"))) % 2:  # a backslash at the end stands for itself
+        line += "\\"
+    parts = re.findall(r"((?:[^\t\\]|\\.)*)\t", line + "\t", re.DOTALL)
+    return [None if p == "\\N" else re.sub(r"\\(.)", lambda m: ESCAPES.get(m[1], m[1]), p, flags=re.DOTALL) for p in parts]
 
 
 def dump_tables(spark: SparkSession, path: str) -> dict[str, list[str]]:
