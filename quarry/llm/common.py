@@ -10,14 +10,16 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-#: Rows of an Arrow batch between the JVM and Python, so that a batch of long texts stays small.
-BATCH_ROWS = 500
+#: Rows and bytes of an Arrow batch between the JVM and Python, so that a batch of long texts stays small.
+BATCH_ROWS, BATCH_BYTES = 500, 32 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster names in spark.checkpoint.dir; a folder of our own only where that is unset."""
+    """The folder that the cluster names in spark.checkpoint.dir; a folder of our own only where a local session names none."""
     place = spark.conf.get("spark.checkpoint.dir", None)
     if not place:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         place = tempfile.mkdtemp(prefix="quarry-")
         spark.conf.set("spark.checkpoint.dir", place)
     return place.rstrip("/")
@@ -48,6 +50,7 @@ def discard(df: DataFrame) -> None:
 def small_batches(spark: SparkSession) -> None:
     """Bounds the Arrow batches of what the session runs from now on."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
 def texts(column: pa.Array) -> Iterator[str]:

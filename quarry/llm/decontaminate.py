@@ -19,10 +19,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm.common import small_batches, texts
+from quarry.llm.common import small_batches, texts, written
 from quarry.llm.words import U, mixed, powers
 
-#: Length of a q-gram, edits allowed as a share of an item's characters, characters of the benchmark in a broadcast block.
+#: Greatest length of a q-gram, edits allowed as a share of an item's characters, characters of the benchmark in a broadcast block.
 Q, EDITS, BLOCK_CHARS = 8, 0.1, 1_000_000
 #: Characters of text that are indexed at once.
 TEXT_CHARS = 1 << 20
@@ -39,21 +39,28 @@ def chars(text: str) -> np.ndarray:
     return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4")
 
 
-def grams(points: np.ndarray) -> np.ndarray:
-    """A hash for each run of Q code points."""
-    if len(points) < Q:
+def grams(points: np.ndarray, q: int = Q) -> np.ndarray:
+    """A hash for each run of q code points."""
+    if len(points) < q:
         return np.zeros(0, U)
-    h, size = points.astype(U) + U(1), 1
-    while size < Q:
-        h = h[: len(h) - size] * powers(0x9E3779B97F4A7C15, Q + 1)[size] + h[size:]
+    base = powers(0x9E3779B97F4A7C15, q + 1)
+    power, size, total, done = points.astype(U) + U(1), 1, None, 0
+    while size <= q:  # the bits of q say which runs of 1, 2, 4, ... make up its runs
+        if q & size:
+            part = power[done : len(points) - q + 1 + done]
+            total = part if total is None else total * base[size] + part
+            done += size
+        if 2 * size <= q:
+            power = power[: len(power) - size] * base[size] + power[size:]
         size *= 2
-    return mixed(h)
+    return mixed(total)
 
 
 @dataclass
 class Index:
-    """A block of the benchmark: its distinct q-grams in order, and for each the items and places where it occurs."""
+    """Items of a block of the benchmark with one q: their distinct q-grams in order, and for each the items and places where it occurs."""
 
+    q: int
     ids: list
     items: list[np.ndarray]
     edits: np.ndarray
@@ -65,14 +72,20 @@ class Index:
     known: np.ndarray
 
 
-def index(rows: list[tuple[object, str]], edits: float = EDITS) -> Index | None:
-    """Indexes items (id, text); those shorter than Q characters can't be told from chance and are left out."""
-    kept = [(i, c) for i, t in rows if len(c := chars(normal(t or ""))) >= Q]
-    if not kept:
-        return None
+def index(rows: list[tuple[object, str]], edits: float = EDITS) -> list[Index]:
+    """Indexes of items (id, text), one for each q that they need; null and empty items match nothing."""
+    by: dict[int, list] = {}
+    for i, t in rows:
+        c = chars(normal(t or ""))
+        if len(c):
+            by.setdefault(min(Q, len(c) // (int(len(c) * edits) + 1)), []).append((i, c))
+    return [_index(q, kept, edits) for q, kept in sorted(by.items())]
+
+
+def _index(q: int, kept: list[tuple[object, np.ndarray]], edits: float) -> Index:
     size = np.array([len(c) for _, c in kept])
-    allowed = np.minimum((size * edits).astype(int), (size - Q) // Q)
-    all_grams = [grams(c) for _, c in kept]
+    allowed = (size * edits).astype(int)
+    all_grams = [grams(c, q) for _, c in kept]
     gram = np.concatenate(all_grams)
     item = np.repeat(np.arange(len(kept)), [len(g) for g in all_grams])
     place = np.concatenate([np.arange(len(g)) for g in all_grams])
@@ -81,7 +94,7 @@ def index(rows: list[tuple[object, str]], edits: float = EDITS) -> Index | None:
     first = np.flatnonzero(np.append(True, gram[1:] != gram[:-1]))
     known = np.zeros(1 << FILTER_BITS, bool)
     known[gram >> U(64 - FILTER_BITS)] = True
-    return Index([i for i, _ in kept], [c for _, c in kept], allowed, size - Q + 1 - Q * allowed, gram[first], np.append(first, len(gram)), item.astype(np.int64), place.astype(np.int64), known)
+    return Index(q, [i for i, _ in kept], [c for _, c in kept], allowed, size - q + 1 - q * allowed, gram[first], np.append(first, len(gram)), item.astype(np.int64), place.astype(np.int64), known)
 
 
 def aligned(item: np.ndarray, text: np.ndarray, low: int, high: int) -> tuple[int, int]:
@@ -125,13 +138,13 @@ def found(points: list[np.ndarray], idx: Index) -> Iterator[tuple[int, int, int,
     size = np.array([len(p) for p in points])
     ends = np.cumsum(size)
     whole = np.concatenate(points) if points else np.zeros(0, np.uint32)
-    h = grams(whole)
+    h = grams(whole, idx.q)
     at = np.flatnonzero(idx.known[h >> U(64 - FILTER_BITS)])
     g = np.minimum(np.searchsorted(idx.gram, h[at]), len(idx.gram) - 1)
     real = idx.gram[g] == h[at]
     at, g = at[real], g[real]
     doc = np.searchsorted(ends, at, side="right")
-    inside = at + Q <= ends[doc] if len(at) else at.astype(bool)
+    inside = at + idx.q <= ends[doc] if len(at) else at.astype(bool)
     at, g, doc = at[inside], g[inside], doc[inside]
     n = idx.first[g + 1] - idx.first[g]
     if not n.sum():
@@ -175,8 +188,8 @@ def found(points: list[np.ndarray], idx: Index) -> Iterator[tuple[int, int, int,
         yield d, i, *m
 
 
-def blocks(benchmark: DataFrame, item_col: str = "item_id", text_col: str = "text", edits: float = EDITS) -> Iterator[Index]:
-    """The benchmark's items in index blocks of at most BLOCK_CHARS characters (an item longer than that is alone)."""
+def blocks(benchmark: DataFrame, item_col: str = "item_id", text_col: str = "text", edits: float = EDITS) -> Iterator[list[Index]]:
+    """The indexes of the benchmark's items in blocks of at most BLOCK_CHARS characters (an item longer than that is alone)."""
     rows, size = [], 0
     for r in benchmark.select(item_col, text_col).toLocalIterator():
         n = len(r[1] or "")
@@ -190,25 +203,24 @@ def blocks(benchmark: DataFrame, item_col: str = "item_id", text_col: str = "tex
         yield got
 
 
-def batch_hits(column: pa.Array, idx: Index) -> Iterator[tuple[int, int, int, int, int]]:
-    """found() over a column, in runs of about TEXT_CHARS characters."""
+def batch_hits(column: pa.Array, block: list[Index]) -> Iterator[tuple[int, object, int, int, int]]:
+    """(row, item's id, edits, begin, end): found() over a column by all indexes of a block, in runs of about TEXT_CHARS characters."""
     run, begin, size = [], 0, 0
     for k, text in enumerate(texts(column)):
         run.append(chars(normal(text)))
         size += len(run[-1])
-        if size >= TEXT_CHARS:
-            yield from ((begin + d, *rest) for d, *rest in found(run, idx))
+        if size >= TEXT_CHARS or k + 1 == len(column):
+            for idx in block:
+                yield from ((begin + d, idx.ids[i], *rest) for d, i, *rest in found(run, idx))
             run, begin, size = [], k + 1, 0
-    if run:
-        yield from ((begin + d, *rest) for d, *rest in found(run, idx))
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, edits: float = EDITS, id_col: str = "doc_id", item_col: str = "item_id") -> DataFrame:
     """(id_col, item_col, edits, begin, end) for each document and benchmark item that it holds within the edit budget.
 
     begin and end are places in the normalised text, end exclusive; of several matches of an item in a document, the one
-    with the fewest edits, then the first, counts. Each block of the benchmark is broadcast (its size is bounded) and
-    passes over all whole texts as a map, without a shuffle. Null and empty texts and items match nothing; repeated rows
+    with the fewest edits, then the first, counts. Each block of the benchmark is broadcast (its size is bounded, one at a
+    time) and passes over all whole texts as a map, without a shuffle. Null and empty texts and items match nothing; repeated rows
     and items give rows of their own.
     """
     spark = docs.sparkSession
@@ -223,16 +235,22 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, edits: float = EDITS, id
                 hits = list(batch_hits(batch.column(1), shared.value))
                 columns = list(zip(*hits, strict=True)) if hits else [[]] * 5
                 ids = batch.column(0).take(pa.array(columns[0], pa.int64()))
-                items = pa.array([shared.value.ids[i] for i in columns[1]], from_ddl(kinds[item_col]))
+                items = pa.array(list(columns[1]), from_ddl(kinds[item_col]))
                 yield pa.RecordBatch.from_arrays([ids, items, pa.array(columns[2], pa.int32()), pa.array(columns[3], pa.int64()), pa.array(columns[4], pa.int64())], [id_col, item_col, "edits", "begin", "end"])
 
         return rows
 
-    out = None
-    for idx in blocks(benchmark, item_col, edits=edits):
-        part = narrow.mapInArrow(over(spark.sparkContext.broadcast(idx)), schema)
-        out = part if out is None else out.unionByName(part)
-    return out if out is not None else spark.createDataFrame([], schema)
+    out, found_, shared = None, None, None
+    for block in blocks(benchmark, item_col, edits=edits):
+        if shared is not None:  # the block before goes over all texts before the next one is held
+            found_ = written(found_, "hits")
+            out = found_ if out is None else out.unionByName(found_)
+            shared.destroy()
+        shared = spark.sparkContext.broadcast(block)
+        found_ = narrow.mapInArrow(over(shared), schema)
+    if found_ is None:
+        return spark.createDataFrame([], schema)
+    return found_ if out is None else out.unionByName(found_)
 
 
 def from_ddl(kind: str) -> pa.DataType:
@@ -255,8 +273,13 @@ def clean(docs: DataFrame, benchmark: DataFrame, edits: float = EDITS) -> DataFr
 
         return rows
 
-    for idx in blocks(benchmark, edits=edits):
-        docs = docs.mapInArrow(over(spark.sparkContext.broadcast(idx)), docs.schema)
+    shared = None
+    for block in blocks(benchmark, edits=edits):
+        if shared is not None:
+            docs = written(docs, "clean")
+            shared.destroy()
+        shared = spark.sparkContext.broadcast(block)
+        docs = docs.mapInArrow(over(shared), docs.schema)
     return docs
 
 
