@@ -58,7 +58,11 @@ def mapped(year: Column, names: dict[int, str]) -> Column:
     return F.create_map(*[F.lit(x) for kv in names.items() for x in kv])[year] if names else F.lit(None).cast("string")
 
 
-def whole_groups(rows: DataFrame, group: str, split: str = "split") -> DataFrame:
-    """(group, split) of the groups whose rows all have one and the same split."""
-    by = rows.groupBy(group).agg(F.min(split).alias("lo"), F.max(split).alias("hi"), F.count("*").alias("n"), F.count(split).alias("known"))
+def whole_groups(rows: DataFrame, group: str, split: str = "split", dated: Column | None = None) -> DataFrame:
+    """(group, split) of the groups whose rows all have one and the same split; with `dated`, of its dated rows only.
+
+    A row without a date then goes with its group, and a dated row that lies in no split keeps its group out.
+    """
+    asked = F.count("*") if dated is None else F.count(F.when(dated, 1))
+    by = rows.groupBy(group).agg(F.min(split).alias("lo"), F.max(split).alias("hi"), asked.alias("n"), F.count(split).alias("known"))
     return by.filter("lo = hi and n = known").select(group, F.col("lo").alias(split))

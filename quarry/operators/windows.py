@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -50,12 +50,25 @@ def packed(text: str, safe: int = SAFE, high: int = HIGH, most: int = MOST) -> l
 
 
 def expanded(rows: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """One row for each window: group id, window_index, window_count, token_count, code. A null text is one empty window."""
+    """One row for each window: group id, window id (with a number where there are several), window_index, window_count, is_windowed, token_count, code.
 
-    def cut(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            got = [(i, k, len(w), n, code) for i, t in zip(b["i"], b["t"], strict=True) for w in [packed(t)] for k, (code, n) in enumerate(w)]
-            yield pd.DataFrame(got, columns=["function_group_id", "window_index", "window_count", "token_count", "code"])
+    A null text is one empty window.
+    """
+
+    def cut(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows, at, many, tokens, code = [], [], [], [], []
+            for i, t in enumerate(batch.column(1)):
+                found = packed(t.as_py())
+                rows += [i] * len(found)
+                at += range(len(found))
+                many += [len(found)] * len(found)
+                tokens += [n for _, n in found]
+                code += [c for c, _ in found]
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows, pa.int64())), pa.array(at, pa.int32()), pa.array(many, pa.int32()), pa.array(tokens, pa.int64()), pa.array(code, pa.string())], ["function_group_id", "window_index", "window_count", "token_count", "code"])
 
     kind = rows.schema[id_col].dataType.simpleString()
-    return rows.select(F.col(id_col).alias("i"), F.coalesce(F.col(text_col), F.lit("")).alias("t")).mapInPandas(cut, f"function_group_id {kind}, window_index int, window_count int, token_count long, code string")
+    out = rows.select(F.col(id_col).alias("i"), F.coalesce(F.col(text_col), F.lit("")).alias("t")).mapInArrow(cut, f"function_group_id {kind}, window_index int, window_count int, token_count long, code string")
+    several = F.col("window_count") > 1
+    name = F.col("function_group_id").cast("string")
+    return out.withColumns({"is_windowed": several, "window_id": F.when(several, F.concat(name, F.lit("_w"), F.col("window_index").cast("string"))).otherwise(name)})

@@ -90,7 +90,7 @@ def duplicate_leaks(spark, sf):
 
 
 def token_windows(spark, sf):
-    return windows.expanded(_docs(spark, sf), "doc_id", "text").select("function_group_id", "window_index", "window_count", "token_count", F.sha1(F.col("code").cast("binary")).alias("digest"))
+    return windows.expanded(_docs(spark, sf), "doc_id", "text").select("function_group_id", "window_id", "window_index", "window_count", "is_windowed", "token_count", F.sha1(F.col("code").cast("binary")).alias("digest"))
 
 
 def window_counts(spark, sf):

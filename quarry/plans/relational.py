@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from quarry.functions import text as T
 from quarry.operators import temporal
 from quarry.operators.ranking import first_by_hash
 
@@ -51,6 +52,14 @@ def commit_split(spark, sf):
     return o.drop("split").join(temporal.whole_groups(o, "o_custkey"), "o_custkey").groupBy("split").agg(F.count("*").alias("n"), F.countDistinct("o_custkey").alias("groups"))
 
 
+def undated_commits(spark, sf):
+    """Rows by split where each seventh order has no date: it goes with its customer's other orders."""
+    o = _t(spark, sf, "orders").withColumn("o_orderdate", F.when(F.col("o_orderkey") % 7 > 0, F.col("o_orderdate"))).withColumn("key", T.commit_key(F.when(F.col("o_custkey") % 5 > 0, F.concat(F.lit(" c"), F.col("o_orderkey") % 4000)), F.col("o_orderkey")))
+    o = o.withColumn("split", temporal.fixed(F.year("o_orderdate"), 1998, 1999, 2001))
+    kept = o.drop("split").join(temporal.whole_groups(o, "key", dated=F.col("o_orderdate").isNotNull()), "key")
+    return kept.groupBy("split").agg(F.count("*").alias("n"), F.count_if(F.col("o_orderdate").isNull()).alias("undated"))
+
+
 def commit_leaks(spark, sf):
     g = _fixed(spark, sf).groupBy("o_custkey").agg(F.countDistinct("split").alias("k"), F.count("*").alias("n")).filter("k > 1")
     return g.groupBy("k").agg(F.count("*").alias("groups"), F.sum("n").alias("n_rows"))
@@ -166,6 +175,11 @@ QUERIES = {
     ),
     "fixed_split": (fixed_split, FIXED + "SELECT split, count(*) AS n, min(o_orderdate) AS first, max(o_orderdate) AS last FROM f GROUP BY split"),
     "commit_split": (commit_split, FIXED + "SELECT split, count(*) AS n, count(DISTINCT o_custkey) AS groups FROM f WHERE o_custkey IN (SELECT o_custkey FROM f GROUP BY 1 HAVING count(DISTINCT split) = 1 AND count(split) = count(*)) GROUP BY split"),
+    "undated_commits": (
+        undated_commits,
+        """WITH o AS (SELECT CASE WHEN o_custkey % 5 > 0 THEN 'c' || (o_orderkey % 4000) ELSE '_row_' || o_orderkey END AS key, CASE WHEN o_orderkey % 7 > 0 THEN year(o_orderdate) END AS y FROM orders), s AS (SELECT *, CASE WHEN y < 1998 THEN 'train' WHEN y < 1999 THEN 'valid' WHEN y < 2001 THEN 'test' END AS split FROM o),
+        g AS (SELECT key, min(split) AS split FROM s GROUP BY key HAVING min(split) = max(split) AND count(y) = count(split)) SELECT g.split, count(*) AS n, count(*) FILTER (y IS NULL) AS undated FROM o JOIN g USING (key) GROUP BY g.split""",
+    ),
     "commit_leaks": (commit_leaks, FIXED + "SELECT k, count(*) AS groups, sum(n)::BIGINT AS n_rows FROM (SELECT count(DISTINCT split) AS k, count(*) AS n FROM f GROUP BY o_custkey HAVING k > 1) GROUP BY k"),
     "split_pivot": (split_pivot, FIXED + "SELECT o_orderpriority AS source, count(*) FILTER (split = 'train') AS train, count(*) FILTER (split = 'valid') AS valid, count(*) FILTER (split = 'test') AS test FROM f GROUP BY 1"),
     "temporal_order": (temporal_order, FIXED + "SELECT max(o_orderdate) FILTER (split = 'train') < min(o_orderdate) FILTER (split = 'valid') AS train_before_valid, max(o_orderdate) FILTER (split = 'valid') < min(o_orderdate) FILTER (split = 'test') AS valid_before_test FROM f"),
