@@ -1,27 +1,32 @@
 """Personal data by weak supervision, with DataFrame functions only.
 
-Strict patterns give base spans, wider ones give candidates. Four labelers vote on every span: the strict pattern, a
-gazetteer (top-level domains, network, issuer and country prefixes), the words before the span, and its borders.
-Expectation-maximisation over the counts of vote patterns, which cover the whole corpus and are few, estimates how
-reliable each labeler is; its posteriors train a logistic span classifier, which is compiled into a column expression.
-Candidates that it accepts are added; base spans always stay.
-
-Everything on rows is built-in functions inside the JVM: matches and the pieces between them give places by running
-sums of lengths, so no row leaves the JVM and nothing is shuffled but vote counts.
+Strict patterns give base spans; wider ones give candidates: addresses spelt out, version 6 addresses, cards inside runs
+of digits that are too long to be one, national phone numbers, and long tokens that may be secrets. Four labelers vote
+on every span or abstain: its shape (check digits, hexadecimal digits), a gazetteer (top-level domains, network, issuer
+and country prefixes, prefixes of issued keys), the words before it, and its borders. Expectation-maximisation over the
+counts of vote patterns, which cover the whole corpus and are few, estimates how reliable each labeler is. Its
+posteriors train a logistic span classifier on what the span and its neighbours look like (length, shares of digits and
+letters, check digits, signs and words around), not on the votes. It is compiled into a column expression. Candidates
+that it accepts are added; base spans always stay.
+
+Everything on rows is built-in functions inside the JVM: matches and the pieces between them give places by running sums
+of lengths, in blocks, so that time grows with the text and its matches. No row leaves the JVM and nothing is shuffled
+but counts.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.linalg import Vectors
+from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm.common import written
+from quarry.llm.common import discard, written
 
-KINDS = ["email", "ip", "card", "phone"]
+KINDS = ["email", "ip", "card", "phone", "secret"]
 #: What a strict match is. Possessive quantifiers where no shorter match could follow, and starts that can't be inside a
 #: run that already failed, keep the time linear; the matches are those of the plain patterns.
 STRICT = [
@@ -30,181 +35,230 @@ STRICT = [
     r"[0-9](?:[\x20-]?[0-9])++",
     r"\+[0-9][\x20().0-9-]+[0-9]",
 ]
-#: Candidates beyond the strict patterns: addresses spelt out, version 6 addresses, shorter cards (from the strict
-#: pattern), national phone numbers.
+#: Candidates beyond the strict patterns.
 WIDE = [
     r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64} ?[\[(]at[\])] ?[A-Za-z0-9-]{1,63}(?: ?(?:\.|[\[(]dot[\])]) ?[A-Za-z0-9-]{1,63}){1,8}",
     r"(?<![0-9A-Fa-f:])(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}(?![0-9A-Fa-f:])",
-    STRICT[2],
+    r"(?<![0-9A-Za-z])(?:[0-9]{4}([\x20-]?)[0-9]{4}\1[0-9]{4}\1[0-9]{4}|3[47][0-9]{13})(?![0-9A-Za-z])",
     r"(?<![0-9+().-])\(?[2-9][0-9]{2}\)?[ .-][0-9]{3}[ .-][0-9]{4}(?![0-9])",
+    r"(?<![A-Za-z0-9_-])(?=[0-9_-]{0,64}+[A-Za-z])[A-Za-z0-9_-]{16,}+",
 ]
-#: What a text needs for a pattern to be tried, by kind: strict, wide.
-NEEDS = [("@", "at"), (".", ":"), ("", ""), ("+", "-. ")]
+LONGEST = 256
+#: What a text needs for a pattern to be tried: strict, wide.
+NEEDS = [("@", ""), (".", ":"), ("", ""), ("+", ""), ("", "")]
 #: The gazetteer and the context words.
 GAZETTEER = [
     r"(?i)(?:\.|dot[\])] ?)(?:com|org|net|edu|gov|int|info|io|dev|app|de|fr|es|uk|it|nl|eu|ch|at|be|pl|se|us|ca|au|jp|cn|in|br|mx)$",
     r"^(?:[1-9][0-9]{0,2}\.|2[0-9A-Fa-f]{3}:|fe80:|fd[0-9a-f]{2}:)",
     r"^(?:4|5[ -]?[1-5]|2[ -]?[2-7]|3[ -]?[47]|6[ -]?(?:0[ -]?1[ -]?1|4|5)|3[ -]?5)",
     r"^(?:\+(?:1|7|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58])|\(?[2-9][0-9]{2})",
+    r"^(?:AKIA|ASIA|AIza|gh[pousr]_|glpat-|xox[abprs]-|sk-|sk_|pk_|rk_|eyJ)",
+]
+FOR = [
+    r"(?i)e-?mail|contact|write|correo|courriel",
+    r"(?i)\bip\b|host|server|address|addr",
+    r"(?i)card|visa|credit|payment|tarjeta|karte|carte",
+    r"(?i)phone|tel\b|call|fax|mobile|telefon",
+    r"(?i)(?:token|passw(?:or)?d|pwd|secret|api.?key|access.?key|credential|bearer)[\"']?\s*[=: ]\s*[\"']?$",
 ]
-FOR = [r"(?i)e-?mail|contact|write|correo|courriel", r"(?i)\bip\b|host|server|address|addr", r"(?i)card|visa|credit|payment|tarjeta|karte|carte", r"(?i)phone|tel\b|call|fax|mobile|telefon"]
 AGAINST = r"(?i)version|isbn|issn|order|invoice|serial|build|release"
-ACCEPT, BEFORE = 0.9, 24
-VOTES = ["by_pattern", "by_gazetteer", "by_context", "by_border"]
+ACCEPT, BEFORE = 0.5, 24
+VOTES = ["by_shape", "by_gazetteer", "by_context", "by_border"]
+#: How often a labeler's votes are thought to be right before any are counted, and the weight of that.
+RIGHT, PRIOR = (0.95, 0.7, 0.8, 0.6), 0.05
+#: Array elements and characters that are handled at once, so that time grows in proportion to an array or a text.
+BLOCK, PIECE = 256, 1024
+
+
+def let(x: Column, f: Callable[[Column], Column]) -> Column:
+    """f of x, where x is made once however often f uses it, also inside functions of elements."""
+    return F.transform(F.array(x), f)[0]
+
+
+def running(x: Column, zero: int, step: Callable[[Column, Column], Column]) -> Column:
+    """For each element of an array of longs, step over all elements before it; block by block, as appending costs a copy."""
+    start = lambda o: F.struct(o.cast("long").alias("at"), F.array().cast("array<long>").alias("out"))
+    scan = lambda v, o: F.aggregate(v, start(o), lambda a, y: F.struct(step(a["at"], y).alias("at"), F.concat(a["out"], F.array(a["at"])).alias("out")), lambda a: a["out"])
+    blocks = lambda v: F.transform(F.sequence(F.lit(0), F.floor((F.size(v) - 1) / BLOCK).cast("int")), lambda b: F.slice(v, b * BLOCK + 1, BLOCK))
+    total = lambda b: F.aggregate(b, F.lit(zero).cast("long"), step)
+    return let(x, lambda v: F.when(F.size(v) > 0, let(blocks(v), lambda bs: F.flatten(F.zip_with(bs, scan(F.transform(bs, total), F.lit(zero)), scan)))).otherwise(v))
 
 
 def luhn(digits: Column) -> Column:
-    """Whether a string of digits passes the Luhn check."""
+    """Whether a string of digits passes the Luhn check; none doesn't."""
     n = F.length(digits)
     at = lambda i: F.substr(digits, n - i, F.lit(1)).cast("int")
     double = lambda i: F.when(i % 2 == 1, at(i) * 2 - F.when(at(i) > 4, 9).otherwise(0)).otherwise(at(i))
-    return F.aggregate(F.sequence(F.lit(0), n - 1), F.lit(0), lambda a, i: a + double(i)) % 10 == 0
+    return F.when(n > 0, F.aggregate(F.sequence(F.lit(0), n - 1), F.lit(0), lambda a, i: a + double(i)) % 10 == 0).otherwise(False)
 
 
-def valid(kind: int, m: Column, wide: bool) -> Column:
+def valid(kind: Column, base: Column, m: Column) -> Column:
     """What a match must hold besides its pattern."""
-    digits = F.regexp_replace(m, "[^0-9]", "")
-    n = F.length(digits)
-    if kind == 1 and not wide:
-        return F.forall(F.split(m, "\\."), lambda p: F.length(F.ltrim(p, F.lit("0"))).between(0, 3) & (F.when(F.length(F.ltrim(p, F.lit("0"))) <= 3, F.concat(F.lit("0"), F.ltrim(p, F.lit("0"))).cast("int")).otherwise(999) <= 255))
-    if kind == 2:
-        return n.between(13, 15) & luhn(digits) if wide else n.between(16, 19) & luhn(digits)
-    if kind == 3 and not wide:
-        return n.between(8, 15)
-    return F.lit(True)
-
-
-def _spans(kind: int, wide: bool, m: Column, p: Column) -> Column:
-    """The valid matches as structs (kind, start, end, base, match, before, after), from matches and the pieces between them."""
-    starts = F.aggregate(
-        F.sequence(F.lit(0), F.size(m) - 1),
-        F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<long>").alias("out")),
-        lambda a, i: F.struct((a["at"] + F.length(p[i]) + F.length(m[i])).cast("long").alias("at"), F.concat(a["out"], F.array((a["at"] + F.length(p[i])).cast("long"))).alias("out")),
-        lambda a: a["out"],
+    small = lambda p: let(F.ltrim(p, F.lit("0")), lambda q: F.when(F.length(q) <= 3, F.concat(F.lit("0"), q).cast("int")).otherwise(999) <= 255)
+    strict = lambda d: (
+        F.when(kind == 1, F.forall(F.split(m, "\\."), small)).when(kind == 2, F.when(F.length(d).between(16, 19), luhn(d)).otherwise(False)).when(kind == 3, F.length(d).between(8, 15)).otherwise(True)
     )
-    spans = F.transform(
-        F.arrays_zip(starts.alias("start"), m.alias("m"), F.slice(p, 1, F.size(m)).alias("b"), F.slice(p, 2, F.size(m)).alias("a")),
+    return F.when(base, let(F.regexp_replace(m, "[^0-9]", ""), strict)).otherwise(F.length(m) <= LONGEST)
+
+
+def _spans(kind: Column, base: Column, m: Column, p: Column) -> Column:
+    """The valid matches as structs (start, end, kind, base, match, before, after), from matches and the pieces between them."""
+    ends = running(F.zip_with(F.slice(p, 1, F.size(m)), m, lambda a, b: (F.length(a) + F.length(b)).cast("long")), 0, lambda a, b: a + b)
+    parts = F.arrays_zip(ends.alias("at"), m.alias("m"), F.slice(p, 1, F.size(m)).alias("b"), F.slice(p, 2, F.size(m)).alias("a"))
+    return F.transform(
+        F.filter(parts, lambda s: valid(kind, base, s["m"])),
         lambda s: F.struct(
-            F.lit(kind).alias("kind"), s["start"].alias("start"), (s["start"] + F.length(s["m"])).cast("long").alias("end"), F.lit(not wide).alias("base"), s["m"].alias("match"),
-            F.when(F.length(s["b"]) > BEFORE, F.substr(s["b"], F.length(s["b"]) - BEFORE + 1)).otherwise(s["b"]).alias("before"), F.substring(s["a"], 1, 1).alias("after"),
+            (s["at"] + F.length(s["b"])).alias("start"), (s["at"] + F.length(s["b"]) + F.length(s["m"])).cast("long").alias("end"), kind.alias("kind"), base.alias("base"), s["m"].alias("match"),
+            F.when(F.length(s["b"]) > BEFORE, F.right(s["b"], F.lit(BEFORE))).otherwise(s["b"]).alias("before"), F.substring(s["a"], 1, 1).alias("after"),
         ),
     )
-    return F.filter(spans, lambda s: valid(kind, s["match"], wide))
 
 
-NONE = "array<struct<kind:int,start:bigint,end:bigint,base:boolean,match:string,before:string,after:string>>"
+FAR = 1 << 60
+
+
+def _apart(spans: Column) -> Column:
+    """Base spans and those others that don't overlap one, in order."""
+
+    def free(s: Column) -> Column:
+        done = running(F.transform(s, lambda x: F.when(x["base"], x["end"]).otherwise(0)), 0, lambda a, b: F.greatest(a, b))
+        next_ = F.reverse(running(F.reverse(F.transform(s, lambda x: F.when(x["base"], x["start"]).otherwise(FAR))), FAR, lambda a, b: F.least(a, b)))
+        kept = F.filter(F.arrays_zip(s.alias("s"), done.alias("done"), next_.alias("next")), lambda z: z["s"]["base"] | ((z["done"] <= z["s"]["start"]) & (z["next"] >= z["s"]["end"])))
+        return F.transform(kept, lambda z: z["s"])
+
+    return let(F.array_sort(spans), free)
 
 
 def candidates(docs: DataFrame, text_col: str = "text", out: str = "spans") -> DataFrame:
     """docs with an array of base spans and candidates of every kind; candidates that overlap a base span are left out.
 
-    Places are code points, end exclusive. A null text has none. Each step is a projection of its own, so that no
-    pattern is run twice over a text.
+    Places are code points, end exclusive. A null text has none.
     """
     t = F.coalesce(F.col(text_col), F.lit(""))
-    tried = [(k, w) for k in range(len(KINDS)) for w in (False, True) if (k, w) != (2, True)]
-    name = lambda k, w: f"__{out}_{KINDS[k]}{'_wide' * w}"
-
-    def matches(k: int, w: bool) -> Column:
-        found = F.regexp_extract_all(t, F.lit((WIDE if w else STRICT)[k]), F.lit(0))
-        need = NEEDS[k][w]
-        if w and k == 0:
-            return F.when(t.contains("(at)") | t.contains("[at]"), found)
-        return F.when(F.contains(t, F.lit(need)), found) if need and len(need) == 1 else found
-
-    docs = docs.withColumns({name(k, w): matches(k, w) for k, w in tried})
-    docs = docs.withColumns({f"{name(k, w)}_p": F.when(F.size(name(k, w)) > 0, F.split(t, (WIDE if w else STRICT)[k], -1)) for k, w in tried})
-    none = F.array().cast(NONE)
-    own = lambda k, w: F.coalesce(F.when(F.size(name(k, w)) > 0, _spans(k, w, F.col(name(k, w)), F.col(f"{name(k, w)}_p"))), none)
-    own_wide = lambda k: F.coalesce(F.when(F.size(name(k, False)) > 0, _spans(k, True, F.col(name(k, False)), F.col(f"{name(k, False)}_p"))), none)
-    docs = docs.withColumn(f"__{out}_base", F.concat(*[own(k, False) for k in range(len(KINDS))]))
-    docs = docs.withColumn(f"__{out}_more", F.concat(*[own_wide(k) if k == 2 else own(k, True) for k in range(len(KINDS))]))
-    base = F.col(f"__{out}_base")
-    free = F.filter(F.col(f"__{out}_more"), lambda c: ~F.exists(base, lambda b: (b["start"] < c["end"]) & (c["start"] < b["end"])))
-    return docs.withColumn(out, F.concat(base, free)).drop(*[f"{name(k, w)}{x}" for k, w in tried for x in ("", "_p")], f"__{out}_base", f"__{out}_more")
+
+    def found(k: int, wide: bool) -> Column:
+        pattern, need = (WIDE if wide else STRICT)[k], NEEDS[k][wide]
+        tried = t.contains("(at)") | t.contains("[at]") if wide and k == 0 else F.contains(t, F.lit(need)) if need else F.lit(True)
+        some = lambda m: F.struct(F.lit(k).alias("kind"), F.lit(not wide).alias("base"), m.alias("m"), F.when(F.size(m) > 0, F.split(t, pattern, -1)).alias("p"))
+        return let(F.when(tried, F.regexp_extract_all(t, F.lit(pattern), F.lit(0))), some)
+
+    every = F.filter(F.array(*[found(k, w) for k in range(len(KINDS)) for w in (False, True) if w or k < len(STRICT)]), lambda z: z["p"].isNotNull())
+    spans = F.flatten(F.transform(every, lambda z: _spans(z["kind"], z["base"], z["m"], z["p"])))
+    return docs.withColumn(out, let(spans, lambda s: F.when(F.size(s) > 0, _apart(s)).otherwise(s)))
 
 
 def votes(s: Column) -> dict[str, Column]:
     """The labelers' votes on a span: 1 for, -1 against, 0 abstains."""
-    by_kind = lambda patterns: F.coalesce(*[F.when(s["kind"] == k, F.rlike(s["match"] if patterns is GAZETTEER else s["before"], F.lit(p))) for k, p in enumerate(patterns)])
-    edge = F.rlike(s["before"], F.lit("[A-Za-z0-9]$")) | F.rlike(s["after"], F.lit("^[A-Za-z0-9]"))
+    kind = s["kind"]
+    by_kind = lambda text, patterns: F.coalesce(*[F.when(kind == k, F.rlike(text, F.lit(p))) for k, p in enumerate(patterns)])
+    digits = F.regexp_replace(s["match"], "[^0-9]", "")
+    hexed = F.rlike(s["match"], F.lit("^(?:[0-9a-f]{16,}|[0-9A-F]{16,}|[A-Z0-9]{20})$"))
+    edge = F.rlike(s["before"], F.lit(r"[\p{L}\p{N}/@.]$")) | F.rlike(s["after"], F.lit(r"^[\p{L}\p{N}/@]"))
     return {
-        "by_pattern": F.when(s["base"], 1).otherwise(-1),
-        "by_gazetteer": F.when(by_kind(GAZETTEER), 1).otherwise(-1),
-        "by_context": F.when(by_kind(FOR), 1).when(F.rlike(s["before"], F.lit(AGAINST)), -1).otherwise(0),
+        "by_shape": F.when(kind == 2, F.when(luhn(digits), 1).otherwise(-1)).when(kind == 4, F.when(F.length(digits) < 2, -1).when(hexed, 1).otherwise(0)).when(s["base"], 1).otherwise(0),
+        "by_gazetteer": F.when(by_kind(s["match"], GAZETTEER), 1).when(kind == 4, 0).otherwise(-1),
+        "by_context": F.when(by_kind(s["before"], FOR), 1).when(F.rlike(s["before"], F.lit(AGAINST)), -1).otherwise(0),
         "by_border": F.when(edge, -1).otherwise(1),
     }
 
 
-def reliabilities(counts: list[tuple[int, tuple[int, ...], int]], rounds: int = 50) -> dict[tuple[int, tuple[int, ...]], float]:
-    """Posterior of each (kind, votes) pattern by expectation-maximisation over (kind, votes, count).
+def reliabilities(counts: list[tuple[int, tuple[int, ...], int, int]], rounds: int = 50) -> dict[tuple[int, tuple[int, ...]], float]:
+    """Posterior of candidates of each (kind, votes) pattern by expectation-maximisation over (kind, votes, spans, base spans).
 
     The labelers vote independently given the truth, with rates of their own for each vote and truth, which all kinds
-    share but for the share of true spans. Rates start at 0.8 for a right vote and are smoothed.
+    share but for the share of true spans. Base spans are known to be true. Rates start at RIGHT, and a share PRIOR of
+    all spans is added to what is counted with these rates, so that truth and falsehood can't change places where there
+    are few base spans.
     """
-    width = len(VOTES)
-    rate = {(j, y, v): (0.8 if (v > 0) == y else 0.2) if v else 0.5 for j in range(width) for y in (True, False) for v in (-1, 0, 1)}
-    share = {k: 0.5 for k, _, _ in counts}
+    width, total = len(VOTES), sum(n for _, _, n, _ in counts)
+    first = {(j, y, v): (RIGHT[j] if (v > 0) == y else 1 - RIGHT[j]) if v else 0.5 for j in range(width) for y in (True, False) for v in (-1, 0, 1)}
+    rate = dict(first)
+    share = {k: 0.5 for k, *_ in counts}
     post: dict[tuple[int, tuple[int, ...]], float] = {}
     for _ in range(rounds):
-        for k, vs, _ in counts:
+        for k, vs, *_ in counts:
             yes = math.log(share[k]) + sum(math.log(rate[j, True, v]) for j, v in enumerate(vs))
             no = math.log(1 - share[k]) + sum(math.log(rate[j, False, v]) for j, v in enumerate(vs))
             post[k, vs] = 1 / (1 + math.exp(max(-500.0, min(500.0, no - yes))))
+        true = [base + (n - base) * post[k, vs] for k, vs, n, base in counts]
         for k in share:
-            n = sum(c for q, _, c in counts if q == k)
-            share[k] = (sum(c * post[q, vs] for q, vs, c in counts if q == k) + 1) / (n + 2)
+            share[k] = (sum(t for t, c in zip(true, counts, strict=True) if c[0] == k) + 1) / (sum(c[2] for c in counts if c[0] == k) + 2)
         for j in range(width):
             for y in (True, False):
-                weight = {v: 1.0 for v in (-1, 0, 1)}
-                for k, vs, c in counts:
-                    weight[vs[j]] += c * (post[k, vs] if y else 1 - post[k, vs])
-                total = sum(weight.values())
+                weight = {v: (1 + PRIOR * total) * first[j, y, v] for v in (-1, 0, 1)}
+                for t, (_, vs, n, _) in zip(true, counts, strict=True):
+                    weight[vs[j]] += t if y else n - t
+                every = sum(weight.values())
                 for v in weight:
-                    rate[j, y, v] = weight[v] / total
+                    rate[j, y, v] = weight[v] / every
     return post
 
 
-def features(s: Column) -> list[Column]:
-    """What the span classifier sees: kind, votes apart for and against."""
-    v = votes(s)
-    return [(s["kind"] == k).cast("double") for k in range(len(KINDS))] + [(c == x).cast("double") for c in v.values() for x in (1, -1)]
+def looks(s: Column) -> list[Column]:
+    """What the span classifier sees of a span, each 0 or 1: nothing of the votes."""
+    m, n = s["match"], F.length(s["match"])
+    share = lambda c: F.length(F.regexp_replace(m, f"[^{c}]", "")) / n
+    last = lambda p: F.rlike(s["before"], F.lit(p))
+    tests = [
+        n < 16, n == 16, n == 20, (n > 16) & (n < 32) & (n != 20), n == 32, n == 40, n > 40,
+        share("0-9") == 0, share("0-9") < 0.2, share("0-9") >= 0.5, share("0-9") == 1, share("A-Z") >= 0.5, share("a-z") == 1, share("0-9A-Fa-f") == 1,
+        luhn(F.regexp_replace(m, "[^0-9]", "")),
+        last(r"[=:]\s*$"), last(r"[\"']$"), last(r"[0-9][ -]?$"), last(r"\p{L}$"), last(r"\p{L}\s$"), last(r"(?i)(?:token|passw|pwd|secret|key)"),
+        F.rlike(s["after"], F.lit(r"^[\"']")), F.rlike(s["after"], F.lit(r"^\p{L}")), F.rlike(s["after"], F.lit(r"^(?:\s|$)")),
+    ]
+    return [t.cast("int") for t in tests]
 
 
-def train(spans: DataFrame, col: str = "spans") -> tuple[float, list[float]] | None:
-    """Intercept and weights of the span classifier, from all spans of a frame; None if there are none.
+def features(kind: Column, look: list[Column]) -> list[Column]:
+    """A constant and the looks, apart for each kind."""
+    return [F.when(kind == k, x).otherwise(0).cast("double") for k in range(len(KINDS)) for x in [F.lit(1), *look]]
 
-    What reaches the driver is a count for each kind and vote pattern, 4 * 3 ** 4 rows at most. The classifier is fitted
-    on these rows, each once as true and once as false, weighted by count and posterior.
-    """
+
+def vote_counts(spans: DataFrame, col: str = "spans") -> DataFrame:
+    """(kind, votes, look as one number, n, known: how many are base spans) for all spans of a frame: no more rows than there are kinds of spans."""
     s = spans.filter(F.size(col) > 0).select(F.explode(col).alias("s"))
-    rows = s.select(F.col("s.kind").alias("kind"), *[c.alias(n) for n, c in votes(F.col("s")).items()]).groupBy("kind", *VOTES).count().collect()
-    counts = [(r["kind"], tuple(r[v] for v in VOTES), r["count"]) for r in rows]
+    look = looks(F.col("s"))
+    packed = sum((x.cast("long") * (1 << i) for i, x in enumerate(look[1:], 1)), look[0].cast("long"))
+    return s.select(F.col("s.kind").alias("kind"), *[c.alias(n) for n, c in votes(F.col("s")).items()], packed.alias("look"), "s.base").groupBy("kind", *VOTES, "look").agg(F.count("*").alias("n"), F.count_if("base").alias("known"))
+
+
+def train(spans: DataFrame, col: str = "spans") -> list[float] | None:
+    """Weights of the span classifier, from all spans of a frame; None if there are none.
+
+    What reaches the driver is a count for each kind and vote pattern, 5 * 3 ** 4 rows at most. The classifier is fitted
+    on the counts of looks, each once as true and once as false, weighted by count and posterior.
+    """
+    cells = written(vote_counts(spans, col), "votes")
+    rows = cells.groupBy("kind", *VOTES).agg(F.sum("n").alias("n"), F.sum("known").alias("known")).collect()
+    counts = [(r["kind"], tuple(r[v] for v in VOTES), r["n"], r["known"]) for r in rows]
     if not counts:
         return None
     post = reliabilities(sorted(counts))
-    examples = []
-    for k, vs, c in sorted(counts):
-        x = Vectors.dense([float(k == q) for q in range(len(KINDS))] + [float(v == y) for v in vs for y in (1, -1)])
-        examples += [(1.0, c * post[k, vs] + 1e-6, x), (0.0, c * (1 - post[k, vs]) + 1e-6, x)]
-    table = spans.sparkSession.createDataFrame(examples, ["label", "weight", "features"]).coalesce(1)
-    model = LogisticRegression(weightCol="weight", regParam=1e-4, maxIter=50, standardization=False).fit(table)
-    return float(model.intercept), [float(w) for w in model.coefficients]
+    table = spans.sparkSession.createDataFrame([(k, *vs, float(q)) for (k, vs), q in sorted(post.items())], f"kind int, {', '.join(f'{v} int' for v in VOTES)}, post double")
+    known = cells.join(F.broadcast(table), ["kind", *VOTES]).withColumn("yes", F.col("known") + (F.col("n") - F.col("known")) * F.col("post"))
+    known = known.groupBy("kind", "look").agg(F.sum("yes").alias("yes"), F.sum(F.col("n") - F.col("yes")).alias("no"))
+    x = features(F.col("kind"), [F.getbit("look", F.lit(i)).cast("int") for i in range(len(looks(F.col("s"))))])
+    both = known.select(F.explode(F.array(F.struct(F.lit(1.0).alias("label"), F.col("yes").alias("weight")), F.struct(F.lit(0.0).alias("label"), F.col("no").alias("weight")))).alias("e"), array_to_vector(F.array(*x)).alias("features"))
+    model = LogisticRegression(weightCol="weight", regParam=1e-4, maxIter=100, standardization=False, fitIntercept=False).fit(both.select("e.label", "e.weight", "features").filter("weight > 0").coalesce(8))
+    discard(cells)
+    return [float(w) for w in model.coefficients]
 
 
-def accepted(spans: Column, model: tuple[float, list[float]] | None) -> Column:
-    """Base spans, and candidates that the classifier scores at ACCEPT or more, in order of kind and start."""
-    if model is None:
-        return spans
-    need = math.log(ACCEPT / (1 - ACCEPT))
+def score(s: Column, weights: list[float]) -> Column:
+    """The classifier's probability of a span as a column expression."""
+    look, size = looks(s), len(looks(s)) + 1
+    own = F.element_at(F.array(*[F.array(*map(F.lit, weights[k * size : (k + 1) * size])) for k in range(len(KINDS))]), s["kind"] + 1)
+    total = F.aggregate(F.zip_with(F.array(F.lit(1), *look), own, lambda x, w: x * w), F.lit(0.0), lambda a, x: a + x)
+    return 1 / (1 + F.exp(-total))
 
-    def good(s: Column) -> Column:
-        total = F.lit(model[0])
-        for x, w in zip(features(s), model[1], strict=True):
-            total = total + x * F.lit(w)
-        return s["base"] | (total >= need)
 
-    return F.array_sort(F.filter(spans, good))
+def _ordered(spans: Column) -> Column:
+    return F.transform(F.array_sort(F.transform(spans, lambda s: F.struct(s["kind"].alias("kind"), s.alias("s")))), lambda x: x["s"])
+
+
+def accepted(spans: Column, weights: list[float] | None) -> Column:
+    """Base spans, and candidates that the classifier scores at ACCEPT or more, in order of kind and start."""
+    return spans if weights is None else _ordered(F.filter(spans, lambda s: s["base"] | (score(s, weights) >= ACCEPT)))
 
 
 def _named(spans: Column) -> Column:
@@ -220,27 +274,38 @@ def detected(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     """
     found = written(candidates(docs.select(F.col(id_col), F.col(text_col)), text_col).select(id_col, "spans"), "spans")
     model = train(found)
-    done = found.withColumn("__base", F.array_sort(F.filter("spans", lambda s: s["base"]))).withColumn("__all", accepted(F.col("spans"), model))
+    base = _ordered(F.filter("spans", lambda s: s["base"]))
+    done = found.withColumn("__base", base).withColumn("__all", accepted(F.col("spans"), model))
     count = lambda k: F.size(F.filter("__base", lambda s: s["kind"] == k)).cast("long")
-    return done.select(id_col, *[count(k).alias(f"n_{n}") for k, n in enumerate(KINDS)], F.sha2(_named(F.col("__base")), 256).alias("base_sha256"), _named(F.col("__all")).alias("spans"))
+    return done.select(id_col, *[count(k).alias(f"n_{KINDS[k]}") for k in range(len(STRICT))], F.sha2(_named(F.col("__base")), 256).alias("base_sha256"), _named(F.col("__all")).alias("spans"))
 
 
 def redacted(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """docs with every span replaced by its kind in angle brackets; where spans overlap, the first one's name stands for all.
 
-    A column n_chars, if there, follows the new text. Other columns and texts without spans stay as they are.
+    A column n_chars, if there, follows the new text. Other columns and texts without spans stay as they are. Texts are
+    read once and written with their spans, so no pattern runs twice.
     """
     columns = docs.columns
-    model = train(candidates(docs.select(text_col), text_col, "__pii"), "__pii")
-    found = candidates(docs, text_col, "__pii").withColumn("__pii", F.array_sort(F.transform(accepted(F.col("__pii"), model), lambda s: F.struct(s["start"], s["end"], s["kind"]))))
+    found = written(candidates(docs, text_col, "__pii"), "pii")
+    model = train(found, "__pii")
+    spans = F.array_sort(F.transform(accepted(F.col("__pii"), model), lambda s: F.struct(s["start"], s["end"], s["kind"])))
     names = F.array(*[F.lit(f"<{k.upper()}>") for k in KINDS])
+
+    def part(blocks: Column, at: Column, n: Column) -> Column:
+        first = F.floor(at / PIECE)
+        some = F.slice(blocks, (first + 1).cast("int"), (F.floor((at + n - 1) / PIECE) - first + 1).cast("int"))
+        return F.when(n > 0, F.substr(F.array_join(some, ""), (at - first * PIECE + 1).cast("int"), n.cast("int"))).otherwise("")
+
+    def new(t: Column, blocks: Column, s: Column) -> Column:
+        done = running(F.transform(s, lambda x: x["end"]), 0, lambda a, b: F.greatest(a, b))
+        own = F.transform(F.filter(F.arrays_zip(s.alias("s"), done.alias("done")), lambda z: z["s"]["start"] >= z["done"]), lambda z: F.concat(part(blocks, z["done"], z["s"]["start"] - z["done"]), F.element_at(names, z["s"]["kind"] + 1)))
+        end = F.array_max(F.transform(s, lambda x: x["end"]))
+        return F.concat(F.array_join(own, ""), part(blocks, end, F.length(t) - end))
+
     t = F.col(text_col)
-    step = lambda a, s: F.struct(
-        F.greatest(a["at"], s["end"]).alias("at"),
-        F.when(s["start"] >= a["at"], F.concat(a["out"], F.array(F.substr(t, (a["at"] + 1).cast("int"), (s["start"] - a["at"]).cast("int")), F.element_at(names, s["kind"] + 1)))).otherwise(a["out"]).alias("out"),
-    )
-    new = F.aggregate("__pii", F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<string>").alias("out")), step, lambda a: F.concat(F.array_join(a["out"], ""), F.substr(t, (a["at"] + 1).cast("int"))))
-    found = found.withColumn(text_col, F.when(F.size("__pii") > 0, new).otherwise(t))
+    cut = let(spans, lambda s: F.when(F.size(s) > 0, let(F.regexp_extract_all(t, F.lit(f"(?s).{{1,{PIECE}}}"), F.lit(0)), lambda b: new(t, b, s))))
+    found = found.withColumn(text_col, F.coalesce(F.when(F.size("__pii") > 0, cut), t))
     if "n_chars" in columns:
         found = found.withColumn("n_chars", F.when(F.size("__pii") > 0, F.length(text_col).cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
     return found.select(*columns)
