@@ -33,6 +33,11 @@ def attribution(spark, sf):
     return _attributed(spark, sf).select("doc_id", "flagged", "category", "novelty", F.round("signature_confidence", 6).alias("signature_confidence"), "primary_rule", "n_rules")
 
 
+def novelty(spark, sf):
+    """How many files have a known pattern, and how novel what they hold is on average."""
+    return _attributed(spark, sf).groupBy((F.col("signature_confidence") >= signatures.KNOWN).alias("known")).agg(F.count("*").alias("n"), F.round(F.avg("novelty"), 6).alias("mean_novelty"))
+
+
 def signature_boost(spark, sf):
     c = F.round("signature_confidence", 6)
     smooth = S.boosted(F.col("score"), F.col("top_window"), c, F.col("flagged"))
@@ -118,6 +123,7 @@ STRIPPED = f"list_filter(list_transform(string_split(t, E'\\n'), lambda x: trim(
 QUERIES = {
     "signature_hits": (signature_hits, FILES + f" SELECT doc_id, rule_id, cwe, round({BEST}, 6) AS confidence, CASE WHEN c1 = {BEST} THEN 'contextual' WHEN c2 = {BEST} THEN 'structural' ELSE 'semantic' END AS layer FROM ({_hits_sql('f')}) WHERE {BEST} > 0"),
     "attribution": (attribution, ATTRIBUTED + " SELECT doc_id, flagged, category, round(1 - c0, 4) AS novelty, c AS signature_confidence, primary_rule, n_rules FROM a"),
+    "novelty": (novelty, ATTRIBUTED + " SELECT c0 >= 0.45 AS known, count(*) AS n, round(avg(round(1 - c0, 4)), 6) AS mean_novelty FROM a GROUP BY 1"),
     "signature_boost": (
         signature_boost,
         BOOSTED + f"SELECT doc_id, CASE WHEN better OR mode = 'blocked' THEN mode END AS boost_mode, boosted_score, CASE WHEN better AND boosted_score >= 0.85 AND (c >= 0.88 OR top_window >= 0.42) THEN 'confirmed' ELSE {TIER} END AS boosted_tier, boosted_score >= 0.32 AS whole_function_vuln, graduated_score FROM w",

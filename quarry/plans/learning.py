@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quarry.operators import learning
+from quarry.operators import learning, metrics
 from quarry.operators.learning import Calibrator, Meta
 from quarry.plans import scores
 from quarry.sources.places import shared
@@ -69,6 +69,20 @@ def calibration_report(spark, sf):
     return out
 
 
+def calibration_grid(spark, sf):
+    """Recall floors 0.45 to 0.70 with both calibrators: the threshold of the highest precision, and the pair with the best F1 on other rows."""
+    s = scores.scored(spark, sf)
+    fit, held = s.filter("doc_id % 2 = 0"), s.filter("doc_id % 2 = 1")
+    out = None
+    for kind in ("isotonic", "platt"):
+        made = Calibrator(kind).fit(fit).predict(held).select("label", F.col("calibrated").alias("score"))
+        curve = metrics.sweep(made).withColumn("calibrator", F.lit(kind))
+        out = curve if out is None else out.unionByName(curve)
+    at = out.select("calibrator", "k", "prec", "rec", "f1", F.explode(F.array(*[F.lit(x / 100) for x in range(45, 71, 5)])).alias("floor")).filter("rec >= floor")
+    first = at.groupBy("calibrator", "floor").agg(F.min_by(F.struct("k", "prec", "rec", "f1"), F.struct(-F.col("prec"), -F.col("rec"), "k")).alias("x")).select("calibrator", "floor", "x.*")
+    return first.withColumn("best", F.row_number().over(Window.orderBy(F.desc("f1"), "floor", "calibrator")) == 1)
+
+
 def isotonic_fit(spark, sf):
     """The isotonic curve at each score of the fit."""
     s = scores.scored(spark, sf)
@@ -80,6 +94,7 @@ QUERIES = {
     "stacked_scores": (stacked_scores, None),
     "model_report": (model_report, None),
     "calibration_report": (calibration_report, None),
+    "calibration_grid": (calibration_grid, None),
     "isotonic_fit": (
         isotonic_fit,
         scores.BASE + """, g AS (SELECT score, sum(label) AS y, count(*) AS n, row_number() OVER (ORDER BY score) AS i FROM s GROUP BY score), c AS (SELECT score, i, sum(y) OVER (ORDER BY i) AS cy, sum(n) OVER (ORDER BY i) AS cn FROM g),
