@@ -177,4 +177,4 @@ def op4_rule_ensemble(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def kept(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """The documents that a fit on their labels doesn't reject, with their own columns."""
-    return fit(docs, labels).scored(docs, score_col="__quality").filter(F.col("__quality") >= threshold).select(*[docs[c] for c in docs.columns])
+    return fit(docs, labels).scored(docs, score_col="__quality").filter(F.col("__quality") >= threshold).select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import math
 import random
+import re
 import zlib
 from collections import Counter
 
@@ -107,6 +109,75 @@ def test_shards_are_near_equal_and_slots_gapless(spark, awkward, nothing):
     assert kd_shards.sharded(nothing, 16).count() == 0
 
 
+def kd_by_force(rows, dims, shards):
+    """A plain k-d tree over rows (size, tie, *dims): shard of each row, split at the weighted median of the widest dimension."""
+    whole = [max(1, max(r[2 + d] for r in rows) - min(r[2 + d] for r in rows)) for d in range(dims)]
+    out = {}
+
+    def split(part, leaves, first):
+        if leaves == 1 or not part:
+            for r in part:
+                out[r] = first
+            return
+        widths = [(max(r[2 + d] for r in part) - min(r[2 + d] for r in part)) / whole[d] for d in range(dims)]
+        d = widths.index(max(widths))
+        half = leaves // 2
+        want, below, cut = sum(r[0] for r in part) * half / leaves, 0, None
+        for key in sorted({(r[2 + d], r[1]) for r in part}):
+            got = sum(r[0] for r in part if (r[2 + d], r[1]) == key)
+            if below + got >= want:
+                cut = (key[0], key[1] + (not want - below < below + got - want))
+                break
+            below += got
+        split([r for r in part if (r[2 + d], r[1]) < cut], half, first)
+        split([r for r in part if (r[2 + d], r[1]) >= cut], leaves - half, first + half)
+
+    split(rows, shards, 0)
+    return out
+
+
+@pytest.mark.parametrize(("seed", "shards"), [(1, 16), (2, 7), (3, 2)])
+def test_shards_are_those_of_a_plain_tree(spark, seed, shards):
+    rng = random.Random(seed)
+    rows = [(rng.choice([1, 3, 20, 60]), rng.randrange(2**31), rng.choice([0, 0, 0, 7, rng.randrange(1000)]), rng.choice([5, 5, 10**12]), rng.randrange(50)) for _ in range(120)]
+    rows += [(9, rng.randrange(2**31), 0, 5, 3) for _ in range(60)]  # a third of all rows have the same values
+    df = spark.createDataFrame(rows, "size long, tie long, a long, b long, c long")
+    got = {tuple(r)[:5]: r["shard"] for r in kd_shards.partitioned(df, ["a", "b", "c"], shards).collect()}
+    assert got == kd_by_force(rows, 3, shards)
+
+
+def plain_statistics(text):
+    t = text or ""
+    n, words = max(1, len(t)), [w for w in re.split("[ \t\r\n\x0b\x0c]", t) if w]
+    share = lambda chars: sum(c in chars for c in t) / n
+    return {
+        "log_chars": math.log1p(len(t)), "word_length": len(t) / max(1, len(words)), "distinct_words": len(set(words)) / max(1, len(words)), "upper": share("ABCDEFGHIJKLMNOPQRSTUVWXYZ"), "marks": share(rule_ensemble._MARKS),
+        "bars": share("|"), "calls": share("!?"), "stops": share(".,;:"), "digits": share("0123456789"), "lines": share("\n"),
+    }
+
+
+def test_compiled_score_is_the_formula(spark, awkward):
+    rows = [*awkward[0], (77, "A! " * 60_000), (78, "x" * 500_000), (79, "| a | 12 |\n" * 40)]
+    rules = [((("log_chars", True, 5.0),), 1.25), ((("upper", False, 0.01), ("marks", True, 0.2)), -2.5), ((("word_length", True, 6.0), ("word_length", False, 1.5)), 0.75), ((("digits", False, 0.0), ("stops", True, 0.4), ("distinct_words", False, 0.05)), 3.0), ((("lines", True, 0.0), ("bars", True, 0.0), ("calls", False, 0.1)), -1.0)]
+    model = rule_ensemble.RuleEnsemble(-0.5, [(rule_ensemble.Rule(b), w) for b, w in rules])
+
+    def expected(text):
+        x = plain_statistics(text)
+        return 1 / (1 + math.exp(0.5 - sum(w for b, w in rules if all(x[n] <= v if upper else x[n] > v for n, upper, v in b))))
+
+    df = frame(spark, rows).withColumn("dotted.name", F.lit(1))
+    got = Counter((r["doc_id"], round(r["score_"], 9)) for r in model.scored(df, score_col="score_").collect())
+    assert got == Counter((i, round(expected(t), 9)) for i, t in rows)
+    assert rule_ensemble.kept(df, spark.createDataFrame([], "doc_id long, quality int")).columns == df.columns
+
+
+def test_rules_are_the_ways_through_a_tree():
+    debug = "  If (feature 0 <= 1.5)\n   If (feature 3 > 2.0E-4)\n    Predict: 0.0\n   Else (feature 3 <= 2.0E-4)\n    Predict: 1.0\n  Else (feature 0 > 1.5)\n   Predict: 1.0\n"
+    a, b = (0, True, 1.5), (3, False, 2e-4)
+    assert rule_ensemble.paths(debug) == [(a,), (a, b), (a, (3, True, 2e-4)), ((0, False, 1.5),)]
+    assert rule_ensemble.simplified((a, b, (0, True, 1.0))).bounds == (("log_chars", True, 1.0), ("upper", False, 2e-4))
+
+
 def test_classifier_learns_without_held_out_rows(spark):
     docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
     model = rule_ensemble.fit(docs, labels)
