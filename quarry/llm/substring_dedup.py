@@ -6,7 +6,8 @@ a run that hits a block of its other occurrence. Hits are extended: the windows
 fingerprints of their 35 words, and overlapping repeated windows make up the maximal exact repeats. Every word that one
 covers is removed; what repeats is judged on the input, so the result doesn't depend on any order.
 
-Documents are grouped into chunks by a hash of the row. A chunk sends each run at most twice, packed in byte strings by
+Documents are grouped into chunks by a hash of the row and of the partition that it is read in, so that a row that very
+many repeat is dealt over chunks; docs must come in the same partitions each time it is read, as files do. A chunk sends each run at most twice, packed in byte strings by
 ranges of the hash, and gets back which of them are anchors, then which windows repeat. So a passage that a third of all
 documents share costs two entries a chunk, no two of its occurrences are ever paired, and work grows as the input does.
 """
@@ -220,7 +221,7 @@ def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     bits = max(6, (size // 6 // RANGE_ENTRIES).bit_length())
     print_bits = max(6, bits - 1)
     bits = min(bits, 23)
-    own = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), F.pmod(F.xxhash64(id_col, text_col), F.lit(chunks)).alias("chunk"))
+    own = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), F.pmod(F.xxhash64(id_col, text_col, F.spark_partition_id()), F.lit(chunks)).alias("chunk"))
     grouped = own.groupBy("chunk")
     probes = grouped.applyInArrow(_probes(bits), SCHEMA)
     anchors = written(probes.groupBy("range").applyInArrow(_anchors, SCHEMA), "anchors")

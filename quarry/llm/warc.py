@@ -87,12 +87,14 @@ def decided(pages: DataFrame, min_revisit_bytes: int = 0) -> DataFrame:
 
     Of records with equal payloads of at least min_revisit_bytes, that with the smallest page_id is the response. Owners
     are found by an aggregate with map-side combine over digests, and joined back by a sort-merge join that adaptive
-    execution splits where one payload is very common. Rows that repeat the owner's page_id, url and payload are
-    responses too; null page_ids never own a payload, unless all are null: then all are responses.
+    execution splits where one payload is very common. Rows that repeat the owner's page_id and payload are responses
+    too. A record's identifier holds the partition that its row is read in, so that copies of one row, however many, are
+    not one group when their segments are put together; pages must come in the same partitions each time they are read,
+    as files do. Null page_ids never own a payload, unless all are null: then all are responses.
     """
     page = pages.select(F.col("page_id").cast("long").alias("page_id"), F.coalesce(F.col("url").cast("string"), F.lit("")).alias("url"), F.encode(F.coalesce(F.col("html").cast("string"), F.lit("")), "UTF-8").alias("payload"))
     page = page.withColumn("digest", F.sha1("payload")).withColumn("size", F.octet_length("payload").cast("long"))
-    page = page.withColumn("record_id", F.md5(F.encode(F.concat_ws("|", F.coalesce(F.col("page_id").cast("string"), F.lit("")), "digest", "url"), "UTF-8")))
+    page = page.withColumn("record_id", F.md5(F.encode(F.concat_ws("|", F.coalesce(F.col("page_id").cast("string"), F.lit("")), "digest", "url", F.spark_partition_id().cast("string")), "UTF-8")))
     owners = (
         page.filter(F.col("size") >= min_revisit_bytes)
         .groupBy("digest", "size")
