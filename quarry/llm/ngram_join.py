@@ -1,21 +1,29 @@
 """N-gram Jaccard join by partitioning the universe of shingles.
 
 Two sets with a similarity of 0.8 differ in at most H = floor((a + b) / 9) shingles. The universe of shingle hashes is
-cut into segments, more of them the larger the size band; H differences damage at most H segments, so of any H + 1
-nonempty ones that a document holds, one is the same in its partner (pigeonhole). A document therefore indexes the
-hashes of its subsets in H + 1 segments. Cost-based allocation says which: a sketch of bounded size counts how often
-each subset occurs in the corpus, every document takes its H + 1 cheapest (threshold 0), in one order for all, and
-leaves out the rest (threshold -1). Any order by content is exact: the first common subset in that order has at most H
-subsets before it, in either document. Sets of 4 to 8 shingles, where one difference is all there can be, index their
-whole set and its one-deletion neighbourhood (threshold 1). Small bands have a segment for each shingle.
-
-Equal sets are one class from the start. Documents with a common key are not paired with each other: each is paired
-with the group's most ordinary class, the one whose shingles are the most frequent (the text that near copies were made
-of, rather than one of them), and only where a group then still spans several components its next members are paired
-with those outside their own component. So a group of n near copies costs about n verifications, and no link between
-different components is lost. Pairs are first held against parity bitmaps of the sets: two sets that differ in d
-shingles have bitmaps that differ in d bits at most, so pairs beyond the bound go without their sets being moved. The
-others are verified exactly on whole shingle sets.
+cut into segments; H differences damage at most H of them, so of any H + 1 that a document holds, one is the same in its
+partner (pigeonhole). A document indexes H + 1 segments. Cost-based allocation says which: a sketch of bounded size
+counts how often each occurs in the corpus, every document takes its H + 1 cheapest (threshold 0), in one order for all,
+and leaves out the rest (threshold -1). Any order by content is exact: the first common segment in that order has at most
+H before it, in either document. Sets of 4 to 8 shingles, where one difference is all there can be, index their whole
+set and its one-deletion neighbourhood (threshold 1).
+
+The universe is cut as finely as it can be, a segment for each shingle. Then a key's place in a document's order bounds
+the difference of all pairs that first meet there: p keys before it in one and q in the other are p + q differences.
+With coarser segments a difference may damage a segment of both, so that places say nothing: for the check tables that
+left 22,501 pairs for 9,462 (check_s) and 1,735,138 for 9,751 (check_h, without its largest groups).
+
+Equal sets are one class from the start. Classes with a common key are not paired with each other: of all groups that it
+is in, a class takes one partner, the most ordinary class that heads one of them (with the most frequent shingles: the
+text that near copies were made of, rather than one of them). What then lies in one component needs no further pairs.
+This goes on with new heads for as long as most pairs are links; at last the members of a group outside its head's
+component are paired with all members of other components that sizes and places allow. So a group of n near copies costs
+about n verifications and no link between different components is lost. Pairs are first held against parity bitmaps of
+the sets: two sets that differ in d shingles have bitmaps that differ in d bits at most, so pairs beyond the bound go
+without their sets being moved. The others are verified on whole shingle sets.
+
+A key that very many classes share is dealt over several tasks (its frequency is estimated from one class in SAMPLE, for
+this purpose only); the head of the whole is then the best of its parts' heads.
 """
 
 from __future__ import annotations
@@ -25,22 +33,26 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarry.llm.common import discard, small_batches, written
-from quarry.llm.links import bitmap, components, free, hit, place
+from quarry.llm.links import bitmap, components, hit, place
 from quarry.llm.words import U, Words, mixed, runs
 
 SHINGLE = 5
 #: The similarity is at least 80 in 100, on which the sizes of bands and prefixes rest.
 NEED, OF = 80, 100
-#: Sets below this size have a segment for each shingle; above, 0.7 segments for each shingle of the smallest set in a band.
-SMALL = 256
 #: Most binary digits of the number of the sketch's counters, and its parts.
 MAX_CELL_BITS, CELL_ROWS = 24, 16
-#: Most bits of a set's parity signature; leftover groups are resolved by the first LEAP ** k members, k = 1, 2, ...
-MAX_SIGNATURE, LEAP = 1 << 17, 16
+#: What a task counts up to in a cell.
+MOST = 65_535
+#: Most bits of a set's parity signature.
+MAX_SIGNATURE = 1 << 17
+#: Rows of keys that a task holds, about. One class in SAMPLE tells which keys are in more rows than HOT or a part of 1 / HOT_KEYS of all; the table of these keys has about HOT_KEYS rows at most.
+TASK_ROWS, SAMPLE, HOT, HOT_KEYS = 500_000, 64, 1024, 500_000
+#: Sizes are dealt into buckets of a factor of 2 ** (1 / STEP) for the last joins.
+STEP = 4
 #: Classes that a task remembers so as not to emit a class twice, and rows in a batch of output.
 SEEN = 200_000
 
@@ -63,34 +75,30 @@ def shingle_sets(column: pa.Array) -> Iterator[tuple[int, np.ndarray]]:
             yield i, grams[:0]
 
 
+class Seen:
+    """Which classes a task has met of late, so as to emit each once a task or little more; of bounded size."""
+
+    def __init__(self) -> None:
+        self.classes: set[int] = set()
+
+    def new(self, cls: int) -> bool:
+        if cls in self.classes:
+            return False
+        if len(self.classes) >= SEEN:
+            self.classes.clear()
+        self.classes.add(cls)
+        return True
+
+
 def class_of(s: np.ndarray) -> int:
     """A hash of a whole set."""
     total = np.add.reduce(mixed(s), keepdims=True)
     return int(mixed(total ^ mixed(np.array([len(s)], U))).view(np.int64)[0])
 
 
-def _scheme(s: np.ndarray, band: int) -> np.ndarray:
-    """Keys of a set's nonempty segments in a band's scheme; band 0: a segment for each shingle."""
-    if band == 0:
-        return mixed(s ^ U(0xA24BAED4963EE407))
-    segments = U(7 * (1 << band) // 10)
-    which = ((s >> U(32)) * segments) >> U(32)
-    ends = np.append(np.flatnonzero(which[1:] != which[:-1]), len(s) - 1)
-    sums = np.cumsum(mixed(s))[ends]
-    sums[1:] -= sums[:-1].copy()
-    return mixed(sums + which[ends] * U(0xD6E8FEB86659FD93) + U(band))
-
-
-def schemes(n: int) -> list[tuple[int, int]]:
-    """(band, keys needed) for a set of n shingles: its own band's scheme and, if it can have a smaller partner in the band below, that one's."""
-    if n < 8:
-        return []
-    band = 0 if n < SMALL else n.bit_length() - 1
-    out = [(band, n // 4 + 1)]
-    top = (1 << (n.bit_length() - 1)) - 1  # the largest set of the band below
-    if band and 4 * n <= 5 * top:
-        out.append((0 if top < SMALL else band - 1, (n + top) // 9 + 1))
-    return out
+def segments(s: np.ndarray) -> np.ndarray:
+    """Keys of a set's segments."""
+    return mixed(s ^ U(0xA24BAED4963EE407))
 
 
 def deletions(s: np.ndarray) -> np.ndarray:
@@ -101,13 +109,10 @@ def deletions(s: np.ndarray) -> np.ndarray:
 
 
 def keys_of(s: np.ndarray, costs: np.ndarray) -> np.ndarray:
-    """The keys that a set indexes, the cheapest by the sketch's costs first."""
-    out = [deletions(s)] if 4 <= len(s) <= 8 else []
-    for band, need in schemes(len(s)):
-        keys = _scheme(s, band)
-        order = np.argsort((costs[keys >> _shift(costs)].astype(U) << U(56)) | (keys >> U(8)))
-        out.append(keys[order[:need]])
-    return np.concatenate(out) if out else s[:0]
+    """The keys of the segments that a set of 8 or more shingles indexes, the cheapest by the sketch's costs first."""
+    keys = segments(s)
+    order = np.argsort((costs[keys >> _shift(costs)].astype(U) << U(56)) | (keys >> U(8)))
+    return keys[order[: len(s) // 4 + 1]]
 
 
 def _shift(costs: np.ndarray) -> np.uint64:
@@ -115,9 +120,8 @@ def _shift(costs: np.ndarray) -> np.uint64:
 
 
 def rareness(s: np.ndarray, costs: np.ndarray) -> int:
-    """0 to 255: the lower, the more frequent the set's keys are in the corpus."""
-    band, _ = (schemes(len(s)) or [(0, 0)])[0]
-    return 255 - int(min(255.0, 6 * costs[_scheme(s, band) >> _shift(costs)].mean()))
+    """0 to 255: the lower, the more frequent the set's shingles are in the corpus."""
+    return 255 - int(min(255.0, 6 * costs[segments(s) >> _shift(costs)].mean()))
 
 
 def signature(s: np.ndarray) -> bytes:
@@ -143,26 +147,23 @@ def _classes(docs: DataFrame, id_col: str, text_col: str, cell_bits: int) -> Dat
     """A row for each document (kind 0: id, th, n, cls, and once a task at least each class's signature) and the sketch's partial counts (kind 1: part, data)."""
 
     def rows(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts, seen, shift = np.zeros(1 << cell_bits, np.uint32), set(), U(64 - cell_bits)
+        counts, seen, shift = np.zeros(1 << cell_bits, np.uint16), Seen(), U(64 - cell_bits)
         for batch in batches:
-            n, cls, data, cells = [], [], [], []
+            n, cls, cells, data = [], [], [], []
             for _, s in shingle_sets(batch.column(2)):
                 n.append(len(s))
-                c = class_of(s) if len(s) else None
-                cls.append(c)
+                cls.append(class_of(s) if len(s) else None)
                 data.append(None)
-                if len(s) >= 4 and c not in seen:
-                    if len(seen) >= SEEN:
-                        seen.clear()
-                    seen.add(c)
+                if len(s) >= 4 and seen.new(cls[-1]):
                     data[-1] = signature(s)
-                    cells += [_scheme(s, band) >> shift for band, _ in schemes(len(s))]
+                    cells.append(segments(s) >> shift)
             if cells:
-                np.add.at(counts, np.concatenate(cells).astype(np.int64), np.uint32(1))
+                at, more = np.unique(np.concatenate(cells), return_counts=True)
+                counts[at] = np.minimum(counts[at] + more, MOST)
             k = len(n)
             yield pa.RecordBatch.from_arrays([pa.array([0] * k, pa.int32()), batch.column(0), batch.column(1), pa.array(n, pa.int64()), pa.array(cls, pa.int64()), pa.nulls(k, pa.int32()), pa.array(data, pa.binary())], names)
         if counts.any():
-            parts = [zlib.compress(np.minimum(p, 65535).astype("<u2"), 1) for p in np.split(counts, CELL_ROWS)]
+            parts = [zlib.compress(p.astype("<u2"), 1) for p in np.split(counts, CELL_ROWS)]
             k = len(parts)
             yield pa.RecordBatch.from_arrays([pa.array([1] * k, pa.int32()), *(pa.nulls(k, pa.int64()) for _ in range(4)), pa.array(range(k), pa.int32()), pa.array(parts, pa.binary())], names)
 
@@ -188,70 +189,100 @@ def _costs(classes: DataFrame, cell_bits: int) -> np.ndarray:
 
 
 def _keys(docs: DataFrame, text_col: str, costs: np.ndarray) -> DataFrame:
-    """(key, cls, rare) rows; a class that several documents have is emitted once a task at least."""
+    """(cls, n, rare, placed, keys): the keys that a class indexes, in order where placed; a class comes once a task at least."""
     shared = docs.sparkSession.sparkContext.broadcast(costs)
 
     def rows(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[int] = set()
+        seen = Seen()
         for batch in batches:
-            cls, keys, rare = [], [], []
+            cls, n, rare, placed, keys = [], [], [], [], []
             for _, s in shingle_sets(batch.column(0)):
-                if len(s) >= 4 and (c := class_of(s)) not in seen:
-                    if len(seen) >= SEEN:
-                        seen.clear()
-                    seen.add(c)
-                    cls.append(c)
-                    rare.append(rareness(s, shared.value))
-                    keys.append(keys_of(s, shared.value))
+                if len(s) >= 4 and seen.new(c := class_of(s)):
+                    for few in ([True] if len(s) < 8 else [True, False] if len(s) == 8 else [False]):
+                        cls.append(c)
+                        n.append(len(s))
+                        rare.append(rareness(s, shared.value))
+                        placed.append(not few)
+                        keys.append(deletions(s) if few else keys_of(s, shared.value))
             flat = np.concatenate(keys).view(np.int64) if keys else np.zeros(0, np.int64)
             ends = np.cumsum([0, *map(len, keys)])
-            yield pa.RecordBatch.from_arrays([pa.array(cls, pa.int64()), pa.array(rare, pa.int16()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat, pa.int64()))], ["cls", "rare", "keys"])
+            columns = [pa.array(cls, pa.int64()), pa.array(n, pa.int32()), pa.array(rare, pa.int16()), pa.array(placed, pa.bool_()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat, pa.int64()))]
+            yield pa.RecordBatch.from_arrays(columns, ["cls", "n", "rare", "placed", "keys"])
 
-    lists = docs.select(F.col(text_col)).mapInArrow(rows, "cls long, rare short, keys array<long>")
-    return lists.select(F.explode("keys").alias("key"), "cls", "rare")
+    return docs.select(F.col(text_col)).mapInArrow(rows, "cls long, n int, rare short, placed boolean, keys array<long>")
 
 
-def _groups(keys: DataFrame, parts: int) -> DataFrame:
-    """What classes share a key. kind 0: pairs (a, b) of a group's most ordinary class and another; kind 1: members (a: group, b: class, rank) of groups of three or more, in order.
+def _partnered(group: np.ndarray, n: np.ndarray, pos: np.ndarray) -> np.ndarray:
+    """Which rows of groups (numbered from 0, in order) may have a partner in theirs.
 
-    A task holds the keys of one of `parts` ranges of hashes, of bounded size; groups with the same members count once.
+    By places, sets of n shingles have partners of up to (10 n - 18 pos) / 8; so a row needs another one that reaches its
+    size, and one whose size it reaches.
     """
+    if not len(group):
+        return np.zeros(0, bool)
+    begin = np.flatnonzero(np.append(True, group[1:] != group[:-1]))
+    reach = 10 * n - 18 * pos
 
-    def rows(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        got = [tuple(b.column(i).to_numpy() for i in range(3)) for b in batches if b.num_rows]
+    def others(x: np.ndarray) -> np.ndarray:
+        """The largest x of the other rows in a group; the smallest number where there is none."""
+        order = np.lexsort((-x, group))
+        low = np.int64(np.iinfo(np.int64).min)
+        top = x[order[begin]]
+        more = np.append(begin[1:], len(x)) - begin > 1
+        second = np.where(more, x[order[np.minimum(begin + 1, len(x) - 1)]], low)
+        best = np.zeros(len(x), bool)
+        best[order[begin]] = True
+        return np.where(best, second[group], top[group])
+
+    return (others(reach) >= 8 * n) & (8 * -others(-n) <= reach) & (others(n) > 0)
+
+
+def _groups(lists: DataFrame) -> DataFrame:
+    """(key, cls, n, pos, rare, head): members of the groups of two or more classes with a common key; head is the most ordinary one (rare, cls, n, pos).
+
+    A task holds the keys of a range of hashes, of bounded size; a hot key is dealt over several by its classes.
+    """
+    total = lists.agg(F.sum(F.size("keys"))).first()[0] or 0
+    floor = max(HOT, total // HOT_KEYS)
+    sampled = lists.filter(F.pmod("cls", F.lit(SAMPLE)) == 0).select(F.explode("keys").alias("key")).groupBy("key").count()
+    hot = sampled.filter(F.col("count") * SAMPLE >= floor).select("key", F.ceil(F.col("count") * SAMPLE / floor).alias("parts"))
+    hot = written(hot, "hot-keys")
+    rows = lists.select("cls", "n", "rare", "placed", F.posexplode("keys").alias("pos", "key")).join(F.broadcast(hot), "key", "left")
+    rows = rows.select("key", F.coalesce(F.pmod("cls", "parts"), F.lit(-1)).alias("part"), "cls", "n", F.when(F.col("placed"), F.col("pos")).otherwise(0).alias("pos"), "rare")
+
+    def grouped(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        got = [tuple(b.column(i).to_numpy() for i in range(6)) for b in batches if b.num_rows]
         if not got:
             return
-        key, cls, rare = (np.concatenate(x) for x in zip(*got, strict=True))
+        key, part, cls, n, pos, rare = (np.concatenate(x) for x in zip(*got, strict=True))
         del got
-        order = np.lexsort((cls, rare, key))
-        key, cls = key[order], cls[order]
-        same = np.zeros(len(key), bool)
-        same[1:] = (key[1:] == key[:-1]) & (cls[1:] == cls[:-1])
-        key, cls = key[~same], cls[~same]
-        first = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
-        size = np.diff(np.append(first, len(key)))
-        first, size = first[size > 1], size[size > 1]
-        if not len(first):
+        order = np.lexsort((pos, cls, rare, part, key))
+        key, part, cls = key[order], part[order], cls[order]
+        new = np.ones(len(key), bool)  # a group begins
+        new[1:] = (key[1:] != key[:-1]) | (part[1:] != part[:-1])
+        again = np.zeros(len(key), bool)  # a class that several tasks emitted
+        again[1:] = ~new[1:] & (cls[1:] == cls[:-1])
+        order, key, part, cls, new = order[~again], key[~again], part[~again], cls[~again], new[~again]
+        n, pos, rare = n[order], pos[order], rare[order]
+        size = np.diff(np.append(np.flatnonzero(new), len(key)))
+        keep = np.repeat(size > 1, size) | (part >= 0)
+        keep[keep] = _partnered(np.cumsum(new[keep]) - 1, n[keep].astype(np.int64), pos[keep].astype(np.int64)) | (part[keep] >= 0)
+        key, part, cls, n, pos, rare = key[keep], part[keep], cls[keep], n[keep], pos[keep], rare[keep]
+        if not len(key):
             return
-        inside = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
-        at = np.repeat(first, size) + inside
-        pivot, member = np.repeat(cls[first], size), cls[at]
-        pairs = np.unique(np.stack([pivot, member], 1)[pivot != member], axis=0)
-        yield from out(0, pairs[:, 0], pairs[:, 1], np.zeros(len(pairs), np.int64))
-        begin = np.cumsum(size) - size
-        name = mixed(np.add.reduceat(mixed(member.view(U)), begin)).view(np.int64)
-        _, once = np.unique(name, return_index=True)
-        once = once[size[once] > 2]
-        if len(once):
-            rank = np.arange(size[once].sum()) - np.repeat(np.cumsum(size[once]) - size[once], size[once])
-            yield from out(1, np.repeat(name[once], size[once]), member[np.repeat(begin[once], size[once]) + rank], rank)
-
-    def out(kind: int, a: np.ndarray, b: np.ndarray, rank: np.ndarray) -> Iterator[pa.RecordBatch]:
-        for i in range(0, len(a), 50_000):
-            part = slice(i, i + 50_000)
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(a[part]), kind, np.int32)), pa.array(a[part]), pa.array(b[part]), pa.array(rank[part])], ["kind", "a", "b", "rank"])
-
-    return keys.repartition(parts, "key").select("key", "cls", "rare").mapInArrow(rows, "kind int, a long, b long, rank long")
+        first = np.flatnonzero(np.append(True, (key[1:] != key[:-1]) | (part[1:] != part[:-1])))
+        size = np.diff(np.append(first, len(key)))
+        take = np.flatnonzero(np.repeat((size > 1) | (part[first] >= 0), size))
+        head = np.repeat(first, size)[take]
+        for i in range(0, len(take), 50_000):
+            t, h = take[i : i + 50_000], head[i : i + 50_000]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in (key[t], part[t], cls[t], n[t], pos[t], rare[t], rare[h], cls[h], n[h], pos[h])], ["key", "part", "cls", "n", "pos", "rare", "h_rare", "h_cls", "h_n", "h_pos"])
+
+    schema = "key long, part long, cls long, n int, pos int, rare short, h_rare short, h_cls long, h_n int, h_pos int"
+    out = rows.repartition(max(16, total // TASK_ROWS), "key", "part").mapInArrow(grouped, schema)
+    out = written(out.select("key", "part", "cls", "n", "pos", "rare", F.struct(F.col("h_rare").alias("rare"), F.col("h_cls").alias("cls"), F.col("h_n").alias("n"), F.col("h_pos").alias("pos")).alias("head")), "groups")
+    whole = F.broadcast(out.filter("part >= 0").groupBy("key").agg(F.min("head").alias("best")))
+    return out.join(whole, "key", "left").select("key", "cls", "n", "pos", "rare", F.coalesce("best", "head").alias("head"))
 
 
 def _sets(docs: DataFrame, id_col: str, text_col: str, ids: np.ndarray) -> DataFrame:
@@ -259,15 +290,12 @@ def _sets(docs: DataFrame, id_col: str, text_col: str, ids: np.ndarray) -> DataF
     shared = docs.sparkSession.sparkContext.broadcast(ids)
 
     def rows(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[int] = set()
+        seen = Seen()
         for batch in batches:
             batch = batch.filter(pa.array(hit(shared.value, batch.column(0).to_numpy())))
             cls, sets = [], []
             for _, s in shingle_sets(batch.column(1)):
-                if len(s) >= 4 and (c := class_of(s)) not in seen:
-                    if len(seen) >= SEEN:
-                        seen.clear()
-                    seen.add(c)
+                if len(s) >= 4 and seen.new(c := class_of(s)):
                     cls.append(c)
                     sets.append(s.tobytes())
             yield pa.RecordBatch.from_arrays([pa.array(cls, pa.int64()), pa.array(sets, pa.binary())], ["cls", "shingles"])
@@ -276,6 +304,12 @@ def _sets(docs: DataFrame, id_col: str, text_col: str, ids: np.ndarray) -> DataF
     return found
 
 
+def _allowed(n: Column, p: Column, m: Column, q: Column) -> Column:
+    """Whether sets of n and m shingles can be linked if the first common key has p keys before it in one and q in the other."""
+    most = F.floor((n + m) * (OF - NEED) / (OF + NEED))
+    return (OF * F.least(n, m) >= NEED * F.greatest(n, m)) & (p + q <= most) & (F.greatest(2 * p + m - n, 2 * q + n - m) <= most)
+
+
 def _possible(pairs: DataFrame, signatures: DataFrame) -> DataFrame:
     """The pairs (a, b) that sizes and signatures (cls, n, sig) allow to link."""
 
@@ -285,8 +319,8 @@ def _possible(pairs: DataFrame, signatures: DataFrame) -> DataFrame:
             keep = [may_link(*v) for v in zip(n.to_pylist(), (v.as_buffer() for v in x), m.to_pylist(), (v.as_buffer() for v in y), strict=True)]
             yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
-    side = lambda c, n, sig: signatures.select(F.col("cls").alias(c), F.col("n").alias(n), F.col("sig").alias(sig))
-    return pairs.join(side("b", "m", "y"), "b").join(side("a", "n", "x"), "a").select("a", "b", "n", "x", "m", "y").mapInArrow(rows, "a long, b long")
+    side = lambda c, n, sig: signatures.select(F.col("cls").alias(c), F.col("n").alias(n), F.col("data").alias(sig))
+    return pairs.join(side("b", "m", "y"), "b").join(side("a", "n", "x"), "a").select("a", "b", "n", "x", "m", "y").mapInArrow(rows, "a long, b long").distinct()
 
 
 def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -309,72 +343,94 @@ def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return both.select("a", "b", "s", "t").mapInArrow(rows, "a long, b long")
 
 
-def _labelled(frame: DataFrame, roots: DataFrame | None, *cols: str) -> DataFrame:
-    """frame with, for each column of classes, its component `<col>_root`; the class itself where it has no link."""
-    for c in cols:
-        if roots is None:
-            frame = frame.withColumn(f"{c}_root", F.col(c))
-        else:
-            frame = frame.join(roots.select(F.col("node").alias(c), F.col("root").alias(f"{c}_root")), c, "left").withColumn(f"{c}_root", F.coalesce(f"{c}_root", c))
-    return frame
+def _open(members: DataFrame, roots: DataFrame) -> DataFrame:
+    """members of the groups that still span several components, with the components of cls (root) and of the head (head_root)."""
+
+    def rooted(frame: DataFrame, cls: str, root: str) -> DataFrame:
+        found = roots.select(F.col("node").alias("__cls"), F.col("root").alias("__root"))
+        return frame.join(found, F.col(cls) == F.col("__cls"), "left").withColumn(root, F.coalesce("__root", cls)).drop("__cls", "__root")
+
+    members = rooted(members, "cls", "root")
+    spans = members.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi").select("key")
+    return rooted(members.join(spans, "key", "left_semi"), "head.cls", "head_root")
+
+
+def _new_heads(members: DataFrame) -> DataFrame:
+    """The members outside their head's component, with the most ordinary of them as their new head."""
+    left = members.filter("root <> head_root")
+    best = left.groupBy("key").agg(F.min(F.struct("rare", "cls", "n", "pos", "root")).alias("head"))
+    return left.drop("head", "head_root").join(best, "key").withColumn("head_root", F.col("head.root"))
+
+
+def _headed(members: DataFrame) -> DataFrame:
+    """(a, b): for each class one partner, the most ordinary head of its groups that may be linked with it."""
+    allowed = members.filter((F.col("root") != F.col("head_root")) & _allowed(F.col("n"), F.col("pos"), F.col("head.n"), F.col("head.pos")))
+    best = allowed.groupBy("cls").agg(F.min(F.struct("head.rare", F.col("head.cls").alias("b"))).alias("x"))
+    return best.select(F.least("cls", "x.b").alias("a"), F.greatest("cls", "x.b").alias("b")).distinct()
+
+
+def _rest(members: DataFrame) -> DataFrame:
+    """(a, b): the members of each group outside its head's component with all that may be linked with them.
+
+    Both sides are dealt by key and size; a member meets the buckets of the sizes that its place allows.
+    """
+    bucket = lambda n: F.floor(F.log2(n) * STEP)
+    n, p = F.col("n"), F.col("pos")
+    few, many = NEED / OF * n, OF / NEED * n - (OF + NEED) / NEED * p  # 2 p + m - n <= (n + m) / 9, solved for m
+    left = members.filter((F.col("root") != F.col("head_root")) & (many >= few)).select("key", F.explode(F.sequence(bucket(F.floor(few)), bucket(F.ceil(many)))).alias("bucket"), F.col("cls").alias("a"), F.col("n").alias("a_n"), F.col("pos").alias("a_pos"), F.col("root").alias("a_root"))
+    right = members.select("key", bucket(n).alias("bucket"), "cls", "n", "pos", "root")
+    found = left.join(right, ["key", "bucket"]).filter((F.col("root") != F.col("a_root")) & _allowed(F.col("a_n"), F.col("a_pos"), n, p))
+    return found.select(F.least("a", "cls").alias("a"), F.greatest("a", "cls").alias("b")).distinct()
 
 
 def _linked(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(id, th, n, root, component_id) for each document; th is a hash of the text, root a class or null."""
-    spark = docs.sparkSession
-    small_batches(spark)
+    small_batches(docs.sparkSession)
     # About a counter for each word, up to a fixed size.
     size = docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
     cell_bits = min(MAX_CELL_BITS, max(12, (size // 6).bit_length()))
     classes = written(_classes(docs, id_col, text_col, cell_bits), "classes")
     rows = classes.filter("kind = 0")
-    total = rows.agg(F.sum("n")).first()[0] or 0
-    groups = written(_groups(_keys(docs, text_col, _costs(classes, cell_bits)), max(16, total // 3_000_000)), "groups")
-    free(docs)
-    pairs = groups.filter("kind = 0").select("a", "b").distinct()
-    of = written(rows.filter("n >= 4").groupBy("cls").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("data", True).alias("sig")), "signatures")
-    members = groups.filter("kind = 1").select(F.col("a").alias("group"), F.col("b").alias("cls"), "rank").dropDuplicates(["group", "cls"]).join(of.select("cls", "n"), "cls")
-
-    def near(asked: DataFrame) -> DataFrame | None:
-        """The links among pairs; None if there are none."""
-        possible = written(_possible(asked, of), "possible")
-        nodes = possible.select(F.explode(F.array("a", "b")).alias("cls")).distinct()
-        if possible.isEmpty():
-            return None
+    lists = written(_keys(docs, text_col, _costs(classes, cell_bits)), "keys")
+    members = written(_groups(lists).withColumn("root", F.col("cls")).withColumn("head_root", F.col("head.cls")), "members")
+    discard(lists)
+    of = rows.filter("n >= 4").groupBy("cls").agg(F.min("id").alias("id"))
+    signatures = rows.filter("data is not null").select("cls", "n", "data")
+
+    def near(asked: DataFrame) -> tuple[int, DataFrame | None]:
+        """How many pairs there are, and the links among them; None if there are none."""
+        asked = written(asked, "asked")
+        pairs = asked.count()
+        if not pairs:
+            return 0, None
+        asked = written(_possible(asked, signatures), "possible")
+        nodes = asked.select(F.explode(F.array("a", "b")).alias("cls")).distinct()
         ids = bitmap(nodes.join(of, "cls").select(F.coalesce("id", F.lit(-1)).alias("id")), "id")
-        sets = written(_sets(docs, id_col, text_col, ids).join(nodes, "cls", "left_semi").dropDuplicates(["cls"]), "sets")
-        free(docs)
-        out = written(_verified(possible, sets), "verified")
-        discard(sets)
-        free(docs)
-        return None if out.isEmpty() else out
-
-    roots, first = None, 1
-    links = near(pairs)
+        # One exchange of the sets by class serves both sides of the pairs.
+        return pairs, written(_verified(asked, _sets(docs, id_col, text_col, ids).dropDuplicates(["cls"])), "verified")
+
+    roots, last, asked = None, False, _headed(members)
     while True:
-        if links is not None:
+        pairs, links = near(asked)
+        found = links.count() if links is not None else 0
+        if found:
             if roots is not None:
                 links = links.unionByName(roots.select(F.col("node").alias("a"), F.col("root").alias("b")))
             roots = written(components(links), "roots")
-            free(docs)
-        # Groups that still span several components: their first members with those of other components.
-        open_ = _labelled(members.filter(F.col("rank") >= first), roots, "cls")
-        spans = open_.groupBy("group").agg(F.min("cls_root").alias("lo"), F.max("cls_root").alias("hi")).filter("lo <> hi").select("group")
-        open_ = written(open_.join(spans, "group", "left_semi").select("group", "cls", "rank", "n", "cls_root"), "open")
-        if open_.isEmpty():
+        if last:
             break
-        pivots = open_.filter(F.col("rank") < LEAP * first).select("group", F.col("cls").alias("a"), F.col("cls_root").alias("a_root"), F.col("rank").alias("a_rank"), F.col("n").alias("a_n"))
-        sizes = OF * F.least("n", "a_n") >= NEED * F.greatest("n", "a_n")
-        asked = open_.join(pivots, "group").filter((F.col("rank") > F.col("a_rank")) & (F.col("cls_root") != F.col("a_root")) & sizes).select(F.least("a", "cls").alias("a"), F.greatest("a", "cls").alias("b")).distinct()
-        members, first = open_.select("group", "cls", "rank", "n"), LEAP * first
-        links = near(asked)
-        free(docs)
+        if found:
+            members = written(_open(members, roots), "members")
+        last = 2 * found < pairs or not pairs
+        asked = _rest(members) if last else _headed(_new_heads(members))
+    ids = rows.filter("cls is not null").groupBy("cls").agg(F.min("id").alias("id"))
     if roots is None:
-        own = rows.filter("cls is not null").select("id", "th", "n", F.col("cls").alias("root"))
+        of_class = ids.select("cls", F.col("cls").alias("root"), F.col("id").alias("component_id"))
     else:
-        own = rows.filter("cls is not null").join(roots.select(F.col("node").alias("cls"), "root"), "cls", "left").select("id", "th", "n", F.coalesce("root", "cls").alias("root"))
-    least = own.groupBy("root").agg(F.min("id").alias("component_id"))
-    some = own.join(least, "root").select("id", "th", "n", "root", "component_id")
+        least = roots.join(ids, F.col("node") == F.col("cls")).groupBy("root").agg(F.min("id").alias("component_id"))
+        found = roots.join(least, "root").select(F.col("node").alias("cls"), "root", "component_id", F.lit(True).alias("found"))
+        of_class = ids.join(found, "cls", "left").select("cls", F.coalesce("root", "cls").alias("root"), F.when(F.col("found"), F.col("component_id")).otherwise(F.col("id")).alias("component_id"))
+    some = rows.join(of_class, "cls").select("id", "th", "n", "root", "component_id")
     none = rows.filter("cls is null").select("id", "th", "n", F.lit(None).cast("long").alias("root"), F.col("id").alias("component_id"))
     return some.unionByName(none)
 

@@ -11,7 +11,7 @@ from quarry.llm.common import utf8
 
 U = np.uint64
 #: Bytes that are hashed at once, so that a very long text needs no more memory than others.
-BLOCK = 1 << 20
+BLOCK = 1 << 18
 #: Odd multipliers of the two families of hashes, and of the words in a run.
 BASES = (U(0x9E3779B97F4A7C15), U(0xC2B2AE3D27D4EB4F))
 STEPS = (U(0xD6E8FEB86659FD93), U(0xA0761D6478BD642F))

@@ -117,6 +117,47 @@ def test_ngram_join_is_brute_force(spark, seed):
     assert got(ngram_join.linked(frame(spark, rows)), "doc_id", "n_shingles", "component_id") == expected
 
 
+def crowds(seed: int):
+    """Groups of 200 classes: near copies of one text, chains of copies of copies, and texts that share most words but aren't linked."""
+    rng = random.Random(seed)
+    word = lambda: f"v{rng.randrange(10**6)}"
+    texts = []
+    base = [word() for _ in range(90)]
+    for _ in range(200):
+        copy = list(base)
+        for _ in range(rng.choice([0, 1, 1, 2, 2, 3])):
+            copy[rng.randrange(90)] = word()
+        texts.append(copy)
+    chain = [word() for _ in range(120)]
+    for _ in range(200):
+        chain = list(chain)
+        for _ in range(rng.choice([1, 2, 3])):
+            chain[rng.randrange(120)] = word()
+        texts.append(chain)
+    shared = [word() for _ in range(160)]
+    texts += [shared + [word() for _ in range(rng.choice([10, 16, 17, 18, 19, 20, 21, 30, 40]))] for _ in range(200)]
+    line = [word() for _ in range(9)]
+    texts += [line[: rng.randrange(5, 10)] + [word() for _ in range(rng.choice([0, 0, 1, 1, 2, 3, 4]))] for _ in range(100)]
+    long = [word() for _ in range(2600)]
+    for _ in range(6):
+        copy = list(long)
+        for _ in range(rng.choice([10, 40, 56, 60, 70])):
+            copy[rng.randrange(2600)] = word()
+        texts.append(copy)
+    rows = [(i, " ".join(t)) for i, t in enumerate(texts)]
+    rng.shuffle(rows)
+    return rows
+
+
+@pytest.mark.parametrize(("seed", "hot"), [(6, 1024), (7, 64)])
+def test_ngram_join_of_large_groups(spark, monkeypatch, seed, hot):
+    monkeypatch.setattr(ngram_join, "HOT", hot)
+    rows = crowds(seed)
+    expected = linked_by_force(rows)
+    assert 200 < len({c for _, _, c in expected}) < len(rows) - 200
+    assert got(ngram_join.linked(frame(spark, rows)), "doc_id", "n_shingles", "component_id") == expected
+
+
 def test_ngram_join_of_awkward_rows(spark, awkward, nothing):
     rows, df = awkward
     assert got(ngram_join.linked(df), "doc_id", "n_shingles", "component_id") == linked_by_force(rows)
