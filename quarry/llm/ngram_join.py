@@ -310,6 +310,11 @@ def _allowed(n: Column, p: Column, m: Column, q: Column) -> Column:
     return (OF * F.least(n, m) >= NEED * F.greatest(n, m)) & (p + q <= most) & (F.greatest(2 * p + m - n, 2 * q + n - m) <= most)
 
 
+def _signatures(rows: DataFrame) -> DataFrame:
+    """(cls, n, data), one row a class: each task that met a class emitted it, so a text in many partitions comes in many rows."""
+    return rows.filter("data is not null").select("cls", "n", "data").dropDuplicates(["cls"])
+
+
 def _possible(pairs: DataFrame, signatures: DataFrame) -> DataFrame:
     """The pairs (a, b) that sizes and signatures (cls, n, sig) allow to link."""
 
@@ -395,7 +400,7 @@ def _linked(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     members = written(_groups(lists).withColumn("root", F.col("cls")).withColumn("head_root", F.col("head.cls")), "members")
     discard(lists)
     of = rows.filter("n >= 4").groupBy("cls").agg(F.min("id").alias("id"))
-    signatures = rows.filter("data is not null").select("cls", "n", "data")
+    signatures = _signatures(rows)
 
     def near(asked: DataFrame) -> tuple[int, DataFrame | None]:
         """How many pairs there are, and the links among them; None if there are none."""

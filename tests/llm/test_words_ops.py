@@ -177,3 +177,16 @@ def test_representatives_keep_one_document_of_each_component(spark, awkward, not
     assert ngram_join.representatives(nothing).count() == 0
     only_null = frame(df.sparkSession, [(None, "a b c d e f"), (None, "a b c d e f"), (None, "x y z")])
     assert Counter(r["text"] for r in ngram_join.representatives(only_null).collect()) == Counter(["a b c d e f", "x y z"])
+
+
+def test_ngram_join_of_a_class_in_every_partition(spark):
+    """A text in 64 partitions and a near copy in 64: one signature a class, so one pair, and one component."""
+    words = [f"w{i}" for i in range(200)]
+    near = [*words[:100], "other", *words[101:]]
+    rows = [(2 * i + k, " ".join(t)) for i in range(64) for k, t in enumerate((words, near))]
+    df = frame(spark, rows).repartition(64).select("doc_id", "text")
+    ngram_join.small_batches(spark)
+    classes = ngram_join._classes(df, "doc_id", "text", 12)
+    assert classes.filter("kind = 0 and data is not null").count() > 2
+    assert ngram_join._signatures(classes.filter("kind = 0")).count() == 2
+    assert got(ngram_join.linked(df), "doc_id", "component_id") == Counter((i, 0) for i in range(128))
