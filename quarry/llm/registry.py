@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quarry.llm import chat_format, decontaminate, kd_shards, media_chunks, ngram_join, pii, rule_ensemble, spelling, substring_dedup, url_rules, warc
+from quarry.llm import chat_format, collocations, decontaminate, kd_shards, media_chunks, ngram_join, pii, rule_ensemble, spelling, substring_dedup, url_rules, warc
 from quarry.llm.byte_bpe import op10_byte_bpe
 
 
@@ -23,6 +23,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_media_chunks": media_chunks.op8_media_chunks,
         "op9_ngram_join": ngram_join.op9_ngram_join,
         "op10_byte_bpe": op10_byte_bpe,
+        "op11_collocations": collocations.op11_collocations,
         "op12_spelling": spelling.op12_spelling,
         "op13_url_rules": url_rules.op13_url_rules,
     }
@@ -30,4 +31,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     """DuckDB SQL by query name."""
-    return {"op1_warc": warc.SQL, "op13_url_rules": url_rules.SQL}
+    return {"op1_warc": warc.SQL, "op11_collocations": collocations.SQL, "op13_url_rules": url_rules.SQL}
