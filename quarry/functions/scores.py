@@ -82,21 +82,26 @@ def user_facing(tier: Column) -> Column:
     return tier.isin("confirmed", "investigate")
 
 
+def rounded(x: Column, digits: int) -> Column:
+    """x to so many digits by its exact binary value, ties to even; F.round goes by the shortest decimal text, half up."""
+    return F.replace(F.format_number(x, digits), F.lit(",")).cast("double")
+
+
 def smooth_boost(x: Column, alpha: float = 0.4) -> Column:
     """The score moved towards 1 by a share alpha."""
-    return F.round(clip(x) + alpha * (1 - clip(x)), 6)
+    return rounded(clip(x) + alpha * (1 - clip(x)), 6)
 
 
 def plateau_boost(x: Column, confidence: Column, flag: float = FLAG) -> Column:
     """The least score that a known pattern of this confidence stands for."""
-    return F.round(F.least(F.lit(1.0), F.greatest(x, F.lit(0.58), F.lit(flag + 0.26), 0.92 * confidence)), 6)
+    return rounded(F.least(F.lit(1.0), F.greatest(x, F.lit(0.58), F.lit(flag + 0.26), 0.92 * confidence)), 6)
 
 
 def graduated_boost(x: Column, support: Column, confidence: Column, flag: float = FLAG) -> Column:
     """The score blended towards the plateau by support and confidence."""
     plateau = plateau_boost(x, confidence, flag)
     blend = F.least(F.lit(1.0), F.least(F.lit(1.0), support / flag) * F.least(F.lit(1.0), confidence / 0.88))
-    return F.round(F.least(plateau, F.greatest(x, support + 0.05, x + (plateau - x) * blend)), 6)
+    return rounded(F.least(plateau, F.greatest(x, support + 0.05, x + (plateau - x) * blend)), 6)
 
 
 def corroborated(support: Column, flag: float = FLAG, slack: float = 0.15) -> Column:
@@ -108,10 +113,11 @@ def category(flagged: Column, known: Column) -> Column:
     return F.when(flagged & known, "known_signature").when(flagged, "novel_pattern").when(known, "signature_only").otherwise("no_signal")
 
 
-def boosted(score: Column, top_window: Column, confidence: Column, flagged: Column, smooth: bool = True, graduated: bool = False, flag: float = FLAG, floor: float = 0.45) -> dict[str, Column]:
+def boosted(score: Column, top_window: Column, confidence: Column, flagged: Column, smooth: bool = True, graduated: bool = False, flag: float = FLAG, floor: float = 0.45, window_confirmed: Column | None = None) -> dict[str, Column]:
     """Boost of a function's score by a signature: mode (null where none applies), score, tier and whole_function_vuln.
 
     A pattern counts from a confidence of `floor`, and where the best of function and window score supports it.
+    window_confirmed is the record's own threshold of confirmed windows; null or 0 means that no window is one.
     """
     kind, support = category(flagged, confidence >= floor), F.greatest(score, top_window)
     applies = kind.isin("known_signature", "signature_only") & (confidence >= floor)
@@ -123,7 +129,8 @@ def boosted(score: Column, top_window: Column, confidence: Column, flagged: Colu
     raised = F.when(mode == "smooth_agreement", smooth_boost(score, 0.4)).when(mode == "smooth_signature_only", smooth_boost(score, 0.3)).when(mode == "graduated", graduated_boost(score, support, confidence, flag)).when(mode == "plateau", plateau_boost(score, confidence, flag))
     better = F.coalesce(raised > score + 1e-9, F.lit(False))
     new = F.when(better, raised).otherwise(score)
-    sure = better & (new >= flag) & (new >= 0.85) & ((confidence >= 0.88) | (top_window >= CONFIRMED))
+    least = F.coalesce(F.lit(None).cast("double") if window_confirmed is None else window_confirmed, F.lit(0.0))
+    sure = better & (new >= flag) & (new >= 0.85) & ((confidence >= 0.88) | ((least > 0) & (top_window >= least)))
     return {"boost_mode": F.when(better | (mode == "blocked"), mode), "boosted_score": new, "boosted_tier": F.when(sure, "confirmed").otherwise(tier(clip(new), flag)), "whole_function_vuln": clip(new) >= flag}
 
 

@@ -7,6 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quarry.functions import scores as S
 from quarry.functions.text import comment_hints
 
 #: Confidences of the layers, and what counts.
@@ -90,13 +91,16 @@ def hits(code: Column, rules: tuple[Rule, ...] = CATALOGUE) -> Column:
         best = F.greatest(*[c for _, c in layers])
         layer = F.coalesce(*[F.when(c == best, F.lit(name)) for name, c in layers])
         found.append(F.when(best.isNotNull(), F.struct(best.alias("confidence"), layer.alias("layer"), F.lit(i).alias("rule"), F.lit(r.rule_id).alias("rule_id"), F.lit(r.cwe).alias("cwe"))))
-    return F.filter(F.array(*found), lambda h: h.isNotNull())
+    order = {"contextual": 0, "structural": 1, "semantic": 2}
+    rank = F.create_map(*[F.lit(x) for kv in order.items() for x in kv])
+    keyed = F.transform(F.filter(F.array(*found), lambda h: h.isNotNull()), lambda h: F.struct((-h["confidence"]).alias("c"), rank[h["layer"]].alias("l"), h["rule"].alias("r"), h.alias("h")))
+    return F.transform(F.array_sort(keyed), lambda x: x["h"])
 
 
 def attributed(segments: DataFrame, key: str, code: str, flagged: DataFrame) -> DataFrame:
     """For each row of flagged (key, flagged): the best hits of its segments (key, code) and what they say with the flag.
 
-    category, novelty (1 less the confidence, four digits), signature_confidence, primary rule and the number of rules.
+    category, novelty (1 less the confidence) and signature_confidence, both of four digits, primary rule and the number of rules.
     """
     rows = segments.select(key, F.explode(hits(F.col(code))).alias("h")).select(key, "h.*")
     best = rows.groupBy(key, "rule_id").agg(F.max("confidence").alias("confidence"), F.first("rule").alias("rule"))
@@ -104,4 +108,4 @@ def attributed(segments: DataFrame, key: str, code: str, flagged: DataFrame) ->
     out = flagged.join(by, key, "left")
     confidence = F.coalesce("x.confidence", F.lit(0.0))
     kind = F.when(F.col("flagged") & (confidence >= KNOWN), "known_signature").when(F.col("flagged"), "novel_pattern").when(confidence >= KNOWN, "signature_only").otherwise("no_signal")
-    return out.select(*flagged.columns, kind.alias("category"), F.round(1 - confidence, 4).alias("novelty"), confidence.alias("signature_confidence"), F.col("x.rule_id").alias("primary_rule"), F.coalesce("n_rules", F.lit(0)).alias("n_rules"))
+    return out.select(*flagged.columns, kind.alias("category"), S.rounded(1 - confidence, 4).alias("novelty"), S.rounded(confidence, 4).alias("signature_confidence"), F.col("x.rule_id").alias("primary_rule"), F.coalesce("n_rules", F.lit(0)).alias("n_rules"))

@@ -30,7 +30,7 @@ def _attributed(spark, sf):
 
 
 def attribution(spark, sf):
-    return _attributed(spark, sf).select("doc_id", "flagged", "category", "novelty", F.round("signature_confidence", 6).alias("signature_confidence"), "primary_rule", "n_rules")
+    return _attributed(spark, sf).select("doc_id", "flagged", "category", "novelty", "signature_confidence", "primary_rule", "n_rules")
 
 
 def novelty(spark, sf):
@@ -39,15 +39,17 @@ def novelty(spark, sf):
 
 
 def signature_boost(spark, sf):
-    c = F.round("signature_confidence", 6)
-    smooth = S.boosted(F.col("score"), F.col("top_window"), c, F.col("flagged"))
+    """Both boosts; records name 0.42, 0 or nothing as their threshold of confirmed windows."""
+    c = F.col("signature_confidence")
+    confirmed = F.when(F.col("doc_id") % 3 == 0, 0.42).when(F.col("doc_id") % 3 == 1, 0.0)
+    smooth = S.boosted(F.col("score"), F.col("top_window"), c, F.col("flagged"), window_confirmed=confirmed)
     hard = S.boosted(F.col("score"), F.col("top_window"), c, F.col("flagged"), smooth=False, graduated=True)
     return _attributed(spark, sf).select("doc_id", *[x.alias(n) for n, x in smooth.items()], hard["boosted_score"].alias("graduated_score"))
 
 
 def boost_replay(spark, sf):
     """Precision, recall and F1 of both boost policies over the same files, against no boost."""
-    a = _attributed(spark, sf).withColumn("c", F.round("signature_confidence", 6))
+    a = _attributed(spark, sf).withColumn("c", F.col("signature_confidence"))
     policy = lambda g: S.boosted(F.col("score"), F.col("top_window"), F.col("c"), F.col("flagged"), smooth=False, graduated=g)["boosted_score"]
     by = F.explode(F.map_from_arrays(F.array(F.lit("none"), F.lit("plateau"), F.lit("graduated")), F.array("score", policy(False), policy(True)))).alias("policy", "s")
     hit, y = F.col("s") >= S.FLAG, F.col("label") == 1
@@ -107,13 +109,13 @@ FILES = f"WITH {F0}, {_with_hints('f0', 'f')}"
 BEST = "greatest(coalesce(c1, 0), coalesce(c2, 0), coalesce(c3, 0))"
 ATTRIBUTED = f"""WITH {F0}, p0 AS (SELECT doc_id, unnest([array_to_string(list_slice(string_split(t, E'\\n'), 1, 3), E'\\n'), t]) AS t FROM f0), {_with_hints('p0', 'p')}, h AS (SELECT doc_id, i, rule_id, max({BEST}) AS c FROM ({_hits_sql('p')}) WHERE {BEST} > 0 GROUP BY ALL),
 b AS (SELECT doc_id, count(*) AS n_rules, max(c) AS c, arg_max(rule_id, c * 1000 - i) AS primary_rule FROM h GROUP BY doc_id),
-a AS (SELECT f0.*, score >= 0.32 AS flagged, coalesce(n_rules, 0) AS n_rules, coalesce(c, 0) AS c0, round(coalesce(c, 0), 6) AS c, primary_rule, CASE WHEN score >= 0.32 THEN CASE WHEN coalesce(c, 0) >= 0.45 THEN 'known_signature' ELSE 'novel_pattern' END WHEN coalesce(c, 0) >= 0.45 THEN 'signature_only' ELSE 'no_signal' END AS category FROM f0 LEFT JOIN b USING (doc_id))"""
+a AS (SELECT f0.*, score >= 0.32 AS flagged, coalesce(n_rules, 0) AS n_rules, coalesce(c, 0) AS c0, format('{{:.4f}}', coalesce(c, 0))::DOUBLE AS c, primary_rule, CASE WHEN score >= 0.32 THEN CASE WHEN coalesce(c, 0) >= 0.45 THEN 'known_signature' ELSE 'novel_pattern' END WHEN coalesce(c, 0) >= 0.45 THEN 'signature_only' ELSE 'no_signal' END AS category FROM f0 LEFT JOIN b USING (doc_id))"""
 BOOSTED = (
     ATTRIBUTED
-    + """, s AS (SELECT *, greatest(score, top_window) AS support, round(least(1, greatest(score, 0.58::DOUBLE, 0.32::DOUBLE + 0.26::DOUBLE, 0.92::DOUBLE * c)), 6) AS plateau, category IN ('known_signature', 'signature_only') AND c >= 0.45 AS applies FROM a),
+    + """, s AS (SELECT *, greatest(score, top_window) AS support, format('{:.6f}', least(1, greatest(score, 0.58::DOUBLE, 0.32::DOUBLE + 0.26::DOUBLE, 0.92::DOUBLE * c)))::DOUBLE AS plateau, category IN ('known_signature', 'signature_only') AND c >= 0.45 AS applies FROM a),
 g AS (SELECT *, CASE WHEN NOT applies THEN NULL WHEN support < 0.32::DOUBLE - 0.15::DOUBLE THEN 'blocked' WHEN category = 'known_signature' THEN 'smooth_agreement' ELSE 'smooth_signature_only' END AS mode,
-round(least(plateau, greatest(score, support + 0.05::DOUBLE, score + (plateau - score) * least(1, least(1, support / 0.32::DOUBLE) * least(1, c / 0.88::DOUBLE)))), 6) AS graduated FROM s),
-r AS (SELECT *, CASE mode WHEN 'smooth_agreement' THEN round(score + 0.4::DOUBLE * (1 - score), 6) WHEN 'smooth_signature_only' THEN round(score + 0.3::DOUBLE * (1 - score), 6) END AS raised, mode LIKE 'smooth%' AS open FROM g),
+format('{:.6f}', least(plateau, greatest(score, support + 0.05::DOUBLE, score + (plateau - score) * least(1, least(1, support / 0.32::DOUBLE) * least(1, c / 0.88::DOUBLE)))))::DOUBLE AS graduated FROM s),
+r AS (SELECT *, CASE mode WHEN 'smooth_agreement' THEN format('{:.6f}', score + 0.4::DOUBLE * (1 - score))::DOUBLE WHEN 'smooth_signature_only' THEN format('{:.6f}', score + 0.3::DOUBLE * (1 - score))::DOUBLE END AS raised, mode LIKE 'smooth%' AS open FROM g),
 w AS (SELECT *, coalesce(raised > score + 1e-9, false) AS better, CASE WHEN coalesce(raised > score + 1e-9, false) THEN raised ELSE score END AS boosted_score,
 CASE WHEN coalesce(open, false) AND graduated > score + 1e-9 THEN graduated ELSE score END AS graduated_score, CASE WHEN coalesce(open, false) AND plateau > score + 1e-9 THEN plateau ELSE score END AS plateau_score FROM r) """
 )
@@ -122,11 +124,11 @@ STRIPPED = f"list_filter(list_transform(string_split(t, E'\\n'), lambda x: trim(
 
 QUERIES = {
     "signature_hits": (signature_hits, FILES + f" SELECT doc_id, rule_id, cwe, round({BEST}, 6) AS confidence, CASE WHEN c1 = {BEST} THEN 'contextual' WHEN c2 = {BEST} THEN 'structural' ELSE 'semantic' END AS layer FROM ({_hits_sql('f')}) WHERE {BEST} > 0"),
-    "attribution": (attribution, ATTRIBUTED + " SELECT doc_id, flagged, category, round(1 - c0, 4) AS novelty, c AS signature_confidence, primary_rule, n_rules FROM a"),
-    "novelty": (novelty, ATTRIBUTED + " SELECT c0 >= 0.45 AS known, count(*) AS n, round(avg(round(1 - c0, 4)), 6) AS mean_novelty FROM a GROUP BY 1"),
+    "attribution": (attribution, ATTRIBUTED + " SELECT doc_id, flagged, category, format('{:.4f}', 1 - c0)::DOUBLE AS novelty, c AS signature_confidence, primary_rule, n_rules FROM a"),
+    "novelty": (novelty, ATTRIBUTED + " SELECT c0 >= 0.45 AS known, count(*) AS n, round(avg(format('{:.4f}', 1 - c0)::DOUBLE), 6) AS mean_novelty FROM a GROUP BY 1"),
     "signature_boost": (
         signature_boost,
-        BOOSTED + f"SELECT doc_id, CASE WHEN better OR mode = 'blocked' THEN mode END AS boost_mode, boosted_score, CASE WHEN better AND boosted_score >= 0.85 AND (c >= 0.88 OR top_window >= 0.42) THEN 'confirmed' ELSE {TIER} END AS boosted_tier, boosted_score >= 0.32 AS whole_function_vuln, graduated_score FROM w",
+        BOOSTED + f"SELECT doc_id, CASE WHEN better OR mode = 'blocked' THEN mode END AS boost_mode, boosted_score, CASE WHEN better AND boosted_score >= 0.85 AND (c >= 0.88 OR (doc_id % 3 = 0 AND top_window >= 0.42)) THEN 'confirmed' ELSE {TIER} END AS boosted_tier, boosted_score >= 0.32 AS whole_function_vuln, graduated_score FROM w",
     ),
     "boost_replay": (
         boost_replay,

@@ -28,8 +28,7 @@ def _records(spark: SparkSession, sf: str) -> DataFrame:
 
 def function_records(spark, sf):
     r = _records(spark, sf)
-    top = F.slice("flagged", 1, 20)
-    return r.select("user_id", "label", "score", "window_count", F.round("max_window_prob", 6).alias("max_window_prob"), records.indices(top).alias("flagged_indices"), F.size("confirmed").alias("n_confirmed"), F.array_join(F.transform("contributing", lambda x: x["window_id"].cast("string")), ",").alias("contributing_ids"), "deployment_tier", "precision_tier", "agreement")
+    return r.select("user_id", "label", "score", "window_count", F.round("max_window_prob", 6).alias("max_window_prob"), records.indices(F.col("flagged")).alias("flagged_indices"), F.size("confirmed").alias("n_confirmed"), F.array_join(F.transform("contributing", lambda x: x["window_id"].cast("string")), ",").alias("contributing_ids"), "deployment_tier", "precision_tier", "agreement")
 
 
 def status_breakdown(spark, sf):
@@ -82,7 +81,7 @@ def marker_merge(spark, sf):
 
 
 def window_location(spark, sf):
-    d = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", snippets.code(F.col("doc_id"), F.lit("")).alias("code"))
+    d = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", snippets.code(F.col("doc_id"), F.col("text")).alias("code"))
     window = F.when(F.col("doc_id") % 5 == 0, "").when(F.col("doc_id") % 5 == 1, "  return 0;\n}").when(F.col("doc_id") % 5 == 2, "\n  return\n  nothing").otherwise("no such line")
     start, end = records.located(F.col("code"), window)
     return d.select("doc_id", start.alias("first_line"), end.alias("last_line"))
@@ -114,12 +113,12 @@ r AS (SELECT *, CASE WHEN score >= 0.32 THEN 'vuln' WHEN score >= 0.26 THEN 'nee
 CASE WHEN score >= 0.32 AND n_flagged > 0 THEN 'agree_positive' WHEN score >= 0.32 THEN 'diffuse_risk' WHEN n_flagged > 0 THEN 'review_suggested' ELSE 'agree_negative' END AS agreement FROM g) """
 WINDOWS = WINDOWS.replace(", r AS (SELECT user_id, round(least(1, base + uplift), 6) AS score, round(base, 6) AS top FROM u) ", "").replace("\nr AS (SELECT user_id, round(least(1, base + uplift), 6) AS score, round(base, 6) AS top FROM u) , w", " w")
 TESTS = {"function": "{h}", "union": "({h} OR top >= 0.26)", "confirmed": "({h} AND top >= 0.3)"}
-LOCATED = f"""WITH d AS (SELECT doc_id, [{', '.join(map(snippets._literal, snippets.SNIPPETS))}][doc_id % {len(snippets.SNIPPETS)} + 1] AS code, CASE doc_id % 5 WHEN 0 THEN '' WHEN 1 THEN E'  return 0;\\n}}' WHEN 2 THEN E'\\n  return\\n  nothing' ELSE 'no such line' END AS win FROM documents),
+LOCATED = f"""WITH d AS (SELECT doc_id, {snippets.CODE_SQL} AS code, CASE doc_id % 5 WHEN 0 THEN '' WHEN 1 THEN E'  return 0;\\n}}' WHEN 2 THEN E'\\n  return\\n  nothing' ELSE 'no such line' END AS win FROM documents),
 e AS (SELECT *, string_split(code, E'\\n') AS lines, list_filter(string_split(win, E'\\n'), lambda x: trim(x) <> '') AS inner_, instr(code, trim(win)) AS pos FROM d), f AS (SELECT *, coalesce(list_position(list_transform(lines, lambda x: contains(x, trim(inner_[1]))), true), 0) AS hit, len(code[:pos - 1]) - len(replace(code[:pos - 1], E'\\n', '')) + 1 AS exact FROM e)
 SELECT doc_id, CASE WHEN trim(win) = '' THEN 1 WHEN pos > 0 THEN exact WHEN hit > 0 THEN hit ELSE 1 END::INT AS first_line, CASE WHEN trim(win) = '' THEN len(lines) WHEN pos > 0 THEN exact + len(trim(win)) - len(replace(trim(win), E'\\n', '')) WHEN hit > 0 THEN least(hit + len(inner_) - 1, len(lines)) ELSE len(lines) END::INT AS last_line FROM f"""
 
 QUERIES = {
-    "function_records": (function_records, WINDOWS + "SELECT user_id, label, score, window_count, max_window_prob, coalesce(array_to_string(f[1:20], ','), '') AS flagged_indices, n_confirmed, coalesce(array_to_string(c, ','), '') AS contributing_ids, deployment_tier, precision_tier, agreement FROM r"),
+    "function_records": (function_records, WINDOWS + "SELECT user_id, label, score, window_count, max_window_prob, coalesce(array_to_string(f, ','), '') AS flagged_indices, n_confirmed, coalesce(array_to_string(c, ','), '') AS contributing_ids, deployment_tier, precision_tier, agreement FROM r"),
     "status_breakdown": (status_breakdown, WINDOWS + "SELECT v AS value, count(agreement) AS n, count(*) FILTER (label = 1) AS label_1, count(agreement) - count(*) FILTER (label = 1) AS label_0, printf('%.1f%%', 100.0 * count(agreement) / (SELECT count(*) FROM r)) AS percent FROM (SELECT unnest(['agree_positive', 'agree_negative', 'review_suggested', 'diffuse_risk']) AS v) LEFT JOIN r ON agreement = v GROUP BY v"),
     "tier_metrics": (
         tier_metrics,

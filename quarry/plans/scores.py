@@ -241,7 +241,7 @@ QUERIES = {
     "tier_breakdown": (tier_breakdown, POOL + f", t AS (SELECT {TIER} AS tier FROM r) SELECT x AS tier, count(tier) AS n, round(100::DOUBLE * count(tier) / (SELECT greatest(count(*), 1) FROM t), 4) AS percent FROM (SELECT unnest(['vuln', 'needs_review', 'safe']) AS x) LEFT JOIN t ON tier = x GROUP BY x"),
     "boosts": (
         boosts,
-        POOL + "SELECT user_id, round(round(score, 3) + 0.4::DOUBLE * (1 - round(score, 3)), 6) AS smooth, round(least(1, greatest(score, 0.58::DOUBLE, 0.92::DOUBLE * top)), 6) AS plateau, round(least(pl, greatest(x, sup + 0.05::DOUBLE, x + (pl - x) * least(1, least(1, sup / 0.32::DOUBLE) * least(1, conf / 0.88::DOUBLE)))), 6) AS graduated, top - 0.4::DOUBLE >= 0.32::DOUBLE - 0.15::DOUBLE AS corroborated, round(greatest(0, least(1, score * 2 - 0.5::DOUBLE)), 6) AS clipped FROM (SELECT *, round(score - 0.3::DOUBLE, 3) AS x, round(top - 0.35::DOUBLE, 3) AS sup, round(top, 2) AS conf, round(least(1, greatest(round(score - 0.3::DOUBLE, 3), 0.58::DOUBLE, 0.92::DOUBLE * round(top, 2))), 6) AS pl FROM r)",
+        POOL + "SELECT user_id, format('{:.6f}', round(score, 3) + 0.4::DOUBLE * (1 - round(score, 3)))::DOUBLE AS smooth, format('{:.6f}', least(1, greatest(score, 0.58::DOUBLE, 0.92::DOUBLE * top)))::DOUBLE AS plateau, format('{:.6f}', least(pl, greatest(x, sup + 0.05::DOUBLE, x + (pl - x) * least(1, least(1, sup / 0.32::DOUBLE) * least(1, conf / 0.88::DOUBLE)))))::DOUBLE AS graduated, top - 0.4::DOUBLE >= 0.32::DOUBLE - 0.15::DOUBLE AS corroborated, round(greatest(0, least(1, score * 2 - 0.5::DOUBLE)), 6) AS clipped FROM (SELECT *, round(score - 0.3::DOUBLE, 3) AS x, round(top - 0.35::DOUBLE, 3) AS sup, round(top, 2) AS conf, format('{:.6f}', least(1, greatest(round(score - 0.3::DOUBLE, 3), 0.58::DOUBLE, 0.92::DOUBLE * round(top, 2))))::DOUBLE AS pl FROM r)",
     ),
     "peak_parts": (peak_parts, POOL + "SELECT user_id, event_id FROM b WHERE abs(score - base) <= 1e-6"),
     "cosine_prototypes": (

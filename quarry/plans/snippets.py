@@ -37,13 +37,13 @@ def _literal(x: str | None) -> str:
 
 BLANKS_SQL = " || ".join(f"chr({ord(c)})" for c in BLANKS)
 PATH_SQL = f"[{', '.join(map(_literal, PATHS))}][doc_id % {len(PATHS)} + 1]"
-CODE_SQL = f"([{', '.join(map(_literal, SNIPPETS))}][doc_id % {len(SNIPPETS)} + 1] || CASE WHEN doc_id % 2 = 0 THEN substring(coalesce(text, ''), 1, 400) ELSE '' END)"
+CODE_SQL = f"([{', '.join(map(_literal, SNIPPETS))}][doc_id % {len(SNIPPETS)} + 1] || coalesce(text, ''))"
 
 
 def code(doc_id: Column, text: Column) -> Column:
-    """A snippet, before the beginning of every other text."""
+    """A snippet before the whole text of every row."""
     own = F.element_at(F.array(*map(F.lit, SNIPPETS)), (doc_id % len(SNIPPETS) + 1).cast("int"))
-    return F.concat(own, F.when(doc_id % 2 == 0, F.substring(F.coalesce(text, F.lit("")), 1, 400)).otherwise(""))
+    return F.concat(own, F.coalesce(text, F.lit("")))
 
 
 def path(doc_id: Column) -> Column:

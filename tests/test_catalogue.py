@@ -15,7 +15,7 @@ from quarry.plans.catalogue import oracle_sql, queries
 
 def plain(x):
     if isinstance(x, float):
-        return round(x, 5) + 0.0
+        return round(x, 9) + 0.0
     return x.replace(tzinfo=None) if isinstance(x, datetime.datetime) else x
 
 
