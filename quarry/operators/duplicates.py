@@ -19,6 +19,8 @@ from quarry.sources.places import shared
 
 #: Words of a shingle, least similarity, permutations; and the bands they are cut into.
 SHINGLE, LEAST, PERMUTATIONS, BANDS, EACH = 5, 0.85, 128, 21, 6
+#: Words of 64 bits of a parity bitmap.
+MARK_WORDS = 8
 #: Rounds of heads before what is left is compared in pairs.
 ROUNDS = 12
 #: The order of splits.
@@ -73,24 +75,31 @@ def with_shingles(rows: DataFrame, code: str, out: str = "shingles") -> DataFram
 
 
 def banded(rows: DataFrame, key: str, shingles: str) -> DataFrame:
-    """(key, bands): a hash for each band of minimum hashes; rows without shingles are left out."""
+    """(key, bands, n, mark): a hash for each band of minimum hashes, the number of shingles, and their parity bitmap; rows without shingles are left out.
+
+    Bit i of a parity bitmap says whether an odd number of shingles falls on it: sets that differ in d shingles have
+    bitmaps that differ in d bits at most.
+    """
     rng = np.random.default_rng(20_240_101)
     a, b = (rng.integers(1, 2**63, PERMUTATIONS, dtype=np.uint64) | np.uint64(1) for _ in range(2))
     mix = rng.integers(1, 2**63, PERMUTATIONS, dtype=np.uint64) | np.uint64(1)
 
     def made(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = []
+            out, sizes, marks = [], [], []
             for s in batch.column(1):
                 h = s.values.to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
                 least = np.full(PERMUTATIONS, np.iinfo(np.uint64).max)
                 for at in range(0, len(h), 4096):
                     least = np.minimum(least, (h[at : at + 4096, None] * a + b).min(0))
                 out.append((least * mix)[: BANDS * EACH].reshape(BANDS, EACH).sum(1, dtype=np.uint64).view(np.int64))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.list_(pa.int64()))], ["k", "bands"])
+                sizes.append(len(h))
+                odd = np.bincount((h >> np.uint64(40)).astype(np.int64) % (64 * MARK_WORDS), minlength=64 * MARK_WORDS) & 1
+                marks.append(np.packbits(odd.astype(bool), bitorder="little").view(np.int64))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.list_(pa.int64())), pa.array(sizes, pa.int32()), pa.array(marks, pa.list_(pa.int64()))], ["k", "bands", "n", "mark"])
 
     kind = rows.schema[key].dataType.simpleString()
-    return rows.filter(F.size(shingles) > 0).select(key, shingles).mapInArrow(made, f"k {kind}, bands array<long>").withColumnRenamed("k", key)
+    return rows.filter(F.size(shingles) > 0).select(key, shingles).mapInArrow(made, f"k {kind}, bands array<long>, n int, mark array<long>").withColumnRenamed("k", key)
 
 
 def similarity(x: Column, y: Column) -> Column:
@@ -98,20 +107,40 @@ def similarity(x: Column, y: Column) -> Column:
     return both / (F.size(x) + F.size(y) - both)
 
 
+def may_be_near(n: Column, x: Column, m: Column, y: Column) -> Column:
+    """Whether sizes and parity bitmaps allow two sets a similarity of LEAST: they then differ in (n + m) (1 - LEAST) / (1 + LEAST) shingles at most."""
+    apart = F.aggregate(F.zip_with(x, y, lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda s, v: s + v)
+    return (F.least(n, m) >= LEAST * F.greatest(n, m)) & (apart <= (n + m) * ((1 - LEAST) / (1 + LEAST)) + 1e-6)
+
+
+def near_pairs(pairs: DataFrame, a_marks: DataFrame, a_sets: DataFrame, b_marks: DataFrame, b_sets: DataFrame) -> DataFrame:
+    """The pairs (a, b) that are near duplicates. Marks (at, n, mark) come first; sets (at, shingles) move for what they leave."""
+    side = lambda rows, c: rows.select(F.col("at").alias(c), *[F.col(x).alias(f"{x}_{c}") for x in rows.columns if x in ("n", "mark", "shingles")])
+    some = pairs.join(side(a_marks.select("at", "n", "mark"), "a"), "a").join(side(b_marks.select("at", "n", "mark"), "b"), "b")
+    some = some.filter(may_be_near(F.col("n_a"), F.col("mark_a"), F.col("n_b"), F.col("mark_b"))).select("a", "b")
+    j = some.join(side(a_sets.select("at", "shingles"), "a"), "a").join(side(b_sets.select("at", "shingles"), "b"), "b")
+    return j.filter(similarity(F.col("shingles_a"), F.col("shingles_b")) >= LEAST).select("a", "b")
+
+
 def _near(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs (a, b) that are near duplicates, by their whole sets."""
-    side = lambda c: sets.select(F.col("at").alias(c), F.col("shingles").alias(f"s_{c}"), F.size("shingles").alias(f"n_{c}"))
-    j = pairs.join(side("a"), "a").join(side("b"), "b").filter(F.least("n_a", "n_b") >= LEAST * F.greatest("n_a", "n_b"))
-    return j.filter(similarity(F.col("s_a"), F.col("s_b")) >= LEAST).select("a", "b")
+    """The pairs (a, b) of the same table that are near duplicates, by their whole sets."""
+    return near_pairs(pairs, sets, sets, sets, sets)
 
 
 def _placed(rows: DataFrame, code: str, order: str) -> tuple[DataFrame, DataFrame]:
-    """(at, shingles) of the first row of each code, and (at, band) rows; `at` is the place in the order."""
+    """(at, shingles, n, mark) of the first row of each code, and (at, band) rows; `at` is the place in the order."""
     first = rows.groupBy(digest(F.col(code)).alias("d")).agg(F.min(F.struct(F.col(order).alias("at"), F.col(code).alias("code"))).alias("x")).select("x.*")
     sets = _written(with_shingles(first, "code").select("at", "shingles").filter(F.size("shingles") > 0), "sets")
-    bands = banded(sets, "at", "shingles").select("at", F.posexplode("bands").alias("i", "h")).select("at", F.struct("i", "h").alias("band"))
+    made = _written(banded(sets, "at", "shingles"), "marks")
+    sets = _written(sets.join(made.drop("bands"), "at"), "sets")
+    bands = made.select("at", F.posexplode("bands").alias("i", "h")).select("at", F.struct("i", "h").alias("band"))
+    return sets, shared_bands(bands)
+
+
+def shared_bands(bands: DataFrame) -> DataFrame:
+    """Of (at, band) rows those of bands that several rows have."""
     met = bands.groupBy("band").agg(F.min("at").alias("lo"), F.max("at").alias("hi")).filter("lo < hi").select("band")
-    return sets, _written(bands.join(met, "band", "left_semi"), "bands")
+    return _written(bands.join(met, "band", "left_semi"), "bands")
 
 
 def near_dropped(rows: DataFrame, code: str, order: str) -> DataFrame:
@@ -121,7 +150,11 @@ def near_dropped(rows: DataFrame, code: str, order: str) -> DataFrame:
     and shares a band has been settled. They are compared with what is left in their bands, so a round makes at most one
     pair a row and band. Rows left after ROUNDS rounds are settled from their verified pairs.
     """
-    sets, left = _placed(rows, code, order)
+    return dropped(*_placed(rows, code, order))
+
+
+def dropped(sets: DataFrame, left: DataFrame) -> DataFrame:
+    """near_dropped() for rows whose sets (at, shingles, n, mark) and shared bands (at, band) are there already."""
     gone: list[DataFrame] = []
     for _ in range(ROUNDS):
         heads = left.groupBy("band").agg(F.min("at").alias("head"))
@@ -136,7 +169,7 @@ def near_dropped(rows: DataFrame, code: str, order: str) -> DataFrame:
     else:
         if not left.isEmpty():
             gone.append(_settled(left, sets))
-    out = gone[0] if gone else rows.select(F.col(order).alias("at")).limit(0)
+    out = gone[0] if gone else sets.select("at").limit(0)
     for g in gone[1:]:
         out = out.unionByName(g)
     return out

@@ -9,7 +9,7 @@ from quarry.functions import text as T
 from quarry.operators import duplicates
 from quarry.plans.snippets import BLANKS_SQL
 from quarry.sources.places import shared
-from quarry.streaming import ingest
+from quarry.streaming import ingest, near_index
 
 SPLIT_SQL = "CASE doc_id % 10 WHEN 0 THEN 'test' WHEN 1 THEN ' Valid' WHEN 2 THEN NULL WHEN 3 THEN 'other' ELSE 'train' END"
 COMMIT_SQL = "CASE doc_id % 6 WHEN 0 THEN NULL WHEN 1 THEN ' none ' ELSE ' c' || (doc_id % 301) END"
@@ -83,6 +83,18 @@ def stream_dedup(spark, sf):
     return spark.read.schema("digest string").parquet(f"{place}/out")
 
 
+def stream_near_dedup(spark, sf):
+    """A corpus that comes in five chunks, splits in order: each row kept, exact or near by an index that goes on from chunk to chunk."""
+    place = shared(spark, "near")
+    r = rows(spark, sf).select("doc_id", "code", "place")
+    bounds = r.agg(F.percentile_approx("place", F.array(*[F.lit(q / 5) for q in range(1, 5)]))).first()[0]
+    chunk = sum(((F.col("place") > b).cast("int") for b in bounds), F.lit(0))
+    for k in range(5):  # files of later chunks are newer, so the stream takes them later
+        r.filter(chunk == k).coalesce(1).write.mode("append").parquet(f"{place}/in")
+    near_index.run_near_to_end(ingest.chunks(spark, f"{place}/in", r.schema, 1), f"{place}/index", f"{place}/out", f"{place}/checkpoint", "code", "place", 16)
+    return spark.read.parquet(f"{place}/out").select("doc_id", "reason")
+
+
 def stream_windows(spark, sf):
     """Events by hour and kind, each hour once it can't change any more."""
     place = shared(spark, "hours")
@@ -97,13 +109,26 @@ PLACE = "CASE WHEN split IS NULL THEN 99 ELSE coalesce(map {'train': 0, 'valid':
 R = f"WITH r AS (SELECT *, lower(trim(split)) AS name FROM (SELECT doc_id, text AS code, {SPLIT_SQL} AS split, {COMMIT_SQL} AS commit_hash FROM documents)), "
 BLANK = f"coalesce(trim(code, {BLANKS_SQL}), '') = ''"
 WORD = r"[^\s\x0b\x1c-\x1f\x85\xa0\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+"
+#: First of each text, its shingle set, pairs of firsts that are near, and what the first-wins rule drops, row by row.
+NEAR = f"""p AS (SELECT doc_id, coalesce(code, '') AS code, {PLACE}::BIGINT * (1::BIGINT << 40) + doc_id AS place, {BLANK} AS blank FROM r {{where}}),
+firsts AS (SELECT min(place) AS o, code FROM p WHERE NOT blank GROUP BY code),
+w AS (SELECT o, regexp_extract_all(code, '{WORD}') AS w FROM firsts),
+g AS (SELECT o, unnest(CASE WHEN len(w) >= 5 THEN list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS s FROM w),
+n AS (SELECT o, count(*) AS n FROM g GROUP BY o),
+pairs AS (SELECT a, b FROM (SELECT x.o AS a, y.o AS b, count(*) AS c FROM g x JOIN g y ON x.s = y.s AND x.o < y.o GROUP BY ALL) JOIN n m ON m.o = a JOIN n u ON u.o = b WHERE c::DOUBLE / (m.n + u.n - c) >= 0.85),
+q AS (SELECT b, list(a) AS earlier, row_number() OVER (ORDER BY b) AS k FROM pairs GROUP BY b),
+steps AS (SELECT 0::BIGINT AS k, []::BIGINT[] AS gone UNION ALL SELECT q.k, CASE WHEN len(list_filter(q.earlier, lambda x: NOT list_contains(gone, x))) > 0 THEN list_append(gone, q.b) ELSE gone END FROM steps JOIN q ON q.k = steps.k + 1),
+gone AS (SELECT unnest(gone) AS o FROM steps QUALIFY row_number() OVER (ORDER BY k DESC) = 1)"""
+FIRST_WINS = R.replace("WITH r", "WITH RECURSIVE r") + NEAR.replace("{where}", "") + " SELECT doc_id, CASE WHEN blank THEN 'kept' WHEN gone.o IS NOT NULL THEN 'near' WHEN place = firsts.o THEN 'kept' ELSE 'exact' END AS reason FROM p LEFT JOIN firsts ON NOT blank AND p.code = firsts.code LEFT JOIN gone ON gone.o = firsts.o"
+NEAR_LEAKS = R.replace("WITH r", "WITH RECURSIVE r") + NEAR.replace("{where}", "WHERE split IN ('train', 'test') OR split = ' Valid'") + " SELECT count(*) AS n FROM p LEFT JOIN firsts ON NOT blank AND p.code = firsts.code WHERE NOT blank AND (place > firsts.o OR firsts.o IN (SELECT b FROM pairs))"
 
 QUERIES = {
     "split_order": (split_order, R + f"k AS (SELECT *, {BLANK} OR row_number() OVER (PARTITION BY code ORDER BY {PLACE}, doc_id) = 1 AS keep FROM r) SELECT coalesce(split, 'none') AS split, count(*) AS n, count(*) FILTER (keep) AS kept, coalesce(sum(doc_id) FILTER (keep), 0)::BIGINT AS ids FROM k GROUP BY 1"),
     "scoped_dedup": (scoped_dedup, R + f"k AS (SELECT *, {BLANK} OR row_number() OVER (PARTITION BY split, code ORDER BY doc_id) = 1 AS keep FROM r) SELECT coalesce(split, 'none') AS split, count(*) FILTER (keep) AS kept FROM k GROUP BY 1"),
     "shingle_counts": (shingle_counts, f"SELECT doc_id, CASE WHEN len(w) >= 5 THEN len(list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')))) ELSE least(1, len(w)) END::INT AS n FROM (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '{WORD}') AS w FROM documents)"),
-    "near_first_wins": (near_first_wins, None),
-    "near_leaks": (near_leaks, None),
+    "near_first_wins": (near_first_wins, FIRST_WINS),
+    "near_leaks": (near_leaks, NEAR_LEAKS),
+    "stream_near_dedup": (stream_near_dedup, FIRST_WINS),
     "gate": (
         gate,
         R + """q AS (SELECT * FROM r WHERE name IN ('train', 'valid', 'test')), z AS (SELECT name, count(*) AS size FROM q GROUP BY name), x AS (SELECT coalesce(code, '') AS code, count(*) AS k, sum(size) AS s FROM (SELECT DISTINCT coalesce(code, '') AS code, name FROM q) JOIN z USING (name) GROUP BY 1 HAVING k > 1),

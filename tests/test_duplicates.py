@@ -5,7 +5,7 @@ from __future__ import annotations
 import random
 
 from quarry.operators import duplicates
-from quarry.streaming import ingest
+from quarry.streaming import ingest, near_index
 
 
 def shingles(text: str) -> set:
@@ -96,3 +96,45 @@ def test_batches_go_on_from_what_was_kept(spark):
         new = ingest.near_new(spark.createDataFrame(part, "at_ long, code string"), kept, "code", "at_").collect()
         kept = kept.unionByName(spark.createDataFrame([tuple(r) for r in new], "at_ long, code string"))
     assert {r["at_"] for r in kept.collect()} == {i for i, v in first_wins(rows).items() if v == "kept"}
+
+
+def test_an_index_over_batches_is_row_by_row(spark, tmp_path):
+    """Batches, some of them repeated and one broken off before its line in the log, give what one pass gives."""
+    rows = texts(5)
+    schema = "at_ long, code string"
+    found, place = {}, str(tmp_path / "index")
+    for k in range(5):
+        part = spark.createDataFrame(rows[k * 20 : k * 20 + 20] if k < 4 else rows[80:], schema)
+        index = near_index.NearIndex(spark, place, 8)
+        if k == 2:  # a batch that wrote its rows and was lost before it ended
+            index._add("digests", spark.createDataFrame([(b"x" * 20,)], "digest binary"), "digest", k)
+            index._add("bands", spark.createDataFrame([(i, 0) for i in range(50)], "band long, at long"), "band", k)
+        once = {r["at_"]: r["reason"] for r in index.absorb(part, k, "code", "at_").collect()}
+        if k == 3:
+            assert {r["at_"]: r["reason"] for r in near_index.NearIndex(spark, place).absorb(part, k, "code", "at_").collect()} == once
+        found |= once
+    assert found == first_wins(rows)
+    assert near_index.NearIndex(spark, place).buckets == 8
+    assert near_index.NearIndex(spark, place).absorb(spark.createDataFrame([], schema), 5, "code", "at_").count() == 0
+
+
+def test_a_batch_reads_the_buckets_that_it_meets(spark, tmp_path):
+    index = near_index.NearIndex(spark, str(tmp_path / "index"), 16)
+    index.absorb(spark.createDataFrame([(i, f"text number {i} of many others {i * 7}") for i in range(200)], "at_ long, code string"), 0, "code", "at_").count()
+    plan = index.before("digests", 1, [3])._jdf.queryExecution().toString()
+    assert "PartitionFilters" in plan and "bucket" in plan.split("PartitionFilters")[1].split("]")[0]
+    assert 0 < index.before("digests", 1, [3]).count() < 60 and index.before("digests", 1).count() == 200
+
+
+def test_marks_never_rule_out_a_near_pair(spark):
+    from pyspark.sql import functions as F
+
+    rows = spark.createDataFrame([(i, t) for i, t in texts(6) if (t or "").strip()], "at long, code string")
+    sets = duplicates.with_shingles(rows, "code").select("at", "code", "shingles")
+    full = sets.join(duplicates.banded(sets, "at", "shingles"), "at").collect()
+    ruled = 0
+    data = [(x["n"], x["mark"], y["n"], y["mark"], near(x["code"], y["code"])) for x in full for y in full if x["at"] < y["at"]]
+    for r in spark.createDataFrame(data, "n int, x array<long>, m int, y array<long>, near boolean").withColumn("may", duplicates.may_be_near(F.col("n"), F.col("x"), F.col("m"), F.col("y"))).collect():
+        assert r["may"] or not r["near"]
+        ruled += not r["may"]
+    assert ruled > len(data) / 2
