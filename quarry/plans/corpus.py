@@ -99,6 +99,24 @@ def window_counts(spark, sf):
     return w.groupBy(F.col("function_group_id").alias("doc_id")).agg(F.sum("token_count").alias("tokens"), F.max((F.col("token_count") > windows.MOST).cast("int")).alias("too_long"))
 
 
+def _vocabulary(spark: SparkSession):
+    """The ranks of the public byte-pair vocabulary that this installation has."""
+    import public_tokenizers
+
+    return windows.ranks(spark, public_tokenizers.path("byte_bpe_50k.tiktoken"))
+
+
+def tokenizer_counts(spark, sf):
+    """Byte-pair tokens of whole texts."""
+    return windows.token_counts(_docs(spark, sf), "doc_id", "text", _vocabulary(spark))
+
+
+def tokenizer_windows(spark, sf):
+    """Windows of byte-pair tokens; every seventh text without its white space, so that characters are all there is to cut at."""
+    d = _docs(spark, sf).withColumn("text", F.when(F.col("doc_id") % 7 == 0, F.regexp_replace("text", r"(?U)\s", "")).otherwise(F.col("text")))
+    return windows.expanded(d, "doc_id", "text", _vocabulary(spark)).select("function_group_id", "window_id", "window_index", "window_count", "is_windowed", "token_count", F.sha1(F.col("code").cast("binary")).alias("digest"))
+
+
 def metadata_hints(spark, sf):
     p = _docs(spark, sf)
     h = T.hints(F.col("text"), r"(?i)\b(?:http|www|mail)\w*")
@@ -157,6 +175,8 @@ QUERIES = {
     "exact_dedup_in_source": (exact_dedup_in_source, "SELECT source, count(*) AS kept, sum(doc_id)::BIGINT AS ids FROM (SELECT source, text, min(doc_id) AS doc_id FROM documents GROUP BY ALL) GROUP BY source"),
     "duplicate_leaks": (duplicate_leaks, "SELECT count(*) AS n_texts, coalesce(sum(n), 0)::BIGINT AS n_rows FROM (SELECT count(*) AS n, count(DISTINCT coalesce(source, '')) AS k FROM documents GROUP BY coalesce(text, '') HAVING k > 1)"),
     "token_windows": (token_windows, None),
+    "tokenizer_counts": (tokenizer_counts, None),
+    "tokenizer_windows": (tokenizer_windows, None),
     "window_counts": (window_counts, f"SELECT doc_id, {tokens_sql("coalesce(text, '')")}::BIGINT AS tokens, 0 AS too_long FROM documents"),
     "metadata_hints": (
         metadata_hints,
