@@ -68,25 +68,3 @@ def located(code: Column, window: Column) -> tuple[Column, Column]:
     start = F.when(blank, 1).when(at > 0, exact).when(found > 0, found).otherwise(1)
     end = F.when(blank, size).when(at > 0, exact + breaks(F.trim(window))).when(found > 0, F.least(found + F.size(inner) - 1, size)).otherwise(size)
     return start.cast("int"), end.cast("int")
-
-
-def merged_pieces(tokens: list[str], values: list[float], n: int = 5) -> list[tuple[str, float]]:
-    """The n words with the largest absolute values, of pieces of words: `##` goes on with a word, `Ġ` begins one, marks in brackets part them."""
-    words: list[list] = []
-    open_ = False
-    for token, value in zip(tokens, values, strict=True):
-        piece = token.strip()
-        if not piece or piece in ("<s>", "</s>", "<pad>", "<unk>", "<mask>") or (piece.startswith("[") and piece.endswith("]")):
-            open_ = False
-        elif piece.startswith("##") and open_:
-            words[-1] = [words[-1][0] + piece[2:], words[-1][1] + value]
-        else:
-            words.append([piece.removeprefix("##").removeprefix("Ġ"), value])
-            open_ = True
-    total: dict[str, list] = {}
-    for word, value in words:
-        if word:
-            at = total.setdefault(word.lower(), [word, 0.0])
-            at[1] += value
-    ranked = sorted(total.items(), key=lambda kv: (-abs(kv[1][1]), kv[0]))
-    return [(word, round(value, 6)) for _, (word, value) in ranked[:n]]

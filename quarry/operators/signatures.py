@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
+from functools import lru_cache
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -45,7 +48,58 @@ CATALOGUE = (
     Rule("crypto_weak", "CWE-327", ("md5(", "sha1(", "des_", "rc4"), (), ("weak crypto", "md5", "sha1", "deprecated cipher")),
     Rule("auth_bypass", "CWE-287", ("strcmp(", "admin"), (), ("auth bypass", "authentication", "privilege", "admin", "bypass login"), ("password", "token", "auth")),
 )
-HITS = "array<struct<confidence:double,layer:string,rule:int,rule_id:string,cwe:string>>"
+#: What the rules are called.
+NAMES = {
+    "buffer_overflow_unsafe_copy": "Buffer overflow (unsafe copy)", "buffer_overflow_memcpy": "Buffer overflow (memcpy / memmove)", "out_of_bounds_read": "Out-of-bounds read", "integer_overflow": "Integer overflow / signedness confusion",
+    "heap_overflow": "Heap-based buffer overflow", "format_string": "Format string vulnerability", "sql_injection": "SQL injection", "command_injection": "OS command injection", "path_traversal": "Path traversal",
+    "race_condition_toctou": "Race condition (TOCTOU)", "use_after_free": "Use after free", "hardcoded_credentials": "Hard-coded credentials", "crypto_weak": "Weak cryptography", "auth_bypass": "Authentication bypass",
+}
+#: Fixed value: what a hit by a comment says that it matched.
+COMMENT = "comment_cwe"
+HITS = "array<struct<confidence:double,layer:string,rule:int,rule_id:string,cwe:string,matched_on:string>>"
+
+
+def rules_of(rows: DataFrame) -> tuple[Rule, ...]:
+    """Rules from a table (rule_id, cwe, and arrays patterns, regexes, keywords, require_any, which may be null), in the order of rule_id; a catalogue is a few hundred rows at most."""
+    lists = ("patterns", "regexes", "keywords", "require_any")
+    got = rows.select("rule_id", "cwe", *[F.coalesce(c, F.array().cast("array<string>")).alias(c) for c in lists]).orderBy("rule_id").limit(10_001).collect()
+    if len(got) > 10_000:
+        raise ValueError("more than 10,000 rules: match them by a join")
+    return tuple(Rule(r["rule_id"], r["cwe"], *(tuple(r[c]) for c in lists)) for r in got)
+
+
+def entries(rule: Rule) -> list[str]:
+    """A rule's keywords and literals as tokens: without white space around, literals without their bracket."""
+    return [t for t in (*(k.strip() for k in rule.keywords), *(p.strip().rstrip("(") for p in rule.patterns)) if t]
+
+
+@lru_cache
+def terms(rules: tuple[Rule, ...] = CATALOGUE) -> tuple[str, ...]:
+    """All strings that rules look for in lower-cased code, with their ids and names; a term's number is its place."""
+    found = {COMMENT}
+    for r in rules:
+        found |= {r.rule_id.lower(), NAMES.get(r.rule_id, r.rule_id).lower(), *r.patterns, *r.require_any, *(k.lower() for k in r.keywords), *(t.lower() for t in entries(r))}
+    return tuple(sorted(t for t in found if t))
+
+
+def present(code: Column, rules: tuple[Rule, ...] = CATALOGUE) -> Column:
+    """The numbers of the terms that occur in code, lower-cased, by one automaton of all of them in one pass over a text; null code has none."""
+    words = terms(rules)
+    made = []
+
+    @F.arrow_udf("array<int>")
+    def found(texts: pa.Array) -> pa.Array:
+        if not made:
+            import ahocorasick
+
+            automaton = ahocorasick.Automaton()
+            for i, w in enumerate(words):
+                automaton.add_word(w, i)
+            automaton.make_automaton()
+            made.append(automaton)
+        return pa.array([sorted({i for _, i in made[0].iter(t.as_py().lower())}) if t.is_valid else [] for t in texts], pa.list_(pa.int32()))
+
+    return found(code)
 
 
 def _any(tests: list[Column]) -> Column:
@@ -55,17 +109,15 @@ def _any(tests: list[Column]) -> Column:
     return out if tests else F.lit(True)
 
 
-def structural(code: Column, rule: Rule) -> Column:
-    """Any literal and any regular pattern (an empty list asks for nothing), and one of require_any."""
-    low = F.lower(code)
+def structural(code: Column, rule: Rule, has: Callable[[str], Column]) -> Column:
+    """Any literal and any regular pattern (an empty list asks for nothing), and one of require_any; has says whether a literal occurs."""
     some = F.lit(bool(rule.patterns or rule.regexes))
-    return some & _any([F.contains(low, F.lit(p)) for p in rule.patterns]) & _any([F.rlike(code, F.lit(f"(?ims){r}")) for r in rule.regexes]) & _any([F.contains(low, F.lit(p)) for p in rule.require_any])
+    return some & _any([has(p) for p in rule.patterns]) & _any([has(p) for p in rule.require_any]) & _any([F.rlike(code, F.lit(f"(?ims){r}")) for r in rule.regexes])
 
 
-def semantic(code: Column, rule: Rule) -> Column:
+def semantic(rule: Rule, has: Callable[[str], Column]) -> Column:
     """Share of the rule's keywords that occur."""
-    low = F.lower(code)
-    return sum((F.contains(low, F.lit(k)).cast("int") for k in rule.keywords), F.lit(0)) / max(1, len(rule.keywords))
+    return sum((has(k.lower()).cast("int") for k in rule.keywords), F.lit(0)) / max(1, len(rule.keywords))
 
 
 def near_confidence(similarity: Column) -> Column:
@@ -73,39 +125,41 @@ def near_confidence(similarity: Column) -> Column:
     return F.when(similarity >= NEAR, F.least(F.lit(NEAR_MOST), NEAR_BASE + NEAR_STEP * similarity))
 
 
-def hits(code: Column, rules: tuple[Rule, ...] = CATALOGUE) -> Column:
-    """The rules that code hits, each with its surest layer (of equals the first of contextual, structural, semantic).
+def hits(code: Column, terms_in: Column, rules: tuple[Rule, ...] = CATALOGUE) -> Column:
+    """The rules that code hits, each with its surest layer (of equals the first of contextual, structural, semantic), the surest first.
 
-    All rules are one projection over a text; no join of texts with rules. In order of confidence, of equals by layer
-    and rule.
+    terms_in: present() of the code, best a column of its own. All rules are one projection over a text; no join of texts
+    with rules. Of equals, rules whose first layer comes earlier go first, then those that stand first in the catalogue.
     """
     cwes, _ = comment_hints(code)
+    number = {t: i for i, t in enumerate(terms(rules))}
+    has = lambda term: F.array_contains(terms_in, number[term]) if term else F.lit(True)
     found = []
     for i, r in enumerate(rules):
-        share = semantic(code, r)
+        share = semantic(r, has)
         layers = [
-            ("contextual", F.when(F.array_contains(cwes, r.cwe), CONTEXTUAL)),
-            ("structural", F.when(structural(code, r), STRUCTURAL)),
-            ("semantic", F.when(share >= SHARE, F.least(F.lit(SHARE_MOST), SHARE_BASE + SHARE_STEP * share))),
+            ("contextual", F.when(F.array_contains(cwes, r.cwe), CONTEXTUAL), F.lit(COMMENT)),
+            ("structural", F.when(structural(code, r, has), STRUCTURAL), F.lit(r.rule_id)),
+            ("semantic", F.when(share >= SHARE, F.least(F.lit(SHARE_MOST), SHARE_BASE + SHARE_STEP * share)), F.concat(F.lit("keywords:"), F.format_number(share, 2))),
         ]
-        best = F.greatest(*[c for _, c in layers])
-        layer = F.coalesce(*[F.when(c == best, F.lit(name)) for name, c in layers])
-        found.append(F.when(best.isNotNull(), F.struct(best.alias("confidence"), layer.alias("layer"), F.lit(i).alias("rule"), F.lit(r.rule_id).alias("rule_id"), F.lit(r.cwe).alias("cwe"))))
-    order = {"contextual": 0, "structural": 1, "semantic": 2}
-    rank = F.create_map(*[F.lit(x) for kv in order.items() for x in kv])
-    keyed = F.transform(F.filter(F.array(*found), lambda h: h.isNotNull()), lambda h: F.struct((-h["confidence"]).alias("c"), rank[h["layer"]].alias("l"), h["rule"].alias("r"), h.alias("h")))
-    return F.transform(F.array_sort(keyed), lambda x: x["h"])
+        best = F.greatest(*[c for _, c, _ in layers])
+        layer = F.coalesce(*[F.when(c == best, F.lit(name)) for name, c, _ in layers])
+        on = F.coalesce(*[F.when(c == best, text) for _, c, text in layers])
+        first = F.coalesce(*[F.when(c.isNotNull(), F.lit(k)) for k, (_, c, _) in enumerate(layers)])
+        hit = F.struct(best.alias("confidence"), layer.alias("layer"), F.lit(i).alias("rule"), F.lit(r.rule_id).alias("rule_id"), F.lit(r.cwe).alias("cwe"), on.alias("matched_on"))
+        found.append(F.when(best.isNotNull(), F.struct((-best).alias("c"), first.alias("l"), F.lit(i).alias("r"), hit.alias("h"))))
+    return F.transform(F.array_sort(F.filter(F.array(*found), lambda h: h.isNotNull())), lambda x: x["h"])
 
 
-def attributed(segments: DataFrame, key: str, code: str, flagged: DataFrame) -> DataFrame:
+def attributed(segments: DataFrame, key: str, code: str, flagged: DataFrame, rules: tuple[Rule, ...] = CATALOGUE) -> DataFrame:
     """For each row of flagged (key, flagged): the best hits of its segments (key, code) and what they say with the flag.
 
     category, novelty (1 less the confidence) and signature_confidence, both of four digits, primary rule and the number of rules.
     """
-    rows = segments.select(key, F.explode(hits(F.col(code))).alias("h")).select(key, "h.*")
+    rows = segments.select(key, F.col(code).alias("__code"), present(F.col(code), rules).alias("__in")).select(key, F.explode(hits(F.col("__code"), F.col("__in"), rules)).alias("h")).select(key, "h.*")
     best = rows.groupBy(key, "rule_id").agg(F.max("confidence").alias("confidence"), F.first("rule").alias("rule"))
     by = best.groupBy(key).agg(F.count("*").alias("n_rules"), F.max(F.struct("confidence", (-F.col("rule")).alias("r"), "rule_id")).alias("x"))
     out = flagged.join(by, key, "left")
     confidence = F.coalesce("x.confidence", F.lit(0.0))
-    kind = F.when(F.col("flagged") & (confidence >= KNOWN), "known_signature").when(F.col("flagged"), "novel_pattern").when(confidence >= KNOWN, "signature_only").otherwise("no_signal")
+    kind = S.category(F.col("flagged"), confidence >= KNOWN)
     return out.select(*flagged.columns, kind.alias("category"), S.rounded(1 - confidence, 4).alias("novelty"), S.rounded(confidence, 4).alias("signature_confidence"), F.col("x.rule_id").alias("primary_rule"), F.coalesce("n_rules", F.lit(0)).alias("n_rules"))

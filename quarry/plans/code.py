@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from quarry.functions import scores as S
 from quarry.functions import text as T
-from quarry.operators import code, signatures
+from quarry.operators import code, signatures, tokens
 from quarry.plans import snippets
 
 
@@ -17,8 +17,13 @@ def files(spark: SparkSession, sf: str) -> DataFrame:
     return d.select("doc_id", snippets.code(F.col("doc_id"), F.col("text")).alias("code"), ((F.col("n_chars") * 7) % 1001 / 1000.0).alias("score"), ((F.col("n_chars") * 3) % 1001 / 1000.0).alias("top_window"), (F.col("doc_id") % 2).cast("int").alias("label"))
 
 
+def _with_hits(rows: DataFrame) -> DataFrame:
+    """rows with terms_in and hits of their code."""
+    return rows.withColumn("terms_in", signatures.present(F.col("code"))).withColumn("hits", signatures.hits(F.col("code"), F.col("terms_in")))
+
+
 def signature_hits(spark, sf):
-    h = files(spark, sf).select("doc_id", F.explode(signatures.hits(F.col("code"))).alias("h"))
+    h = _with_hits(files(spark, sf)).select("doc_id", F.explode("hits").alias("h"))
     return h.select("doc_id", "h.rule_id", "h.cwe", F.round("h.confidence", 6).alias("confidence"), "h.layer")
 
 
@@ -59,6 +64,27 @@ def boost_replay(spark, sf):
     return g.select("policy", "tp", "fp", "fn", ratio(tp, tp + fp).alias("prec"), ratio(tp, tp + fn).alias("rec"), ratio(2 * tp, 2 * tp + fp + fn).alias("f1"))
 
 
+def suspicious_tokens(spark, sf):
+    """The five most suspicious tokens of each file, by its hits, the catalogue and dangerous calls."""
+    top = tokens.top_tokens(F.col("code"), F.col("terms_in"), F.col("hits"))
+    return _with_hits(files(spark, sf)).select("doc_id", F.array_join(top, " | ").alias("tokens"))
+
+
+def identifiers(spark, sf):
+    """How many different identifiers and operators each file has, and which."""
+    found = tokens.identifiers(F.col("code"))
+    return files(spark, sf).select("doc_id", F.size(found).alias("n"), F.sha1(F.array_join(F.array_sort(found), " ").cast("binary")).alias("digest"))
+
+
+def subword_ranking(spark, sf):
+    """Words put together from pieces of whole texts with made-up values, and the five that weigh most."""
+    words = F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit("[A-Za-z0-9]+"), F.lit(0))
+    piece = F.transform(words, lambda w, i: F.when(i % 11 == 7, "[SEP]").when(i % 3 == 1, F.concat(F.lit("##"), w)).when(i % 3 == 2, F.concat(F.lit("Ġ"), w)).otherwise(F.concat(F.lit(" "), w)))
+    value = F.transform(words, lambda w, i: ((F.length(w) * 37 + i * 11) % 101 - 50) / 8.0)
+    d = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", piece.alias("pieces"), value.alias("values"))
+    return tokens.merged_pieces(d, "doc_id", "pieces", "values")
+
+
 def comment_hints(spark, sf):
     cwes, cves = T.comment_hints(F.col("code"))
     return files(spark, sf).select("doc_id", F.array_join(cwes, ",").alias("cwes"), F.array_join(cves, ",").alias("cves")).filter("cwes <> '' OR cves <> ''")
@@ -122,7 +148,33 @@ CASE WHEN coalesce(open, false) AND graduated > score + 1e-9 THEN graduated ELSE
 TIER = "CASE WHEN boosted_score >= 0.32 THEN 'vuln' WHEN boosted_score >= 0.26 THEN 'needs_review' ELSE 'safe' END"
 STRIPPED = f"list_filter(list_transform(string_split(t, E'\\n'), lambda x: trim(x, {snippets.BLANKS_SQL})), lambda x: x <> '' AND NOT starts_with(x, '//'))"
 
+def _token_sql() -> str:
+    """Tokens of hits, of the catalogue's entries and of calls with their weights, summed up and ranked."""
+    text = lambda x: "'" + x.replace("'", "''") + "'"
+    entries = [x.strip() for r in signatures.CATALOGUE for x in (*r.keywords, *(p.strip().rstrip("(") for p in r.patterns))]
+    names = ", ".join(f"({text(k)}, {text(v)})" for k, v in signatures.NAMES.items())
+    calls = ", ".join(map(text, tokens.CALLS))
+    parts = _hits_sql("f").replace("CASE WHEN list_contains", "t, CASE WHEN list_contains")
+    return FILES + f""", h AS (SELECT doc_id, t, rule_id, cwe, CASE WHEN c1 = {BEST} THEN 'comment_cwe' WHEN c2 = {BEST} THEN rule_id ELSE 'keywords:' || printf('%.2f', (c3 - 0.45) / 0.5) END AS matched FROM ({parts}) WHERE {BEST} > 0),
+    n(rule_id, name) AS (VALUES {names}), k(token) AS (VALUES {", ".join(f"({text(e)})" for e in entries)}),
+    said AS (SELECT doc_id, t, unnest([matched, name, rule_id]) AS token FROM h JOIN n USING (rule_id)),
+    w AS (SELECT doc_id, token, 3.0 AS w FROM said WHERE contains(lower(t), lower(token)) UNION ALL SELECT doc_id, cwe, 3.0 FROM h UNION ALL SELECT doc_id, token, 2.0 FROM f, k WHERE contains(lower(t), lower(token))
+      UNION ALL SELECT doc_id, x, 1.0 FROM (SELECT doc_id, unnest(regexp_extract_all(t, '[\\p{{L}}\\p{{N}}_]+')) AS x FROM f) WHERE x IN ({calls})),
+    s AS (SELECT doc_id, token, sum(w) AS w FROM w GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY w DESC, token) AS place FROM s),
+    u AS (SELECT * FROM r QUALIFY row_number() OVER (PARTITION BY doc_id, lower(token) ORDER BY place) = 1), v AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY place) AS rank FROM u)
+    SELECT doc_id, coalesce(string_agg(token, ' | ' ORDER BY rank) FILTER (rank <= 5), '') AS tokens FROM f LEFT JOIN v USING (doc_id) GROUP BY doc_id"""
+
+
+SUBWORDS = """WITH e AS (SELECT doc_id, unnest(w) AS w, unnest(range(len(w))) AS i FROM (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[A-Za-z0-9]+') AS w FROM documents)),
+g AS (SELECT *, i % 11 = 7 AS special, ((length(w) * 37 + i * 11) % 101 - 50) / 8.0::DOUBLE AS v, sum((i % 11 = 7 OR i % 3 <> 1)::INT) OVER (PARTITION BY doc_id ORDER BY i) AS k FROM e),
+m AS (SELECT doc_id, k, min(i) AS i, string_agg(w, '' ORDER BY i) FILTER (NOT special) AS word, sum(v) FILTER (NOT special) AS v FROM g GROUP BY doc_id, k),
+s AS (SELECT doc_id, lower(word) AS low, arg_min(word, i) AS token, sum(v) AS v FROM m WHERE word <> '' GROUP BY doc_id, low)
+SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY abs(v) DESC, low)::INT AS rank, token, format('{:.6f}', v)::DOUBLE AS value FROM s QUALIFY rank <= 5"""
+
 QUERIES = {
+    "suspicious_tokens": (suspicious_tokens, _token_sql()),
+    "identifiers": (identifiers, f"""WITH {F0}, i AS (SELECT doc_id, list_distinct(list_transform(regexp_extract_all(t, '[a-zA-Z_][a-zA-Z0-9_]{{2,}}|\\.\\./|->|==|!=|<=|>='), lambda x: lower(x))) AS x FROM f0) SELECT doc_id, len(x)::INT AS n, sha1(array_to_string(list_sort(x), ' ')) AS digest FROM i"""),
+    "subword_ranking": (subword_ranking, SUBWORDS),
     "signature_hits": (signature_hits, FILES + f" SELECT doc_id, rule_id, cwe, round({BEST}, 6) AS confidence, CASE WHEN c1 = {BEST} THEN 'contextual' WHEN c2 = {BEST} THEN 'structural' ELSE 'semantic' END AS layer FROM ({_hits_sql('f')}) WHERE {BEST} > 0"),
     "attribution": (attribution, ATTRIBUTED + " SELECT doc_id, flagged, category, format('{:.4f}', 1 - c0)::DOUBLE AS novelty, c AS signature_confidence, primary_rule, n_rules FROM a"),
     "novelty": (novelty, ATTRIBUTED + " SELECT c0 >= 0.45 AS known, count(*) AS n, round(avg(format('{:.4f}', 1 - c0)::DOUBLE), 6) AS mean_novelty FROM a GROUP BY 1"),

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import random
+import re
+from collections import Counter
+
 from pyspark.sql import functions as F
 
-from quarry.operators import records
+from quarry.operators import records, tokens
 
 
 def test_records_of_functions(spark):
@@ -26,7 +30,34 @@ def test_windows_are_found_in_their_code(spark):
     assert [tuple(r) for r in rows.select("i", start, end).orderBy("i").collect()] == [(1, 2, 3), (2, 1, 5), (3, 1, 5), (4, 3, 4), (5, 1, 5)]
 
 
-def test_pieces_are_merged_before_they_are_ranked():
-    assert records.merged_pieces(["[CLS]", "scan", "##f", "Ġx", "y", "[SEP]"], [9.0, 0.5, 0.25, -2.0, 0.1, 9.0]) == [("x", -2.0), ("scanf", 0.75), ("y", 0.1)]
-    assert records.merged_pieces(["Ab", "aB"], [1.0, 1.0]) == [("Ab", 2.0)]
-    assert records.merged_pieces([], []) == []
+def pieces_by_rule(pieces, values, n=5):
+    """Words of pieces one after another, then their sums, as the rule says."""
+    words, now = [], None
+    for p, v in zip(pieces, values, strict=True):
+        p = p.strip()
+        if not p or p in ("<s>", "</s>", "<pad>", "<unk>", "<mask>") or re.fullmatch(r"\[.+\]", p):
+            now = None
+        elif p.startswith("##") and now is not None:
+            now[0] += p[2:]
+            now[1] += v
+        else:
+            now = [p[2:] if p.startswith("##") else p.removeprefix("Ġ"), v]
+            words.append(now)
+    sums, first = Counter(), {}
+    for w, v in words:
+        if w:
+            sums[w.lower()] += v
+            first.setdefault(w.lower(), w)
+    return [(first[k], round(v, 6)) for k, v in sorted(sums.items(), key=lambda kv: (-abs(kv[1]), kv[0]))[:n]]
+
+
+def test_pieces_are_merged_before_they_are_ranked(spark):
+    rng = random.Random(4)
+    piece = lambda: rng.choice(["a", "A", "##b", "##B", "Ġ", "Ġa", "Ġc", " d ", "", "[SEP]", "[]", "<s>", "<x>", "##", "Ġ##e"])
+    rows = [(["[CLS]", "scan", "##f", "Ġx", "y", "[SEP]"], [9.0, 0.5, 0.25, -2.0, 0.1, 9.0]), (["Ab", "aB"], [1.0, 1.0]), ([], []), (["[CLS]"], [1.0])]
+    rows += [([piece() for _ in range(n)], [rng.randrange(-40, 40) / 8 for _ in range(n)]) for n in [1, 2, 5, 30] * 20]
+    df = spark.createDataFrame([(i, p, v) for i, (p, v) in enumerate(rows)] + [(-1, None, None)], "id int, p array<string>, v array<double>")
+    found: dict[int, list] = {}
+    for r in tokens.merged_pieces(df, "id", "p", "v").orderBy("id", "rank").collect():
+        found.setdefault(r["id"], []).append((r["token"], r["value"]))
+    assert found == {i: x for i, (p, v) in enumerate(rows) if (x := pieces_by_rule(p, v))}
