@@ -54,8 +54,10 @@ NAMES = {
     "heap_overflow": "Heap-based buffer overflow", "format_string": "Format string vulnerability", "sql_injection": "SQL injection", "command_injection": "OS command injection", "path_traversal": "Path traversal",
     "race_condition_toctou": "Race condition (TOCTOU)", "use_after_free": "Use after free", "hardcoded_credentials": "Hard-coded credentials", "crypto_weak": "Weak cryptography", "auth_bypass": "Authentication bypass",
 }
-#: Fixed value: what a hit by a comment says that it matched.
-COMMENT = "comment_cwe"
+#: What a hit by a comment or by keywords says that it matched.
+COMMENT, KEYWORDS = "comment_cwe", "keywords:"
+#: Without these there are no hints in comments.
+HINTS = ("cwe", "cve")
 HITS = "array<struct<confidence:double,layer:string,rule:int,rule_id:string,cwe:string,matched_on:string>>"
 
 
@@ -76,7 +78,7 @@ def entries(rule: Rule) -> list[str]:
 @lru_cache
 def terms(rules: tuple[Rule, ...] = CATALOGUE) -> tuple[str, ...]:
     """All strings that rules look for in lower-cased code, with their ids and names; a term's number is its place."""
-    found = {COMMENT}
+    found = {COMMENT, KEYWORDS, *HINTS}
     for r in rules:
         found |= {r.rule_id.lower(), NAMES.get(r.rule_id, r.rule_id).lower(), *r.patterns, *r.require_any, *(k.lower() for k in r.keywords), *(t.lower() for t in entries(r))}
     return tuple(sorted(t for t in found if t))
@@ -125,30 +127,38 @@ def near_confidence(similarity: Column) -> Column:
     return F.when(similarity >= NEAR, F.least(F.lit(NEAR_MOST), NEAR_BASE + NEAR_STEP * similarity))
 
 
-def hits(code: Column, terms_in: Column, rules: tuple[Rule, ...] = CATALOGUE) -> Column:
-    """The rules that code hits, each with its surest layer (of equals the first of contextual, structural, semantic), the surest first.
+def with_hits(rows: DataFrame, code: str, rules: tuple[Rule, ...] = CATALOGUE, hits: str = "hits", terms_in: str = "terms_in") -> DataFrame:
+    """rows with terms_in, the numbers of the terms() that occur, and hits: the rules that code hits, the surest first.
 
-    terms_in: present() of the code, best a column of its own. All rules are one projection over a text; no join of texts
-    with rules. Of equals, rules whose first layer comes earlier go first, then those that stand first in the catalogue.
+    Each rule counts with its surest layer (of equals the first of contextual, structural, semantic). Of equally sure
+    rules, those whose first layer comes earlier go first, then those that stand first in the catalogue. All rules are one
+    projection over a text, in steps that are columns of their own so that none is computed twice; there is no join of
+    texts with rules. Null code has no hits.
     """
-    cwes, _ = comment_hints(code)
     number = {t: i for i, t in enumerate(terms(rules))}
     has = lambda term: F.array_contains(terms_in, number[term]) if term else F.lit(True)
-    found = []
-    for i, r in enumerate(rules):
-        share = semantic(r, has)
-        layers = [
-            ("contextual", F.when(F.array_contains(cwes, r.cwe), CONTEXTUAL), F.lit(COMMENT)),
-            ("structural", F.when(structural(code, r, has), STRUCTURAL), F.lit(r.rule_id)),
-            ("semantic", F.when(share >= SHARE, F.least(F.lit(SHARE_MOST), SHARE_BASE + SHARE_STEP * share)), F.concat(F.lit("keywords:"), F.format_number(share, 2))),
-        ]
-        best = F.greatest(*[c for _, c, _ in layers])
-        layer = F.coalesce(*[F.when(c == best, F.lit(name)) for name, c, _ in layers])
-        on = F.coalesce(*[F.when(c == best, text) for _, c, text in layers])
-        first = F.coalesce(*[F.when(c.isNotNull(), F.lit(k)) for k, (_, c, _) in enumerate(layers)])
-        hit = F.struct(best.alias("confidence"), layer.alias("layer"), F.lit(i).alias("rule"), F.lit(r.rule_id).alias("rule_id"), F.lit(r.cwe).alias("cwe"), on.alias("matched_on"))
-        found.append(F.when(best.isNotNull(), F.struct((-best).alias("c"), first.alias("l"), F.lit(i).alias("r"), hit.alias("h"))))
-    return F.transform(F.array_sort(F.filter(F.array(*found), lambda h: h.isNotNull())), lambda x: x["h"])
+    none = F.array().cast("array<string>")
+    hinted = F.when(has(HINTS[0]) | has(HINTS[1]), comment_hints(F.col(code))[0]).otherwise(none)
+    layers = [
+        F.struct(F.when(F.array_contains("__cwes", r.cwe), CONTEXTUAL).alias("c0"), F.when(structural(F.col(code), r, has), STRUCTURAL).alias("c1"), semantic(r, has).alias("share"))
+        for r in rules
+    ]
+    ids, cwes = (F.array(*map(F.lit, x)) for x in ([r.rule_id for r in rules], [r.cwe for r in rules]))
+
+    def rated(x: Column, i: Column) -> Column:
+        c2 = F.when(x["share"] >= SHARE, F.least(F.lit(SHARE_MOST), SHARE_BASE + SHARE_STEP * x["share"]))
+        return F.struct(x["c0"].alias("c0"), x["c1"].alias("c1"), c2.alias("c2"), x["share"].alias("share"), i.alias("rule"), F.greatest(x["c0"], x["c1"], c2).alias("best"))
+
+    def hit(x: Column) -> Column:
+        by = lambda *v: F.when(x["c0"] == x["best"], v[0]).when(x["c1"] == x["best"], v[1]).otherwise(v[2])
+        rule_id = F.element_at(ids, x["rule"] + 1)
+        first = F.when(x["c0"].isNotNull(), 0).when(x["c1"].isNotNull(), 1).otherwise(2)
+        found = F.struct(x["best"].alias("confidence"), by(F.lit("contextual"), F.lit("structural"), F.lit("semantic")).alias("layer"), x["rule"].alias("rule"), rule_id.alias("rule_id"), F.element_at(cwes, x["rule"] + 1).alias("cwe"), by(F.lit(COMMENT), rule_id, F.concat(F.lit(KEYWORDS), F.format_number(x["share"], 2))).alias("matched_on"))
+        return F.struct((-x["best"]).alias("c"), first.alias("l"), x["rule"].alias("r"), found.alias("h"))
+
+    out = rows.withColumn(terms_in, present(F.col(code), rules)).withColumn("__cwes", hinted).withColumn("__layers", F.array(*layers))
+    out = out.withColumn("__rated", F.filter(F.transform("__layers", rated), lambda x: x["best"].isNotNull()))
+    return out.withColumn(hits, F.transform(F.array_sort(F.transform("__rated", hit)), lambda x: x["h"])).drop("__cwes", "__layers", "__rated")
 
 
 def attributed(segments: DataFrame, key: str, code: str, flagged: DataFrame, rules: tuple[Rule, ...] = CATALOGUE) -> DataFrame:
@@ -156,7 +166,7 @@ def attributed(segments: DataFrame, key: str, code: str, flagged: DataFrame, rul
 
     category, novelty (1 less the confidence) and signature_confidence, both of four digits, primary rule and the number of rules.
     """
-    rows = segments.select(key, F.col(code).alias("__code"), present(F.col(code), rules).alias("__in")).select(key, F.explode(hits(F.col("__code"), F.col("__in"), rules)).alias("h")).select(key, "h.*")
+    rows = with_hits(segments.select(key, F.col(code).alias("__code")), "__code", rules).select(key, F.explode("hits").alias("h")).select(key, "h.*")
     best = rows.groupBy(key, "rule_id").agg(F.max("confidence").alias("confidence"), F.first("rule").alias("rule"))
     by = best.groupBy(key).agg(F.count("*").alias("n_rules"), F.max(F.struct("confidence", (-F.col("rule")).alias("r"), "rule_id")).alias("x"))
     out = flagged.join(by, key, "left")

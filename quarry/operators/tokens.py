@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from quarry.functions import scores as S
 from quarry.operators import signatures
-from quarry.operators.signatures import CATALOGUE, COMMENT, NAMES, Rule
+from quarry.operators.signatures import CATALOGUE, COMMENT, KEYWORDS, NAMES, Rule
 
 #: Weights of what a hit says, of a term of the catalogue and of a function's name; the names; how many tokens are shown.
 HIT, TERM, CALL, TOP = 3.0, 2.0, 1.0, 5
@@ -28,15 +28,15 @@ def identifiers(code: Column) -> Column:
     return F.array_distinct(F.transform(F.regexp_extract_all(F.coalesce(code, F.lit("")), F.lit(TOKEN), F.lit(0)), F.lower))
 
 
-def top_tokens(code: Column, terms_in: Column, hits: Column, n: int = TOP, rules: tuple[Rule, ...] = CATALOGUE) -> Column:
-    """The n tokens of the largest weight, ties in code-point order; of spellings that differ in case only, the first.
+def with_top_tokens(rows: DataFrame, code: str, n: int = TOP, rules: tuple[Rule, ...] = CATALOGUE, out: str = "tokens") -> DataFrame:
+    """rows of signatures.with_hits() with `tokens`: the n of the largest weight, ties in code-point order; of spellings that differ in case only, the first.
 
     A hit weighs HIT for each of what it matched on, its rule's name and id that occur in the code, and for its CWE; each
-    entry of the catalogue that occurs weighs TERM, each call of a dangerous function CALL. terms_in: signatures.present()
-    of the code, hits: signatures.hits(). Blank and null code has no tokens.
+    entry of the catalogue that occurs weighs TERM, each call of a dangerous function CALL. Blank and null code has no
+    tokens. Steps are columns of their own, so that none is computed for each token anew.
     """
     number = {t: i for i, t in enumerate(signatures.terms(rules))}
-    has = lambda term: F.array_contains(terms_in, number[term.lower()])
+    has = lambda term: F.array_contains("terms_in", number[term.lower()])
     entry = lambda token, weight: F.struct(token.alias("token"), F.lit(weight).alias("weight"))
     # An entry that several rules have weighs once for each of them.
     weights: dict[str, float] = {}
@@ -44,27 +44,24 @@ def top_tokens(code: Column, terms_in: Column, hits: Column, n: int = TOP, rules
         for token in signatures.entries(r):
             if len(token) >= 2:
                 weights[token] = weights.get(token, 0.0) + TERM
-    some = F.filter(F.array(*[F.when(has(t), entry(F.lit(t), w)) for t, w in weights.items()]), lambda x: x.isNotNull())
-    low = F.lower(code)
     names = F.create_map(*[F.lit(x) for r in rules for x in (r.rule_id, NAMES.get(r.rule_id, r.rule_id))])
     named = F.array(*[F.when(has(t), F.lit(t)) for r in rules for t in (r.rule_id, NAMES.get(r.rule_id, r.rule_id))], F.when(has(COMMENT), F.lit(COMMENT)))
 
     def said(h: Column) -> Column:
         on = h["matched_on"]
-        there = lambda x: F.when(F.array_contains(named, x), entry(x, HIT))
-        other = F.when(on.startswith("keywords:") & F.contains(low, on), entry(on, HIT))
-        return F.filter(F.array(F.coalesce(there(on), other), there(names[h["rule_id"]]), there(h["rule_id"]), entry(h["cwe"], HIT)), lambda x: x.isNotNull())
-
-    calls = F.transform(F.regexp_extract_all(code, F.lit(f"(?<!{WORD})(?:{'|'.join(CALLS)})(?!{WORD})"), F.lit(0)), lambda x: entry(x, CALL))
-    return F.when(F.trim(F.regexp_replace(code, r"(?U)[\s\x1c-\x1f]+", " ")) != "", ranked(F.concat(F.flatten(F.transform(hits, said)), some, calls), n)).otherwise(F.array().cast("array<string>"))
-
-
-def ranked(weighted: Column, n: int) -> Column:
-    """The tokens of an array of (token, weight) by the sum of their weights, then by name; the first spelling of each, n at most."""
-    sums = F.transform(F.array_distinct(F.transform(weighted, lambda x: x["token"])), lambda t: F.struct((-F.aggregate(F.filter(weighted, lambda x: x["token"] == t), F.lit(0.0), lambda a, x: a + x["weight"])).alias("w"), t.alias("t")))
-    order = F.transform(F.array_sort(sums), lambda x: x["t"])
-    firsts = F.filter(order, lambda t, i: F.array_position(F.transform(order, F.lower), F.lower(t)) == i + 1)
-    return F.slice(firsts, 1, n)
+        there = lambda x: F.when(F.array_contains("__named", x), entry(x, HIT))
+        share = F.when(has(KEYWORDS) & on.startswith(KEYWORDS) & F.contains(F.lower(F.col(code)), on), entry(on, HIT))
+        return F.array(F.coalesce(there(on), share), there(names[h["rule_id"]]), there(h["rule_id"]), entry(h["cwe"], HIT))
+
+    calls = F.transform(F.regexp_extract_all(F.col(code), F.lit(f"(?<!{WORD})(?:{'|'.join(CALLS)})(?!{WORD})"), F.lit(0)), lambda x: entry(x, CALL))
+    some = F.array(*[F.when(has(t), entry(F.lit(t), w)) for t, w in weights.items()])
+    told = F.concat(F.flatten(F.transform("hits", said)), some, F.coalesce(calls, F.array().cast("array<struct<token:string,weight:double>>")))
+    wide = rows.withColumn("__named", named).withColumn("__told", F.filter(told, lambda x: x.isNotNull()))
+    total = lambda t: F.aggregate(F.filter("__told", lambda x: x["token"] == t), F.lit(0.0), lambda a, x: a + x["weight"])
+    wide = wide.withColumn("__names", F.array_distinct(F.transform("__told", lambda x: x["token"])))
+    wide = wide.withColumn("__order", F.transform(F.array_sort(F.transform("__names", lambda t: F.struct((-total(t)).alias("w"), t.alias("t")))), lambda x: x["t"]))
+    firsts = F.filter("__order", lambda t, i: F.array_position(F.transform("__order", F.lower), F.lower(t)) == i + 1)
+    return wide.withColumn(out, F.when(F.rlike(F.col(code), F.lit(r"(?U)[^\s\x1c-\x1f]")), F.slice(firsts, 1, n)).otherwise(F.array().cast("array<string>"))).drop("__named", "__told", "__names", "__order")
 
 
 def merged_pieces(rows: DataFrame, key: str, pieces: str, values: str, n: int = TOP) -> DataFrame:

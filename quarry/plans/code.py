@@ -17,13 +17,8 @@ def files(spark: SparkSession, sf: str) -> DataFrame:
     return d.select("doc_id", snippets.code(F.col("doc_id"), F.col("text")).alias("code"), ((F.col("n_chars") * 7) % 1001 / 1000.0).alias("score"), ((F.col("n_chars") * 3) % 1001 / 1000.0).alias("top_window"), (F.col("doc_id") % 2).cast("int").alias("label"))
 
 
-def _with_hits(rows: DataFrame) -> DataFrame:
-    """rows with terms_in and hits of their code."""
-    return rows.withColumn("terms_in", signatures.present(F.col("code"))).withColumn("hits", signatures.hits(F.col("code"), F.col("terms_in")))
-
-
 def signature_hits(spark, sf):
-    h = _with_hits(files(spark, sf)).select("doc_id", F.explode("hits").alias("h"))
+    h = signatures.with_hits(files(spark, sf), "code").select("doc_id", F.explode("hits").alias("h"))
     return h.select("doc_id", "h.rule_id", "h.cwe", F.round("h.confidence", 6).alias("confidence"), "h.layer")
 
 
@@ -66,8 +61,7 @@ def boost_replay(spark, sf):
 
 def suspicious_tokens(spark, sf):
     """The five most suspicious tokens of each file, by its hits, the catalogue and dangerous calls."""
-    top = tokens.top_tokens(F.col("code"), F.col("terms_in"), F.col("hits"))
-    return _with_hits(files(spark, sf)).select("doc_id", F.array_join(top, " | ").alias("tokens"))
+    return tokens.with_top_tokens(signatures.with_hits(files(spark, sf), "code"), "code").select("doc_id", F.array_join("tokens", " | ").alias("tokens"))
 
 
 def identifiers(spark, sf):

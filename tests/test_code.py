@@ -70,7 +70,7 @@ def test_signatures_of_whole_files(spark):
         (7, None, None),
     ]
     df = spark.createDataFrame(rows, "id long, code string, expected string")
-    for r in df.select("id", "expected", signatures.hits(F.col("code"), signatures.present(F.col("code"))).alias("h")).collect():
+    for r in signatures.with_hits(df, "code", hits="h").collect():
         assert (max(r["h"], key=lambda h: h["confidence"])["rule_id"] if r["h"] else None) == r["expected"], r
     cwes, cves = T.comment_hints(F.lit("cwe 79, CWE-0079 CVE 2018-12345 CWE_1"))
     assert tuple(spark.range(1).select(cwes, cves).first()) == (["CWE-79"], ["CVE-2018-12345"])
