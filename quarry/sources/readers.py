@@ -26,8 +26,10 @@ def json_lines(spark: SparkSession, path: str, schema: str, split: str | None =
 
 
 def csv_rows(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """Rows of a CSV file with a header; quoted values may go over lines, quotes in them are doubled."""
-    return spark.read.schema(schema).csv(path, header=True, multiLine=True, quote='"', escape='"')
+    """Rows of a CSV file with a header; quoted values may go over lines, quotes in them are doubled. Read in splits."""
+    from quarry.sources import csv_splits
+
+    return csv_splits.csv_rows(spark, path, schema)
 
 
 def without_nan(rows: DataFrame) -> DataFrame:

@@ -2,7 +2,12 @@
 
 from __future__ import annotations
 
-from quarry.sources import readers, writers
+import random
+from collections import Counter
+
+import pytest
+
+from quarry.sources import csv_splits, readers, writers
 
 
 def test_dump_fields():
@@ -45,3 +50,44 @@ def test_shards_and_chunks(spark, tmp_path):
     rows.write.parquet(str(tmp_path / "train_windowed.parquet"))
     shard = readers.shard(spark, str(tmp_path), "train", ["id", "missing"])
     assert shard.columns == ["id", "missing"] and shard.filter("missing IS NULL").count() == 50
+
+
+def awkward_csv(seed: int) -> str:
+    """Records with breaks, doubled quotes, commas and blank lines in values, some longer than many splits."""
+    rng = random.Random(seed)
+    quoted = lambda t: '"' + t.replace('"', '""') + '"'
+    value = lambda: "".join(rng.choice(['"', '""', "\n", "\r\n", ",", "a", "é", "😀", "word ", "\n\n", '"\n"']) for _ in range(rng.choice([0, 1, 3, 10, 60])))
+    out = ['id,text,"na\nme"']
+    for i in range(900):
+        text = value() if i % 90 else "x\n" * 4000 + '"' * 3
+        out.append(f"{i},{quoted(text)},{rng.choice([quoted(value()), 'plain', '', quoted('')])}")
+        if rng.random() < 0.1:
+            out.append("")
+    return "\n".join(out) + rng.choice(["", "\n"])
+
+
+@pytest.mark.parametrize("size", ["700b", "5k", "64m"])
+def test_quoted_csv_is_read_in_splits(spark, tmp_path, size):
+    """Equal to the reader that takes a file as one task, however its splits fall; two files, each with its header."""
+    for k in range(2):
+        (tmp_path / f"{k}.csv").write_bytes(awkward_csv(k).encode())
+    schema = "id int, text string, name string"
+    expected = spark.read.schema(schema).csv(str(tmp_path), header=True, multiLine=True, quote='"', escape='"')
+    old = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+    spark.conf.set("spark.sql.files.openCostInBytes", "1")
+    try:
+        n = csv_splits._lines(spark, str(tmp_path)).rdd.getNumPartitions()
+        got = Counter(map(tuple, csv_splits.csv_rows(spark, str(tmp_path), schema).collect()))
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+    assert n > 50 or size == "64m"
+    assert got == Counter(map(tuple, expected.collect())) and sum(got.values()) == 1800
+
+
+def test_csv_without_an_end(spark, tmp_path):
+    (tmp_path / "a.csv").write_text('a,b\n1,"x\ny\n2,z\n')
+    assert [r["value"] for r in csv_splits.records(spark, str(tmp_path)).filter("not head").collect()] == ['1,"x\ny\n2,z']
+    (tmp_path / "a.csv").write_text("")
+    assert csv_splits.csv_rows(spark, str(tmp_path), "a int").count() == 0
