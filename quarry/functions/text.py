@@ -81,10 +81,24 @@ def first_cve(*values: Column) -> Column:
     return F.coalesce(*[F.when(x != "", x) for x in found])
 
 
+#: How dates are written besides ISO forms; those with a day before the month come after those with a month first.
+DATE_FORMATS = [
+    "yyyy-M-d'T'H:mmXXX", "yyyy-M-d H:mm:ss Z", "yyyy-M-d H:mm Z", "yyyy/M/d[ H:mm[:ss]]", "M/d/yyyy[ H:mm[:ss]]", "d/M/yyyy[ H:mm[:ss]]", "d.M.yyyy[ H:mm[:ss]]", "d MMM yyyy H:mm:ss Z", "d MMM yyyy[ H:mm[:ss]]", "d MMMM yyyy[ H:mm[:ss]]",
+    "MMM d H:mm:ss yyyy Z", "MMM d H:mm:ss yyyy", "MMM d, yyyy[ H:mm[:ss]]", "MMMM d, yyyy[ H:mm[:ss]]", "MMM d yyyy", "yyyyMMdd", "yyyyMMdd'T'HHmmss",
+]
+
+
+def instant(t: Column) -> Column:
+    """A time from trimmed text: ISO forms first, then DATE_FORMATS, a weekday before them left out; UTC where no zone is named. Null for others."""
+    day = F.regexp_replace(F.regexp_replace(t, r"^(?i:mon|tue|wed|thu|fri|sat|sun)[a-z]*,?\s+", ""), " +", " ")
+    tried = F.transform(F.array(*map(F.lit, DATE_FORMATS)), lambda f: F.try_to_timestamp(day, f))
+    return F.coalesce(F.try_to_timestamp(t), F.get(F.filter(tried, lambda x: x.isNotNull()), 0))
+
+
 def year_and_date(c: Column) -> tuple[Column, Column]:
     """Year and day (YYYY-MM-DD) of a date as text, in UTC; null where it can't be read or lies outside 1990 to 2030."""
     t = strip(c)
-    at = F.coalesce(F.try_to_timestamp(F.when(~F.lower(t).isin("", "nan", "none", "null"), t)))
+    at = instant(F.when(~F.lower(t).isin("", "nan", "none", "null"), t))
     good = F.year(at).between(1990, 2030)
     return F.when(good, F.year(at)), F.when(good, F.date_format(at, "yyyy-MM-dd"))
 
@@ -98,7 +112,7 @@ def commit_key(commit: Column, row: Column) -> Column:
 def tolerant_timestamp(c: Column) -> Column:
     """A time from text: 10 to 13 digits are seconds since 1970 (the first ten count), else a date; null if neither."""
     t = strip(c)
-    return F.when(t.rlike(r"^\d{10,13}$"), F.timestamp_seconds(F.substring(t, 1, 10).try_cast("long"))).otherwise(F.try_to_timestamp(t))
+    return F.when(t.rlike(r"^\d{10,13}$"), F.timestamp_seconds(F.substring(t, 1, 10).try_cast("long"))).otherwise(instant(t))
 
 
 def description(c: Column) -> Column:

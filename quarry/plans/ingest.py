@@ -74,29 +74,6 @@ def read_dump(spark, sf):
     return _digests(got.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "lang", F.col("n_chars").cast("long").alias("n_chars")))
 
 
-def read_patches(spark, sf):
-    """Patches of 40 commits, written as files, and the runs of lines that they remove."""
-    d = spark.range(40)
-    name = F.when(F.col("id") % 3 == 0, "b/src/a.c").when(F.col("id") % 3 == 1, "b/x.py").otherwise("b/inc/B.HPP")
-    run = lambda n: F.array_join(F.transform(F.sequence(F.lit(1), n), lambda i: F.concat(F.lit("-  removed "), i.cast("string"))), "\n")
-    text = F.concat(F.lit("diff --git a/f "), name, F.lit("\n--- a/f\n+++ b/f\n@@ -1 +1 @@\n"), run((F.col("id") % 5 + 1).cast("int")), F.lit("\n+new\n"), run(F.lit(3)), F.lit("\n same\n-one\n"))
-    path = shared(spark, "patches")
-    d.select(F.concat(F.lit("c"), F.col("id").cast("string")).alias("commit"), text.alias("text")).write.partitionBy("commit").option("lineSep", "\n").text(f"{path}/all")
-    found = spark.read.text(f"{path}/all", wholetext=True).select(F.regexp_extract("_metadata.file_path", "commit=([^/]+)", 1).alias("commit"), F.col("value").alias("text"))
-    rows = found.select("commit", F.posexplode(readers_runs(F.col("text"))).alias("n", "r"))
-    return rows.select("commit", "n", F.col("r.file").alias("file"), F.length("r.code").alias("n_chars"))
-
-
-def readers_runs(text):
-    """removed_runs as a column."""
-
-    @F.pandas_udf("array<struct<file:string,code:string>>")
-    def runs(texts):
-        return texts.map(lambda t: [{"file": f, "code": c} for f, c in readers.removed_runs(t or "")])
-
-    return runs(text)
-
-
 def read_table_report(spark, sf):
     """A table with bars, written line by line and read as rows."""
     n = spark.read.parquet(f"{sf}/nation.parquet")
@@ -265,7 +242,6 @@ QUERIES = {
     "read_parquet_columns": (read_parquet_columns, "SELECT doc_id, CASE WHEN doc_id % 5 > 0 THEN n_chars / 8::DOUBLE END AS x FROM documents"),
     "read_packed_text": (read_packed_text, "SELECT substring(l, 1, 1) AS letter, count(*) AS n, sum(length(l))::BIGINT AS chars FROM (SELECT regexp_replace(text, '[\\n\\r]', ' ', 'g') AS l FROM documents WHERE text IS NOT NULL) GROUP BY 1"),
     "read_dump": (read_dump, ROWS),
-    "read_patches": (read_patches, "SELECT 'c' || i AS commit, row_number() OVER (PARTITION BY i ORDER BY p)::INT - 1 AS n, CASE i % 3 WHEN 0 THEN 'src/a.c' ELSE 'inc/B.HPP' END AS file, len(array_to_string(list_transform(range(1, k + 1), lambda j: 'removed ' || j), E'\\n  '))::INT AS n_chars FROM (SELECT i, p, CASE p WHEN 0 THEN i % 5 + 1 ELSE 3 END AS k FROM range(40) r(i), range(2) s(p)) WHERE i % 3 <> 1 AND k >= 3"),
     "read_table_report": (read_table_report, "SELECT n_name AS name, n_regionkey AS key FROM nation"),
     "chunk_round_trip": (chunk_round_trip, ROWS),
     "split_round_trip": (split_round_trip, "SELECT split, count(*) AS n, sum(doc_id)::BIGINT AS ids FROM (SELECT doc_id, CASE WHEN doc_id % 10 < 7 THEN 'train' WHEN doc_id % 10 < 9 THEN 'valid' WHEN lang = 'en' THEN 'test' END AS split FROM documents) WHERE split IS NOT NULL GROUP BY split"),

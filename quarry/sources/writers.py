@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Iterable, Iterator
+
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarry.sources.readers import without_nan
@@ -27,6 +30,36 @@ def json_lines(rows: DataFrame, path: str) -> None:
     finite.select(*[F.when(~inf(c), F.col(f"`{c}`")).alias(c) if k in ("float", "double") else F.col(f"`{c}`") for c, k in kinds.items()]).write.json(path)
 
 
+def named_files(rows: DataFrame, folder: str) -> int:
+    """A file for each row (name, text) of a table of small files; how many there are."""
+    from quarry.sources.datasource import opened
+
+    def put(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        system, place = opened(folder)
+        n = 0
+        for batch in batches:
+            for name, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                with system.open_output_stream(f"{place}/{name}") as file:
+                    file.write((text.as_py() or "").encode())
+                n += 1
+        yield pa.RecordBatch.from_pydict({"n": pa.array([n], pa.int64())})
+
+    system, place = opened(folder)
+    system.create_dir(place, recursive=True)
+    return rows.select("name", "text").mapInArrow(put, "n long").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+
+
+def renamed(spark: SparkSession, folder: str, target: str, name: str) -> int:
+    """Moves the part files of a folder to `target` as {name with {} as a number}; how many there were."""
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    system = path(folder).getFileSystem(spark._jsc.hadoopConfiguration())
+    system.mkdirs(path(target))
+    parts = sorted(f.getPath().getName() for f in system.listStatus(path(folder)) if f.getPath().getName().startswith("part-"))
+    for i, part in enumerate(parts):
+        system.rename(path(f"{folder}/{part}"), path(f"{target}/{name.format(i)}"))
+    return len(parts)
+
+
 def curve(rows: DataFrame, path: str, best: DataFrame) -> None:
     """A curve of bounded size as one CSV file, and the chosen row as one text file."""
     rows.coalesce(1).write.csv(f"{path}/curve", header=True)
