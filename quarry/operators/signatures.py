@@ -6,6 +6,7 @@ from collections.abc import Callable
 from dataclasses import dataclass
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -127,10 +128,34 @@ def near_confidence(similarity: Column) -> Column:
     return F.when(similarity >= NEAR, F.least(F.lit(NEAR_MOST), NEAR_BASE + NEAR_STEP * similarity))
 
 
-def with_hits(rows: DataFrame, code: str, rules: tuple[Rule, ...] = CATALOGUE, hits: str = "hits", terms_in: str = "terms_in") -> DataFrame:
+def similarities(embedding: Column, prototypes: dict[str, list[float]], rules: tuple[Rule, ...] = CATALOGUE) -> Column:
+    """The cosine of a vector and each rule's prototype, in the order of rules; null where a rule has none or one of both has no length.
+
+    Prototypes are a catalogue's, so there are no more than its rules; all of them are one matrix product over a batch.
+    """
+    own = [r.rule_id for r in rules]
+    missing = [r not in prototypes for r in own]
+    size = max((len(v) for v in prototypes.values()), default=0)
+    matrix = np.array([prototypes.get(r, [0.0] * size) for r in own], np.float64).reshape(len(own), size)
+
+    @F.arrow_udf("array<double>")
+    def cosines(vectors: pa.Array) -> pa.Array:
+        good = [v.is_valid and len(v.as_py()) == size for v in vectors]
+        x = np.array([v.as_py() if g else [0.0] * size for v, g in zip(vectors, good, strict=True)], np.float64).reshape(len(good), size)
+        norms = np.linalg.norm(x, axis=1)[:, None] * np.linalg.norm(matrix, axis=1)[None, :]
+        none = (np.linalg.norm(x, axis=1) < 1e-9)[:, None] | (np.linalg.norm(matrix, axis=1) < 1e-9)[None, :] | np.array(missing)[None, :]
+        found = np.where(none, 0.0, (x @ matrix.T) / np.where(none, 1.0, norms))
+        flat = pa.array(found.ravel(), pa.float64(), mask=none.ravel())
+        return pa.ListArray.from_arrays(pa.array(np.arange(0, found.size + 1, len(own)), pa.int32()), flat)
+
+    return cosines(embedding)
+
+
+def with_hits(rows: DataFrame, code: str, rules: tuple[Rule, ...] = CATALOGUE, hits: str = "hits", terms_in: str = "terms_in", embedding: str | None = None, prototypes: dict[str, list[float]] | None = None) -> DataFrame:
     """rows with terms_in, the numbers of the terms() that occur, and hits: the rules that code hits, the surest first.
 
-    Each rule counts with its surest layer (of equals the first of contextual, structural, semantic). Of equally sure
+    Layers are contextual, structural and semantic, and, where rows have an embedding and rules prototypes, embedding: a
+    vector near a rule's prototype. Each rule counts with its surest layer (of equals the first of these). Of equally sure
     rules, those whose first layer comes earlier go first, then those that stand first in the catalogue. All rules are one
     projection over a text, in steps that are columns of their own so that none is computed twice; there is no join of
     texts with rules. Null code has no hits.
@@ -147,18 +172,21 @@ def with_hits(rows: DataFrame, code: str, rules: tuple[Rule, ...] = CATALOGUE, h
 
     def rated(x: Column, i: Column) -> Column:
         c2 = F.when(x["share"] >= SHARE, F.least(F.lit(SHARE_MOST), SHARE_BASE + SHARE_STEP * x["share"]))
-        return F.struct(x["c0"].alias("c0"), x["c1"].alias("c1"), c2.alias("c2"), x["share"].alias("share"), i.alias("rule"), F.greatest(x["c0"], x["c1"], c2).alias("best"))
+        near = F.get("__near", i)
+        c3 = near_confidence(near)
+        return F.struct(x["c0"].alias("c0"), x["c1"].alias("c1"), c2.alias("c2"), x["share"].alias("share"), near.alias("near"), i.alias("rule"), F.greatest(x["c0"], x["c1"], c2, c3).alias("best"))
 
     def hit(x: Column) -> Column:
-        by = lambda *v: F.when(x["c0"] == x["best"], v[0]).when(x["c1"] == x["best"], v[1]).otherwise(v[2])
+        by = lambda *v: F.when(x["c0"] == x["best"], v[0]).when(x["c1"] == x["best"], v[1]).when(x["c2"] == x["best"], v[2]).otherwise(v[3])
         rule_id = F.element_at(ids, x["rule"] + 1)
-        first = F.when(x["c0"].isNotNull(), 0).when(x["c1"].isNotNull(), 1).otherwise(2)
-        found = F.struct(x["best"].alias("confidence"), by(F.lit("contextual"), F.lit("structural"), F.lit("semantic")).alias("layer"), x["rule"].alias("rule"), rule_id.alias("rule_id"), F.element_at(cwes, x["rule"] + 1).alias("cwe"), by(F.lit(COMMENT), rule_id, F.concat(F.lit(KEYWORDS), F.format_number(x["share"], 2))).alias("matched_on"))
+        first = F.when(x["c0"].isNotNull(), 0).when(x["c1"].isNotNull(), 1).when(x["c2"].isNotNull(), 2).otherwise(3)
+        found = F.struct(x["best"].alias("confidence"), by(F.lit("contextual"), F.lit("structural"), F.lit("semantic"), F.lit("embedding")).alias("layer"), x["rule"].alias("rule"), rule_id.alias("rule_id"), F.element_at(cwes, x["rule"] + 1).alias("cwe"), by(F.lit(COMMENT), rule_id, F.concat(F.lit(KEYWORDS), F.format_number(x["share"], 2)), F.concat(F.lit("cosine:"), F.format_number(x["near"], 3))).alias("matched_on"))
         return F.struct((-x["best"]).alias("c"), first.alias("l"), x["rule"].alias("r"), found.alias("h"))
 
     out = rows.withColumn(terms_in, present(F.col(code), rules)).withColumn("__cwes", hinted).withColumn("__layers", F.array(*layers))
+    out = out.withColumn("__near", similarities(F.col(embedding), prototypes or {}, rules) if embedding else F.array().cast("array<double>"))
     out = out.withColumn("__rated", F.filter(F.transform("__layers", rated), lambda x: x["best"].isNotNull()))
-    return out.withColumn(hits, F.transform(F.array_sort(F.transform("__rated", hit)), lambda x: x["h"])).drop("__cwes", "__layers", "__rated")
+    return out.withColumn(hits, F.transform(F.array_sort(F.transform("__rated", hit)), lambda x: x["h"])).drop("__cwes", "__layers", "__near", "__rated")
 
 
 def attributed(segments: DataFrame, key: str, code: str, flagged: DataFrame, rules: tuple[Rule, ...] = CATALOGUE) -> DataFrame:
@@ -173,3 +201,27 @@ def attributed(segments: DataFrame, key: str, code: str, flagged: DataFrame, rul
     confidence = F.coalesce("x.confidence", F.lit(0.0))
     kind = S.category(F.col("flagged"), confidence >= KNOWN)
     return out.select(*flagged.columns, kind.alias("category"), S.rounded(1 - confidence, 4).alias("novelty"), S.rounded(confidence, 4).alias("signature_confidence"), F.col("x.rule_id").alias("primary_rule"), F.coalesce("n_rules", F.lit(0)).alias("n_rules"))
+
+
+def by_window(segments: DataFrame, key: str, number: str, window: str, code: str, rules: tuple[Rule, ...] = CATALOGUE, embedding: str | None = None, prototypes: dict[str, list[float]] | None = None) -> DataFrame:
+    """One row a function (key, matches, windows): the best hit of each rule over its segments, and the hits of each window, from one scan.
+
+    A segment has a number, the order in which it is looked at, and a window's index or null (the whole function). matches
+    are the surest first, of equals in the order in which their rules first came up; of a rule's equally sure hits the
+    first counts. windows has (window_index, hits) for windows with hits, each hit once, by index. A row holds the segments
+    of one function.
+    """
+    rows = segments.select(key, F.col(number).alias("no"), F.col(window).alias("window"), F.col(code).alias("code"), *([F.col(embedding).alias("__vector")] if embedding else []))
+    found = with_hits(rows, "code", rules, embedding="__vector" if embedding else None, prototypes=prototypes).groupBy(key).agg(F.array_sort(F.collect_list(F.struct("no", "window", "hits"))).alias("s"))
+    each = F.flatten(F.transform("s", lambda s: F.transform(s["hits"], lambda h, i: F.struct(s["no"].alias("no"), i.alias("i"), h.alias("h")))))
+    found = found.withColumn("e", each).withColumn("ids", F.array_distinct(F.transform("e", lambda x: x["h"]["rule"])))
+
+    def best(rule: Column) -> Column:
+        own = F.filter("e", lambda x: x["h"]["rule"] == rule)
+        top = F.array_sort(F.transform(own, lambda x: F.struct((-x["h"]["confidence"]).alias("c"), x["no"].alias("no"), x["i"].alias("i"), x["h"].alias("h"))))
+        return F.struct(F.element_at(top, 1)["c"].alias("c"), F.element_at(own, 1)["no"].alias("no"), F.element_at(own, 1)["i"].alias("i"), F.element_at(top, 1)["h"].alias("h"))
+
+    matches = F.transform(F.array_sort(F.transform("ids", best)), lambda x: x["h"])
+    numbers = F.array_sort(F.array_distinct(F.transform(F.filter("s", lambda s: s["window"].isNotNull() & (F.size(s["hits"]) > 0)), lambda s: s["window"])))
+    windows = F.transform(numbers, lambda w: F.struct(w.alias("window_index"), F.array_distinct(F.flatten(F.transform(F.filter("s", lambda s: s["window"] == w), lambda s: s["hits"]))).alias("hits")))
+    return found.select(key, matches.alias("matches"), windows.alias("windows"))

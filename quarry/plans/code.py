@@ -59,6 +59,29 @@ def boost_replay(spark, sf):
     return g.select("policy", "tp", "fp", "fn", ratio(tp, tp + fp).alias("prec"), ratio(tp, tp + fn).alias("rec"), ratio(2 * tp, 2 * tp + fp + fn).alias("f1"))
 
 
+def _prototypes(spark: SparkSession, sf: str) -> dict[str, list[float]]:
+    """A prototype for as many rules as there are labels: the first vector of each; no more than the catalogue has rules."""
+    e = spark.read.parquet(f"{sf}/embeddings.parquet").filter(F.col("label").between(0, len(signatures.CATALOGUE) - 1))
+    first = e.groupBy("label").agg(F.min_by("embedding", "vec_id").alias("v")).collect()
+    return {signatures.CATALOGUE[r["label"]].rule_id: [float(x) for x in r["v"]] for r in first}
+
+
+def layered_hits(spark, sf):
+    """Hits of all four layers: files with the vector of their number, which need not be there."""
+    e = spark.read.parquet(f"{sf}/embeddings.parquet").select(F.col("vec_id").alias("doc_id"), "embedding")
+    rows = signatures.with_hits(files(spark, sf).join(e, "doc_id", "left"), "code", embedding="embedding", prototypes=_prototypes(spark, sf))
+    return rows.select("doc_id", F.posexplode("hits").alias("place", "h")).select("doc_id", "place", "h.rule_id", F.round("h.confidence", 6).alias("confidence"), "h.layer", "h.matched_on")
+
+
+def window_hits(spark, sf):
+    """Matches of each file and hits of its windows: lines 1 to 3, lines 4 to 6, and the whole file, in this order."""
+    line = lambda a: F.array_join(F.slice(F.split("code", "\n"), a, 3), "\n")
+    f = files(spark, sf).select("doc_id", F.explode(F.array(*[F.struct(F.lit(no).alias("no"), F.lit(w).cast("int").alias("w"), c.alias("c")) for no, w, c in ((0, 0, line(1)), (1, 1, line(4)), (2, None, F.col("code")))])).alias("x")).select("doc_id", "x.*")
+    named = lambda hits: F.array_join(F.transform(hits, lambda h: F.concat_ws(":", h["rule_id"], h["layer"])), ",")
+    r = signatures.by_window(f, "doc_id", "no", "w", "c")
+    return r.select("doc_id", named(F.col("matches")).alias("matches"), F.array_join(F.transform("windows", lambda w: F.concat(w["window_index"].cast("string"), F.lit("="), named(w["hits"]))), ";").alias("windows"))
+
+
 def suspicious_tokens(spark, sf):
     """The five most suspicious tokens of each file, by its hits, the catalogue and dangerous calls."""
     return tokens.with_top_tokens(signatures.with_hits(files(spark, sf), "code"), "code").select("doc_id", F.array_join("tokens", " | ").alias("tokens"))
@@ -105,14 +128,14 @@ def file_line_map(spark, sf):
 
 
 def _hits_sql(source: str) -> str:
-    """(doc_id, i, rule_id, cwe, c1, c2, c3) of the rows (doc_id, t) of a source: the three layers' confidences."""
+    """(doc_id, i, rule_id, cwe, c1, c2, c3, share) of the rows (doc_id, t) of a source: the three layers' confidences."""
     some = lambda tests: "(" + " OR ".join(tests) + ")" if tests else "TRUE"
     text = lambda x: "'" + x.replace("'", "''") + "'"
     parts = []
     for i, r in enumerate(signatures.CATALOGUE):
         s = " AND ".join([some([f"contains(lower(t), {text(p)})" for p in r.patterns]), some([f"regexp_matches(t, {text('(?ims)' + x)})" for x in r.regexes]), some([f"contains(lower(t), {text(p)})" for p in r.require_any])])
         m = "(" + " + ".join(f"contains(lower(t), {text(k)})::INT" for k in r.keywords) + f")::DOUBLE / {len(r.keywords)}"
-        parts.append(f"SELECT doc_id, {i} AS i, '{r.rule_id}' AS rule_id, '{r.cwe}' AS cwe, CASE WHEN list_contains(cwes, '{r.cwe}') THEN 0.88::DOUBLE END AS c1, CASE WHEN {s} THEN 0.92::DOUBLE END AS c2, CASE WHEN {m} >= 0.38 THEN least(0.85::DOUBLE, 0.45::DOUBLE + 0.5::DOUBLE * {m}) END AS c3 FROM {source}")
+        parts.append(f"SELECT doc_id, {i} AS i, '{r.rule_id}' AS rule_id, '{r.cwe}' AS cwe, CASE WHEN list_contains(cwes, '{r.cwe}') THEN 0.88::DOUBLE END AS c1, CASE WHEN {s} THEN 0.92::DOUBLE END AS c2, CASE WHEN {m} >= 0.38 THEN least(0.85::DOUBLE, 0.45::DOUBLE + 0.5::DOUBLE * {m}) END AS c3, {m} AS share FROM {source}")
     return " UNION ALL ".join(parts)
 
 
@@ -149,7 +172,7 @@ def _token_sql() -> str:
     names = ", ".join(f"({text(k)}, {text(v)})" for k, v in signatures.NAMES.items())
     calls = ", ".join(map(text, tokens.CALLS))
     parts = _hits_sql("f").replace("CASE WHEN list_contains", "t, CASE WHEN list_contains")
-    return FILES + f""", h AS (SELECT doc_id, t, rule_id, cwe, CASE WHEN c1 = {BEST} THEN 'comment_cwe' WHEN c2 = {BEST} THEN rule_id ELSE 'keywords:' || printf('%.2f', (c3 - 0.45) / 0.5) END AS matched FROM ({parts}) WHERE {BEST} > 0),
+    return FILES + f""", h AS (SELECT doc_id, t, rule_id, cwe, CASE WHEN c1 = {BEST} THEN 'comment_cwe' WHEN c2 = {BEST} THEN rule_id ELSE 'keywords:' || printf('%.2f', share) END AS matched FROM ({parts}) WHERE {BEST} > 0),
     n(rule_id, name) AS (VALUES {names}), k(token) AS (VALUES {", ".join(f"({text(e)})" for e in entries)}),
     said AS (SELECT doc_id, t, unnest([matched, name, rule_id]) AS token FROM h JOIN n USING (rule_id)),
     w AS (SELECT doc_id, token, 3.0 AS w FROM said WHERE contains(lower(t), lower(token)) UNION ALL SELECT doc_id, cwe, 3.0 FROM h UNION ALL SELECT doc_id, token, 2.0 FROM f, k WHERE contains(lower(t), lower(token))
@@ -165,7 +188,24 @@ m AS (SELECT doc_id, k, min(i) AS i, string_agg(w, '' ORDER BY i) FILTER (NOT sp
 s AS (SELECT doc_id, lower(word) AS low, arg_min(word, i) AS token, sum(v) AS v FROM m WHERE word <> '' GROUP BY doc_id, low)
 SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY abs(v) DESC, low)::INT AS rank, token, format('{:.6f}', v)::DOUBLE AS value FROM s QUALIFY rank <= 5"""
 
+LAYER = "CASE WHEN c1 = {0} THEN 'contextual' WHEN c2 = {0} THEN 'structural' WHEN c3 = {0} THEN 'semantic' ELSE 'embedding' END"
+FIRST = "CASE WHEN c1 IS NOT NULL THEN 0 WHEN c2 IS NOT NULL THEN 1 WHEN c3 IS NOT NULL THEN 2 ELSE 3 END"
+B4 = "greatest(coalesce(c1, 0), coalesce(c2, 0), coalesce(c3, 0), coalesce(c4, 0))"
+LAYERED = FILES + f""", v AS (SELECT vec_id AS doc_id, embedding::DOUBLE[] AS e FROM embeddings), q AS (SELECT label AS i, arg_min(embedding::DOUBLE[], vec_id) AS q FROM embeddings WHERE label BETWEEN 0 AND {len(signatures.CATALOGUE) - 1} GROUP BY label),
+s AS (SELECT doc_id, i, list_dot_product(e, q) / (sqrt(list_dot_product(e, e)) * sqrt(list_dot_product(q, q))) AS sim FROM v, q),
+h AS (SELECT x.*, sim, CASE WHEN sim >= 0.72 THEN least(0.9::DOUBLE, 0.55::DOUBLE + 0.35::DOUBLE * sim) END AS c4 FROM ({_hits_sql('f')}) x LEFT JOIN s USING (doc_id, i)), b AS (SELECT *, {B4} AS best FROM h WHERE {B4} > 0)
+SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY best DESC, {FIRST}, i) - 1)::INT AS place, rule_id, round(best, 6) AS confidence, {LAYER.format('best')} AS layer,
+CASE WHEN c1 = best THEN 'comment_cwe' WHEN c2 = best THEN rule_id WHEN c3 = best THEN 'keywords:' || format('{{:.2f}}', share) ELSE 'cosine:' || format('{{:.3f}}', sim) END AS matched_on FROM b"""
+WINDOWED = f"""WITH {F0}, p0 AS (SELECT doc_id * 3 + no AS doc_id, no, t FROM (SELECT doc_id, unnest([0, 1, 2]) AS no, unnest([array_to_string(list_slice(string_split(t, E'\\n'), 1, 3), E'\\n'), array_to_string(list_slice(string_split(t, E'\\n'), 4, 6), E'\\n'), t]) AS t FROM f0)), {_with_hints('p0', 'p')},
+h AS (SELECT doc_id // 3 AS doc_id, doc_id % 3 AS no, i, rule_id, best, {LAYER.format('best')} AS layer, row_number() OVER (PARTITION BY doc_id ORDER BY best DESC, {FIRST.replace('c3 IS NOT NULL THEN 2 ELSE 3', 'TRUE THEN 2')}, i) AS place FROM (SELECT *, {BEST} AS best FROM ({_hits_sql('p')})) WHERE best > 0),
+m AS (SELECT doc_id, rule_id, max(best) AS c, arg_min(layer, -best * 1000000 + no * 1000 + place) AS layer, min(no * 1000 + place) AS first FROM h GROUP BY ALL),
+a AS (SELECT doc_id, string_agg(rule_id || ':' || layer, ',' ORDER BY c DESC, first) AS matches FROM m GROUP BY doc_id),
+w AS (SELECT doc_id, no, string_agg(rule_id || ':' || layer, ',' ORDER BY place) AS x FROM h WHERE no < 2 GROUP BY doc_id, no), ww AS (SELECT doc_id, string_agg(no || '=' || x, ';' ORDER BY no) AS windows FROM w GROUP BY doc_id)
+SELECT doc_id, coalesce(matches, '') AS matches, coalesce(windows, '') AS windows FROM f0 LEFT JOIN a USING (doc_id) LEFT JOIN ww USING (doc_id)"""
+
 QUERIES = {
+    "layered_hits": (layered_hits, LAYERED),
+    "window_hits": (window_hits, WINDOWED),
     "suspicious_tokens": (suspicious_tokens, _token_sql()),
     "identifiers": (identifiers, f"""WITH {F0}, i AS (SELECT doc_id, list_distinct(list_transform(regexp_extract_all(t, '[a-zA-Z_][a-zA-Z0-9_]{{2,}}|\\.\\./|->|==|!=|<=|>='), lambda x: lower(x))) AS x FROM f0) SELECT doc_id, len(x)::INT AS n, sha1(array_to_string(list_sort(x), ' ')) AS digest FROM i"""),
     "subword_ranking": (subword_ranking, SUBWORDS),
