@@ -6,14 +6,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarry.functions import text as T
-from quarry.operators import duplicates
+from quarry.operators import duplicates, gates
 from quarry.plans.snippets import BLANKS_SQL
 from quarry.sources.places import shared
 from quarry.streaming import ingest, near_index
 
 SPLIT_SQL = "CASE doc_id % 10 WHEN 0 THEN 'test' WHEN 1 THEN ' Valid' WHEN 2 THEN NULL WHEN 3 THEN 'other' ELSE 'train' END"
 COMMIT_SQL = "CASE doc_id % 6 WHEN 0 THEN NULL WHEN 1 THEN ' none ' ELSE ' c' || (doc_id % 301) END"
-REQUIRED = ["id", "code", "label", "source_dataset", "commit_hash", "commit_date"]
 
 
 def rows(spark: SparkSession, sf: str) -> DataFrame:
@@ -53,18 +52,31 @@ def near_leaks(spark, sf):
     return marked.join(near, marked["place"] == near["at"], "left").agg(F.count_if(F.coalesce("near", F.lit(False)) | ~F.col("keep")).alias("n"))
 
 
+def _whole(r: DataFrame) -> DataFrame:
+    """rows with the columns that a data set must have."""
+    return r.select("*", F.col("doc_id").cast("string").alias("id"), F.lit(0).alias("label"), F.lit("docs").alias("source_dataset"), F.lit(None).cast("string").alias("commit_date"))
+
+
+def _found(g: DataFrame) -> DataFrame:
+    return g.withColumn("issues", F.array_join("issues", "; "))
+
+
 def gate(spark, sf):
-    """Why a data set may not be trained on: missing columns, empty splits, texts and commits in several splits."""
-    r = rows(spark, sf).withColumn("split", T.split_name(F.col("split"))).filter("split IS NOT NULL")
-    sizes = r.groupBy("split").agg(F.count("*").alias("size"))
-    spread = r.groupBy(duplicates.digest(F.coalesce("code", F.lit(""))).alias("d"), "split").agg(F.lit(1).alias("one")).join(F.broadcast(sizes), "split").groupBy("d").agg(F.count("*").alias("k"), F.sum("size").alias("s")).filter("k > 1")
-    exact = spread.agg(F.count("*").alias("exact_hashes"), F.coalesce(F.sum(F.col("s") - 1), F.lit(0)).alias("exact_rows"))
-    key = T.strip(F.col("commit_hash"))
-    commits = r.filter((key != "") & ~F.lower(key).isin("none", "null", "nan")).groupBy(key.alias("c")).agg(F.countDistinct("split").alias("k")).filter("k > 1").agg(F.count("*").alias("commits"))
-    missing = len([c for c in REQUIRED if c not in [*r.columns, "id", "label", "source_dataset"]])
-    empty = sizes.agg((3 - F.count("*")).alias("empty_splits"))
-    out = exact.crossJoin(commits).crossJoin(empty).withColumn("missing_columns", F.lit(missing))
-    return out.withColumn("passed", (F.col("missing_columns") == 0) & (F.col("empty_splits") == 0) & (F.col("exact_hashes") == 0) & (F.col("commits") == 0))
+    """A data set that fails: texts and commits in several splits, and more near rows than the ten that may be."""
+    return _found(gates.gate(_whole(rows(spark, sf)), max_near=10))
+
+
+def gate_passed(spark, sf):
+    """What the first-wins rule keeps of whole commits passes, if blank texts go."""
+    r = rows(spark, sf)
+    kept = near_first_wins(spark, sf).filter("reason = 'kept'").select("doc_id")
+    own = r.join(kept, "doc_id", "left_semi").filter(T.strip(F.col("code")) != "").withColumn("commit_hash", F.concat(F.lit("c"), F.col("doc_id").cast("string")))
+    return _found(gates.gate(_whole(own)))
+
+
+def gate_incomplete(spark, sf):
+    """Columns are missing and a split is empty, so nothing else is looked at."""
+    return _found(gates.gate(rows(spark, sf).filter("split <> 'test'")))
 
 
 def split_profile(spark, sf):
@@ -121,6 +133,12 @@ steps AS (SELECT 0::BIGINT AS k, []::BIGINT[] AS gone UNION ALL SELECT q.k, CASE
 gone AS (SELECT unnest(gone) AS o FROM steps QUALIFY row_number() OVER (ORDER BY k DESC) = 1)"""
 FIRST_WINS = R.replace("WITH r", "WITH RECURSIVE r") + NEAR.replace("{where}", "") + " SELECT doc_id, CASE WHEN blank THEN 'kept' WHEN gone.o IS NOT NULL THEN 'near' WHEN place = firsts.o THEN 'kept' ELSE 'exact' END AS reason FROM p LEFT JOIN firsts ON NOT blank AND p.code = firsts.code LEFT JOIN gone ON gone.o = firsts.o"
 NEAR_LEAKS = R.replace("WITH r", "WITH RECURSIVE r") + NEAR.replace("{where}", "WHERE split IN ('train', 'test') OR split = ' Valid'") + " SELECT count(*) AS n FROM p LEFT JOIN firsts ON NOT blank AND p.code = firsts.code WHERE NOT blank AND (place > firsts.o OR firsts.o IN (SELECT b FROM pairs))"
+GATE = R + f"""q AS (SELECT * FROM __ROWS__ WHERE name IN ('train', 'valid', 'test')), z AS (SELECT name, count(*) AS size FROM q GROUP BY name), x AS (SELECT coalesce(code, '') AS code, count(*) AS k, sum(size) AS s FROM (SELECT DISTINCT coalesce(code, '') AS code, name FROM q) JOIN z USING (name) GROUP BY 1 HAVING k > 1),
+        cm AS (SELECT count(*) AS commits FROM (SELECT trim(commit_hash) AS h FROM q WHERE trim(commit_hash) <> '' AND lower(trim(commit_hash)) NOT IN ('none', 'null', 'nan') GROUP BY 1 HAVING count(DISTINCT name) > 1)),
+        {NEAR.replace('FROM r {where}', 'FROM q').replace('steps AS', 'steps0 AS').split(',\nq AS')[0]},
+        nr AS (SELECT count(*) AS near_rows FROM p LEFT JOIN firsts ON NOT blank AND p.code = firsts.code WHERE NOT blank AND (place > firsts.o OR firsts.o IN (SELECT b FROM pairs))),
+        y AS (SELECT 0 AS missing_columns, (3 - (SELECT count(*) FROM z))::INT AS empty_splits, (SELECT count(*) FROM x) AS exact_hashes, coalesce((SELECT sum(s - 1) FROM x), 0)::BIGINT AS exact_rows, near_rows, commits FROM cm, nr)
+        SELECT *, concat_ws('; ', CASE WHEN exact_hashes > 0 THEN exact_hashes || ' texts in several splits, 0 may be' END, CASE WHEN near_rows > __MOST__ THEN near_rows || ' rows near an earlier one, __MOST__ may be' END, CASE WHEN commits > 0 THEN commits || ' commits in several splits' END) AS issues, exact_hashes = 0 AND near_rows <= __MOST__ AND commits = 0 AND empty_splits = 0 AS passed FROM y"""
 
 QUERIES = {
     "split_order": (split_order, R + f"k AS (SELECT *, {BLANK} OR row_number() OVER (PARTITION BY code ORDER BY {PLACE}, doc_id) = 1 AS keep FROM r) SELECT coalesce(split, 'none') AS split, count(*) AS n, count(*) FILTER (keep) AS kept, coalesce(sum(doc_id) FILTER (keep), 0)::BIGINT AS ids FROM k GROUP BY 1"),
@@ -129,12 +147,9 @@ QUERIES = {
     "near_first_wins": (near_first_wins, FIRST_WINS),
     "near_leaks": (near_leaks, NEAR_LEAKS),
     "stream_near_dedup": (stream_near_dedup, FIRST_WINS),
-    "gate": (
-        gate,
-        R + """q AS (SELECT * FROM r WHERE name IN ('train', 'valid', 'test')), z AS (SELECT name, count(*) AS size FROM q GROUP BY name), x AS (SELECT coalesce(code, '') AS code, count(*) AS k, sum(size) AS s FROM (SELECT DISTINCT coalesce(code, '') AS code, name FROM q) JOIN z USING (name) GROUP BY 1 HAVING k > 1),
-        c AS (SELECT count(*) AS commits FROM (SELECT trim(commit_hash) AS h FROM q WHERE trim(commit_hash) <> '' AND lower(trim(commit_hash)) NOT IN ('none', 'null', 'nan') GROUP BY 1 HAVING count(DISTINCT name) > 1)),
-        y AS (SELECT (SELECT count(*) FROM x) AS exact_hashes, coalesce((SELECT sum(s - 1) FROM x), 0)::BIGINT AS exact_rows, commits, 3 - (SELECT count(*) FROM z) AS empty_splits, 1 AS missing_columns FROM c) SELECT *, missing_columns = 0 AND empty_splits = 0 AND exact_hashes = 0 AND commits = 0 AS passed FROM y""",
-    ),
+    "gate": (gate, GATE.replace("__ROWS__", "r").replace("__MOST__", "10")),
+    "gate_passed": (gate_passed, "WITH kept AS (" + FIRST_WINS + "), " + GATE.replace("WITH r", "r", 1).replace("__ROWS__", f"(SELECT * REPLACE ('c' || doc_id AS commit_hash) FROM r JOIN kept USING (doc_id) WHERE reason = 'kept' AND NOT {BLANK})").replace("__MOST__", "0")),
+    "gate_incomplete": (gate_incomplete, "SELECT 4 AS missing_columns, 1 AS empty_splits, 0::BIGINT AS exact_hashes, 0::BIGINT AS exact_rows, 0::BIGINT AS near_rows, 0::BIGINT AS commits, 'missing columns: id, label, source_dataset, commit_date; test is empty' AS issues, count(*) < 0 AS passed FROM documents"),
     "split_profile": (
         split_profile,
         R + f"t AS (SELECT *, len(regexp_extract_all(coalesce(code, ''), '{WORD}')) AS t FROM r WHERE name IN ('train', 'valid', 'test')) SELECT name AS split, count(*) AS n, count(*) FILTER (doc_id % 3 = 0) AS positive, count(*) FILTER ({BLANK}) AS n_empty, {', '.join(f'round(quantile_cont(t::DOUBLE, {q / 100}), 3) AS p{q}' for q in (50, 90, 99))}, count(*) FILTER (t > 512) AS n_long FROM t GROUP BY 1",
