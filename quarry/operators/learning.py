@@ -6,6 +6,7 @@ A frame of rows has feature columns and `label` (0 or 1). What a fit gathers is
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 from itertools import combinations, product
 
 from pyspark.ml import Model
@@ -13,7 +14,7 @@ from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomF
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import IsotonicRegression
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quarry.operators import metrics
@@ -134,9 +135,20 @@ def judged(rows: DataFrame, score: str, **names: str) -> DataFrame:
     return one.withColumns({k: F.lit(v) for k, v in names.items()})
 
 
-def best(reports: DataFrame, *order: Column) -> DataFrame:
-    """The first report in an order; of equals the first by all its columns."""
-    return reports.orderBy(*order, *sorted(reports.columns)).limit(1)
+def winner(reports: DataFrame, least: tuple[float, float, float] | None = None) -> DataFrame:
+    """The calibrator that wins of reports (calibrator, brier, ece, f1, prec, rec), one row.
+
+    Without `least` that of the smallest Brier score, then of the smallest calibration error, then isotonic. With
+    least = (f1, precision, recall), those that exceed all three come first, then the highest F1 counts, Brier score and
+    error; of equals one that is not isotonic, then that of the smallest deficit. What is left goes by name.
+    """
+    isotonic = (F.col("calibrator") != "isotonic").cast("int")
+    if least is None:
+        return reports.orderBy("brier", "ece", isotonic, "calibrator").limit(1)
+    bounds = list(zip(("f1", "prec", "rec"), least, (2.0, 1.0, 1.0), strict=True))
+    meets = reduce(lambda a, b: a & b, [F.col(c) > x for c, x, _ in bounds])
+    deficit = reduce(lambda a, b: a + b, [F.greatest(F.lit(0.0), x - F.col(c)) * w for c, x, w in bounds])
+    return reports.orderBy(meets.desc(), F.desc("f1"), "brier", "ece", isotonic.desc(), deficit, "calibrator").limit(1)
 
 
 def searched(grid: dict[str, list], trials: int, value: Callable[[dict], float], seed: int = SEED) -> tuple[dict, float, list[float]]:

@@ -73,3 +73,9 @@ def trust(df: DataFrame, models: list[str], bins: int = 20, weight: float = 2.0)
     full = grid.join(F.broadcast(got), ["model", "bin"], "left").join(F.broadcast(total))
     n, y = F.coalesce("n", F.lit(0)), F.coalesce("y", F.lit(0))
     return full.select("model", "bin", n.alias("n"), ((y + F.col("g") * weight) / (n + weight)).alias("trust"))
+
+
+def precision_at_recall(curve: DataFrame, floor: float) -> DataFrame:
+    """The row (k, prec, rec) of the highest precision whose recall reaches a floor, then of the highest recall, then the lowest threshold; an error where none does."""
+    best = curve.filter(F.col("rec") >= floor).agg(F.min_by(F.struct("k", "prec", "rec"), F.struct(-F.col("prec"), -F.col("rec"), "k")).alias("x"))
+    return best.select(F.when(F.col("x").isNull(), F.raise_error(F.lit(f"no threshold has a recall of {floor}"))).otherwise(F.col("x")).alias("x")).select("x.*")

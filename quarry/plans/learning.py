@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from quarry.functions import scores as S
 from quarry.operators import learning, metrics
 from quarry.operators.learning import Calibrator, Meta
 from quarry.plans import scores
@@ -69,17 +70,38 @@ def calibration_report(spark, sf):
     return out
 
 
-def calibration_grid(spark, sf):
-    """Recall floors 0.45 to 0.70 with both calibrators: the threshold of the highest precision, and the pair with the best F1 on other rows."""
+def calibration_winner(spark, sf):
+    """The calibrators at the threshold of a flag, fitted on even and judged on odd documents, with the winner by error and that by the balanced policy."""
     s = scores.scored(spark, sf)
     fit, held = s.filter("doc_id % 2 = 0"), s.filter("doc_id % 2 = 1")
     out = None
-    for kind in ("isotonic", "platt"):
+    for kind in ("none", "isotonic", "platt"):
         made = Calibrator(kind).fit(fit).predict(held).select("label", F.col("calibrated").alias("score"))
-        curve = metrics.sweep(made).withColumn("calibrator", F.lit(kind))
-        out = curve if out is None else out.unionByName(curve)
-    at = out.select("calibrator", "k", "prec", "rec", "f1", F.explode(F.array(*[F.lit(x / 100) for x in range(45, 71, 5)])).alias("floor")).filter("rec >= floor")
-    first = at.groupBy("calibrator", "floor").agg(F.min_by(F.struct("k", "prec", "rec", "f1"), F.struct(-F.col("prec"), -F.col("rec"), "k")).alias("x")).select("calibrator", "floor", "x.*")
+        at = metrics.sweep(made).filter(F.col("k") == round(100 * S.FLAG)).select("prec", "rec", "f1")
+        r = learning.judged(made, "score", calibrator=kind).select("calibrator", "brier", "ece").crossJoin(at)  # one row each
+        out = r if out is None else out.unionByName(r)
+    path = shared(spark, "reports")
+    out.write.parquet(path)
+    out = spark.read.parquet(path)
+    won = lambda policy, rows: rows.select(F.lit(policy).alias("policy"), "calibrator", "brier", "ece", "f1")
+    return won("error", learning.winner(out)).unionByName(won("balanced", learning.winner(out, (0.5, 0.4, 0.6))))
+
+
+def calibration_grid(spark, sf):
+    """Recall floors 0.45 to 0.70 with both calibrators, fitted, chosen and judged on different documents.
+
+    Half of the documents fit a calibrator, a quarter chooses the threshold of the highest precision for each floor, and
+    the pair with the best F1 at it; the last quarter says what that F1 is on rows that chose nothing (held_f1).
+    """
+    s = scores.scored(spark, sf)
+    out = None
+    for kind in ("isotonic", "platt"):
+        made = Calibrator(kind).fit(s.filter("doc_id % 2 = 0"))
+        curve = lambda part: metrics.sweep(made.predict(s.filter(f"doc_id % 4 = {part}")).select("label", F.col("calibrated").alias("score")))  # noqa: B023, E731
+        both = curve(1).join(curve(3).select("k", F.col("f1").alias("held_f1")), "k").withColumn("calibrator", F.lit(kind))
+        out = both if out is None else out.unionByName(both)
+    at = out.select("calibrator", "k", "prec", "rec", "f1", "held_f1", F.explode(F.array(*[F.lit(x / 100) for x in range(45, 71, 5)])).alias("floor")).filter("rec >= floor")
+    first = at.groupBy("calibrator", "floor").agg(F.min_by(F.struct("k", "prec", "rec", "f1", "held_f1"), F.struct(-F.col("prec"), -F.col("rec"), "k")).alias("x")).select("calibrator", "floor", "x.*")
     return first.withColumn("best", F.row_number().over(Window.orderBy(F.desc("f1"), "floor", "calibrator")) == 1)
 
 
@@ -95,6 +117,7 @@ QUERIES = {
     "model_report": (model_report, None),
     "calibration_report": (calibration_report, None),
     "calibration_grid": (calibration_grid, None),
+    "calibration_winner": (calibration_winner, None),
     "isotonic_fit": (
         isotonic_fit,
         scores.BASE + """, g AS (SELECT score, sum(label) AS y, count(*) AS n, row_number() OVER (ORDER BY score) AS i FROM s GROUP BY score), c AS (SELECT score, i, sum(y) OVER (ORDER BY i) AS cy, sum(n) OVER (ORDER BY i) AS cn FROM g),

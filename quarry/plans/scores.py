@@ -50,7 +50,7 @@ def best_f1(spark, sf):
 
 
 def precision_at_recall(spark, sf):
-    return _first(threshold_sweep(spark, sf).filter("rec >= 0.6").select("k", "prec", "rec"), F.desc("prec"), F.desc("rec"), "k")
+    return metrics.precision_at_recall(threshold_sweep(spark, sf), 0.6)
 
 
 def policy_select(spark, sf):

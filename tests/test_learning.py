@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import math
+import random
 
+import pytest
 from pyspark.sql import functions as F
 
-from quarry.operators import learning
+from quarry.operators import learning, metrics
 from quarry.operators.learning import Calibrator, Meta
 from quarry.plans import learning as queries
 
@@ -59,3 +61,24 @@ def test_search_keeps_the_first_of_equals():
     at, value, course = learning.searched({"x": [1, 2, 3], "y": [0, 5]}, 6, lambda p: float(p["x"] > 1))
     assert value == 1.0 and at["x"] > 1 and course == sorted(course) and len(course) == 6
     assert learning.searched({"x": [1, 2, 3]}, 2, lambda p: p["x"]) == learning.searched({"x": [1, 2, 3]}, 2, lambda p: p["x"])
+
+
+def test_the_winner_is_that_of_the_keys(spark):
+    """Against a sort by the keys in Python, reversed as a whole for the balanced policy, so its tie-break is reversed, too."""
+    rng = random.Random(3)
+    pick = lambda *x: rng.choice(x)
+    for _ in range(25):
+        rows = [(k, pick(0.1, 0.2), pick(0.01, 0.02), pick(0.4, 0.6), pick(0.3, 0.5), pick(0.5, 0.7)) for k in ("none", "isotonic", "platt")]
+        df = spark.createDataFrame(rows, "calibrator string, brier double, ece double, f1 double, prec double, rec double")
+        assert learning.winner(df).first()["calibrator"] == min(rows, key=lambda r: (r[1], r[2], r[0] != "isotonic", r[0]))[0]
+        deficit = lambda r: max(0, 0.5 - r[3]) * 2 + max(0, 0.4 - r[4]) + max(0, 0.6 - r[5])
+        key = lambda r: (r[3] > 0.5 and r[4] > 0.4 and r[5] > 0.6, r[3], -r[1], -r[2], r[0] != "isotonic", -deficit(r))
+        top = max(map(key, rows))
+        assert learning.winner(df, (0.5, 0.4, 0.6)).first()["calibrator"] == min(r[0] for r in rows if key(r) == top)
+
+
+def test_a_recall_that_nothing_reaches_is_an_error(spark):
+    curve = spark.createDataFrame([(10, 0.5, 0.9), (20, 0.7, 0.6), (30, 0.7, 0.6)], "k int, prec double, rec double")
+    assert tuple(metrics.precision_at_recall(curve, 0.6).first()) == (20, 0.7, 0.6)
+    with pytest.raises(Exception, match="no threshold has a recall of 0.95"):
+        metrics.precision_at_recall(curve, 0.95).collect()
