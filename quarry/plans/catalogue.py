@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quarry.plans import code, corpus, dedup, ingest, learning, origins, records, relational, scores
+from quarry.plans import code, corpus, dedup, ingest, learning, origins, outputs, records, relational, scores
 
-ALL = code.QUERIES | corpus.QUERIES | dedup.QUERIES | ingest.QUERIES | learning.QUERIES | origins.QUERIES | records.QUERIES | relational.QUERIES | scores.QUERIES
+ALL = code.QUERIES | corpus.QUERIES | dedup.QUERIES | ingest.QUERIES | learning.QUERIES | origins.QUERIES | outputs.QUERIES | records.QUERIES | relational.QUERIES | scores.QUERIES
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

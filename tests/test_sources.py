@@ -7,7 +7,7 @@ from collections import Counter
 
 import pytest
 
-from quarry.sources import csv_splits, readers, writers
+from quarry.sources import bundles, csv_splits, readers, writers
 
 
 def test_dump_fields():
@@ -91,3 +91,19 @@ def test_csv_without_an_end(spark, tmp_path):
     assert [r["value"] for r in csv_splits.records(spark, str(tmp_path)).filter("not head").collect()] == ['1,"x\ny\n2,z']
     (tmp_path / "a.csv").write_text("")
     assert csv_splits.csv_rows(spark, str(tmp_path), "a int").count() == 0
+
+
+def test_a_bundle_is_read_when_it_is_complete(spark, tmp_path):
+    rows = spark.createDataFrame([(1, "a", [1.0]), (2, None, None)], "i int, t string, v array<double>")
+    b = bundles.Bundle(spark, str(tmp_path / "b"))
+    b.add("x", rows, "json").add("y", rows.limit(0), by=("i",))
+    with pytest.raises(ValueError, match="not complete"):
+        b.read("x")
+    b.add("x", rows, "json").close()
+    again = bundles.Bundle(spark, str(tmp_path / "b"))
+    assert {(r["name"], r["n_rows"]) for r in again.manifest().collect()} == {("x", 2), ("y", 0)}
+    assert Counter(map(str, again.read("x").collect())) == Counter(map(str, rows.collect())) and again.read("y").count() == 0
+    with pytest.raises(ValueError, match="is complete"):
+        again.add("z", rows)
+    with pytest.raises(KeyError):
+        again.read("z")
