@@ -9,10 +9,11 @@ from every frequent phrase to the phrases that it subsumes. As a longer phrase i
 it is enough to look at phrases that are longer by one word.
 
 Only phrases that are frequent in the whole corpus matter, as a part of a frequent phrase is frequent, too. So before
-automata are built, a first pass counts the hashes of words and pairs of words in a sketch of bounded size. Its cells
-hold sums, so no frequent word or pair can be in a cell under the bound: nodes are made only where all pairs of a phrase
-may be frequent. In a corpus so large that all cells are frequent this prunes nothing, and what is shuffled are the states
-of all shards.
+automata are built, a first pass counts the hashes of words and of pairs of words of the whole corpus, summed up in each
+shard and then by a shuffle; a bitmap of bounded size tells the frequent ones. Nodes are made only where all pairs of a
+phrase pass. Equal hashes of unlike pairs only add up, so no frequent pair is missed, and counts of phrases are made
+anew from what passes. In a corpus with so many frequent pairs that the bitmap is full it prunes nothing, and what is
+shuffled are the states of all shards.
 
 Words are known in a task by two 64-bit hashes, everywhere else by their text.
 """
@@ -20,7 +21,6 @@ Words are known in a task by two 64-bit hashes, everywhere else by their text.
 from __future__ import annotations
 
 import hashlib
-import zlib
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -29,18 +29,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from quarry.llm.bits import MAX_BITS, bitmap, passes, size_for
 from quarry.llm.common import small_batches, utf8, written
-from quarry.llm.links import hit
 from quarry.llm.words import U, Words, mixed
 
 #: Words of the longest phrases, occurrences of a candidate, and rows that are returned for each language.
 DEPTH, MIN_COUNT, TOP = 5, 100, 2000
 #: Bytes that end a piece: . , ; : ! ? and the line breaks 10 to 13.
 BREAKS = b".,;:!?\x0a\x0b\x0c\x0d"
-#: Words of a shard, about; most binary digits of the number of the sketch's cells, and the cells of one of its parts.
-SHARD, MAX_CELL_BITS, PART = 2_000_000, 24, 1 << 16
-#: Tasks that add up the same part of the sketch before the last one does.
-SALTS = 64
+#: Words of a shard, about.
+SHARD = 1_000_000
 #: Rows that one task ranks in a language before the last one does.
 RANKED = 100_000
 
@@ -108,51 +106,16 @@ def _shards(batches: Iterable[pa.RecordBatch]) -> Iterator[Tokens]:
         yield Tokens(held)
 
 
-def _sketched(docs: DataFrame, cell_bits: int, least: int) -> DataFrame:
-    """(lang, n, part, data): words of each language, and the parts of each task's sketch, in cells that stop counting at `least`."""
-    kind = np.uint8 if least < 1 << 8 else np.uint16 if least < 1 << 16 else np.uint32
+def _hash_counts(docs: DataFrame) -> DataFrame:
+    """(h, n): hashes of words and of pairs, with what each shard counts."""
 
     def rows(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cells, counts, shift = np.zeros(1 << cell_bits, np.uint32), {}, U(64 - cell_bits)
         for t in _shards(batches):
-            for name, k in t.counts.items():
-                counts[name] = counts.get(name, 0) + k
-            np.add.at(cells, (t.code >> shift).astype(np.int64), np.uint32(1))
-            two = pairs(t.code)[t.piece[:-1] == t.piece[1:]]
-            np.add.at(cells, (two >> shift).astype(np.int64), np.uint32(1))
-        k = len(counts)
-        if k:
-            yield pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64()), pa.nulls(k, pa.int32()), pa.nulls(k, pa.binary())], names)
-        small = np.minimum(cells, least).astype(kind).reshape(-1, min(PART, 1 << cell_bits))
-        for part in np.flatnonzero(small.any(1)).tolist():
-            yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.string()), pa.nulls(1, pa.int64()), pa.array([part], pa.int32()), pa.array([zlib.compress(small[part].astype("<u4").tobytes(), 1)], pa.binary())], names)
-
-    names = ["lang", "n", "part", "data"]
-    return docs.mapInArrow(rows, "lang string, n long, part int, data binary")
-
-
-def _frequent(parts: DataFrame, cell_bits: int, least: int) -> np.ndarray:
-    """A bitmap of the sketch's cells whose sums reach `least`; parts are added up in two steps."""
-
-    def added(last: bool):
-        def rows(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            total: dict[int, np.ndarray] = {}
-            for batch in batches:
-                for part, data in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                    more = np.frombuffer(zlib.decompress(data.as_buffer()), "<u4")
-                    total[part] = np.minimum(total[part] + more, least) if part in total else more
-            for part, v in total.items():
-                data = np.packbits(v >= least, bitorder="little").tobytes() if last else zlib.compress(v.astype("<u4").tobytes(), 1)
-                yield pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int32()), "data": pa.array([data], pa.binary())})
-
-        return rows
-
-    n = max(1, (1 << cell_bits) // PART)
-    some = parts.repartition(4 * n, "part", F.pmod(F.xxhash64("data"), F.lit(SALTS))).mapInArrow(added(False), "part int, data binary")
-    out = np.zeros((n, min(PART, 1 << cell_bits) // 8), np.uint8)
-    for r in some.repartition(n, "part").mapInArrow(added(True), "part int, data binary").toLocalIterator():
-        out[r["part"]] = np.frombuffer(bytes(r["data"]), np.uint8)
-    return out.ravel()
+            h, n = np.unique(np.concatenate([t.code, pairs(t.code)[t.piece[:-1] == t.piece[1:]]]), return_counts=True)
+            for i in range(0, len(h), 200_000):
+                yield pa.RecordBatch.from_arrays([pa.array(h[i : i + 200_000].view(np.int64)), pa.array(n[i : i + 200_000].astype(np.int32))], ["h", "n"])
+
+    return docs.mapInArrow(rows, "h long, n int")
 
 
 def automaton(code: np.ndarray, other: np.ndarray, piece: np.ndarray, single: np.ndarray, double: np.ndarray, depth: int) -> list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
@@ -199,17 +162,19 @@ def automaton(code: np.ndarray, other: np.ndarray, piece: np.ndarray, single: np
     return states
 
 
-def _states(docs: DataFrame, bits: np.ndarray, cell_bits: int, depth: int) -> DataFrame:
-    """(lang, words, shortest, n): the states of all shards' automata, each as its longest phrase."""
-    shared = docs.sparkSession.sparkContext.broadcast(bits)
+def _states(docs: DataFrame, frequent: np.ndarray, depth: int) -> DataFrame:
+    """(lang, words, shortest, n): the states of all shards' automata, each as its longest phrase; the root counts a language's words."""
+    shared = docs.sparkSession.sparkContext.broadcast(frequent)
+    names = ["lang", "words", "shortest", "n"]
 
     def rows(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shift = U(64 - cell_bits)
         for t in _shards(batches):
-            single = hit(shared.value, (t.code >> shift).astype(np.int64))
+            single = passes(shared.value, t.code)
             double = np.zeros(len(t.code), bool)
-            double[:-1] = hit(shared.value, (pairs(t.code) >> shift).astype(np.int64))
+            double[:-1] = passes(shared.value, pairs(t.code))
             langs = pa.array(t.langs, pa.string())
+            k = len(t.counts)
+            yield pa.RecordBatch.from_arrays([pa.array(list(t.counts), pa.string()), pa.array([[]] * k, pa.list_(pa.string())), pa.array([0] * k, pa.int32()), pa.array(list(t.counts.values()), pa.int64())], names)
             for place, length, shortest, count in automaton(t.code, t.other, t.piece, single, double, depth):
                 for i in range(0, len(place), 50_000):
                     p, k = place[i : i + 50_000], int(length[0])
@@ -218,7 +183,7 @@ def _states(docs: DataFrame, bits: np.ndarray, cell_bits: int, depth: int) -> Da
                     _, first, which = np.unique(t.code[at] ^ mixed(t.other[at]), return_index=True, return_inverse=True)
                     words = pa.array([t.text(w) for w in at[first].tolist()], pa.string()).take(pa.array(which))
                     rows_ = [langs.take(pa.array(t.lang[p])), pa.ListArray.from_arrays(pa.array(np.arange(0, len(at) + 1, k), pa.int32()), words)]
-                    yield pa.RecordBatch.from_arrays([*rows_, pa.array(shortest[i : i + 50_000], pa.int32()), pa.array(count[i : i + 50_000], pa.int64())], ["lang", "words", "shortest", "n"])
+                    yield pa.RecordBatch.from_arrays([*rows_, pa.array(shortest[i : i + 50_000], pa.int32()), pa.array(count[i : i + 50_000], pa.int64())], names)
 
     return docs.mapInArrow(rows, "lang string, words array<string>, shortest int, n long")
 
@@ -227,16 +192,13 @@ def phrase_counts(docs: DataFrame, lang_col: str, text_col: str, depth: int, lea
     """(lang, phrase, d, f) of all phrases of up to `depth` words that occur `least` times, and (lang, n) for all languages."""
     small_batches(docs.sparkSession)
     docs = docs.select(F.col(f"`{lang_col}`").cast("string").alias("lang"), F.col(f"`{text_col}`").alias("text"))
-    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    cell_bits = min(MAX_CELL_BITS, max(12, (size // 4).bit_length()))
-    sketch = written(_sketched(docs, cell_bits, least), "phrase-sketch")
-    n = sketch.filter("lang is not null").groupBy("lang").agg(F.sum("n").alias("n"))
-    bits = _frequent(sketch.filter("part is not null").select("part", "data"), cell_bits, least)
-    states = _states(docs, bits, cell_bits, depth)
+    frequent = written(_hash_counts(docs).groupBy("h").agg(F.sum("n").alias("n")).filter(F.col("n") >= least).select("h"), "frequent-pairs")
+    states = _states(docs, bitmap(frequent, "h", size_for(frequent.count(), MAX_BITS)), depth)
     # A state's suffixes, down to its shortest.
     spelt = states.select("lang", "n", F.explode(F.transform(F.sequence(F.col("shortest"), F.size("words")), lambda d: F.struct(d.alias("d"), F.array_join(F.slice("words", F.size("words") - d + 1, d), " ").alias("phrase")))).alias("x"))
     counts = spelt.groupBy("lang", F.col("x.phrase").alias("phrase"), F.col("x.d").alias("d")).agg(F.sum("n").alias("f"))
-    return written(counts.filter(F.col("f") >= least), "phrases"), n
+    found = written(counts.filter((F.col("f") >= least) | (F.col("d") == 0)), "phrases")
+    return found.filter("d > 0"), found.filter("d = 0").select("lang", F.col("f").alias("n"))
 
 
 def scored(phrases: DataFrame, totals: DataFrame) -> DataFrame:

@@ -64,11 +64,11 @@ def frame(spark, rows):
     return spark.createDataFrame(full, ", ".join(COLUMNS))
 
 
-@pytest.mark.parametrize(("seed", "least", "shard", "bits"), [(1, 3, 2_000_000, 24), (2, 7, 400, 24), (3, 2, 100, 12), (4, 300, 1000, 24)])
+@pytest.mark.parametrize(("seed", "least", "shard", "bits"), [(1, 3, 2_000_000, 27), (2, 7, 400, 27), (3, 2, 100, 5), (4, 300, 1000, 27)])
 def test_collocations_are_brute_force(spark, monkeypatch, seed, least, shard, bits):
-    """In one shard and in many, with a sketch that prunes and one that hardly does."""
+    """In one shard and in many, with a bitmap that prunes and one that is full."""
     monkeypatch.setattr(collocations, "SHARD", shard)
-    monkeypatch.setattr(collocations, "MAX_CELL_BITS", bits)
+    monkeypatch.setattr(collocations, "MAX_BITS", bits)
     monkeypatch.setattr(collocations, "RANKED", 50)
     rows = corpus(seed)
     out = collocations.collocations(frame(spark, rows).repartition(5), least=least, top=25)
