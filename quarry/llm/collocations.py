@@ -38,7 +38,7 @@ DEPTH, MIN_COUNT, TOP = 5, 100, 2000
 #: Bytes that end a piece: . , ; : ! ? and the line breaks 10 to 13.
 BREAKS = b".,;:!?\x0a\x0b\x0c\x0d"
 #: Words of a shard, about.
-SHARD = 1_000_000
+SHARD = 400_000
 #: Rows that one task ranks in a language before the last one does.
 RANKED = 100_000
 
