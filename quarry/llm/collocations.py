@@ -194,7 +194,8 @@ def phrase_counts(docs: DataFrame, lang_col: str, text_col: str, depth: int, lea
     docs = docs.select(F.col(f"`{lang_col}`").cast("string").alias("lang"), F.col(f"`{text_col}`").alias("text"))
     frequent = written(_hash_counts(docs).groupBy("h").agg(F.sum("n").alias("n")).filter(F.col("n") >= least).select("h"), "frequent-pairs")
     states = _states(docs, bitmap(frequent, "h", size_for(frequent.count(), MAX_BITS)), depth)
-    # A state's suffixes, down to its shortest.
+    # States of all shards are added up as they are; then come a state's suffixes, down to its shortest.
+    states = states.groupBy("lang", "words", "shortest").agg(F.sum("n").alias("n"))
     spelt = states.select("lang", "n", F.explode(F.transform(F.sequence(F.col("shortest"), F.size("words")), lambda d: F.struct(d.alias("d"), F.array_join(F.slice("words", F.size("words") - d + 1, d), " ").alias("phrase")))).alias("x"))
     counts = spelt.groupBy("lang", F.col("x.phrase").alias("phrase"), F.col("x.d").alias("d")).agg(F.sum("n").alias("f"))
     found = written(counts.filter((F.col("f") >= least) | (F.col("d") == 0)), "phrases")
