@@ -40,13 +40,18 @@ def tier_metrics(spark, sf):
     return records.binary(r, confirmed=F.col("precision_tier") == "confirmed", user_facing=F.col("precision_tier").isin("confirmed", "investigate"), agree_positive=F.col("agreement") == "agree_positive")
 
 
+#: The threshold that is deployed; the sweep marks the nearest of its own, the lower of two.
+CURRENT = 0.32
+
+
 def deployed_sweep(spark, sf):
-    """Thresholds 0.10 to 0.90: the function's score alone, or any window from triage on, or with a confirmed window."""
+    """Thresholds 0.10 to 0.90: the function's score alone, or any window from triage on, or with a confirmed window; and which is nearest to the deployed one."""
     r = _records(spark, sf).select("label", "score", F.coalesce("max_window_prob", F.lit(0.0)).alias("top"))
     k = r.select("*", F.explode(F.sequence(F.lit(10), F.lit(90))).alias("k"))
     hit, y = F.col("score") >= F.col("k") / 100.0, F.col("label") == 1
-    tests = {"function": hit, "union": hit | (F.col("top") >= S.REVIEW), "confirmed": hit & (F.col("top") >= 0.3)}
-    return k.groupBy("k").agg(*[F.count_if(t if y_ else ~y & t).alias(f"{n}_{c}") for n, t in tests.items() for c, y_ in (("flagged", True), ("false", False))])
+    tests = {"function": hit, "union": hit | (F.col("top") >= S.REVIEW), "confirmed": hit & (F.col("top") >= S.CONFIRMED)}
+    nearest = min(range(10, 91), key=lambda x: (abs(x / 100 - CURRENT), x))
+    return k.groupBy("k").agg(*[F.count_if(t if y_ else ~y & t).alias(f"{n}_{c}") for n, t in tests.items() for c, y_ in (("flagged", True), ("false", False))]).withColumn("current", F.col("k") == nearest)
 
 
 def disagreement_pool(spark, sf):
@@ -112,7 +117,7 @@ list(window_index ORDER BY window_index) FILTER (window_prob >= 0.2) AS f, list(
 r AS (SELECT *, CASE WHEN score >= 0.32 THEN 'vuln' WHEN score >= 0.26 THEN 'needs_review' ELSE 'safe' END AS deployment_tier, CASE WHEN score >= 0.32 AND n_confirmed > 0 THEN 'confirmed' WHEN n_confirmed > 0 THEN 'investigate' WHEN score >= 0.32 THEN 'soft_review' ELSE 'safe' END AS precision_tier,
 CASE WHEN score >= 0.32 AND n_flagged > 0 THEN 'agree_positive' WHEN score >= 0.32 THEN 'diffuse_risk' WHEN n_flagged > 0 THEN 'review_suggested' ELSE 'agree_negative' END AS agreement FROM g) """
 WINDOWS = WINDOWS.replace(", r AS (SELECT user_id, round(least(1, base + uplift), 6) AS score, round(base, 6) AS top FROM u) ", "").replace("\nr AS (SELECT user_id, round(least(1, base + uplift), 6) AS score, round(base, 6) AS top FROM u) , w", " w")
-TESTS = {"function": "{h}", "union": "({h} OR top >= 0.26)", "confirmed": "({h} AND top >= 0.3)"}
+TESTS = {"function": "{h}", "union": "({h} OR top >= 0.26)", "confirmed": "({h} AND top >= 0.42)"}
 LOCATED = f"""WITH d AS (SELECT doc_id, {snippets.CODE_SQL} AS code, CASE doc_id % 5 WHEN 0 THEN '' WHEN 1 THEN E'  return 0;\\n}}' WHEN 2 THEN E'\\n  return\\n  nothing' ELSE 'no such line' END AS win FROM documents),
 e AS (SELECT *, string_split(code, E'\\n') AS lines, list_filter(string_split(win, E'\\n'), lambda x: trim(x) <> '') AS inner_, instr(code, trim(win)) AS pos FROM d), f AS (SELECT *, coalesce(list_position(list_transform(lines, lambda x: contains(x, trim(inner_[1]))), true), 0) AS hit, len(code[:pos - 1]) - len(replace(code[:pos - 1], E'\\n', '')) + 1 AS exact FROM e)
 SELECT doc_id, CASE WHEN trim(win) = '' THEN 1 WHEN pos > 0 THEN exact WHEN hit > 0 THEN hit ELSE 1 END::INT AS first_line, CASE WHEN trim(win) = '' THEN len(lines) WHEN pos > 0 THEN exact + len(trim(win)) - len(replace(trim(win), E'\\n', '')) WHEN hit > 0 THEN least(hit + len(inner_) - 1, len(lines)) ELSE len(lines) END::INT AS last_line FROM f"""
@@ -125,7 +130,7 @@ QUERIES = {
         WINDOWS + f"""SELECT * FROM (SELECT name, tp, fp, fn, tn, {scores.RATES} FROM (SELECT name, count(*) FILTER (hit AND label = 1) AS tp, count(*) FILTER (hit AND label = 0) AS fp, count(*) FILTER (NOT hit AND label = 1) AS fn, count(*) FILTER (NOT hit AND label = 0) AS tn
         FROM (SELECT label, unnest(['confirmed', 'user_facing', 'agree_positive']) AS name, unnest([precision_tier = 'confirmed', precision_tier IN ('confirmed', 'investigate'), agreement = 'agree_positive']) AS hit FROM r) GROUP BY name))""",
     ),
-    "deployed_sweep": (deployed_sweep, WINDOWS + "SELECT k::INT AS k, " + ", ".join(f"count(*) FILTER ({t.format(h='score >= k::DOUBLE / 100')}) AS {n}_flagged, count(*) FILTER ({t.format(h='score >= k::DOUBLE / 100')} AND label = 0) AS {n}_false" for n, t in TESTS.items()) + " FROM (SELECT *, coalesce(max_window_prob, 0) AS top FROM r), range(10, 91) q(k) GROUP BY k"),
+    "deployed_sweep": (deployed_sweep, WINDOWS + "SELECT k::INT AS k, k = 32 AS current, " + ", ".join(f"count(*) FILTER ({t.format(h='score >= k::DOUBLE / 100')}) AS {n}_flagged, count(*) FILTER ({t.format(h='score >= k::DOUBLE / 100')} AND label = 0) AS {n}_false" for n, t in TESTS.items()) + " FROM (SELECT *, coalesce(max_window_prob, 0) AS top FROM r), range(10, 91) q(k) GROUP BY k"),
     "disagreement_pool": (
         disagreement_pool,
         scores.BASE + ", d AS (SELECT *, " + ", ".join(f"{t}::DOUBLE / (1e-6 + ({' + '.join(f'abs(m{i} - m{j})' for j in range(1, 5) if j != i)}) / 3) AS w{i}" for i, t in zip(range(1, 5), (0.9, 0.7, 0.5, 0.3), strict=True)) + " FROM s) SELECT doc_id, round((m1 * w1 + m2 * w2 + m3 * w3 + m4 * w4) / (w1 + w2 + w3 + w4), 6) AS pooled FROM d",
