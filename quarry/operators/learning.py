@@ -5,7 +5,9 @@ A frame of rows has feature columns and `label` (0 or 1). What a fit gathers is
 
 from __future__ import annotations
 
+import random
 from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
 from itertools import combinations, product
 
@@ -151,16 +153,19 @@ def winner(reports: DataFrame, least: tuple[float, float, float] | None = None)
     return reports.orderBy(meets.desc(), F.desc("f1"), "brier", "ece", isotonic.desc(), deficit, "calibrator").limit(1)
 
 
-def searched(grid: dict[str, list], trials: int, value: Callable[[dict], float], seed: int = SEED) -> tuple[dict, float, list[float]]:
-    """A random search: `trials` different points of a grid by a seeded draw; a point must be better to replace the best. Also the best after each trial."""
-    import random
+def searched(grid: dict[str, list], trials: int, value: Callable[[dict], float], seed: int = SEED, parallel: int = 4) -> tuple[dict, float, list[tuple[int, dict, float, bool]]]:
+    """A random search: `trials` different points of a grid by a seeded draw, `parallel` of them at once; the best point, its value, and all trials.
 
+    Trials are (number, point, value, best): a point must be better than all before it to be the best so far, so the result
+    doesn't depend on which trial ends first. Each trial's work is Spark's; a thread only waits for it.
+    """
     points = [dict(zip(grid, p, strict=True)) for p in product(*grid.values())]
     chosen = random.Random(seed).sample(points, min(trials, len(points)))
-    top, at, course = None, chosen[0], []
-    for p in chosen:
-        v = value(p)
-        if top is None or v > top:
-            top, at = v, p
-        course.append(top)
-    return at, top, course
+    with ThreadPoolExecutor(max(1, parallel)) as pool:
+        values = list(pool.map(value, chosen))
+    course, top = [], None
+    for i, (p, v) in enumerate(zip(chosen, values, strict=True)):
+        better = top is None or v > top[1]
+        top = (p, v) if better else top
+        course.append((i, p, v, better))
+    return top[0], top[1], course

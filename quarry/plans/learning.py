@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quarry.functions import scores as S
-from quarry.operators import learning, metrics
+from quarry.operators import forests, learning, metrics
 from quarry.operators.learning import Calibrator, Meta
 from quarry.plans import scores
 from quarry.sources.places import shared
@@ -59,6 +59,34 @@ def model_report(spark, sf):
     return out
 
 
+def forest_report(spark, sf):
+    """Extra trees and a forest whose trees see both classes the same, fitted on folds 0 to 4, on held-out folds 8 and 9."""
+    rows = features(spark, sf)
+    out = None
+    for name, bins in (("extra_trees", 0), ("balanced_forest", 16)):
+        forest = forests.Forest(trees=20, levels=6, samples=0.7 if bins == 0 else 0.8, bins=bins).fit(rows.filter("fold <= 4"), COLUMNS, "doc_id")
+        r = learning.judged(forest.predict(rows.filter("fold >= 8"), "score"), "score", model=name)
+        out = r if out is None else out.unionByName(r)
+    return out
+
+
+def _f1(rows: DataFrame, score: str) -> float:
+    """The best F1 on a grid of thresholds from 0.20 to 0.80."""
+    curve = metrics.sweep(rows.select("label", F.col(score).alias("score"))).filter("k between 20 and 80 and k % 2 = 0")
+    return curve.agg(F.coalesce(F.max("f1"), F.lit(0.0))).first()[0]
+
+
+def meta_search(spark, sf):
+    """Trials of a seeded search for a meta-learner: kinds and strengths of regularisation, fitted on folds 5 and 6, by the best F1 on fold 7; then the winner fitted anew on all three folds, by its F1 on folds 8 and 9."""
+    table = _stack(spark, sf)
+    fit, valid, held = table.filter(F.col("fold").between(5, 6)), table.filter("fold = 7"), table.filter("fold >= 8")
+    made = lambda p, rows: Meta(p["kind"], NAMES, p["c"]).fit(rows)
+    best, top, trials = learning.searched({"kind": ["logistic", "polynomial"], "c": [0.01, 0.1, 1.0, 10.0]}, 6, lambda p: _f1(made(p, fit).predict_proba(valid), "meta"))
+    again = _f1(made(best, table.filter(F.col("fold").between(5, 7))).predict_proba(held), "meta")
+    rows = [(i, p["kind"], p["c"], v, better, p == best, again if p == best else None) for i, p, v, better in trials]
+    return spark.createDataFrame(rows, "trial int, kind string, c double, f1 double, improved boolean, chosen boolean, held_f1 double")
+
+
 def calibration_report(spark, sf):
     """No, isotonic and logistic calibration of a score, fitted on even and judged on odd documents."""
     s = scores.scored(spark, sf)
@@ -115,6 +143,8 @@ def isotonic_fit(spark, sf):
 QUERIES = {
     "stacked_scores": (stacked_scores, None),
     "model_report": (model_report, None),
+    "forest_report": (forest_report, None),
+    "meta_search": (meta_search, None),
     "calibration_report": (calibration_report, None),
     "calibration_grid": (calibration_grid, None),
     "calibration_winner": (calibration_winner, None),

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -58,9 +59,19 @@ def test_stack_learns_on_held_out_rows(spark):
 
 
 def test_search_keeps_the_first_of_equals():
-    at, value, course = learning.searched({"x": [1, 2, 3], "y": [0, 5]}, 6, lambda p: float(p["x"] > 1))
-    assert value == 1.0 and at["x"] > 1 and course == sorted(course) and len(course) == 6
-    assert learning.searched({"x": [1, 2, 3]}, 2, lambda p: p["x"]) == learning.searched({"x": [1, 2, 3]}, 2, lambda p: p["x"])
+    """Whatever the number of trials at once and the order in which they end."""
+    grid = {"x": [1, 2, 3], "y": [0, 5]}
+
+    def slow(p):
+        time.sleep(0.02 * (3 - p["x"]))
+        return float(p["x"] > 1)
+
+    at, value, trials = learning.searched(grid, 6, slow, parallel=1)
+    assert (at, value, trials) == learning.searched(grid, 6, slow, parallel=6)
+    assert value == 1.0 and at["x"] > 1 and [t[0] for t in trials] == list(range(6))
+    first = next(i for i, p, v, _ in trials if v == 1.0)
+    assert at == trials[first][1] and [b for *_, b in trials] == [i in (0, first) for i in range(6)]
+    assert learning.searched(grid, 2, slow) == learning.searched(grid, 2, slow)
 
 
 def test_the_winner_is_that_of_the_keys(spark):
