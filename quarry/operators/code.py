@@ -86,7 +86,8 @@ def functions(text: str) -> list[tuple[str, str, int, int]]:
             at += 1
             continue
         code = "\n".join(x for x in lines[at : stop + 1] if not x.lstrip().startswith("#")).strip()
-        own = WORD.findall(NOTES.sub("", lines[at]).partition("{")[0].partition("(")[0]) if "(" in lines[at] else []
+        head, bracket, _ = NOTES.sub("", lines[at]).partition("{")[0].partition("(")
+        own = WORD.findall(head) if bracket else []
         out.append((own[-1] if own else f"function_{len(out) + 1}", code, at + 1, stop + 1))
         at = stop + 1
     return out

@@ -108,15 +108,6 @@ def json_sink(spark, sf):
     return readers.json_lines(spark, path, "doc_id long, x double")
 
 
-def curve_sink(spark, sf):
-    """A sweep written as CSV and read again."""
-    from quarry.plans import scores
-
-    path = shared(spark, "curve")
-    writers.curve(scores.threshold_sweep(spark, sf), path, scores.best_f1(spark, sf))
-    return readers.csv_rows(spark, f"{path}/curve", "k int, tp long, fp long, fn long, prec double, rec double, f1 double")
-
-
 def evaluation_scan(spark, sf):
     rows = _docs(spark, sf).select(F.when(F.col("doc_id") % 7 == 0, " \n").otherwise(F.col("text")).alias("code"), F.when(F.col("doc_id") % 5 > 0, F.col("doc_id") % 2).alias("y"), "lang")
     return readers.evaluation_rows(rows, "code", "y").groupBy("label").agg(F.count("*").alias("n"))
@@ -246,7 +237,6 @@ QUERIES = {
     "chunk_round_trip": (chunk_round_trip, ROWS),
     "split_round_trip": (split_round_trip, "SELECT split, count(*) AS n, sum(doc_id)::BIGINT AS ids FROM (SELECT doc_id, CASE WHEN doc_id % 10 < 7 THEN 'train' WHEN doc_id % 10 < 9 THEN 'valid' WHEN lang = 'en' THEN 'test' END AS split FROM documents) WHERE split IS NOT NULL GROUP BY split"),
     "json_sink": (json_sink, "SELECT doc_id, CASE WHEN doc_id % 5 > 1 THEN n_chars / 8::DOUBLE END AS x FROM documents"),
-    "curve_sink": (curve_sink, None),
     "evaluation_scan": (evaluation_scan, f"SELECT label, count(*) AS n FROM (SELECT CASE WHEN doc_id % 7 = 0 THEN ' ' ELSE text END AS code, CASE WHEN doc_id % 5 > 0 THEN doc_id % 2 END AS label FROM documents) WHERE label IS NOT NULL AND {_trim('code')} <> '' GROUP BY label"),
     "window_scan": (window_scan, "SELECT vec_id, label, round(list_sum(embedding::DOUBLE[]), 3) AS total, (row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1)::INT AS window_index FROM embeddings"),
     "core_primevul": (core_primevul, PRIMEVUL),

@@ -8,7 +8,7 @@ from quarry.operators import records as R
 from quarry.operators import windows
 from quarry.operators.learning import Calibrator
 from quarry.plans import corpus, learning, records, scores
-from quarry.sources import bundles
+from quarry.sources import bundles, readers, writers
 from quarry.sources.bundles import Bundle
 from quarry.sources.places import shared
 
@@ -57,9 +57,19 @@ def aggregation_sink(spark, sf):
     return b.read("slim").join(whole, "user_id").join(F.broadcast(share), "agreement").select("user_id", "deployment_tier", "agreement", "n_flagged", "n_windows", "percent")
 
 
+def curve_sink(spark, sf):
+    """A sweep written as CSV with its chosen row as text, both read again: the row that the text names is chosen."""
+    path = shared(spark, "curve")
+    writers.curve(scores.threshold_sweep(spark, sf), path, scores.best_f1(spark, sf))
+    chosen = readers.text_lines(spark, f"{path}/chosen").select(F.regexp_extract("line", r"^k=(\d+) ", 1).cast("int").alias("k"), F.lit(True).alias("chosen"))
+    curve = readers.csv_rows(spark, f"{path}/curve", "k int, tp long, fp long, fn long, prec double, rec double, f1 double")
+    return curve.join(F.broadcast(chosen), "k", "left").withColumn("chosen", F.coalesce("chosen", F.lit(False)))  # one row is chosen
+
+
 PREDICTED = scores.BASE + f", l AS (UNPIVOT s ON m1, m2, m3, m4 INTO NAME model VALUE x) SELECT model, {SPLIT} AS split, count(*) AS n, round(sum(x), 6) AS total, sum(label)::BIGINT AS positive FROM l GROUP BY ALL"
 
 QUERIES = {
+    "curve_sink": (curve_sink, scores.CURVE + "SELECT k, tp, fp, fn, prec, rec, f1, k = (SELECT k FROM w WHERE k BETWEEN 20 AND 80 AND k % 2 = 0 ORDER BY f1 DESC, k LIMIT 1) AS chosen FROM w"),
     "windowed_sink": (windowed_sink, f"SELECT doc_id, {corpus.tokens_sql("coalesce(text, '')")}::BIGINT AS tokens FROM documents WHERE doc_id % 10 > 1"),
     "embedding_sink": (embedding_sink, f"SELECT {SPLIT.replace('doc_id', 'vec_id')} AS split, count(*) AS n, count(DISTINCT vec_id // 3) AS n_groups, max(length((vec_id // 3)::VARCHAR)) + 3 AS longest, (SELECT count(*) FROM embeddings) AS n_all FROM embeddings GROUP BY 1"),
     "prediction_sink": (prediction_sink, PREDICTED),

@@ -42,6 +42,8 @@ def test_functions_are_cut_out_by_braces():
     assert [n for n, *_ in code.functions("struct s { int a; };\nint add(int a) { return a; }\n")] == ["add"]
     assert code.functions("if (a) { b(); }\nwhile (c) { d(); }\nfor (;;) { e(); }\n") == []
     assert code.functions("") == []
+    assert [n for n, *_ in code.functions("static void /* (x) */\nf(int a)\n{\n  a++;\n}\n")] == ["function_1"]
+    assert [n for n, *_ in code.functions("int /* (x) */ g(int a)\n{\n  a++;\n}\n")] == ["g"]
 
 
 def test_comments_go_line_by_line():
