@@ -243,5 +243,5 @@ def test_pipeline_stages(spark, sf):
 
 def test_every_query_is_registered():
     names = registry.queries()
-    assert sorted(int(k.split("_")[0][2:]) for k in names) == list(range(1, 11))
+    assert sorted(int(k.split("_")[0][2:]) for k in names) == list(range(1, 14))
     assert set(registry.oracle_sql()) <= set(names)
