@@ -189,8 +189,9 @@ def read_media(media: DataFrame, store: DataFrame) -> DataFrame:
 
     Media whose chunks are all their own are read where they are. Of others, one row for each digest gets the chunks that
     it lists by a join, grouped by medium, so a group is at most one medium; the documents of all rows with that digest
-    get its result by a join of narrow rows, of which a batch gives one for each medium. verified says whether all digests
-    hold.
+    get its result by a join of narrow rows, of which a batch gives one for each medium. What such a row stores itself, its
+    list and its own chunks, is read, too, and must be what the rebuilt row stores, byte for byte (by SHA-256), as shared
+    chunks are stored once for all. verified says whether all digests hold.
     """
 
     def rows(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -207,11 +208,11 @@ def read_media(media: DataFrame, store: DataFrame) -> DataFrame:
                         part, at = bytes(inline[at : at + n]), at + n
                     sound = sound and len(part) == n and hashlib.blake2b(part, digest_size=DIGEST).digest() == d
                     parts.append(part)
-                out.append((docs.as_py(), n_bytes.as_py(), declared.as_py(), *described(b"".join(parts), declared.as_py(), sound)))
+                out.append((docs.as_py(), n_bytes.as_py(), declared.as_py(), hashlib.sha256(listed + inline).digest(), *described(b"".join(parts), declared.as_py(), sound)))
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True) if out else [[]] * len(kinds), kinds.values(), strict=True)], list(kinds))
 
-    kinds = {"docs": pa.list_(pa.int64()), "n_bytes": pa.int64(), "declared": pa.binary()} | {c.split()[0]: {"long": pa.int64(), "string": pa.string(), "boolean": pa.bool_()}[c.split()[1]] for c in SEEN_IN_MEDIUM.split(", ")}
-    schema = f"docs array<long>, n_bytes long, declared binary, {SEEN_IN_MEDIUM}"
+    kinds = {"docs": pa.list_(pa.int64()), "n_bytes": pa.int64(), "declared": pa.binary(), "own": pa.binary()} | {c.split()[0]: {"long": pa.int64(), "string": pa.string(), "boolean": pa.bool_()}[c.split()[1]] for c in SEEN_IN_MEDIUM.split(", ")}
+    schema = f"docs array<long>, n_bytes long, declared binary, own binary, {SEEN_IN_MEDIUM}"
     wide = ["docs", "n_bytes", "media_sha256", "list", "inline"]
     told = [F.explode("docs").alias("doc_id"), "n_bytes", *(c.split()[0] for c in SEEN_IN_MEDIUM.split(", "))]
     alone = media.filter(F.size("outside") == 0).select(*wide, F.lit(None).cast("array<struct<digest:binary,chunk:binary>>").alias("near"))
@@ -221,7 +222,8 @@ def read_media(media: DataFrame, store: DataFrame) -> DataFrame:
     refs = ours.select("row", F.explode("outside").alias("ref")).select("row", "ref.*").join(store, ["digest", "place"])
     near = refs.groupBy("row").agg(F.collect_list(F.struct("digest", "chunk")).alias("near"))
     built = ours.join(near, "row").select(*wide, "near").mapInArrow(rows, schema).drop("docs", "n_bytes")
-    copies = more.select("docs", "n_bytes", F.col("media_sha256").alias("declared")).join(built, "declared")
+    mine = F.unhex(F.sha2(F.concat("list", "inline"), 256))
+    copies = more.select("docs", "n_bytes", F.col("media_sha256").alias("declared"), mine.alias("mine")).join(built, "declared").withColumn("verified", F.col("verified") & (F.col("mine") == F.col("own")))
     return alone.mapInArrow(rows, schema).select(*told).unionByName(copies.select(*told))
 
 

@@ -310,3 +310,20 @@ def test_chat_round_trip(spark):
     for conv, t in whole.items():
         assert t.count("<|im_start|>") == t.count("<|im_end|>\n") == sum(r[0] == conv for r in rows)
     assert chat_format.read_back(chat_format.formatted(df.limit(0))).count() == 0
+
+
+def test_each_stored_copy_of_a_medium_is_read(spark):
+    """Of equal media stored by several tasks, a copy whose own bytes are not what they should be is not verified; the others are."""
+    from pyspark.sql import functions as F
+
+    rng = random.Random(11)
+    text = " ".join(f"w{rng.randrange(10**6)}" for _ in range(4000))
+    df = spark.createDataFrame([(i, text) for i in range(6)], "doc_id long, text string").repartition(3, "doc_id")
+    media, store = media_chunks.stored(df)
+    copies = [r["docs"] for r in media.filter(F.size("outside") > 0).orderBy("row").collect()]
+    assert len(copies) > 1
+    last = media.agg(F.max("row")).first()[0]
+    for spoilt in (F.concat("inline", F.lit(b"xx")), F.substring("inline", 1, 10)):
+        odd = media.withColumn("inline", F.when(F.col("row") == last, spoilt).otherwise(F.col("inline")))
+        found = {r.doc_id: r.verified for r in media_chunks.read_media(odd, store).collect()}
+        assert found == {d: docs != copies[-1] for docs in copies for d in docs}
