@@ -1,13 +1,14 @@
 """Several outputs of one run under one folder, with a manifest that is written last: what a run that broke off has left is never read.
 
-Counts in the manifest come with the writing itself (observed), so no output is read again to be counted.
+Counts and digests in the manifest are those of the written files, read again, so it says what is there. (Spark's observed
+metrics would save that pass, but a session that has used them can't serialise Spark ML's models any more.)
 """
 
 from __future__ import annotations
 
 import json
 
-from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -28,12 +29,11 @@ class Bundle:
         """Writes rows as an output (parquet, json or csv), parted by columns; what an earlier run left under the name is written over."""
         if self._closed():
             raise ValueError(f"{self.path} is complete")
-        seen = Observation(f"bundle {name}")
-        counted = rows.observe(seen, F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.pmod(F.xxhash64(*rows.columns), F.lit(1 << 31))), F.lit(0)).alias("digest"))
-        writer = counted.write.mode("overwrite").format(kind)
+        writer = rows.write.mode("overwrite").format(kind)
         (writer.partitionBy(*by) if by else writer).save(f"{self.path}/{name}")
-        got = seen.get
-        self._rows.append((name, kind, got["n"], got["digest"], rows.schema.json()))
+        there = self.spark.read.format(kind).schema(rows.schema).load(f"{self.path}/{name}")
+        n, digest = there.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.pmod(F.xxhash64(*rows.columns), F.lit(1 << 31))), F.lit(0))).first()
+        self._rows.append((name, kind, n, digest, rows.schema.json()))
         return self
 
     def close(self) -> Bundle:
