@@ -92,10 +92,18 @@ def by_characters(text: str, count: Callable[[str], int], most: int) -> Iterator
 
 
 def by_words(text: str, count: Callable[[str], int], safe: int, most: int) -> Iterator[tuple[str, int]]:
-    """Windows of whole words, joined by one space; words beyond `most` by characters."""
+    """Windows of whole words, joined by one space; words beyond `most` by characters.
+
+    Words that merge with a space before them worse than with one behind can be few enough one by one and too many
+    together: such a window, if it holds all words, is halved, as the same cut would give it again.
+    """
     words = text.split()
     sizes = [count(w + " ") for w in words]
     for a, b in runs(sizes, safe, most):
+        if b - a == len(words) > 1 and count(" ".join(words)) > most:
+            for half in (words[: b // 2], words[b // 2 :]):
+                yield from within(" ".join(half), count, safe, most)
+            continue
         yield from by_characters(words[a], count, most) if sizes[a] > most else within(" ".join(words[a:b]), count, safe, most)
 
 

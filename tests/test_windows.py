@@ -158,6 +158,20 @@ def test_tokenizer_windows_are_brute_force(spark):
     assert counts == {i: own.count(t) for i, t in enumerate([*texts, ""])}
 
 
+def test_words_that_are_too_many_only_together_are_cut(spark):
+    """220 rules of 32 signs are 440 tokens with a space behind each and over 500 with one before: cutting them again gave the same window without end."""
+    given = windows.ranks(spark, public_tokenizers.path("byte_bpe_50k.tiktoken"))
+    texts = [f"{before}{' '.join([sign * 32] * 220)}{after}" for sign in "#/" for before, after in (("", ""), ("int x;\n", "\nint y;"))]
+    df = spark.createDataFrame(list(enumerate(texts)), "id long, text string")
+    found: dict[int, list] = {}
+    for r in windows.expanded(df, "id", "text", given).orderBy("window_index").collect():
+        found.setdefault(r["function_group_id"], []).append((r["code"], r["token_count"]))
+    count = Bpe().count
+    for i, text in enumerate(texts):
+        assert " ".join(c for c, _ in found[i]).split() == text.split() and len(found[i]) > 1
+        assert all(n == count(c) <= 500 for c, n in found[i])
+
+
 def test_long_texts_are_counted_in_slices(spark):
     own, count = Bpe(), windows.Tokenizer(windows.ranks(spark, public_tokenizers.path("byte_bpe_50k.tiktoken")).value)
     text = "naïve words 😀 " * 30_000
