@@ -33,11 +33,11 @@ def powers(base: int, n: int) -> np.ndarray:
 
 
 def _blocks(starts: np.ndarray, ends: np.ndarray) -> list[tuple[int, int]]:
-    """Runs of words of about BLOCK bytes each."""
+    """Runs of words of about BLOCK bytes each; none is empty, wherever in the last word a block would end."""
     if not len(starts):
         return []
     cuts = np.unique(np.searchsorted(starts, np.arange(starts[0], ends[-1], BLOCK)))
-    cuts = [0, *cuts[cuts > 0].tolist(), len(starts)]
+    cuts = [0, *cuts[(cuts > 0) & (cuts < len(starts))].tolist(), len(starts)]
     return list(zip(cuts[:-1], cuts[1:], strict=True))
 
 

@@ -83,6 +83,14 @@ def test_substring_dedup_of_awkward_rows(spark, awkward, nothing):
     assert substring_dedup.deduplicated(nothing).count() == 0
 
 
+def test_substring_dedup_where_a_block_of_words_ends_in_the_last_word(spark):
+    """Words are hashed by blocks of 2**18 bytes; one that would begin inside a chunk's last word was empty, and an error."""
+    words = [f"{i:07d}" for i in range((1 << 15) - 1)]  # with their spaces 2**18 - 8 bytes
+    rows = [(1, " ".join([*words, "longer-than-eight-bytes"])), (2, " ".join(["new", *words[100:200]])), (3, "short " * 3)]
+    out = got(substring_dedup.deduplicated(frame(spark, rows), keep_text=True), "doc_id", "n_words", "n_removed", "kept_sha256", "kept")
+    assert out == removed_by_force(rows)
+
+
 def near_copies(seed: int):
     """Groups of near copies on both sides of the threshold, of sizes around the borders of the schemes."""
     rng = random.Random(seed)
