@@ -21,6 +21,8 @@ from quarry.sources.places import shared
 SHINGLE, LEAST, PERMUTATIONS, BANDS, EACH = 5, 0.85, 128, 21, 6
 #: Words of 64 bits of a parity bitmap.
 MARK_WORDS = 8
+#: Values that ids are hashed to, to tell which sets pairs ask for: a fixed size at every size of the input.
+PLACES = 1 << 22
 #: Rounds of heads before what is left is compared in pairs.
 ROUNDS = 12
 #: The order of splits.
@@ -74,8 +76,8 @@ def with_shingles(rows: DataFrame, code: str, out: str = "shingles") -> DataFram
     return rows.withColumn(out, F.transform(F.array(words), hashes)[0])
 
 
-def banded(rows: DataFrame, key: str, shingles: str) -> DataFrame:
-    """(key, bands, n, mark): a hash for each band of minimum hashes, the number of shingles, and their parity bitmap; rows without shingles are left out.
+def banded(rows: DataFrame, key: str, shingles: str, *more: str) -> DataFrame:
+    """(key, bands, n, mark) and the columns of `more`: a hash for each band of minimum hashes, the number of shingles, and their parity bitmap; rows without shingles are left out.
 
     Bit i of a parity bitmap says whether an odd number of shingles falls on it: sets that differ in d shingles have
     bitmaps that differ in d bits at most.
@@ -96,10 +98,11 @@ def banded(rows: DataFrame, key: str, shingles: str) -> DataFrame:
                 sizes.append(len(h))
                 odd = np.bincount((h >> np.uint64(40)).astype(np.int64) % (64 * MARK_WORDS), minlength=64 * MARK_WORDS) & 1
                 marks.append(np.packbits(odd.astype(bool), bitorder="little").view(np.int64))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.list_(pa.int64())), pa.array(sizes, pa.int32()), pa.array(marks, pa.list_(pa.int64()))], ["k", "bands", "n", "mark"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.list_(pa.int64())), pa.array(sizes, pa.int32()), pa.array(marks, pa.list_(pa.int64())), *batch.columns[2:]], ["k", "bands", "n", "mark", *more])
 
-    kind = rows.schema[key].dataType.simpleString()
-    return rows.filter(F.size(shingles) > 0).select(key, shingles).mapInArrow(made, f"k {kind}, bands array<long>, n int, mark array<long>").withColumnRenamed("k", key)
+    kind = lambda c: rows.schema[c].dataType.simpleString()
+    schema = ", ".join([f"k {kind(key)}, bands array<long>, n int, mark array<long>", *[f"`{c}` {kind(c)}" for c in more]])
+    return rows.filter(F.size(shingles) > 0).select(key, F.col(shingles).alias("__s"), *more).mapInArrow(made, schema).withColumnRenamed("k", key)
 
 
 def similarity(x: Column, y: Column) -> Column:
@@ -113,12 +116,19 @@ def may_be_near(n: Column, x: Column, m: Column, y: Column) -> Column:
     return (F.least(n, m) >= LEAST * F.greatest(n, m)) & (apart <= (n + m) * ((1 - LEAST) / (1 + LEAST)) + 1e-6)
 
 
+def _needed(rows: DataFrame, ids: DataFrame) -> DataFrame:
+    """The rows (at, ...) whose place one of the ids (at) has, and few others: PLACES values at most are sent to all tasks, so that what nobody asks for isn't shuffled."""
+    place = lambda: F.pmod(F.xxhash64("at"), F.lit(PLACES)).cast("int").alias("__place")
+    return rows.withColumn("__place", place()).join(F.broadcast(ids.select(place()).distinct()), "__place", "left_semi").drop("__place")
+
+
 def near_pairs(pairs: DataFrame, a_marks: DataFrame, a_sets: DataFrame, b_marks: DataFrame, b_sets: DataFrame) -> DataFrame:
     """The pairs (a, b) that are near duplicates. Marks (at, n, mark) come first; sets (at, shingles) move for what they leave."""
     side = lambda rows, c: rows.select(F.col("at").alias(c), *[F.col(x).alias(f"{x}_{c}") for x in rows.columns if x in ("n", "mark", "shingles")])
     some = pairs.join(side(a_marks.select("at", "n", "mark"), "a"), "a").join(side(b_marks.select("at", "n", "mark"), "b"), "b")
-    some = some.filter(may_be_near(F.col("n_a"), F.col("mark_a"), F.col("n_b"), F.col("mark_b"))).select("a", "b")
-    j = some.join(side(a_sets.select("at", "shingles"), "a"), "a").join(side(b_sets.select("at", "shingles"), "b"), "b")
+    some = _written(some.filter(may_be_near(F.col("n_a"), F.col("mark_a"), F.col("n_b"), F.col("mark_b"))).select("a", "b"), "likely")
+    sets = lambda rows, c: side(_needed(rows.select("at", "shingles"), some.select(F.col(c).alias("at"))), c)
+    j = some.join(sets(a_sets, "a"), "a").join(sets(b_sets, "b"), "b")
     return j.filter(similarity(F.col("shingles_a"), F.col("shingles_b")) >= LEAST).select("a", "b")
 
 
@@ -130,11 +140,9 @@ def _near(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 def _placed(rows: DataFrame, code: str, order: str) -> tuple[DataFrame, DataFrame]:
     """(at, shingles, n, mark) of the first row of each code, and (at, band) rows; `at` is the place in the order."""
     first = rows.groupBy(digest(F.col(code)).alias("d")).agg(F.min(F.struct(F.col(order).alias("at"), F.col(code).alias("code"))).alias("x")).select("x.*")
-    sets = _written(with_shingles(first, "code").select("at", "shingles").filter(F.size("shingles") > 0), "sets")
-    made = _written(banded(sets, "at", "shingles"), "marks")
-    sets = _written(sets.join(made.drop("bands"), "at"), "sets")
-    bands = made.select("at", F.posexplode("bands").alias("i", "h")).select("at", F.struct("i", "h").alias("band"))
-    return sets, shared_bands(bands)
+    sets = _written(banded(with_shingles(first, "code"), "at", "shingles", "shingles"), "sets")
+    bands = sets.select("at", F.posexplode("bands").alias("i", "h")).select("at", F.struct("i", "h").alias("band"))
+    return sets.drop("bands"), shared_bands(bands)
 
 
 def shared_bands(bands: DataFrame) -> DataFrame:

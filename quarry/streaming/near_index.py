@@ -76,10 +76,9 @@ class NearIndex:
         first = duplicates._written(marked.filter(F.col("keep") & (F.coalesce(strip(F.col(code)), F.lit("")) != "")).select(F.col(order).alias("at"), F.col(code).alias("code"), F.unhex(duplicates.digest(F.col(code))).alias("digest")), "first")
         exact = duplicates._written(first.join(self.before("digests", batch, self._met(first, "digest")), "digest", "left_semi").select("at"), "exact")
         new = first.join(exact, "at", "left_anti")
-        sets = duplicates._written(duplicates.with_shingles(new, "code").select("at", "digest", "shingles"), "sets")
-        marks = duplicates._written(duplicates.banded(sets, "at", "shingles"), "marks")
-        full = duplicates._written(sets.join(marks.drop("bands"), "at").select("at", "digest", "n", "mark", "shingles"), "sets")
-        bands = marks.select("at", F.posexplode("bands").alias("i", "h")).select("at", F.xxhash64("i", "h").alias("band"))
+        made = duplicates._written(duplicates.banded(duplicates.with_shingles(new, "code"), "at", "shingles", "digest", "shingles"), "sets")
+        full = made.drop("bands")
+        bands = made.select("at", F.posexplode("bands").alias("i", "h")).select("at", F.xxhash64("i", "h").alias("band"))
         near = self._near_kept(full, bands, batch)
         again = duplicates.dropped(full, duplicates.shared_bands(bands.join(near, "at", "left_anti")))
         gone = duplicates._written(near.unionByName(again).withColumn("__reason", F.lit("near")).unionByName(exact.withColumn("__reason", F.lit("exact"))).withColumnRenamed("at", "__at"), "gone")
