@@ -55,12 +55,12 @@ def first_of_equal(rows: DataFrame, code: str, order: list[Column], scope: str |
     key = [digest(F.col(code)).alias("__digest")] + ([F.col(scope).alias("__scope")] if scope else [])
     place = F.struct(*[o.alias(f"o{i}") for i, o in enumerate(order)])
     first = rows.groupBy(*key).agg(F.min(place).alias("__first"))
-    on = digest(F.col(code)).eqNullSafe(F.col("__digest"))
+    on = F.col("__own").eqNullSafe(F.col("__digest"))
     if scope:
         on = on & F.col(scope).eqNullSafe(F.col("__scope"))
-    joined = rows.join(first, on, "left")
-    blank = F.coalesce(strip(F.col(code)), F.lit("")) == ""
-    return joined.withColumn("keep", blank | (place == F.col("__first"))).withColumn("first", F.col("__first.o0")).drop("__digest", "__scope", "__first")
+    # What the code is asked for comes before the join, so that codes move only for callers that want them.
+    joined = rows.withColumns({"__own": digest(F.col(code)), "__blank": F.coalesce(strip(F.col(code)), F.lit("")) == ""}).join(first, on, "left")
+    return joined.withColumn("keep", F.col("__blank") | (place == F.col("__first"))).withColumn("first", F.col("__first.o0")).drop("__own", "__blank", "__digest", "__scope", "__first")
 
 
 def with_shingles(rows: DataFrame, code: str, out: str = "shingles") -> DataFrame:
@@ -137,9 +137,9 @@ def _near(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return near_pairs(pairs, sets, sets, sets, sets)
 
 
-def _placed(rows: DataFrame, code: str, order: str) -> tuple[DataFrame, DataFrame]:
-    """(at, shingles, n, mark) of the first row of each code, and (at, band) rows; `at` is the place in the order."""
-    first = rows.groupBy(digest(F.col(code)).alias("d")).agg(F.min(F.struct(F.col(order).alias("at"), F.col(code).alias("code"))).alias("x")).select("x.*")
+def _placed(rows: DataFrame, code: str, order: str, firsts: bool) -> tuple[DataFrame, DataFrame]:
+    """(at, shingles, n, mark) of the first row of each code, and (at, band) rows; `at` is the place in the order. firsts: rows are those already."""
+    first = rows.select(F.col(order).alias("at"), F.col(code).alias("code")) if firsts else rows.groupBy(digest(F.col(code)).alias("d")).agg(F.min(F.struct(F.col(order).alias("at"), F.col(code).alias("code"))).alias("x")).select("x.*")
     sets = _written(banded(with_shingles(first, "code"), "at", "shingles", "shingles"), "sets")
     bands = sets.select("at", F.posexplode("bands").alias("i", "h")).select("at", F.struct("i", "h").alias("band"))
     return sets.drop("bands"), shared_bands(bands)
@@ -151,14 +151,14 @@ def shared_bands(bands: DataFrame) -> DataFrame:
     return _written(bands.join(met, "band", "left_semi"), "bands")
 
 
-def near_dropped(rows: DataFrame, code: str, order: str) -> DataFrame:
-    """(at) of the rows that an earlier kept row makes a near duplicate, among the first rows of each code.
+def near_dropped(rows: DataFrame, code: str, order: str, firsts: bool = False) -> DataFrame:
+    """(at) of the rows that an earlier kept row makes a near duplicate, among the first rows of each code; firsts: rows are those already, as first_of_equal() keeps them.
 
     In each round the first row left in a band is its head. Rows that head all their bands stay: whatever comes earlier
     and shares a band has been settled. They are compared with what is left in their bands, so a round makes at most one
     pair a row and band. Rows left after ROUNDS rounds are settled from their verified pairs.
     """
-    return dropped(*_placed(rows, code, order))
+    return dropped(*_placed(rows, code, order, firsts))
 
 
 def dropped(sets: DataFrame, left: DataFrame) -> DataFrame:
@@ -195,12 +195,12 @@ def _settled(left: DataFrame, sets: DataFrame) -> DataFrame:
     return gone if gone is not None else left.select("at").limit(0)
 
 
-def near_matched(rows: DataFrame, code: str, order: str) -> DataFrame:
-    """(at) of the rows that have any earlier near duplicate, kept or not, among the first rows of each code.
+def near_matched(rows: DataFrame, code: str, order: str, firsts: bool = False) -> DataFrame:
+    """(at) of the rows that have any earlier near duplicate, kept or not, among the first rows of each code; firsts: rows are those already.
 
     Each row is compared with its bands' heads; only what no head is near to is compared with all earlier rows of its bands.
     """
-    sets, bands = _placed(rows, code, order)
+    sets, bands = _placed(rows, code, order, firsts)
     heads = bands.groupBy("band").agg(F.min("at").alias("a"))
     easy = _written(_near(bands.join(heads, "band").filter("a < at").select("a", F.col("at").alias("b")).distinct(), sets).select(F.col("b").alias("at")).distinct(), "easy")
     hard = bands.join(easy, "at", "left_anti").select(F.col("at").alias("b"), "band")

@@ -52,5 +52,5 @@ def gate(rows: DataFrame, required: tuple[str, ...] = REQUIRED, max_exact: int =
 def near_rows(rows: DataFrame) -> DataFrame:
     """(near_rows): the rows that an earlier row equals or nearly equals; blank ones are near to nothing."""
     marked = duplicates.first_of_equal(rows, "code", [F.col("place")])
-    near = duplicates.near_matched(marked.filter("keep"), "code", "place").withColumn("__near", F.lit(True))
+    near = duplicates.near_matched(marked.filter("keep"), "code", "place", True).withColumn("__near", F.lit(True))
     return marked.join(near, marked["place"] == near["at"], "left").agg(F.count_if(F.coalesce("__near", F.lit(False)) | ~F.col("keep")).alias("near_rows"))

@@ -40,7 +40,7 @@ def shingle_counts(spark, sf):
 def near_first_wins(spark, sf):
     """What the first-wins rule drops, as exact or near; what equals a dropped row is near to the same kept one."""
     marked = duplicates.first_of_equal(rows(spark, sf), "code", [F.col("place")])
-    near = duplicates.near_dropped(marked.filter("keep"), "code", "place").withColumn("near", F.lit(True))
+    near = duplicates.near_dropped(marked.filter("keep"), "code", "place", True).withColumn("near", F.lit(True))
     return marked.join(near, marked["first"] == near["at"], "left").select("doc_id", F.when(F.col("near"), "near").when(F.col("keep"), "kept").otherwise("exact").alias("reason"))
 
 
@@ -48,7 +48,7 @@ def near_leaks(spark, sf):
     """How many rows have an earlier near or equal row, splits in order."""
     r = rows(spark, sf).filter("split IN ('train', 'test') OR split = ' Valid'")
     marked = duplicates.first_of_equal(r, "code", [F.col("place")])
-    near = duplicates.near_matched(marked.filter("keep"), "code", "place").withColumn("near", F.lit(True))
+    near = duplicates.near_matched(marked.filter("keep"), "code", "place", True).withColumn("near", F.lit(True))
     return marked.join(near, marked["place"] == near["at"], "left").agg(F.count_if(F.coalesce("near", F.lit(False)) | ~F.col("keep")).alias("n"))
 
 
@@ -71,6 +71,9 @@ def gate_passed(spark, sf):
     r = rows(spark, sf)
     kept = near_first_wins(spark, sf).filter("reason = 'kept'").select("doc_id")
     own = r.join(kept, "doc_id", "left_semi").filter(T.strip(F.col("code")) != "").withColumn("commit_hash", F.concat(F.lit("c"), F.col("doc_id").cast("string")))
+    path = shared(spark, "kept")  # the gate reads its rows several times
+    own.write.parquet(path)
+    own = spark.read.schema(own.schema).parquet(path)
     return _found(gates.gate(_whole(own)))
 
 

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import random
 
+from pyspark.sql import functions as F
+
 from quarry.operators import duplicates
 from quarry.streaming import ingest, near_index
 
@@ -138,3 +140,21 @@ def test_marks_never_rule_out_a_near_pair(spark):
         assert r["may"] or not r["near"]
         ruled += not r["may"]
     assert ruled > len(data) / 2
+
+
+def test_only_sets_that_pairs_ask_for_are_shuffled(spark):
+    """Sets that no pair needs are left out before the joins, by a table of bounded size that goes to all tasks, even where joins may not broadcast."""
+    texts = [(i, " ".join(f"w{i}x{k}" for k in range(30))) for i in range(40)] + [(40, " ".join(f"w3x{k}" for k in range(30)) + " more")]
+    made = duplicates.banded(duplicates.with_shingles(spark.createDataFrame(texts, "at long, code string"), "code"), "at", "shingles", "shingles")
+    sets = duplicates._written(made.drop("bands"), "sets")
+    pairs = spark.createDataFrame([(3, 40), (1, 2), (5, 40)], "a long, b long")
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        near = duplicates.near_pairs(pairs, sets, sets, sets, sets)
+        assert [tuple(r) for r in near.collect()] == [(3, 40)]
+        plan = near._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("LeftSemi, BuildRight") >= 2
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+    assert duplicates._needed(sets, pairs.select(F.col("a").alias("at"))).count() == 3
