@@ -59,17 +59,14 @@ def read_packed_text(spark, sf):
 
 
 def read_dump(spark, sf):
-    """One table of a COPY dump with two, written with its escapes."""
+    """One table of a COPY dump with two others, written with its escapes in numbered files."""
     d = _docs(spark, sf)
     escaped = F.coalesce(F.regexp_replace(F.regexp_replace(F.regexp_replace(F.regexp_replace("text", r"\\", r"\\\\"), "\t", r"\\t"), "\n", r"\\n"), "\r", r"\\r"), F.lit("\\N"))
     line = F.concat_ws("\t", F.col("doc_id").cast("string"), escaped, F.coalesce("lang", F.lit("\\N")), F.col("n_chars").cast("string"))
-    part = lambda name, rows, at: [(at, f"COPY public.{name} (doc_id, text, \"lang\", n_chars) FROM stdin;"), rows.select(F.lit(at + 1), line), (at + 2, "\\."), (at + 3, "")]
-    lines = None
-    for piece in [*part("other", d.limit(3), 0), *part("documents", d, 10), *part("more", d.limit(2), 20)]:
-        rows = spark.createDataFrame([piece], "at int, line string") if isinstance(piece, tuple) else piece.toDF("at", "line")
-        lines = rows if lines is None else lines.unionByName(rows)
+    said = lambda *lines: spark.createDataFrame([(x,) for x in lines], "line string").coalesce(1)
+    part = lambda name, rows: [said(f"COPY public.{name} (doc_id, text, \"lang\", n_chars) FROM stdin;"), rows.select(line.alias("line")), said("\\.", "")]
     path = shared(spark, "dump")
-    lines.coalesce(1).sortWithinPartitions("at").select("line").write.text(path)
+    writers.in_order(spark, [*part("other", d.limit(3)), *part("documents", d), *part("more", d.limit(2))], path)
     got = readers.dump_rows(spark, path, "documents")
     return _digests(got.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "lang", F.col("n_chars").cast("long").alias("n_chars")))
 

@@ -8,6 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quarry.sources.places import shared
 from quarry.sources.readers import without_nan
 
 
@@ -60,6 +61,14 @@ def renamed(spark: SparkSession, folder: str, target: str, name: str) -> int:
     return len(parts)
 
 
+def in_order(spark: SparkSession, pieces: list[DataFrame], target: str) -> None:
+    """Tables of lines (line), one after another, as text files whose names tell the order of the pieces; a piece is written by as many tasks as it has."""
+    for k, piece in enumerate(pieces):
+        place = shared(spark, "piece")
+        piece.select("line").write.text(place)
+        renamed(spark, place, target, f"{k:04d}-{{:06d}}.txt")
+
+
 def curve(rows: DataFrame, path: str, best: DataFrame) -> None:
     """A curve of bounded size as one CSV file, and the chosen row as one text file."""
     rows.coalesce(1).write.csv(f"{path}/curve", header=True)

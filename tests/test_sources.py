@@ -7,7 +7,7 @@ from collections import Counter
 
 import pytest
 
-from quarry.sources import bundles, csv_splits, readers, writers
+from quarry.sources import bundles, csv_splits, datasource, readers, writers
 
 
 def test_dump_fields():
@@ -41,6 +41,56 @@ def test_json_lines_and_bad_bytes(spark, tmp_path):
     assert [r["line"] for r in readers.text_lines(spark, str(tmp_path / "b.txt")).collect()] == ["ok", "b\ufffdd"]
 
 
+def test_dump_in_numbered_files(spark, tmp_path):
+    """A table that several tasks write, as one table over several files, beside others; no task writes all of it."""
+    said = lambda *lines: spark.createDataFrame([(x,) for x in lines], "line string").coalesce(1)
+    body = lambda n: spark.range(0, n, 1, 5).selectExpr(f"concat(id, '\\tv', id + {n}) AS line")
+    path = str(tmp_path / "dump.sql")
+    writers.in_order(spark, [p for n, t in ((40, "a"), (70, "b"), (20, "c")) for p in (said(f"COPY public.{t} (id, v) FROM stdin;"), body(n), said("\\.", ""))], path)
+    assert len(list((tmp_path / "dump.sql").glob("*.txt"))) == 3 * 7
+    for n, t in ((40, "a"), (70, "b"), (20, "c")):
+        assert sorted((int(r["id"]), r["v"]) for r in readers.dump_rows(spark, path, t).collect()) == [(i, f"v{i + n}") for i in range(n)]
+
+
+def test_small_ranges_share_tasks_and_read_little_more_than_themselves(spark, tmp_path, monkeypatch):
+    """A folder of files that stands for one, in ranges of 5,000 bytes: each line once, in 512 tasks at most, and the files read a few times over at most (8 MB a range before)."""
+    (tmp_path / "x.jsonl").mkdir()
+    lines = [f'{{"n": {i}, "t": "{"y" * (i * 7 % 900 if i % 500 else 300_000)}"}}' for i in range(2000)]
+    for k in range(2):
+        (tmp_path / "x.jsonl" / f"part-{k}.json").write_text("\n".join(lines[k::2]) + "\n" * k)
+    (tmp_path / "x.jsonl" / "_SUCCESS").write_text("")
+    read = []
+
+    class File:
+        def __init__(self, file):
+            self.file, self.seek = file, file.seek
+
+        def __enter__(self):
+            return self
+
+        def __exit__(self, *_):
+            self.file.close()
+
+        def read(self, n):
+            read.append(len(got := self.file.read(n)))
+            return got
+
+    class System:
+        def __init__(self, system):
+            self.get_file_info, self.open_input_file = system.get_file_info, lambda path: File(system.open_input_file(path))
+
+    own = datasource.opened
+    monkeypatch.setattr(datasource, "opened", lambda path: (System(own(path)[0]), own(path)[1]))
+    schema = spark.createDataFrame([], "n long, t string").schema
+    reader = datasource.JsonLinesReader(schema, {"path": str(tmp_path), "fallback": "x.jsonl", "part_bytes": "5000"})
+    parts = reader.partitions()
+    assert len(parts) <= datasource.TASKS
+    got = sorted(r["n"] for p in parts for b in reader.read(p) for r in b.to_pylist())
+    assert got == list(range(2000))
+    n_ranges = sum(len(p.ranges) for p in parts)
+    assert sum(read) < n_ranges * (5000 + 2 * datasource.BEYOND) + 4 * 4 * 300_000
+
+
 def test_shards_and_chunks(spark, tmp_path):
     rows = spark.createDataFrame([(i, f"t{i}") for i in range(50)], "id long, text string")
     writers.chunks(rows, str(tmp_path), "part", 12, "id", 1_000)
