@@ -18,6 +18,11 @@ def _json(spark: SparkSession, rows: DataFrame, target: str, name: str) -> None:
     writers.renamed(spark, place, target, name)
 
 
+def _json_folder(rows: DataFrame, path: str) -> None:
+    """rows as JSON lines in a folder of this name, a file a task."""
+    rows.write.option("ignoreNullFields", "false").json(path)
+
+
 def source_primevul(spark, sf):
     """Two folders of JSON lines; rows without a split have that of their file's name. Partitions of 64 kB show that lines are cut right."""
     root = shared(spark, "root")
@@ -29,8 +34,8 @@ def source_primevul(spark, sf):
 
 def source_diversevul(spark, sf):
     root = shared(spark, "root")
-    _json(spark, ingest._expressions(spark, sf, ingest.RAW_DIVERSEVUL).coalesce(1), f"{root}/diversevul", "diversevul.jsonl")
-    _json(spark, ingest._expressions(spark, sf, ingest.RAW_META).coalesce(1), f"{root}/diversevul", "metadata.jsonl")
+    _json_folder(ingest._expressions(spark, sf, ingest.RAW_DIVERSEVUL), f"{root}/diversevul/diversevul.jsonl")
+    _json_folder(ingest._expressions(spark, sf, ingest.RAW_META), f"{root}/diversevul/metadata.jsonl")
     return ingest._shown(corpora.core_rows(spark, root))
 
 
@@ -43,7 +48,7 @@ def source_bigvul(spark, sf):
 def source_cvefixes(spark, sf):
     """JSON lines are there, so a dump beside them isn't read."""
     root = shared(spark, "root")
-    _json(spark, ingest._expressions(spark, sf, ingest.RAW_RELATIONAL).coalesce(1), f"{root}/cvefixes", "cvefixes.jsonl")
+    _json_folder(ingest._expressions(spark, sf, ingest.RAW_RELATIONAL), f"{root}/cvefixes/cvefixes.jsonl")
     spark.createDataFrame([("COPY public.commits (hash) FROM stdin;",), ("\\.",)], "value string").coalesce(1).write.text(f"{root}/cvefixes/dump.sql")
     return ingest._shown(corpora.core_rows(spark, root))
 
@@ -63,7 +68,7 @@ PATCHED = "CASE WHEN doc_id % 20 = 0 THEN substring(sha1('h' || (doc_id % 97)),
 
 
 def _dump(spark: SparkSession, sf: str, path: str) -> None:
-    """The tables of DUMP, each as a file of a COPY dump."""
+    """The tables of DUMP, as numbered files of a COPY dump."""
     d = spark.read.parquet(f"{sf}/documents.parquet")
     special = {"\\\\": "\\\\\\\\", "\t": "\\\\t", "\n": "\\\\n", "\r": "\\\\r"}
 
@@ -73,12 +78,13 @@ def _dump(spark: SparkSession, sf: str, path: str) -> None:
             out = F.regexp_replace(out, a, b)
         return F.coalesce(out, F.lit("\\N"))
 
+    said = lambda *lines: spark.createDataFrame([(x,) for x in lines], "line string").coalesce(1)
+    pieces = []
     for table, (columns, where) in DUMP.items():
         rows = d.filter(where).selectExpr(*[f"{e} AS {c}" for c, e in columns.items()])
         rows = rows if table in ("method_change", "file_change") else rows.distinct()
-        body = rows.select(F.lit(1).alias("at"), F.concat_ws("\t", *[escaped(c) for c in columns]).alias("line"))
-        ends = spark.createDataFrame([(0, f"COPY public.{table} ({', '.join(columns)}) FROM stdin;"), (2, "\\."), (3, "")], "at int, line string")
-        ends.unionByName(body).coalesce(1).sortWithinPartitions("at").select("line").write.mode("append").text(path)
+        pieces += [said(f"COPY public.{table} ({', '.join(columns)}) FROM stdin;"), rows.select(F.concat_ws("\t", *[escaped(c) for c in columns]).alias("line")), said("\\.", "")]
+    writers.in_order(spark, pieces, path)
 
 
 def _patched(d: DataFrame) -> DataFrame:

@@ -24,8 +24,12 @@ from quarry.sources.readers import removed_runs
 
 #: Bytes of a partition, and of one read.
 PART, STEP = 128 << 20, 8 << 20
+#: Bytes that are read at once beyond a range.
+BEYOND = 16 << 10
 #: Rows of an Arrow batch.
 ROWS = 1000
+#: Tasks beyond which small ranges share one, up to PART bytes of them.
+TASKS = 512
 #: Splits that file names tell, in this order, and what a commit's hash at the end of a patch's name is.
 SPLITS = ("train", "valid", "test")
 HASH = re.compile(r"[0-9a-fA-F]{7,40}")
@@ -60,6 +64,13 @@ class Range(InputPartition):
     split: str | None
 
 
+@dataclass
+class Ranges(InputPartition):
+    """Ranges that a task reads one after another."""
+
+    ranges: list[Range]
+
+
 @dataclass
 class Files(InputPartition):
     """Whole small files."""
@@ -83,7 +94,7 @@ def _value(x, kind: DataType):
 
 
 class JsonLines(DataSource):
-    """Options: path; folders, comma-separated, whose *.jsonl files are read; fallback, files that are read where the folders have none; part_bytes."""
+    """Options: path; folders, comma-separated, whose *.jsonl files are read; fallback, files that are read where the folders have none, or folders of such names, all files in which are read; part_bytes."""
 
     @classmethod
     def name(cls) -> str:
@@ -104,10 +115,14 @@ class JsonLinesReader(DataSourceReader):
         self.root, self.part = options["path"].rstrip("/"), int(options.get("part_bytes", PART))
         self.folders, self.fallback = ([x for x in options.get(k, "").split(",") if x] for k in ("folders", "fallback"))
 
-    def partitions(self) -> list[Range]:
-        files = [f for folder in self.folders for f in listed(f"{self.root}/{folder}", r".*\.jsonl")]
-        files = files or [f for name in self.fallback for f in listed(self.root, re.escape(name))]
-        return [Range(path, at, min(at + self.part, size), split_of(path)) for path, size in files for at in range(0, size, self.part)] or [Range("", 0, 0, None)]
+    def partitions(self) -> list[Ranges]:
+        files = [(*f, split_of(f[0])) for folder in self.folders for f in listed(f"{self.root}/{folder}", r".*\.jsonl")]
+        if not files:
+            for name in self.fallback:
+                files += [(*f, split_of(name)) for f in listed(self.root, re.escape(name)) or listed(f"{self.root}/{name}", r"[^._].*")]
+        ranges = [Range(path, at, min(at + self.part, size), split) for path, size, split in files for at in range(0, size, self.part)]
+        each = max(1, min(-(-len(ranges) // TASKS), PART // self.part))
+        return [Ranges(ranges[i : i + each]) for i in range(0, len(ranges), each)] or [Ranges([])]
 
     def _lines(self, part: Range) -> Iterator[bytes]:
         """The lines that begin in a range: a range that doesn't begin with a file goes past the line that it begins in."""
@@ -117,7 +132,8 @@ class JsonLinesReader(DataSourceReader):
             file.seek(at)
             held, skip = b"", part.begin > 0
             while True:
-                block = file.read(STEP)
+                # No more than the range needs; past its end a line goes on for a little, mostly.
+                block = file.read(min(STEP, max(part.end - at - len(held), BEYOND, len(held))))
                 *lines, held = (held + block).split(b"\n")
                 for line in lines:
                     begin, at = at, at + len(line) + 1
@@ -127,14 +143,16 @@ class JsonLinesReader(DataSourceReader):
                         yield line
                     if at >= part.end:
                         return
+                if skip and at + len(held) >= part.end:  # one line goes over the whole range
+                    return
                 if not block:
                     if held and not skip and at < part.end:
                         yield held
                     return
 
-    def read(self, part: Range) -> Iterator[pa.RecordBatch]:
+    def read(self, part: Ranges) -> Iterator[pa.RecordBatch]:
         rows: list[dict] = []
-        for line in self._lines(part) if part.path else ():
+        for split, line in ((r.split, line) for r in part.ranges for line in self._lines(r)):
             if not line.strip():
                 continue
             try:
@@ -144,7 +162,7 @@ class JsonLinesReader(DataSourceReader):
             got = got if isinstance(got, dict) else {}
             row = {f.name: _value(got.get(f.name), f.dataType) for f in self.wanted}
             if "split" in row:
-                row["split"] = row["split"] or part.split
+                row["split"] = row["split"] or split
             rows.append(row)
             if len(rows) >= ROWS:
                 yield pa.RecordBatch.from_pylist(rows, self.arrow)
