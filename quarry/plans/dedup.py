@@ -93,8 +93,9 @@ def stream_dedup(spark, sf):
     """Texts of a stream of chunks, each once."""
     place = shared(spark, "stream")
     docs = spark.read.parquet(f"{sf}/documents.parquet")
-    docs.repartition(5, "doc_id").write.parquet(f"{place}/in")
-    ingest.run_to_end(ingest.new_texts(ingest.chunks(spark, f"{place}/in", docs.schema), "text").select("digest"), f"{place}/out", f"{place}/checkpoint")
+    n = max(5, docs.rdd.getNumPartitions())  # files of about a split each, two fifths of them at a time
+    docs.repartition(n, "doc_id").write.parquet(f"{place}/in")
+    ingest.run_to_end(ingest.new_texts(ingest.chunks(spark, f"{place}/in", docs.schema, -(-2 * n // 5)), "text").select("digest"), f"{place}/out", f"{place}/checkpoint")
     return spark.read.schema("digest string").parquet(f"{place}/out")
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import random
 
 from pyspark.sql import functions as F
@@ -158,3 +159,21 @@ def test_only_sets_that_pairs_ask_for_are_shuffled(spark):
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
     assert duplicates._needed(sets, pairs.select(F.col("a").alias("at"))).count() == 3
+
+
+def test_stream_dedup_deals_large_inputs_over_more_files(spark, sf, monkeypatch):
+    """As many files as the input has splits, where that is more than five."""
+    from quarry.plans import dedup
+
+    dealt = []
+    monkeypatch.setattr(ingest, "chunks", lambda spark, path, schema, files=2, own=ingest.chunks: (dealt.append((len(spark.read.parquet(path).inputFiles()), files)), own(spark, path, schema, files))[1])
+    monkeypatch.setattr(ingest, "run_to_end", lambda rows, path, checkpoint: os.makedirs(path))
+    for bytes_, least in (("128m", 5), ("16k", 6)):
+        old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+        spark.conf.set("spark.sql.files.maxPartitionBytes", bytes_)
+        try:
+            dedup.stream_dedup(spark, sf)
+        finally:
+            spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+        assert dealt[-1][0] >= least and dealt[-1][1] * 2.5 >= dealt[-1][0]
+    assert dealt[0][0] == 5
