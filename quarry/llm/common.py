@@ -10,8 +10,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-#: Rows and bytes of an Arrow batch between the JVM and Python, so that a batch of long texts stays small.
-BATCH_ROWS, BATCH_BYTES = 500, 32 << 20
+from quarry.session import small_batches as small_batches
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -47,12 +46,6 @@ def discard(df: DataFrame) -> None:
         path.getFileSystem(conf).delete(path, True)
 
 
-def small_batches(spark: SparkSession) -> None:
-    """Bounds the Arrow batches of what the session runs from now on."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
-
-
 def texts(column: pa.Array) -> Iterator[str]:
     """The strings of a column, one at a time; a null as the empty string."""
     for x in column:

@@ -76,3 +76,14 @@ def test_signatures_of_whole_files(spark):
         assert (max(r["h"], key=lambda h: h["confidence"])["rule_id"] if r["h"] else None) == r["expected"], r
     cwes, cves = T.comment_hints(F.lit("cwe 79, CWE-0079 CVE 2018-12345 CWE_1"))
     assert tuple(spark.range(1).select(cwes, cves).first()) == (["CWE-79"], ["CVE-2018-12345"])
+
+
+def test_texts_are_scanned_once_in_small_batches(spark):
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")
+    df = spark.createDataFrame([(1, "gets(line);"), (2, "no hit"), (3, None)], "id long, code string")
+    got = signatures.each_hit(signatures.with_hits(df, "code"), "id").select("id", "place", "h.rule_id")
+    assert [tuple(r) for r in got.collect()] == [(1, 0, "buffer_overflow_unsafe_copy")]
+    best = signatures.attributed(df, "id", "code", df.select("id", F.lit(True).alias("flagged")))
+    for x in (got, best):
+        assert x._jdf.queryExecution().optimizedPlan().toString().count("ArrowEvalPython") == 1
+    assert int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) <= 500
