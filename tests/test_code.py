@@ -87,3 +87,11 @@ def test_texts_are_scanned_once_in_small_batches(spark):
     for x in (got, best):
         assert x._jdf.queryExecution().optimizedPlan().toString().count("ArrowEvalPython") == 1
     assert int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) <= 500
+
+
+def test_lines_are_cleaned_in_small_batches(spark):
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")
+    df = spark.range(1200, numPartitions=1).select("id", F.concat(F.lit("a; // b\n\nc"), F.col("id").cast("string")).alias("code"))
+    kept = code.without_comments_by_line(df, "id", "code")
+    assert int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) <= 500
+    assert {(r["id"], r["code"], tuple(r["line_map"])) for r in kept.collect()} == {(i, f"a;\nc{i}", (1, 3)) for i in range(1200)}
