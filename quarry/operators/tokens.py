@@ -2,12 +2,20 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import re
+from collections.abc import Iterable, Iterator
+from heapq import nsmallest
+from itertools import zip_longest
+
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quarry.functions import scores as S
+from quarry.functions.text import BLANKS
 from quarry.operators import signatures
 from quarry.operators.signatures import CATALOGUE, COMMENT, KEYWORDS, NAMES, Rule
+from quarry.session import small_batches
 
 #: Weights of what a hit says, of a term of the catalogue and of a function's name; the names; how many tokens are shown.
 HIT, TERM, CALL, TOP = 3.0, 2.0, 1.0, 5
@@ -16,7 +24,8 @@ CALLS = [
     "system", "popen", "execve", "execl", "read", "write", "recv", "send", "sizeof", "strlen", "strncpy", "strncat",
 ]
 #: Tokens of tokenizers that stand for no text.
-SPECIAL = ["<s>", "</s>", "<pad>", "<unk>", "<mask>"]
+SPECIAL = frozenset(["<s>", "</s>", "<pad>", "<unk>", "<mask>"])
+BRACKETS = re.compile(r"\[[^\n\r\x85\u2028\u2029]+\]\Z")
 #: Fixed value: identifiers of three letters at least, and operators.
 TOKEN = r"[a-zA-Z_][a-zA-Z0-9_]{2,}|\.\./|->|==|!=|<=|>="
 #: A letter, digit or underscore of any script.
@@ -64,21 +73,57 @@ def with_top_tokens(rows: DataFrame, code: str, n: int = TOP, rules: tuple[Rule,
     return wide.withColumn(out, F.when(F.rlike(F.col(code), F.lit(r"(?U)[^\s\x1c-\x1f]")), F.slice(firsts, 1, n)).otherwise(F.array().cast("array<string>"))).drop("__named", "__told", "__names", "__order")
 
 
+def top_words(pieces: list[str | None], values: list[float | None], n: int) -> list[tuple[str, float | None]]:
+    """The n words (first spelling, sum of values) that weigh most in one row's pieces; nulls count nothing, a word of nulls only has null."""
+    sums: dict[str, list] = {}
+
+    def close(word: str, total: float | None) -> None:
+        if word:
+            own = sums.setdefault(word.lower(), [word, None])
+            own[1] = total if own[1] is None else own[1] if total is None else own[1] + total
+
+    word, total, begun = "", None, False
+    for p, v in zip_longest(pieces, values):
+        if p is not None:
+            p = p.strip(BLANKS)
+            if not p.startswith("##"):
+                close(word, total)
+                if not p or p in SPECIAL or (p[0] == "[" and BRACKETS.match(p)):
+                    word, total, v = "", 0.0, None
+                else:
+                    word, total = p[1:] if p[0] == "Ġ" else p, None
+            else:
+                word += p[2:]
+            begun = True
+        # Null pieces before all others belong to no word.
+        if v is not None and begun:
+            total = v if total is None else total + v
+    close(word, total)
+    # As a descending order has it: what is no number goes first, null last.
+    weight = lambda x: (2, 0.0) if x is None else (0, 0.0) if x != x else (1, -abs(x))
+    return [(token, v) for _, (token, v) in nsmallest(n, sums.items(), key=lambda x: (weight(x[1][1]), x[0]))]
+
+
 def merged_pieces(rows: DataFrame, key: str, pieces: str, values: str, n: int = TOP) -> DataFrame:
     """(key, rank, token, value): the n words of the largest absolute values of each row, put together from a tokenizer's pieces.
 
     `##` goes on with a word, `Ġ` begins one, special tokens and what stands in brackets part words; any other piece is a
     word's beginning, too. Words that differ in case only are one, in their first spelling; ties go by lower-cased name.
-    key is a row's own. Where a word begins is a running count over a row's pieces; all steps are dealt by row once.
+    A row's pieces stand in the row already, so each row is merged where it is read: nothing is shuffled and no piece
+    becomes a row of its own. Rows go to Python in small batches, and of a batch the pieces of one row at a time are held.
     """
-    piece = F.regexp_replace("x.p", r"(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+$", "")
-    each = rows.select(key, F.posexplode(F.arrays_zip(F.col(pieces).alias("p"), F.col(values).alias("v"))).alias("at", "x")).select(key, "at", piece.alias("p"), F.col("x.v").cast("double").alias("v"))
-    special = (F.col("p") == "") | F.col("p").isin(SPECIAL) | F.col("p").rlike(r"^\[.+\]$")
-    begins = special | ~F.col("p").startswith("##")
-    rest = lambda k: F.substring("p", k, 1 << 30)
-    text = F.when(special, "").when(F.col("p").startswith("##"), rest(3)).when(F.col("p").startswith("Ġ"), rest(2)).otherwise(F.col("p"))
-    marked = each.select(key, "at", text.alias("t"), F.when(special, 0.0).otherwise(F.col("v")).alias("v"), F.sum(begins.cast("int")).over(Window.partitionBy(key).orderBy("at")).alias("k"))
-    words = marked.groupBy(key, "k").agg(F.min("at").alias("at"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "t"))), lambda x: x["t"]), "").alias("word"), F.sum("v").alias("v")).filter("word <> ''")
-    sums = words.groupBy(key, F.lower("word").alias("low")).agg(F.min_by("word", "at").alias("token"), F.sum("v").alias("v"))
-    place = F.row_number().over(Window.partitionBy(key).orderBy(F.abs("v").desc(), "low"))
-    return sums.withColumn("rank", place).filter(F.col("rank") <= n).select(key, "rank", "token", S.rounded(F.col("v"), 6).alias("value"))
+    small_batches(rows.sparkSession)
+
+    def merged(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at, rank, token, value = [], [], [], []
+            for i, (p, v) in enumerate(zip(batch.column(1), batch.column(2), strict=True)):
+                if p.is_valid and v.is_valid:
+                    for k, (t, x) in enumerate(top_words(p.values.to_pylist(), v.values.to_pylist(), n), 1):
+                        for to, y in zip((at, rank, token, value), (i, k, t, x), strict=True):
+                            to.append(y)
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at, pa.int64())), pa.array(rank, pa.int32()), pa.array(token, pa.string()), pa.array(value, pa.float64())], ["i", "rank", "token", "value"])
+
+    kind = rows.schema[key].dataType.simpleString()
+    out = rows.select(key, F.col(pieces), F.col(values).cast("array<double>")).mapInArrow(merged, f"i {kind}, rank int, token string, value double")
+    return out.select(F.col("i").alias(key), "rank", "token", S.rounded(F.col("value"), 6).alias("value"))

@@ -61,3 +61,13 @@ def test_pieces_are_merged_before_they_are_ranked(spark):
     for r in tokens.merged_pieces(df, "id", "p", "v").orderBy("id", "rank").collect():
         found.setdefault(r["id"], []).append((r["token"], r["value"]))
     assert found == {i: x for i, (p, v) in enumerate(rows) if (x := pieces_by_rule(p, v))}
+
+
+def test_pieces_are_merged_without_a_shuffle(spark):
+    nan = float("nan")
+    rows = [(1, [None, "##a", None, "b"], [9.0, 1.0, 0.5, -0.25]), (2, ["x", "y", "z"], [None, nan, -3.0]), (3, ["x"], [1.0, 2.0]), (4, None, [1.0]), (5, ["x"], None), (6, ["a", "A ", "[b]", "##A"], [1.0, 1.0, 9.0, 1.0])]
+    got = tokens.merged_pieces(spark.createDataFrame(rows, "id long, p array<string>, v array<double>"), "id", "p", "v")
+    assert "Exchange" not in got._jdf.queryExecution().executedPlan().toString()
+    assert [(r["id"], r["rank"], r["token"], str(r["value"])) for r in got.orderBy("id", "rank").collect()] == [
+        (1, 1, "a", "1.5"), (1, 2, "b", "-0.25"), (2, 1, "y", "nan"), (2, 2, "z", "-3.0"), (2, 3, "x", "None"), (3, 1, "x", "3.0"), (6, 1, "a", "3.0"),
+    ]
